@@ -168,3 +168,36 @@ def quantile_wide(df: DataFrame, metrics: Sequence[str], probs: Sequence[float],
     if group_cols:
         return long.groupBy(*group_cols).agg(*aggs)
     return long.agg(*aggs)
+
+
+def value_at_rank(df: DataFrame, col: str, k: int, accuracy: int = 1_000_000):
+    """The value at 0-based rank ``k`` of ``col`` (nulls skipped), exactly.
+
+    A sketch gives a narrow window around rank k; rows below it are counted,
+    rows inside it are collapsed to (value, count) and ranked.  Only the window
+    (about 8 / accuracy of the rows) is ever ordered in one place.
+    """
+    vals = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull())
+    stats = vals.agg(F.count(F.lit(1)).alias("n")).first()
+    n = int(stats["n"])
+    if k < 0 or k >= n:
+        raise IndexError(f"rank {k} outside 0..{n - 1}")
+    slack = 4.0 / accuracy
+    p = k / max(n - 1, 1)
+    lo_p, hi_p = max(0.0, p - slack), min(1.0, p + slack)
+    b = vals.agg(F.percentile_approx("value", [lo_p, hi_p], accuracy).alias("b")).first()["b"]
+    lower, upper = b[0], b[1]
+    below = vals.where(F.col("value") < F.lit(lower)).count()
+    if below <= k:
+        w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        hit = (
+            vals.where((F.col("value") >= F.lit(lower)) & (F.col("value") <= F.lit(upper)))
+            .groupBy("value").agg(F.count(F.lit(1)).alias("c"))
+            .withColumn("start", F.lit(below) + F.sum("c").over(w) - F.col("c"))
+            .where((F.col("start") <= F.lit(k)) & (F.lit(k) < F.col("start") + F.col("c")))
+            .select("value")
+            .first()
+        )
+        if hit is not None:
+            return hit["value"]
+    return vals.orderBy("value").offset(k).limit(1).first()["value"]
