@@ -99,23 +99,32 @@ def _multiset_sum(counts: Column, vocab: list[str], keywords: list[str]) -> Colu
 
 
 def mask_scores(chunks: DataFrame, rule_keywords=None, default_keywords=None) -> DataFrame:
-    """(rule_mask, chunk columns..., retrieval_score) for score > 0, all rule sets."""
+    """(rule_mask, chunk columns..., retrieval_score) for score > 0, all rule sets.
+
+    Keyword counts (one array per chunk over the vocabulary) are summed per
+    rule in one projection; each rule set's score is then a sum of at most six
+    columns.  Repeated keywords count once per occurrence in the multiset.
+    """
     rk = rule_keywords or C.RULE_KEYWORDS
     dk = default_keywords if default_keywords is not None else C.DEFAULT_KEYWORDS
     vocab = keyword_vocabulary(rk, dk)
     kc = keyword_counts(chunks, vocab)
     cnt = F.col("kw_counts")
-    per_rule = [_multiset_sum(cnt, vocab, rk.get(rid, [])) for rid in RETRIEVAL_RULES]
-    base = _multiset_sum(cnt, vocab, dk)
+    base_cols = list(chunks.columns)
+    per_rule = kc.select(
+        *base_cols,
+        _multiset_sum(cnt, vocab, dk).alias("_s_base"),
+        *[_multiset_sum(cnt, vocab, rk.get(rid, [])).alias(f"_s{i}") for i, rid in enumerate(RETRIEVAL_RULES)],
+    )
     scores = []
     for m in range(N_MASKS):
-        s = base
-        for i, rs in enumerate(per_rule):
+        s = F.col("_s_base")
+        for i in range(len(RETRIEVAL_RULES)):
             if m & (1 << i):
-                s = s + rs
+                s = s + F.col(f"_s{i}")
         scores.append(F.struct(F.lit(m).alias("rule_mask"), s.alias("retrieval_score")))
     return (
-        kc.select(*[c for c in chunks.columns], F.inline(F.array(*scores)))
+        per_rule.select(*base_cols, F.inline(F.array(*scores)))
         .where(F.col("retrieval_score") > 0)
     )
 
@@ -142,8 +151,9 @@ def rule_mask(hit_cols: list[str] | None = None) -> Column:
     return m
 
 
-def retrieve_for_cases(cases: DataFrame, chunks: DataFrame, k: int = C.TOP_K_CHUNKS) -> DataFrame:
+def retrieve_for_cases(cases: DataFrame, chunks: DataFrame, k: int = C.TOP_K_CHUNKS,
+                       rule_keywords=None, default_keywords=None) -> DataFrame:
     """(id, chunk_rank, chunk columns, retrieval_score, excerpt) for each case."""
     with_mask = cases.select("id", rule_mask().alias("rule_mask"))
-    top = topk_per_mask(mask_scores(chunks), k, with_mask)
+    top = topk_per_mask(mask_scores(chunks, rule_keywords, default_keywords), k, with_mask)
     return with_mask.join(top, "rule_mask")

@@ -408,6 +408,70 @@ def q_review_queue(spark, sf):
     return review_queue(spark, sf).select(*SCORED_COLS, "f_001", "f_002", "f_003", *EXPOSURE_COLS, "draw")
 
 
+# --------------------------------------------------------------------------- corpus and retrieval
+
+from riskgraph.operators import corpus as CO  # noqa: E402
+from riskgraph.sources.tables import load_corpus_pages  # noqa: E402
+
+
+def chunks(spark, sf):
+    k = _key(spark, sf, "chunks")
+    if k not in _memo:
+        _memo[k] = CO.corpus_chunks(spark, load_corpus_pages(spark, sf))
+    return _memo[k]
+
+
+def mask_scores(spark, sf):
+    k = _key(spark, sf, "mask_scores")
+    if k not in _memo:
+        _memo[k] = CO.mask_scores(chunks(spark, sf), C.DRIVER_RULE_KEYWORDS, C.DRIVER_DEFAULT_KEYWORDS)
+    return _memo[k]
+
+
+@register("src_corpus", D.corpus_sql("SELECT source_id, title, publisher, url, page, text FROM pages"))
+def q_src_corpus(spark, sf):
+    return CO.corpus_pages(spark, load_corpus_pages(spark, sf)).select("source_id", "title", "publisher", "url", "page", "text")
+
+
+@register("text_normalise", D.corpus_sql("SELECT source_id, page, text FROM pages"))
+def q_text_normalise(spark, sf):
+    from riskgraph.functions.text import normalise_ws
+
+    pages = load_corpus_pages(spark, sf)
+    return pages.select("source_id", "page", normalise_ws(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+
+
+@register("corpus_chunks", D.corpus_sql("SELECT source_id, page, chunk_no, chunk_id, text FROM chunks"))
+def q_corpus_chunks(spark, sf):
+    return chunks(spark, sf).select("source_id", "page", "chunk_no", "chunk_id", "text")
+
+
+_KW_SQL = D.corpus_sql(" UNION ALL ".join(
+    f"SELECT chunk_id, {D.q(kw)} AS keyword, kw{i} AS kw_count FROM kwc WHERE kw{i} > 0"
+    for i, kw in enumerate(D.vocab_names())))
+
+
+@register("text_keyword_counts", _KW_SQL)
+def q_text_keyword_counts(spark, sf):
+    vocab = CO.keyword_vocabulary(C.DRIVER_RULE_KEYWORDS, C.DRIVER_DEFAULT_KEYWORDS)
+    kc = CO.keyword_counts(chunks(spark, sf), vocab)
+    pairs = F.arrays_zip(F.array(*[F.lit(v) for v in vocab]).alias("keyword"), F.col("kw_counts").alias("kw_count"))
+    return kc.select("chunk_id", F.inline(pairs)).where(F.col("kw_count") > 0)
+
+
+@register("rag_scores", D.corpus_sql("SELECT rule_mask, chunk_id, retrieval_score FROM mask_scores"))
+def q_rag_scores(spark, sf):
+    return mask_scores(spark, sf).select("rule_mask", "chunk_id", "retrieval_score")
+
+
+@register("rag_topk", D.corpus_sql(
+    f"SELECT rule_mask, chunk_rank, chunk_id, retrieval_score, substring(text, 1, {C.EXCERPT_CHARS}) AS excerpt FROM topk"))
+def q_rag_topk(spark, sf):
+    top = CO.topk_per_mask(mask_scores(spark, sf))
+    return top.select("rule_mask", F.col("chunk_rank").cast("bigint").alias("chunk_rank"), "chunk_id",
+                      "retrieval_score", "excerpt")
+
+
 def queries() -> dict[str, QueryFn]:
     return {k: fn for k, (fn, _sql) in REG.items()}
 

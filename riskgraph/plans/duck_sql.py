@@ -178,8 +178,10 @@ def _source_case(col: str, idx: int, default: str) -> str:
     return f"CASE {col} {whens} ELSE {default} END"
 
 
-def corpus_ctes() -> list[str]:
-    vocab = keyword_vocabulary()
+def corpus_ctes(rule_keywords=None, default_keywords=None) -> list[str]:
+    rk = rule_keywords or C.DRIVER_RULE_KEYWORDS
+    dk = default_keywords if default_keywords is not None else C.DRIVER_DEFAULT_KEYWORDS
+    vocab = keyword_vocabulary(rk, dk)
     rank_case = "CASE source_id " + " ".join(
         f"WHEN {q(s[0])} THEN {i}" for i, s in enumerate(C.GUIDANCE_SOURCES)) + f" ELSE {len(C.GUIDANCE_SOURCES)} END"
     counts = ",\n".join(
@@ -189,8 +191,8 @@ def corpus_ctes() -> list[str]:
     def msum(kws):
         return " + ".join(f"kw{vocab.index(k.lower())}" for k in kws) if kws else "0"
 
-    per_rule = [msum(C.RULE_KEYWORDS.get(r, [])) for r in RETRIEVAL_RULES]
-    base = msum(C.DEFAULT_KEYWORDS)
+    per_rule = [msum(rk.get(r, [])) for r in RETRIEVAL_RULES]
+    base = msum(dk)
     mask_rows = []
     for m in range(1 << len(RETRIEVAL_RULES)):
         parts = [f"({base})"] + [f"({per_rule[i]})" for i in range(len(RETRIEVAL_RULES)) if m & (1 << i)]
@@ -230,4 +232,4 @@ def corpus_sql(select: str) -> str:
 
 
 def vocab_names() -> list[str]:
-    return keyword_vocabulary()
+    return keyword_vocabulary(C.DRIVER_RULE_KEYWORDS, C.DRIVER_DEFAULT_KEYWORDS)
