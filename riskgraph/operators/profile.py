@@ -14,31 +14,30 @@ def global_quantiles(metrics_df: DataFrame, method: str = "exact") -> DataFrame:
     return quantile_wide(metrics_df, C.SEGMENT_METRICS, C.SEGMENT_PROBS, method=method, prefix="q_")
 
 
-def _gt(col: str, thresh: str):
-    # a missing threshold never fires (compares against +inf in the original)
-    return F.coalesce(F.col(col) > F.col(thresh), F.lit(False))
-
-
 def assign_segments(metrics_df: DataFrame, quantiles: DataFrame | None = None,
                     method: str = "exact") -> DataFrame:
     """P4 + P5: adds primary_segment and secondary_tag_count.
 
-    The one-row quantile table is joined by a broadcast cross product of one
-    row (size fixed at 1 by construction).
+    The cut-offs are one row; they enter the projection as a scalar subquery
+    (evaluated once, used as a constant), so there is no join.
     """
     q = quantiles if quantiles is not None else global_quantiles(metrics_df, method)
-    qcols = [c for c in q.columns]
-    df = metrics_df.crossJoin(F.broadcast(q))
-    high = _gt("out_degree", "q_out_degree_p90") | _gt("anonymized_behavior_intensity", "q_anonymized_behavior_intensity_p90")
+    cut = q.select(F.struct(*q.columns).alias("cut")).scalar()
+
+    def gt(col: str, name: str):
+        # a missing cut-off never fires (compares against +inf in the original)
+        return F.coalesce(F.col(col) > cut[name], F.lit(False))
+
+    high = gt("out_degree", "q_out_degree_p90") | gt("anonymized_behavior_intensity", "q_anonymized_behavior_intensity_p90")
     active = (
-        _gt("total_degree", "q_total_degree_p85")
-        | _gt("neighbor_complexity", "q_neighbor_complexity_p85")
-        | _gt("time_step_activity", "q_time_step_activity_p85")
+        gt("total_degree", "q_total_degree_p85")
+        | gt("neighbor_complexity", "q_neighbor_complexity_p85")
+        | gt("time_step_activity", "q_time_step_activity_p85")
     )
     seg = (
         F.when(high, F.lit(C.SEGMENT_HIGH_VALUE))
         .when(active, F.lit(C.SEGMENT_ACTIVE))
         .otherwise(F.lit(C.SEGMENT_LOW))
     )
-    tags = _gt("total_degree", "q_total_degree_p85").cast("int") + _gt("neighbor_complexity", "q_neighbor_complexity_p85").cast("int")
-    return df.withColumn("primary_segment", seg).withColumn("secondary_tag_count", tags).drop(*qcols)
+    tags = gt("total_degree", "q_total_degree_p85").cast("int") + gt("neighbor_complexity", "q_neighbor_complexity_p85").cast("int")
+    return metrics_df.withColumn("primary_segment", seg).withColumn("secondary_tag_count", tags)

@@ -19,6 +19,7 @@ from riskgraph.operators import sampling as S
 from riskgraph.operators import thresholds as T
 from riskgraph.plans import duck_sql as D
 from riskgraph.plans.pipeline import ScoreOptions, scored_nodes, segmented_nodes
+from riskgraph.session import checkpoint_dir
 from riskgraph.sources.tables import GraphInputs, load_graph
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -84,7 +85,9 @@ def review_queue(spark: SparkSession, sf: str) -> DataFrame:
         adj = G.adjacency(g.edges)
         risky = G.risky_nodes(g.nodes, g.labels)
         exp = G.exposure(smp.select("id"), adj, risky)
-        _memo[k] = smp.join(exp, "id")
+        # the queue is small (batch rows) and feeds every review output: write it once
+        checkpoint_dir(spark)
+        _memo[k] = smp.join(exp, "id").checkpoint(eager=True)
     return _memo[k]
 
 
@@ -388,12 +391,13 @@ def q_sample_stratified(spark, sf):
         "id", "risk_level", F.col("rn").cast("bigint").alias("rn"))
 
 
-_MERGED_SQL = D.with_sql(
+_MERGED_BODY = (
     "SELECT id, risk_level, batch FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch) AS k FROM ("
     "SELECT id, risk_level, 0 AS batch FROM (SELECT id, risk_level, row_number() OVER (PARTITION BY risk_level "
     "ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) AS rn FROM scored) a WHERE rn <= 25 UNION ALL "
     "SELECT id, risk_level, 1 AS batch FROM (SELECT id, risk_level, row_number() OVER (PARTITION BY risk_level "
     "ORDER BY md5('43:' || CAST(id AS VARCHAR)), id) AS rn FROM scored) b WHERE rn <= 25) u) v WHERE k = 1")
+_MERGED_SQL = D.with_sql(_MERGED_BODY)
 
 
 @register("sample_merged", _MERGED_SQL)
@@ -472,6 +476,354 @@ def q_rag_topk(spark, sf):
                       "retrieval_score", "excerpt")
 
 
+# --------------------------------------------------------------------------- review layer
+
+from riskgraph.operators import cases as CA  # noqa: E402
+from riskgraph.operators import review as RV  # noqa: E402
+from riskgraph.operators import summary as SU  # noqa: E402
+from riskgraph.functions import labels as L  # noqa: E402
+from riskgraph.functions import text as X  # noqa: E402
+
+_HL = "hl AS (" + " UNION ALL ".join(
+    f"SELECT id, '{r}' AS rule_id, {r}_score AS score FROM scored WHERE {r}_hit" for r in C.SUPPORTED_RULE_IDS) + ")"
+_QHL = "qhl AS (" + " UNION ALL ".join(
+    f"SELECT id, '{r}' AS rule_id, {r}_score AS score FROM queue WHERE {r}_hit" for r in C.SUPPORTED_RULE_IDS) + ")"
+_DOCS = "docs(rule_id, rule_name, pdr_rule_name, description, dataset_limit) AS (VALUES " + ", ".join(
+    "(" + ", ".join(D.q(x) for x in (r, *C.RULE_DOCS[r])) + ")" for r in C.RULE_IDS) + ")"
+_NAMES = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN {D.q(C.CASE_RULE_NAMES[r])}" for r in C.SUPPORTED_RULE_IDS) + " END"
+_SEV = "CASE WHEN score >= 25 THEN 'high' WHEN score >= 15 THEN 'medium' ELSE 'low' END"
+_BAND = "CASE WHEN risk_level IN ('Critical', 'High') THEN 'high' WHEN risk_level = 'Medium' THEN 'medium' ELSE 'low' END"
+_FLOW = ("CASE WHEN out_degree >= greatest(3, in_degree * 2) THEN 'fan-out' "
+         "WHEN in_degree >= greatest(3, out_degree * 2) THEN 'fan-in' ELSE 'balanced' END")
+_DEMO = ("CASE WHEN label_name = 'illicit' THEN 'illicit_for_evaluation_only' "
+         "WHEN label_name = 'licit' THEN 'licit_for_evaluation_only' ELSE 'unknown' END")
+_MASK = "left(CAST(id AS VARCHAR), 2) || '...' || right(CAST(id AS VARCHAR), 2)"
+
+
+def _wsql(extra: list[str], select: str, **kw) -> str:
+    return "WITH " + ",\n".join(D.ctes(**kw) + extra) + "\n" + select
+
+
+def _pct_sql(c: str) -> str:
+    return (f"CASE WHEN {c} IS NOT NULL THEN (rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0)"
+            f" / count({c}) OVER () END")
+
+
+def _ev_text_sql(kind: str, c: str) -> str:
+    if kind == "int":
+        return f"CAST(CAST({c} AS BIGINT) AS VARCHAR)"
+    if kind == "double":
+        return f"CAST(CAST({c} AS DOUBLE) AS VARCHAR)"
+    return f"CAST({c} AS VARCHAR)"
+
+
+_EVROWS = "evrows AS (" + " UNION ALL ".join(
+    f"SELECT id, '{r}' AS rule_id, {pos} AS field_pos, '{f}' AS field, "
+    + ("CAST(NULL AS DOUBLE)" if k == "text" else f"CAST({f} AS DOUBLE)") + " AS num_value, "
+    + _ev_text_sql(k, f) + f" AS text_value FROM queue WHERE {r}_hit"
+    for r in C.SUPPORTED_RULE_IDS for pos, (f, k) in enumerate(C.EVIDENCE_FIELDS[r], start=1)) + ")"
+_EVTEXT = "evtext AS (" + " UNION ALL ".join(
+    f"SELECT id, '{r}' AS rule_id, " + " || ', ' || ".join(f"'{f}: ' || {_ev_text_sql(k, f)}" for f, k in C.EVIDENCE_FIELDS[r])
+    + f" AS evidence FROM queue WHERE {r}_hit" for r in C.SUPPORTED_RULE_IDS) + ")"
+_EVPARSE = """evparse AS (
+  SELECT id, rule_id, CAST(i AS INTEGER) AS pos,
+         trim(split_part(trim(parts[i]), ':', 1)) AS key,
+         trim(CASE WHEN strpos(trim(parts[i]), ':') > 0 THEN substring(trim(parts[i]), strpos(trim(parts[i]), ':') + 1) ELSE '' END) AS value
+  FROM (SELECT id, rule_id, string_split(evidence, ',') AS parts FROM evtext) t, range(1, len(parts) + 1) r(i))"""
+
+
+def queue_ev(spark, sf):
+    q = review_queue(spark, sf)
+    parts = [F.when(F.col(f"{r}_hit"), F.struct(F.lit(r).alias("rule_id"), RV.evidence_text_expr(r).alias("evidence")))
+             for r in C.SUPPORTED_RULE_IDS]
+    return q.select("id", F.inline(F.filter(F.array(*parts), lambda x: x.isNotNull())))
+
+
+def _contexts(spark, sf):
+    k = _key(spark, sf, "contexts")
+    if k not in _memo:
+        q = review_queue(spark, sf)
+        retrieved = CO.retrieve_for_cases(q, chunks(spark, sf), C.TOP_K_CHUNKS, C.DRIVER_RULE_KEYWORDS,
+                                          C.DRIVER_DEFAULT_KEYWORDS)
+        _memo[k] = RV.review_contexts(q, retrieved)
+    return _memo[k]
+
+
+def _drafts(spark, sf):
+    k = _key(spark, sf, "drafts")
+    if k not in _memo:
+        ctx = _contexts(spark, sf)
+        conv = spark.read.parquet(f"{sf.rstrip('/')}/conversations.parquet")
+        resp = RV.responses_from_conversations(spark, review_queue(spark, sf), conv)
+        _memo[k] = RV.merge_drafts(ctx, resp)
+    return _memo[k]
+
+
+@register("rule_docs_join", _wsql([_HL, _DOCS], "SELECT hl.id, hl.rule_id, rule_name, pdr_rule_name, description, dataset_limit FROM hl JOIN docs USING (rule_id)"))
+def q_rule_docs_join(spark, sf):
+    h = CA.hits_long(scored(spark, sf))
+    return h.join(F.broadcast(CA.rule_doc_table(spark)), "rule_id").select(  # 6 configured rules
+        "id", "rule_id", "rule_name", "pdr_rule_name", "description", "dataset_limit")
+
+
+@register("score_breakdown", _wsql([_HL], f"SELECT id, rule_id, replace(rule_id, 'R', 'R-') AS ruleId, {_NAMES} AS name, score AS scoreContribution, {_SEV} AS severity, {_NAMES} || ' contributed ' || CAST(score AS VARCHAR) || ' points.' AS explanation FROM hl"))
+def q_score_breakdown(spark, sf):
+    return CA.score_breakdown_rows(scored(spark, sf))
+
+
+@register("case_severity", _wsql([_HL], f"SELECT id, rule_id, score, {_SEV} AS severity FROM hl"))
+def q_case_severity(spark, sf):
+    h = CA.hits_long(scored(spark, sf))
+    return h.select("id", "rule_id", "score", L.severity(F.col("score")).alias("severity"))
+
+
+@register("case_band", D.with_sql(f"SELECT id, risk_level, {_BAND} AS riskBand FROM scored"))
+def q_case_band(spark, sf):
+    return scored(spark, sf).select("id", "risk_level", L.public_band(F.col("risk_level")).alias("riskBand"))
+
+
+@register("case_flow", D.with_sql(
+    f"SELECT id, in_degree, out_degree, {_FLOW} AS flowPattern, CASE {_FLOW} "
+    + " ".join(f"WHEN '{k}' THEN {D.q(v)}" for k, v in C.CASE_STRUCTURE.items()) + " END AS structureSummary FROM metrics"))
+def q_case_flow(spark, sf):
+    m = metrics(spark, sf)
+    pattern = L.flow_pattern(F.col("in_degree"), F.col("out_degree"))
+    return m.select("id", "in_degree", "out_degree", pattern.alias("flowPattern"), L.flow_sentence(pattern).alias("structureSummary"))
+
+
+@register("case_label", D.with_sql(f"SELECT id, label_name, {_DEMO} AS demoLabel FROM metrics"))
+def q_case_label(spark, sf):
+    return metrics(spark, sf).select("id", "label_name", L.display_label(F.col("label_name")).alias("demoLabel"))
+
+
+@register("case_model_score", D.with_sql("SELECT id, risk_score, round(risk_score / 100.0, 2) AS modelScore FROM scored"))
+def q_case_model_score(spark, sf):
+    return scored(spark, sf).select("id", "risk_score", L.model_score(F.col("risk_score")).alias("modelScore"))
+
+
+@register("case_activity", D.with_sql("SELECT id, total_degree, CASE WHEN total_degree > 5 THEN 'Active spike' ELSE 'Normal' END AS activityStage FROM metrics"))
+def q_case_activity(spark, sf):
+    return metrics(spark, sf).select("id", "total_degree", L.activity_stage(F.col("total_degree")).alias("activityStage"))
+
+
+@register("case_neighbor_signal", D.with_sql("SELECT id, two_hop_risk_neighbor_share, CASE WHEN two_hop_risk_neighbor_share > 0 THEN 'elevated' ELSE 'normal' END AS neighborAggregationSignal FROM queue"))
+def q_case_neighbor_signal(spark, sf):
+    q = review_queue(spark, sf)
+    return q.select("id", "two_hop_risk_neighbor_share", L.neighbor_signal(F.col("two_hop_risk_neighbor_share")).alias("neighborAggregationSignal"))
+
+
+@register("win_pct_rank", D.with_sql("SELECT id, " + ", ".join(f"{_pct_sql(c)} AS pct_{c}" for c in CA.PCT_COLS) + " FROM queue"))
+def q_win_pct_rank(spark, sf):
+    return CA.with_pct_ranks(review_queue(spark, sf)).select("id", *[f"pct_{c}" for c in CA.PCT_COLS])
+
+
+@register("case_volume", D.with_sql(f"SELECT id, out_degree, CASE WHEN {_pct_sql('out_degree')} >= 0.8 THEN 'high' ELSE 'medium' END AS transactionVolumeBucket FROM queue"))
+def q_case_volume(spark, sf):
+    return CA.case_flat(review_queue(spark, sf)).select(F.col("txId").alias("id"), F.col("outputCount").alias("out_degree"), "transactionVolumeBucket")
+
+
+@register("case_number", D.with_sql("SELECT id, printf('ELL-%03d', draw) AS case_id FROM queue"))
+def q_case_number(spark, sf):
+    return review_queue(spark, sf).select("id", CA.case_number().alias("case_id"))
+
+
+@register("text_mask", D.with_sql(f"SELECT id, {_MASK} AS transactionIdMasked FROM g_nodes"))
+def q_text_mask(spark, sf):
+    return graph(spark, sf).nodes.select("id", X.mask_id(F.col("id")).alias("transactionIdMasked"))
+
+
+@register("text_rule_id", _wsql([_HL], "SELECT id, rule_id, replace(rule_id, 'R', 'R-') AS ruleId, regexp_replace(replace(rule_id, 'R', 'R-'), '-', '') AS rule_id_back FROM hl"))
+def q_text_rule_id(spark, sf):
+    h = CA.hits_long(scored(spark, sf))
+    dashed = X.rule_id_dashed(F.col("rule_id"))
+    return h.select("id", "rule_id", dashed.alias("ruleId"), X.rule_id_plain(dashed).alias("rule_id_back"))
+
+
+_DEF_COLS = ("id, label_name, primary_segment, risk_score, risk_level, one_hop_neighbor_count, one_hop_risk_neighbor_share, "
+             "two_hop_neighbor_count, two_hop_risk_neighbor_share, distance_to_known_illicit_cluster")
+
+
+@register("case_defaults", D.with_sql(f"SELECT {_DEF_COLS} FROM queue"))
+def q_case_defaults(spark, sf):
+    ctx = _contexts(spark, sf)
+    return ctx.select(
+        "id", F.col("known_label_for_research_only").alias("label_name"),
+        F.col("address_profile_adapter.primary_segment").alias("primary_segment"),
+        F.col("risk.risk_score").alias("risk_score"), F.col("risk.risk_level").alias("risk_level"),
+        "graph_exposure.one_hop_neighbor_count", "graph_exposure.one_hop_risk_neighbor_share",
+        "graph_exposure.two_hop_neighbor_count", "graph_exposure.two_hop_risk_neighbor_share",
+        "graph_exposure.distance_to_known_illicit_cluster")
+
+
+@register("case_text", D.with_sql(
+    "SELECT id, 'Node with ' || CAST(total_degree AS VARCHAR) || ' total connections, ' || CAST(one_hop_neighbor_count AS VARCHAR)"
+    " || ' one-hop neighbors.' AS graphSummary, 'Transaction reviewed with ' || CAST("
+    + " + ".join(f"CAST({r}_hit AS INTEGER)" for r in C.SUPPORTED_RULE_IDS)
+    + " AS VARCHAR) || ' rules triggered. Risk score: ' || CAST(risk_score AS VARCHAR) || '.' AS reviewSummary FROM queue"))
+def q_case_text(spark, sf):
+    return review_queue(spark, sf).select("id", CA.graph_summary().alias("graphSummary"), CA.review_summary().alias("reviewSummary"))
+
+
+_FLAT_SQL = D.with_sql(
+    "SELECT printf('ELL-%03d', draw) AS case_id, id AS txId, " + D.q(C.CASE_SOURCE) + " AS source, " + D.q(C.CASE_TYPE)
+    + f" AS caseType, time_step AS timeStep, {_MASK} AS transactionIdMasked, {_DEMO} AS demoLabel, {_BAND} AS riskBand,"
+    " round(risk_score / 100.0, 2) AS modelScore, in_degree AS inputCount, out_degree AS outputCount,"
+    f" CASE WHEN {_pct_sql('out_degree')} >= 0.8 THEN 'high' ELSE 'medium' END AS transactionVolumeBucket,"
+    f" {_FLOW} AS flowPattern, CASE {_FLOW} " + " ".join(f"WHEN '{k}' THEN {D.q(v)}" for k, v in C.CASE_STRUCTURE.items())
+    + " END AS structureSummary, one_hop_neighbor_count AS oneHopNeighborCount,"
+    " round(one_hop_risk_neighbor_share, 2) AS oneHopRiskNeighborShare, two_hop_neighbor_count AS twoHopNeighborCount,"
+    " round(two_hop_risk_neighbor_share, 2) AS twoHopRiskNeighborShare,"
+    " distance_to_known_illicit_cluster AS distanceToKnownIllicitCluster,"
+    " CASE WHEN two_hop_risk_neighbor_share > 0 THEN 'elevated' ELSE 'normal' END AS neighborAggregationSignal,"
+    " 'Node with ' || CAST(total_degree AS VARCHAR) || ' total connections, ' || CAST(one_hop_neighbor_count AS VARCHAR)"
+    " || ' one-hop neighbors.' AS graphSummary,"
+    " CASE WHEN total_degree > 5 THEN 'Active spike' ELSE 'Normal' END AS activityStage,"
+    " 'Transaction reviewed with ' || CAST(" + " + ".join(f"CAST({r}_hit AS INTEGER)" for r in C.SUPPORTED_RULE_IDS)
+    + " AS VARCHAR) || ' rules triggered. Risk score: ' || CAST(risk_score AS VARCHAR) || '.' AS reviewSummary,"
+    " risk_score AS riskScore FROM queue")
+
+
+@register("case_flat", _FLAT_SQL)
+def q_case_flat(spark, sf):
+    return CA.case_flat(review_queue(spark, sf))
+
+
+@register("evidence_rows", _wsql([_EVROWS], "SELECT id, rule_id, field_pos, field, num_value, text_value FROM evrows"))
+def q_evidence_rows(spark, sf):
+    return RV.evidence_rows(review_queue(spark, sf))
+
+
+@register("evidence_text", _wsql([_EVTEXT], "SELECT id, rule_id, evidence FROM evtext"))
+def q_evidence_text(spark, sf):
+    return queue_ev(spark, sf)
+
+
+def _clean_sql(c: str) -> str:
+    out = c
+    for old, new in C.REVIEW_TEXT_REPLACEMENTS:
+        out = f"replace({out}, {D.q(old)}, {D.q(new)})"
+    return out
+
+
+@register("text_clean", _wsql([_EVTEXT], f"SELECT id, rule_id, {_clean_sql('evidence')} AS cleaned FROM evtext"))
+def q_text_clean(spark, sf):
+    return queue_ev(spark, sf).select("id", "rule_id", X.clean_review_text(F.col("evidence")).alias("cleaned"))
+
+
+@register("evidence_parse", _wsql([_EVTEXT, _EVPARSE], "SELECT id, rule_id, pos, key, value FROM evparse"))
+def q_evidence_parse(spark, sf):
+    return CA.parse_evidence(queue_ev(spark, sf))
+
+
+_GLOSS = "gloss(key, label) AS (VALUES " + ", ".join(f"({D.q(k)}, {D.q(v)})" for k, v in C.EVIDENCE_GLOSSARY.items()) + ")"
+
+
+@register("evidence_glossary", _wsql([_EVTEXT, _EVPARSE, _GLOSS],
+          "SELECT id, rule_id, pos, key, value, coalesce(label, replace(key, '_', ' ')) AS label, "
+          f"CASE WHEN label IS NULL THEN {D.q(C.EVIDENCE_DEFAULT_EXPLAIN)} END AS default_explain FROM evparse LEFT JOIN gloss USING (key)"))
+def q_evidence_glossary(spark, sf):
+    return CA.evidence_glossary(spark, CA.parse_evidence(queue_ev(spark, sf)))
+
+
+_PANEL_SQL = _wsql([], "SELECT id, rule_id, active, severity, CASE WHEN active THEN CASE severity "
+                   + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.SEVERITY_RANK.items())
+                   + " ELSE 2 END ELSE 0 END AS severity_rank FROM (" + " UNION ALL ".join(
+                       f"SELECT id, '{r}' AS rule_id, {r}_hit AS active, CASE WHEN {r}_hit THEN "
+                       f"CASE WHEN {r}_score >= 25 THEN 'high' WHEN {r}_score >= 15 THEN 'medium' ELSE 'low' END "
+                       "ELSE 'medium' END AS severity FROM queue" for r, _n in C.RULE_CATALOG) + ") t")
+
+
+@register("rule_panel", _PANEL_SQL)
+def q_rule_panel(spark, sf):
+    return CA.rule_panel(review_queue(spark, sf), _drafts(spark, sf))
+
+
+@register("draft_violations", _wsql([_QHL], "SELECT id, 'reason_code_not_triggered' AS violation, rule_id AS detail FROM qhl WHERE false"))
+def q_draft_violations(spark, sf):
+    return RV.draft_violations(_drafts(spark, sf), review_queue(spark, sf))
+
+
+@register("case_drafts", D.with_sql("SELECT printf('ELL-%03d', draw) AS case_id, id AS txId, true AS has_draft, true AS in_pool FROM queue"))
+def q_case_drafts(spark, sf):
+    flat = CA.case_flat(review_queue(spark, sf))
+    return CA.case_drafts(flat, _drafts(spark, sf)).select("case_id", "txId", "has_draft", "in_pool")
+
+
+@register("case_effective", D.with_sql(
+    "SELECT printf('ELL-%03d', draw) AS case_id, id AS txId, risk_level AS effective_level, risk_score AS effective_score, "
+    "'Fallback: Manual review required for transaction ' || CAST(id AS VARCHAR) || '. Graph-based rule signals triggered; "
+    "monetary data unavailable.' AS effective_summary, " + D.q(C.PENDING) + " AS effective_status, "
+    + D.q(" | ".join(C.FALLBACK_QUESTIONS[:4])) + " AS effective_questions FROM queue"))
+def q_case_effective(spark, sf):
+    flat = CA.case_flat(review_queue(spark, sf))
+    return CA.case_effective(flat, _drafts(spark, sf))
+
+
+@register("review_contexts", None)
+def q_review_contexts(spark, sf):
+    return _contexts(spark, sf)
+
+
+@register("draft_fallback", None)
+def q_draft_fallback(spark, sf):
+    return RV.fallback_drafts(_contexts(spark, sf))
+
+
+@register("draft_requests", None)
+def q_draft_requests(spark, sf):
+    return RV.draft_requests(_contexts(spark, sf))
+
+
+@register("src_responses", None)
+def q_src_responses(spark, sf):
+    conv = spark.read.parquet(f"{sf.rstrip('/')}/conversations.parquet")
+    resp = RV.responses_from_conversations(spark, review_queue(spark, sf), conv)
+    return RV.parse_responses(resp).select("id", "parsed_ok", F.col("parsed._corrupt_record").isNotNull().alias("malformed"))
+
+
+@register("draft_merge", None)
+def q_draft_merge(spark, sf):
+    return _drafts(spark, sf)
+
+
+@register("case_records", None)
+def q_case_records(spark, sf):
+    return CA.case_records(review_queue(spark, sf))
+
+
+# --------------------------------------------------------------------------- summary
+
+@register("summary_profile", D.with_sql(
+    "SELECT (SELECT count(*) FROM g_nodes) AS node_count, (SELECT count(*) FROM g_edges) AS directed_edge_count, "
+    "(SELECT count(DISTINCT time_step) FROM g_nodes) AS time_step_count, (SELECT min(time_step) FROM g_nodes) AS time_step_min, "
+    "(SELECT max(time_step) FROM g_nodes) AS time_step_max, 5 AS raw_feature_count, 3 AS anonymous_feature_count"))
+def q_summary_profile(spark, sf):
+    g = graph(spark, sf)
+    return SU.dataset_profile(g.nodes, g.edges)
+
+
+@register("summary_labels", D.with_sql("SELECT label_name, count(*) AS node_count FROM metrics GROUP BY label_name"))
+def q_summary_labels(spark, sf):
+    g = graph(spark, sf)
+    return SU.label_distribution(g.nodes, g.labels)
+
+
+@register("summary_degree", D.with_sql(
+    "SELECT e AS directed_edge_count, n AS node_count, round(2.0 * e / n, 4) AS average_directed_degree FROM "
+    "(SELECT (SELECT count(*) FROM g_edges) AS e, (SELECT count(*) FROM g_nodes) AS n) t"))
+def q_summary_degree(spark, sf):
+    g = graph(spark, sf)
+    return SU.average_degree(g.nodes, g.edges)
+
+
+@register("summary_cases", "WITH " + ",\n".join(D.ctes() + [f"mrg AS ({_MERGED_BODY})"]) + "\n" + (
+    f"SELECT dimension, value, count(*) AS case_count FROM (SELECT 'riskBand' AS dimension, {_BAND} AS value FROM mrg "
+    f"UNION ALL SELECT 'demoLabel' AS dimension, {_DEMO} AS value FROM mrg JOIN metrics USING (id)) x GROUP BY dimension, value"))
+def q_summary_cases(spark, sf):
+    m = S.sample_merged(scored(spark, sf), ["risk_level"], [SEED, SEED + 1], C.PER_STRATUM)
+    return SU.case_distributions(m)
+
+
 def queries() -> dict[str, QueryFn]:
     return {k: fn for k, (fn, _sql) in REG.items()}
 
