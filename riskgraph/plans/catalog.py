@@ -18,6 +18,7 @@ from riskgraph.operators import rules as R
 from riskgraph.operators import sampling as S
 from riskgraph.operators import thresholds as T
 from riskgraph.plans import duck_sql as D
+from riskgraph.plans import pipeline as P
 from riskgraph.plans.pipeline import ScoreOptions, scored_nodes, segmented_nodes
 from riskgraph.session import checkpoint_dir
 from riskgraph.sources.tables import GraphInputs, load_graph
@@ -80,14 +81,7 @@ def review_queue(spark: SparkSession, sf: str) -> DataFrame:
     """Sampled scored rows with their exposure (computed for the sample only)."""
     k = _key(spark, sf, "queue")
     if k not in _memo:
-        g = graph(spark, sf)
-        smp = sample(spark, sf)
-        adj = G.adjacency(g.edges)
-        risky = G.risky_nodes(g.nodes, g.labels)
-        exp = G.exposure(smp.select("id"), adj, risky)
-        # the queue is small (batch rows) and feeds every review output: write it once
-        checkpoint_dir(spark)
-        _memo[k] = smp.join(exp, "id").checkpoint(eager=True)
+        _memo[k] = P.review_queue(scored(spark, sf), graph(spark, sf), P.RunOptions(skip_top=SKIP, batch_size=BATCH, seed=SEED))
     return _memo[k]
 
 
@@ -345,7 +339,11 @@ def q_graph_components(spark, sf):
     return comp.join(g.nodes.select("id"), "id", "left_semi")
 
 
-@register("graph_component_summary", None)
+@register("graph_component_summary", _CC_SQL.replace(
+    "SELECT id, comp AS component FROM cc WHERE id IN (SELECT o_orderkey FROM orders)",
+    "SELECT CAST(count(*) AS BIGINT) AS component_count, max(size) AS largest_component_size, "
+    "CAST(sum(CASE WHEN size = 1 THEN 1 ELSE 0 END) AS BIGINT) AS singleton_count FROM ("
+    "SELECT comp, count(*) AS size FROM cc WHERE id IN (SELECT o_orderkey FROM orders) GROUP BY comp) s"))
 def q_graph_component_summary(spark, sf):
     g = graph(spark, sf)
     comp, _rounds, _conv = G.connected_components(g.nodes.select("id"), g.edges)
@@ -824,6 +822,116 @@ def q_summary_cases(spark, sf):
     return SU.case_distributions(m)
 
 
+# --------------------------------------------------------------------------- sources and sinks
+
+from riskgraph import sinks as K  # noqa: E402
+from riskgraph.session import scratch_path  # noqa: E402
+from riskgraph.sources import files as FS  # noqa: E402
+
+
+def _raw_inputs(spark, sf) -> str:
+    """The driver graph written as the three raw CSV inputs (labels, edges, headerless
+    wide features) into the shared scratch folder; returns the folder."""
+    k = _key(spark, sf, "raw_inputs")
+    if k not in _memo:
+        g = graph(spark, sf)
+        root = scratch_path(spark, "raw_inputs")
+        g.labels.select(F.col("id").alias("txId"), F.col("class_raw").alias("class")).write.option(
+            "header", "true").csv(f"{root}/{FS.INPUT_NAMES['classes']}")
+        g.edges.select(F.col("src").alias("txId1"), F.col("dst").alias("txId2")).write.option(
+            "header", "true").csv(f"{root}/{FS.INPUT_NAMES['edges']}")
+        g.nodes.select("id", F.col("time_step").cast("double"), "f_001", "f_002", "f_003").write.option(
+            "header", "false").csv(f"{root}/{FS.INPUT_NAMES['features']}")
+        _memo[k] = root
+    return _memo[k]
+
+
+def _found(spark, sf) -> dict:
+    root = _raw_inputs(spark, sf)
+    return {r["key"]: r["path"] for r in FS.discover(spark, root).collect()}  # at most 3 rows
+
+
+@register("src_discover", None)
+def q_src_discover(spark, sf):
+    names = {"orders": "orders.parquet", "lineitem": "lineitem.parquet", "documents": "documents.parquet"}
+    return FS.discover(spark, sf, names)
+
+
+@register("src_labels", D.with_sql("SELECT id, class_raw, label_name FROM g_labels"))
+def q_src_labels(spark, sf):
+    return FS.read_labels(spark, _found(spark, sf)["classes"])
+
+
+@register("src_edges", D.with_sql("SELECT src, dst FROM g_edges"))
+def q_src_edges(spark, sf):
+    return FS.read_edges(spark, _found(spark, sf)["edges"])
+
+
+@register("src_nodes", D.with_sql("SELECT id, CAST(time_step AS DOUBLE) AS time_step, f_001, f_002, f_003 FROM g_nodes"))
+def q_src_nodes(spark, sf):
+    return FS.read_nodes(spark, _found(spark, sf)["features"], n_features=3)
+
+
+def _written(spark, sf, name: str, df_fn) -> tuple[str, DataFrame]:
+    k = _key(spark, sf, "written", name)
+    if k not in _memo:
+        df = df_fn()
+        path = scratch_path(spark, name)
+        (K.write_csv if name == "queue" else K.write_json)(df, path)
+        _memo[k] = (path, df)
+    return _memo[k]
+
+
+@register("sink_cases", None)
+def q_sink_cases(spark, sf):
+    path, df = _written(spark, sf, "cases", lambda: CA.case_records(review_queue(spark, sf)))
+    return spark.read.schema(df.schema).json(path)
+
+
+@register("src_cases_json", None)
+def q_src_cases_json(spark, sf):
+    path, df = _written(spark, sf, "cases", lambda: CA.case_records(review_queue(spark, sf)))
+    return FS.read_json_records(spark, path, df.schema)
+
+
+@register("sink_contexts", None)
+def q_sink_contexts(spark, sf):
+    path, df = _written(spark, sf, "contexts", lambda: _contexts(spark, sf))
+    return spark.read.schema(df.schema).json(path)
+
+
+@register("sink_drafts", None)
+def q_sink_drafts(spark, sf):
+    path, df = _written(spark, sf, "drafts", lambda: _drafts(spark, sf))
+    return spark.read.schema(df.schema).json(path)
+
+
+@register("sink_queue", D.with_sql(f"SELECT {cols(SCORED_COLS)}, f_001, f_002, f_003, {cols(EXPOSURE_COLS)}, draw FROM queue"))
+def q_sink_queue(spark, sf):
+    path, df = _written(spark, sf, "queue", lambda: review_queue(spark, sf).select(
+        *SCORED_COLS, "f_001", "f_002", "f_003", *EXPOSURE_COLS, "draw"))
+    return spark.read.option("header", "true").schema(K.flatten_for_csv(df).schema).csv(path)
+
+
+@register("sink_counts", D.with_sql("SELECT count(*) AS cases, count(*) AS contexts, count(*) AS drafts FROM sample"))
+def q_sink_counts(spark, sf):
+    c = q_sink_cases(spark, sf).agg(F.count(F.lit(1)).alias("cases"))
+    x = q_sink_contexts(spark, sf).agg(F.count(F.lit(1))).scalar()
+    d = q_sink_drafts(spark, sf).agg(F.count(F.lit(1))).scalar()
+    return c.select("cases", x.alias("contexts"), d.alias("drafts"))
+
+
+@register("pipeline_run", None)
+def q_pipeline_run(spark, sf):
+    from riskgraph.sources.tables import load_corpus_pages
+
+    root = _raw_inputs(spark, sf)
+    out = scratch_path(spark, "run")
+    opts = P.RunOptions(skip_top=SKIP, batch_size=BATCH, seed=SEED, n_features=3,
+                        rule_keywords=C.DRIVER_RULE_KEYWORDS, default_keywords=C.DRIVER_DEFAULT_KEYWORDS)
+    return P.run(spark, root, load_corpus_pages(spark, sf), out, opts)
+
+
 def queries() -> dict[str, QueryFn]:
     return {k: fn for k, (fn, _sql) in REG.items()}
 

@@ -50,3 +50,79 @@ def scored_nodes(g: GraphInputs, opts: ScoreOptions = ScoreOptions()) -> DataFra
     df = apply_weights(df, opts.weights)
     df = score_and_level(df)
     return df
+
+
+@dataclass(frozen=True)
+class RunOptions:
+    skip_top: int = 5000
+    batch_size: int = 100
+    seed: int = 42
+    weights: str = "published"
+    n_features: int = 165
+    rule_keywords: dict | None = None
+    default_keywords: list | None = None
+
+
+def review_queue(scored: DataFrame, g: GraphInputs, opts: RunOptions = RunOptions()) -> DataFrame:
+    """Sample (skip, pool, seeded draw) -> exposure for the sampled ids only.
+
+    Exposure does not feed the rules, so it is computed after sampling; its
+    one- and two-hop joins then touch only the sample's neighbourhoods.  The
+    queue is small (batch rows) and reused by every review output, so it is
+    written once to the shared checkpoint folder.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from riskgraph.operators import graph as G
+    from riskgraph.operators import sampling as S
+
+    cases = S.sample_cases(scored, opts.skip_top, opts.batch_size, opts.seed)
+    cases = cases.withColumn("draw", F.row_number().over(Window.orderBy(S.draw_key(opts.seed), F.col("id"))))
+    adj = G.adjacency(g.edges)
+    exp = G.exposure(cases.select("id"), adj, G.risky_nodes(g.nodes, g.labels))
+    checkpoint_dir(scored.sparkSession)
+    return cases.join(exp, "id").checkpoint(eager=True)
+
+
+def run(spark, data_dir: str, pages: DataFrame, out_dir: str, opts: RunOptions = RunOptions()) -> DataFrame:
+    """C11: discover inputs -> load -> score -> sample -> exposure -> retrieval ->
+    contexts -> drafts -> cases -> write all outputs.  Returns (output, path, rows)."""
+    from pyspark.sql import functions as F
+
+    from riskgraph import sinks
+    from riskgraph.operators import cases as CA
+    from riskgraph.operators import corpus as CO
+    from riskgraph.operators import review as RV
+    from riskgraph.sources import files
+
+    found = {r["key"]: r["path"] for r in files.discover(spark, data_dir).collect()}  # at most 3 rows
+    missing = set(files.INPUT_NAMES) - set(found)
+    if missing:
+        raise FileNotFoundError(f"inputs not found under {data_dir}: {sorted(missing)}")
+    g = GraphInputs(
+        nodes=files.read_nodes(spark, found["features"], opts.n_features),
+        edges=files.read_edges(spark, found["edges"]),
+        labels=files.read_labels(spark, found["classes"]),
+    )
+    sc = scored_nodes(g, ScoreOptions(weights=opts.weights))
+    queue = review_queue(sc, g, opts)
+    chunks = CO.corpus_chunks(spark, pages)
+    retrieved = CO.retrieve_for_cases(queue, chunks, rule_keywords=opts.rule_keywords,
+                                      default_keywords=opts.default_keywords)
+    contexts = RV.review_contexts(queue, retrieved)
+    drafts = RV.fallback_drafts(contexts)
+    cases = CA.case_records(queue)
+    out = out_dir.rstrip("/")
+    written = {
+        "cases": sinks.write_json(cases, f"{out}/aml_demo_cases"),
+        "contexts": sinks.write_json(contexts, f"{out}/rag_contexts"),
+        "drafts": sinks.write_json(drafts, f"{out}/review_drafts"),
+        "queue": sinks.write_csv(queue, f"{out}/human_review_queue"),
+    }
+    rows = []
+    for name, path in written.items():
+        reader = spark.read.option("header", "true").csv(path) if name == "queue" else spark.read.json(path)
+        rows.append((name, path, reader.count()))
+    return spark.createDataFrame(rows, "output string, path string, rows long").withColumn(
+        "rows", F.col("rows").cast("long"))

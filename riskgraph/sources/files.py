@@ -16,27 +16,26 @@ INPUT_NAMES = {
 }
 
 
-def discover(spark: SparkSession, root: str, names: dict[str, str] | None = None, fmt: str = "csv") -> DataFrame:
-    """(key, path) for every input file found by exact name anywhere under root.
+def discover(spark: SparkSession, root: str, names: dict[str, str] | None = None) -> DataFrame:
+    """(key, path) for every input found by exact name anywhere under root.
 
-    Uses the data source's own recursive listing (distributed for large
-    trees); a missing key simply has no row.
+    An input is a file or a folder of part files with the expected name.  The
+    tree is listed by the file source itself (only paths are read, no file
+    content), so the listing is distributed like any other scan.
     """
+    import re
+
     names = names or INPUT_NAMES
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        .select(F.col("path"))
+    )
     found = None
     for key, name in names.items():
-        try:
-            df = (
-                spark.read.format(fmt).option("recursiveFileLookup", "true").option("pathGlobFilter", name)
-                .load(root).select(F.input_file_name().alias("path")).distinct()
-                .select(F.lit(key).alias("key"), "path")
-            )
-            df.schema  # noqa: B018 - forces resolution (raises if nothing matches)
-        except Exception:  # noqa: BLE001 - no file with that name
-            continue
-        found = df if found is None else found.unionByName(df)
-    if found is None:
-        return spark.createDataFrame([], "key string, path string")
+        pat = r"^(.*/" + re.escape(name) + r")(/.*)?$"
+        hit = files.where(F.col("path").rlike(pat)).select(
+            F.lit(key).alias("key"), F.regexp_extract("path", pat, 1).alias("path")).distinct()
+        found = hit if found is None else found.unionByName(hit)
     return found
 
 

@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reviewed pipeline reads every input whole and runs each stage once; it has
+no streaming operators (no watermarks, windows over event time, state or late
+data).  Nothing is registered here; the batch operators in
+``riskgraph.operators`` are the whole operator surface.
+"""
