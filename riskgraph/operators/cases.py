@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from riskgraph import config as C
 from riskgraph.functions import labels as L
 from riskgraph.functions.text import mask_id, rule_id_dashed, rule_id_plain
+from riskgraph.session import literal_rows
 
 PCT_COLS = ["total_degree", "out_degree", "time_step_activity", "anonymized_behavior_intensity",
             "two_hop_risk_neighbor_share"]
@@ -170,7 +171,7 @@ def score_breakdown_rows(scored: DataFrame) -> DataFrame:
 
 def rule_doc_table(spark: SparkSession) -> DataFrame:
     rows = [(r, *C.RULE_DOCS[r]) for r in C.RULE_IDS]
-    return spark.createDataFrame(rows, "rule_id string, rule_name string, pdr_rule_name string, description string, dataset_limit string")
+    return literal_rows(spark, rows, "rule_id string, rule_name string, pdr_rule_name string, description string, dataset_limit string")
 
 
 def rule_panel(queue: DataFrame, drafts: DataFrame | None = None) -> DataFrame:
@@ -239,7 +240,7 @@ def parse_evidence(df: DataFrame, text_col: str = "evidence") -> DataFrame:
 
 
 def glossary_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(C.EVIDENCE_GLOSSARY.items()), "key string, label string")
+    return literal_rows(spark, list(C.EVIDENCE_GLOSSARY.items()), "key string, label string")
 
 
 def evidence_glossary(spark: SparkSession, parsed: DataFrame) -> DataFrame:

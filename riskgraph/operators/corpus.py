@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from riskgraph import config as C
 from riskgraph.functions.text import chunk_id, chunk_texts, excerpt, normalise_ws, substring_count
 from riskgraph.operators.sampling import top_per_group
+from riskgraph.session import literal_rows
 
 RETRIEVAL_RULES = C.SUPPORTED_RULE_IDS  # bit i of a rule mask = RETRIEVAL_RULES[i]
 N_MASKS = 1 << len(RETRIEVAL_RULES)
@@ -31,7 +32,7 @@ def source_table(spark: SparkSession) -> DataFrame:
         T.StructField("source_rank", T.IntegerType(), False),
     ])
     rows = [(sid, title, url, pub, i) for i, (sid, title, url, pub) in enumerate(C.GUIDANCE_SOURCES)]
-    return spark.createDataFrame(rows, schema)
+    return literal_rows(spark, rows, schema.simpleString())
 
 
 def corpus_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:

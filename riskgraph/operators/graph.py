@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskgraph import config as C
 from riskgraph.functions.labels import distance_label
-from riskgraph.session import checkpoint_dir
+from riskgraph.session import materialize
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -132,20 +132,17 @@ def connected_components(node_ids: DataFrame, edges: DataFrame, max_rounds: int
 
     Alternates large-star and small-star until the edge set is a star forest
     (each node points at its component minimum).  Each round's edge set is
-    checkpointed to the shared folder, so lineage stays one round deep and a
-    lost executor only recomputes one round.  Returns (table, rounds, converged).
+    written to the shared folder, so lineage stays one round deep and a lost
+    executor only recomputes one round.  Returns (table, rounds, converged).
     """
-    checkpoint_dir(edges.sparkSession)
-    e = (
+    e = materialize(
         edges.select(F.greatest("src", "dst").alias("x"), F.least("src", "dst").alias("y"))
         .where(F.col("x") != F.col("y"))
-        .distinct()
-        .checkpoint(eager=True)
-    )
+        .distinct(), "cc_edges")
     rounds = 0
     converged = e.isEmpty()
     while not converged and rounds < max_rounds:
-        e = _small_star(_large_star(e)).checkpoint(eager=True)
+        e = materialize(_small_star(_large_star(e)), "cc_edges")
         rounds += 1
         converged = _is_star_forest(e)
     ids = node_ids.select("id").unionByName(edges.select(F.col("src").alias("id"))).unionByName(

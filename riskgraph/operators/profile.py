@@ -9,24 +9,27 @@ from riskgraph import config as C
 from riskgraph.operators.quantiles import quantile_wide
 
 
-def global_quantiles(metrics_df: DataFrame, method: str = "exact") -> DataFrame:
+def global_quantiles(metrics_df: DataFrame, method: str = "auto") -> DataFrame:
     """A3: one row, ``q_<metric>_p85`` and ``q_<metric>_p90`` for the five segment metrics."""
     return quantile_wide(metrics_df, C.SEGMENT_METRICS, C.SEGMENT_PROBS, method=method, prefix="q_")
 
 
 def assign_segments(metrics_df: DataFrame, quantiles: DataFrame | None = None,
-                    method: str = "exact") -> DataFrame:
+                    method: str = "auto") -> DataFrame:
     """P4 + P5: adds primary_segment and secondary_tag_count.
 
-    The cut-offs are one row; they enter the projection as a scalar subquery
-    (evaluated once, used as a constant), so there is no join.
+    The cut-offs are one row of ten numbers (a global aggregate): evaluated
+    once and folded into the projection as constants, so there is no join and
+    the comparison stays inside whole-stage codegen.
     """
     q = quantiles if quantiles is not None else global_quantiles(metrics_df, method)
-    cut = q.select(F.struct(*q.columns).alias("cut")).scalar()
+    cut = q.first().asDict()
 
     def gt(col: str, name: str):
         # a missing cut-off never fires (compares against +inf in the original)
-        return F.coalesce(F.col(col) > cut[name], F.lit(False))
+        if cut.get(name) is None:
+            return F.lit(False)
+        return F.coalesce(F.col(col) > F.lit(float(cut[name])), F.lit(False))
 
     high = gt("out_degree", "q_out_degree_p90") | gt("anonymized_behavior_intensity", "q_anonymized_behavior_intensity_p90")
     active = (

@@ -7,7 +7,17 @@ Two methods give identical results:
     group, merged in one task per group: fine for low-cardinality metrics,
     unbounded for continuous ones on very large inputs.
 
-``exact`` (default)
+``auto`` (default)
+    ``percentile`` when the input has at most ``PERCENTILE_ROW_LIMIT`` rows
+    (no group map can exceed that many entries); above it, ``percentile`` for
+    integer-typed metrics and ``exact`` for the others.  The
+    integer metrics here are counts (degrees, nodes per step): k distinct
+    non-negative counts summing to T need T >= k(k-1)/2, so a count metric
+    has at most about sqrt(2T) distinct values and the map stays small at any
+    scale.  Continuous metrics (ratios, intensities) can have as many distinct
+    values as rows and use the distributed selection.
+
+``exact``
     Distributed selection.  One pass builds a quantile sketch per
     (group, metric) to find a narrow value window around every requested
     rank; a second pass counts the rows below each window and collapses the
@@ -27,7 +37,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 100_000
+DEFAULT_ACCURACY = 10_000
+PERCENTILE_ROW_LIMIT = 2_000_000
 
 
 def _long_form(df: DataFrame, metrics: Sequence[str], group_cols: Sequence[str]) -> DataFrame:
@@ -57,9 +68,8 @@ def _percentile_method(long: DataFrame, keys: list[str], probs: Sequence[float])
 
 
 def _exact_method(long: DataFrame, keys: list[str], probs: Sequence[float], accuracy: int) -> DataFrame:
-    from riskgraph.session import checkpoint_dir
+    from riskgraph.session import materialize
 
-    checkpoint_dir(long.sparkSession)
     k = len(probs)
     slack = 4.0 / accuracy
     sketch_probs = []
@@ -81,7 +91,9 @@ def _exact_method(long: DataFrame, keys: list[str], probs: Sequence[float], accu
             F.floor(pos).cast("long").alias(f"lo{i}"),
             F.ceil(pos).cast("long").alias(f"hi{i}"),
         ]
-    bounds = bounds.select(*keys, *bcols).checkpoint(eager=True)
+    # one small row per (group, metric), written once so later steps do not
+    # re-run the sketch pass
+    bounds = materialize(bounds.select(*keys, *bcols), "quantile_bounds")
 
     # pass 2: per (key, i) the rows below the window collapse to one NULL bucket,
     # rows inside the window to (value, count); rows above are dropped.
@@ -99,8 +111,8 @@ def _exact_method(long: DataFrame, keys: list[str], probs: Sequence[float], accu
         .select(*keys, F.inline(tags))
         .groupBy(*keys, "i", "bucket")
         .agg(F.count(F.lit(1)).alias("c"))
-        .checkpoint(eager=True)
     )
+    counts = materialize(counts, "quantile_windows")
 
     tcols = [
         F.struct(F.lit(i).alias("i"), F.col(f"pos{i}").alias("pos"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"))
@@ -135,13 +147,30 @@ def _exact_method(long: DataFrame, keys: list[str], probs: Sequence[float], accu
 
 
 def quantile_long(df: DataFrame, metrics: Sequence[str], probs: Sequence[float],
-                  group_cols: Sequence[str] = (), method: str = "exact",
+                  group_cols: Sequence[str] = (), method: str = "auto",
                   accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Long table: group_cols..., metric, p, quantile (one row per group, metric, p).
 
     Groups or metrics without any non-null value produce no row.
     """
+    from pyspark.sql.types import IntegralType
+
     keys = list(group_cols) + ["metric"]
+    if method == "auto" and df.count() <= PERCENTILE_ROW_LIMIT:
+        method = "percentile"
+    if method == "auto":
+        types = {f.name: f.dataType for f in df.schema.fields}
+        counts = [m for m in metrics if isinstance(types[m], IntegralType)]
+        other = [m for m in metrics if m not in counts]
+        parts = []
+        if counts:
+            parts.append(quantile_long(df, counts, probs, group_cols, "percentile", accuracy))
+        if other:
+            parts.append(quantile_long(df, other, probs, group_cols, "exact", accuracy))
+        out = parts[0]
+        for extra in parts[1:]:
+            out = out.unionByName(extra)
+        return out
     long = _long_form(df, metrics, group_cols)
     if method == "percentile":
         res = _percentile_method(long, keys, probs)
@@ -154,7 +183,7 @@ def quantile_long(df: DataFrame, metrics: Sequence[str], probs: Sequence[float],
 
 
 def quantile_wide(df: DataFrame, metrics: Sequence[str], probs: Sequence[float],
-                  group_cols: Sequence[str] = (), method: str = "exact",
+                  group_cols: Sequence[str] = (), method: str = "auto",
                   prefix: str = "", accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """One row per group with columns ``<prefix><metric>_pNN``."""
     from riskgraph.config import prob_label

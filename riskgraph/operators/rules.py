@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from riskgraph import config as C
 from riskgraph.functions.labels import risk_level
+from riskgraph.session import literal_rows
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
@@ -24,7 +25,7 @@ def rule_table(spark: SparkSession) -> DataFrame:
         T.StructField("predicate", T.StringType(), False),
     ])
     rows = [(rid, *C.RULE_DOCS[rid], C.RULE_PREDICATES[rid]) for rid in C.RULE_IDS]
-    return spark.createDataFrame(rows, schema)
+    return literal_rows(spark, rows, schema.simpleString())
 
 
 def weight_table(spark: SparkSession, mode: str = "published") -> DataFrame:
@@ -33,7 +34,7 @@ def weight_table(spark: SparkSession, mode: str = "published") -> DataFrame:
         T.StructField("rule_id", T.StringType(), False),
         T.StructField("weight", T.IntegerType(), False),
     ])
-    return spark.createDataFrame(C.weight_rows(mode), schema)
+    return literal_rows(spark, C.weight_rows(mode), schema.simpleString())
 
 
 def rule_hit(predicate_sql: str) -> Column:

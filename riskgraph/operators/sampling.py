@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgraph import config as C
-from riskgraph.session import checkpoint_dir
+from riskgraph.session import checkpoint_keep_partitions
 
 # Below this many leading rows, skip/take runs as one bounded top-k.
 TOPK_DIRECT_LIMIT = 100_000
@@ -37,12 +37,9 @@ def global_rank(df: DataFrame, order: Sequence[Column], num_partitions: int | No
     partition) plus the in-partition record number.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = (
-        df.repartitionByRange(n, *order)
-        .sortWithinPartitions(*order)
-        .checkpoint(eager=True)
+        checkpoint_keep_partitions(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
     )

@@ -11,14 +11,14 @@ from riskgraph.operators.metrics import node_metrics
 from riskgraph.operators.profile import assign_segments
 from riskgraph.operators.rules import apply_weights, evaluate_rules, score_and_level
 from riskgraph.operators.thresholds import join_thresholds, threshold_wide
-from riskgraph.session import checkpoint_dir
+from riskgraph.session import materialize
 from riskgraph.sources.tables import GraphInputs
 
 
 @dataclass(frozen=True)
 class ScoreOptions:
     weights: str = "published"      # or "literal"
-    quantiles: str = "exact"        # or "percentile"
+    quantiles: str = "auto"         # or "exact" / "percentile"
     materialize: bool = True        # checkpoint node metrics once (shared checkpoint dir)
 
 
@@ -32,8 +32,7 @@ def materialized(df: DataFrame, opts: ScoreOptions) -> DataFrame:
     """
     if not opts.materialize:
         return df
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialize(df, "node_metrics")
 
 
 def segmented_nodes(g: GraphInputs, opts: ScoreOptions = ScoreOptions()) -> DataFrame:
@@ -81,8 +80,7 @@ def review_queue(scored: DataFrame, g: GraphInputs, opts: RunOptions = RunOption
     cases = cases.withColumn("draw", F.row_number().over(Window.orderBy(S.draw_key(opts.seed), F.col("id"))))
     adj = G.adjacency(g.edges)
     exp = G.exposure(cases.select("id"), adj, G.risky_nodes(g.nodes, g.labels))
-    checkpoint_dir(scored.sparkSession)
-    return cases.join(exp, "id").checkpoint(eager=True)
+    return materialize(cases.join(exp, "id"), "review_queue")
 
 
 def run(spark, data_dir: str, pages: DataFrame, out_dir: str, opts: RunOptions = RunOptions()) -> DataFrame:

@@ -73,3 +73,42 @@ def env_int(name: str, default: int) -> int:
         return int(os.environ.get(name, default))
     except ValueError:
         return default
+
+
+def materialize(df, name: str = "table"):
+    """Cut lineage by writing ``df`` as a parquet table in the shared folder and
+    reading it back (one job; survives executor loss; later scans prune columns).
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def checkpoint_keep_partitions(df):
+    """Reliable checkpoint that keeps the exact partition layout (for row
+    positions).  The frame is persisted first so the checkpoint write does not
+    recompute it, and released afterwards."""
+    from pyspark import StorageLevel
+
+    checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
+
+
+def literal_rows(spark: SparkSession, rows, schema_ddl: str):
+    """A small fixed table built JVM-side (no Python worker): an inline array of
+    struct literals over a one-row range.  For configuration dimensions only."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import _parse_datatype_string
+
+    st = _parse_datatype_string(schema_ddl)
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, st.fields)])
+        for row in rows
+    ]
+    if not structs:
+        return spark.createDataFrame([], st)
+    return spark.range(1).select(F.inline(F.array(*structs)))
