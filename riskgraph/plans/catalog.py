@@ -757,6 +757,16 @@ def q_case_effective(spark, sf):
     return CA.case_effective(flat, _drafts(spark, sf))
 
 
+@register("sample_one", D.with_sql(
+    "SELECT printf('ELL-%03d', draw) AS case_id, id AS txId FROM queue "
+    "ORDER BY md5('42:' || CAST(id AS VARCHAR)), id LIMIT 1"))
+def q_sample_one(spark, sf):
+    """One case drawn (seeded) from the cases that have a draft (all cases if none has)."""
+    flat = CA.case_flat(review_queue(spark, sf))
+    pool = CA.case_drafts(flat, _drafts(spark, sf)).where("in_pool")
+    return S.seeded_sample(pool, 1, SEED, id_col="txId").select("case_id", "txId")
+
+
 @register("review_contexts", None)
 def q_review_contexts(spark, sf):
     return _contexts(spark, sf)
