@@ -64,3 +64,18 @@ def test_top_per_group_is_exact(spark):
     w = Window.partitionBy("g").orderBy(*order)
     ref = {(r.g, r.id) for r in df.withColumn("rn", F.row_number().over(w)).where("rn <= 25").collect()}
     assert got == ref
+
+
+def test_lead_within_range_path_equals_window(spark):
+    from pyspark.sql import Window
+
+    from riskgraph.operators.sequence import lead_within
+
+    rnd = random.Random(3)
+    rows = [(0 if i % 3 == 0 else rnd.randint(1, 50), rnd.randint(0, 40), i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "g long, d long, k long")
+    w = Window.partitionBy("g").orderBy("d", "k")
+    ref = sorted(tuple(r) for r in df.withColumn("nx", F.lead("k").over(w)).collect())
+    got = sorted(tuple(r) for r in lead_within(df, "g", ["d", "k"], "k", "nx", max_group_rows=10, num_partitions=7).collect())
+    small = sorted(tuple(r) for r in lead_within(df, "g", ["d", "k"], "k", "nx").collect())
+    assert got == ref and small == ref
