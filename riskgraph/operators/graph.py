@@ -73,9 +73,24 @@ def exposure_counts(sources: DataFrame, adj: DataFrame, risky: DataFrame) -> Dat
     return one.join(two, "a", "left")
 
 
-def exposure(sources: DataFrame, adj: DataFrame, risky: DataFrame) -> DataFrame:
-    """J7 columns for every source id (no neighbours -> zeros, "Not observed")."""
-    counts = exposure_counts(sources, adj, risky).withColumnRenamed("a", "id")
+def exposure(sources: DataFrame, adj: DataFrame, risky: DataFrame, heavy_degree: int | None = None) -> DataFrame:
+    """J7 columns for every source id (no neighbours -> zeros, "Not observed").
+
+    ``heavy_degree`` switches to the hub-block counting of
+    ``exposure_counts_blocks`` (for all-node runs on graphs with hubs); without
+    it, two-hop pairs are enumerated, which is linear for a small source set.
+    """
+    use_blocks = False
+    if heavy_degree is not None:
+        # blocks only pay off when some center is heavy; otherwise enumeration
+        # is already bounded by heavy_degree^2 pairs per center
+        biggest = adj.groupBy("a").agg(F.count(F.lit(1)).alias("du")).agg(F.max("du")).first()[0] or 0
+        use_blocks = biggest > heavy_degree
+    if use_blocks:
+        counts = exposure_counts_blocks(sources, adj, risky, heavy_degree)
+    else:
+        counts = exposure_counts(sources, adj, risky)
+    counts = counts.withColumnRenamed("a", "id")
     df = sources.select("id").join(counts, "id", "left")
     n1 = F.coalesce(F.col("n1"), F.lit(0).cast("long"))
     r1 = F.coalesce(F.col("r1"), F.lit(0).cast("long"))
@@ -93,6 +108,82 @@ def exposure(sources: DataFrame, adj: DataFrame, risky: DataFrame) -> DataFrame:
     )
 
 
+def exposure_counts_blocks(sources: DataFrame, adj: DataFrame, risky: DataFrame, heavy_degree: int) -> DataFrame:
+    """Per source: n1, r1, n2, r2 like ``exposure_counts``, without enumerating
+    neighbour pairs around heavy nodes (undirected degree > heavy_degree).
+
+    With T'(a) = (union of N(b) for b in N(a)) minus a, the two-hop set is
+    T'(a) minus N(a).  T'(a) is split into the part reached through heavy
+    neighbours, T_H(a) = union of N(h) for heavy h in N(a), and the part
+    reached through light neighbours, W_L(a) (enumerated; at most
+    heavy_degree^2 pairs per light center).  |T_H(a)| is counted without pairs:
+    every node c carries its hub signature S(c) = heavy neighbours of c;
+    signatures are grouped (a hot signature is one row with a count), and a
+    source's hub set Q(a) meets a signature iff they share a hub, so
+    |T_H(a)| = sum of counts of signatures meeting Q(a).  Pairs in W_L(a)
+    already in T_H(a) (S(c) overlaps Q(a)) are not counted twice, and
+    neighbours x of a are removed when they lie in T_H(a) or W_L(a).
+    """
+    deg = adj.groupBy("a").agg(F.count(F.lit(1)).alias("du"))
+    heavy = deg.where(F.col("du") > heavy_degree).select(F.col("a").alias("b"))
+    src = sources.select(F.col("id").alias("a"))
+    rk = risky.select(F.col("id").alias("_rid"), F.lit(1).alias("rk"))
+
+    def flag(df: DataFrame, col: str) -> DataFrame:
+        return df.join(rk.withColumnRenamed("_rid", col), col, "left").withColumn("rk", F.coalesce("rk", F.lit(0)))
+
+    hop1 = one_hop(sources, adj)                                   # (a, b)
+    adj_h = adj.join(heavy, "b", "left_semi")                      # (x, hub) for every node x
+    sig = adj_h.groupBy("a").agg(F.sort_array(F.collect_list("b")).alias("S"))   # S(x): hubs of x
+    q = sig.join(src, "a", "left_semi").withColumnRenamed("S", "Q")               # Q(a) for sources
+    s_c = sig.withColumnRenamed("a", "c")
+
+    # |T_H| per distinct hub set Q: signatures sharing a hub with Q
+    sigs = flag(s_c, "c").groupBy("S").agg(F.count(F.lit(1)).alias("cnt"), F.sum("rk").alias("rcnt"))
+    qh = q.select("Q").distinct().select("Q", F.explode("Q").alias("h"))
+    sh = sigs.select("S", "cnt", "rcnt", F.explode("S").alias("h"))
+    met = qh.join(sh, "h").groupBy("Q", "S").agg(F.max("cnt").alias("cnt"), F.max("rcnt").alias("rcnt"))
+    blocks = met.groupBy("Q").agg(F.sum("cnt").alias("U"), F.sum("rcnt").alias("UR"))
+
+    # W_L: pairs through light centers, minus those already in T_H
+    hop1_l = hop1.join(heavy, "b", "left_anti")
+    wl = (
+        hop1_l.join(adj.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
+        .where(F.col("a") != F.col("c")).select("a", "c").distinct()
+    )
+    wl_new = (
+        flag(wl.join(q, "a", "left").join(s_c, "c", "left"), "c")
+        .where(~F.coalesce(F.arrays_overlap("Q", "S"), F.lit(False)))
+        .groupBy("a").agg(F.count(F.lit(1)).alias("nL"), F.sum("rk").alias("rL"))
+    )
+
+    # neighbours x != a that lie in T'(a)
+    nb = hop1.where(F.col("a") != F.col("b")).select("a", F.col("b").alias("x"))
+    in_t = (
+        flag(nb.join(q, "a", "left")
+             .join(s_c.withColumnRenamed("c", "x"), "x", "left")
+             .join(wl.select("a", F.col("c").alias("x"), F.lit(True).alias("inL")), ["a", "x"], "left"), "x")
+        .where(F.coalesce(F.arrays_overlap("Q", "S"), F.lit(False)) | F.coalesce(F.col("inL"), F.lit(False)))
+        .groupBy("a").agg(F.count(F.lit(1)).alias("nX"), F.sum("rk").alias("rX"))
+    )
+
+    one = flag(hop1, "b").groupBy("a").agg(F.count(F.lit(1)).alias("n1"), F.sum("rk").cast("long").alias("r1"))
+    self_rk = flag(src, "a").select("a", F.col("rk").alias("rk_self"))
+    per = (
+        one.join(q, "a", "left").join(blocks, "Q", "left")
+        .join(wl_new, "a", "left").join(in_t, "a", "left").join(self_rk, "a", "left")
+    )
+    has_q = F.col("Q").isNotNull()
+    n_t = F.coalesce(F.col("U"), F.lit(0)) - F.when(has_q, 1).otherwise(0) + F.coalesce(F.col("nL"), F.lit(0))
+    r_t = (F.coalesce(F.col("UR"), F.lit(0)) - F.when(has_q, F.coalesce(F.col("rk_self"), F.lit(0))).otherwise(0)
+           + F.coalesce(F.col("rL"), F.lit(0)))
+    return per.select(
+        "a", "n1", "r1",
+        (n_t - F.coalesce(F.col("nX"), F.lit(0))).cast("long").alias("n2"),
+        (r_t - F.coalesce(F.col("rX"), F.lit(0))).cast("long").alias("r2"),
+    )
+
+
 # ---------------------------------------------------------------------------
 # Weakly connected components: large-star / small-star
 # ---------------------------------------------------------------------------

@@ -78,3 +78,33 @@ def test_components_long_chain(spark):
     comp, rounds, converged = G.connected_components(nodes, edges)
     assert converged
     assert comp.where("component <> 1").count() == 0
+
+
+def _exp_rows(df):
+    return sorted((r.id, r.one_hop_neighbor_count, r.one_hop_risky_count, r.two_hop_neighbor_count,
+                   r.two_hop_risky_count, r.distance_to_known_illicit_cluster) for r in df.collect())
+
+
+def test_hub_blocks_equal_enumeration_fixture(fixture_graph):
+    g = fixture_graph
+    adj = G.adjacency(g.edges)
+    risky = G.risky_nodes(g.nodes, g.labels)
+    ref = _exp_rows(G.exposure(g.nodes.select("id"), adj, risky))
+    for theta in (0, 1, 2, 3, 100):
+        assert _exp_rows(G.exposure(g.nodes.select("id"), adj, risky, heavy_degree=theta)) == ref, theta
+
+
+def test_hub_blocks_equal_enumeration_tables(spark):
+    from riskgraph.sources.tables import load_graph
+
+    g = load_graph(spark, "/root/testdata/sf0.001")
+    adj = G.adjacency(g.edges)
+    risky = G.risky_nodes(g.nodes, g.labels)
+    # add a hub joined to every tenth node so that blocks overlap light wedges
+    hub_edges = g.nodes.where("id % 10 = 0").select(F.lit(999999999).cast("long").alias("src"), F.col("id").alias("dst"))
+    adj2 = G.adjacency(g.edges.unionByName(hub_edges))
+    ref = _exp_rows(G.exposure(g.nodes.select("id"), adj2, risky))
+    for theta in (8, 12):
+        assert _exp_rows(G.exposure(g.nodes.select("id"), adj2, risky, heavy_degree=theta)) == ref, theta
+    assert _exp_rows(G.exposure(g.nodes.select("id"), adj, risky, heavy_degree=10)) == _exp_rows(
+        G.exposure(g.nodes.select("id"), adj, risky))
