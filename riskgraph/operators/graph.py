@@ -211,11 +211,10 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 
 def _is_star_forest(e: DataFrame) -> bool:
-    """Every child has one parent and no parent is itself a child."""
-    multi = e.groupBy("x").count().where(F.col("count") > 1)
-    if not multi.isEmpty():
-        return False
-    return e.select(F.col("y").alias("x")).join(e.select("x"), "x", "left_semi").isEmpty()
+    """Every child has one parent and no parent is itself a child (one job)."""
+    multi = e.groupBy("x").count().where(F.col("count") > 1).select("x")
+    chained = e.select(F.col("y").alias("x")).join(e.select("x"), "x", "left_semi")
+    return multi.unionByName(chained).isEmpty()
 
 
 def connected_components(node_ids: DataFrame, edges: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, int, bool]:

@@ -34,7 +34,8 @@ _memo: dict = {}
 
 
 def _key(spark: SparkSession, sf: str, *extra) -> tuple:
-    return (id(spark), sf.rstrip("/"), *extra)
+    # the application id changes when a session is stopped and a new one started
+    return (spark.sparkContext.applicationId, id(spark), sf.rstrip("/"), *extra)
 
 
 def graph(spark: SparkSession, sf: str) -> GraphInputs:
