@@ -48,6 +48,16 @@ def evaluate_rules(df: DataFrame, predicates: Mapping[str, str] | None = None) -
     return df.select("*", *[rule_hit(sql).alias(f"{rid}_hit") for rid, sql in preds.items()])
 
 
+def evaluate_rule_table(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """Evaluate every rule of a rule table (rule_id, predicate SQL text).
+
+    The rule table is configuration-sized (one row per rule); its rows become
+    one projection with a boolean column per rule.
+    """
+    preds = {r["rule_id"]: r["predicate"] for r in rules.select("rule_id", "predicate").collect()}
+    return evaluate_rules(df, dict(sorted(preds.items())))
+
+
 def weight_expr(segment: Column, rule_id: str, mode: str = "published") -> Column:
     """Weight of a rule for the row's segment; a segment not in the table gives 0."""
     expr = None

@@ -240,7 +240,7 @@ for _i, _rid in enumerate(C.RULE_IDS, start=1):
 @register("rules_all", D.with_sql(f"SELECT id, {cols(HIT_COLS)} FROM hits"))
 def q_rules_all(spark, sf):
     seg = segmented(spark, sf)
-    df = R.evaluate_rules(T.join_thresholds(seg, T.threshold_wide(seg)), C.RULE_PREDICATES)
+    df = R.evaluate_rule_table(T.join_thresholds(seg, T.threshold_wide(seg)), R.rule_table(spark))
     return df.select("id", *HIT_COLS)
 
 
@@ -569,6 +569,19 @@ def q_rule_docs_join(spark, sf):
         "id", "rule_id", "rule_name", "pdr_rule_name", "description", "dataset_limit")
 
 
+_WTS = "wts(primary_segment, rule_id, weight) AS (VALUES " + ", ".join(
+    f"({D.q(seg)}, '{r}', {w})" for seg, r, w in C.weight_rows("published")) + ")"
+
+
+@register("rule_weights_join", _wsql([_HL, _WTS],
+          "SELECT hl.id, hl.rule_id, coalesce(w.weight, 0) AS weight FROM hl JOIN scored s ON s.id = hl.id "
+          "LEFT JOIN wts w ON w.primary_segment = s.primary_segment AND w.rule_id = hl.rule_id"))
+def q_rule_weights_join(spark, sf):
+    """J8 as a dimension join: hits x (segment, rule) weights, a miss gives 0."""
+    sc = scored(spark, sf)
+    return R.weights_by_join(spark, CA.hits_long(sc).select("id", "rule_id"), sc)
+
+
 @register("score_breakdown", _wsql([_HL], f"SELECT id, rule_id, replace(rule_id, 'R', 'R-') AS ruleId, {_NAMES} AS name, score AS scoreContribution, {_SEV} AS severity, {_NAMES} || ' contributed ' || CAST(score AS VARCHAR) || ' points.' AS explanation FROM hl"))
 def q_score_breakdown(spark, sf):
     return CA.score_breakdown_rows(scored(spark, sf))
