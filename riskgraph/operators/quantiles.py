@@ -107,7 +107,8 @@ def _exact_method(long: DataFrame, keys: list[str], probs: Sequence[float], accu
         lambda x: x.isNotNull(),
     )
     counts = (
-        long.join(F.broadcast(bounds.select(*keys, *[c for i in range(k) for c in (f"L{i}", f"U{i}")])), keys)
+        # one row per (group, metric): the planner broadcasts it after checking its size
+        long.join(bounds.select(*keys, *[c for i in range(k) for c in (f"L{i}", f"U{i}")]), keys)
         .select(*keys, F.inline(tags))
         .groupBy(*keys, "i", "bucket")
         .agg(F.count(F.lit(1)).alias("c"))
