@@ -99,7 +99,8 @@ def _multiset_sum(counts: Column, vocab: list[str], keywords: list[str]) -> Colu
     return total
 
 
-def mask_scores(chunks: DataFrame, rule_keywords=None, default_keywords=None) -> DataFrame:
+def mask_scores(chunks: DataFrame, rule_keywords=None, default_keywords=None,
+                wanted_masks: Column | None = None) -> DataFrame:
     """(rule_mask, chunk columns..., retrieval_score) for score > 0, all rule sets.
 
     Keyword counts (one array per chunk over the vocabulary) are summed per
@@ -124,8 +125,12 @@ def mask_scores(chunks: DataFrame, rule_keywords=None, default_keywords=None) ->
             if m & (1 << i):
                 s = s + F.col(f"_s{i}")
         scores.append(F.struct(F.lit(m).alias("rule_mask"), s.alias("retrieval_score")))
+    arr = F.array(*scores)
+    if wanted_masks is not None:
+        # only the rule sets that occur (at most 32) are expanded per chunk
+        arr = F.filter(arr, lambda x: F.array_contains(wanted_masks, x["rule_mask"]))
     return (
-        per_rule.select(*base_cols, F.inline(F.array(*scores)))
+        per_rule.select(*base_cols, F.inline(arr))
         .where(F.col("retrieval_score") > 0)
     )
 
@@ -156,5 +161,8 @@ def retrieve_for_cases(cases: DataFrame, chunks: DataFrame, k: int = C.TOP_K_CHU
                        rule_keywords=None, default_keywords=None) -> DataFrame:
     """(id, chunk_rank, chunk columns, retrieval_score, excerpt) for each case."""
     with_mask = cases.select("id", rule_mask().alias("rule_mask"))
-    top = topk_per_mask(mask_scores(chunks, rule_keywords, default_keywords), k, with_mask)
+    # the rule sets present among the cases: at most 32 small integers
+    present = sorted(r[0] for r in with_mask.select("rule_mask").distinct().collect())
+    wanted = F.array(*[F.lit(m) for m in present]) if present else F.array().cast("array<int>")
+    top = topk_per_mask(mask_scores(chunks, rule_keywords, default_keywords, wanted), k)
     return with_mask.join(top, "rule_mask")

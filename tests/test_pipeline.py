@@ -75,3 +75,34 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() == 1500
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_case_retrieval_matches_brute_force(spark):
+    """Per-case retrieval (rule-set decomposition) equals a direct per-case scoring of every chunk."""
+    from riskgraph.operators import corpus as CO
+    from riskgraph.sources.tables import load_corpus_pages
+
+    q = catalog.review_queue(spark, SF)
+    chunks = CO.corpus_chunks(spark, load_corpus_pages(spark, SF))
+    got = {}
+    for r in CO.retrieve_for_cases(q, chunks, rule_keywords=C.DRIVER_RULE_KEYWORDS,
+                                   default_keywords=C.DRIVER_DEFAULT_KEYWORDS).collect():
+        got.setdefault(r.id, []).append((r.chunk_rank, r.chunk_id, r.retrieval_score))
+    all_chunks = [(r.source_rank, r.source_id, r.page, r.chunk_no, r.chunk_id, r.text)
+                  for r in chunks.orderBy("source_rank", "source_id", "page", "chunk_no").collect()]
+    cases = q.select("id", *[f"{rid}_hit" for rid in C.SUPPORTED_RULE_IDS]).collect()
+    assert len(cases) == catalog.BATCH
+    for case in cases:
+        kws = []
+        for rid in C.SUPPORTED_RULE_IDS:
+            if case[f"{rid}_hit"]:
+                kws += C.DRIVER_RULE_KEYWORDS.get(rid, [])
+        kws = [k.lower() for k in kws + C.DRIVER_DEFAULT_KEYWORDS]
+        scored = []
+        for (_rank, _sid, page, _no, cid, text) in all_chunks:
+            s = sum(text.lower().count(k) for k in kws)
+            if s > 0:
+                scored.append((s, page, cid))
+        scored.sort(key=lambda x: (x[0], -x[1]), reverse=True)  # stable: original order breaks ties
+        expect = [(i + 1, cid, s) for i, (s, _p, cid) in enumerate(scored[:C.TOP_K_CHUNKS])]
+        assert sorted(got.get(case.id, [])) == expect, case.id
