@@ -23,13 +23,17 @@ MAX_GROUP_ROWS = 5_000_000
 
 
 def lead_within(df: DataFrame, group: str, order: Sequence[str], value: str, out: str = "next_value",
-                max_group_rows: int = MAX_GROUP_ROWS, num_partitions: int | None = None) -> DataFrame:
+                max_group_rows: int = MAX_GROUP_ROWS, num_partitions: int | None = None,
+                sizes_from: DataFrame | None = None) -> DataFrame:
     """Adds ``out`` = ``value`` of the next row of the same ``group`` in ``order`` (NULL for the last).
 
     ``order`` must make rows of a group totally ordered up to ties whose
     ``value`` is equal (then any tie order gives the same result).
+    ``sizes_from`` may give a cheaper frame whose group sizes bound those of
+    ``df`` (for example the input of a join that can only drop rows).
     """
-    biggest = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    base = sizes_from if sizes_from is not None else df
+    biggest = base.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if biggest <= max_group_rows:
         w = Window.partitionBy(group).orderBy(*order)
         return df.withColumn(out, F.lead(value).over(w))

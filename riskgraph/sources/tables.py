@@ -40,7 +40,9 @@ def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     rows = li.join(orders, li.l_orderkey == orders.o_orderkey).select("l_partkey", "o_orderdate", "l_orderkey")
-    nxt = lead_within(rows, "l_partkey", ["o_orderdate", "l_orderkey"], "l_orderkey", "dst")
+    # order keys are unique, so the join can only drop line items: per-part line item
+    # counts bound the group sizes
+    nxt = lead_within(rows, "l_partkey", ["o_orderdate", "l_orderkey"], "l_orderkey", "dst", sizes_from=li)
     return nxt.select(F.col("l_orderkey").alias("src"), "dst").where(F.col("dst").isNotNull())
 
 
