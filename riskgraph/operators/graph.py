@@ -18,15 +18,14 @@ from riskgraph.session import materialize
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """(a, b) for both directions of every edge, distinct; self-loops kept once."""
-    return (
-        edges.select(F.explode(F.array(
-            F.struct(F.col("src").alias("a"), F.col("dst").alias("b")),
-            F.struct(F.col("dst").alias("a"), F.col("src").alias("b")),
-        )).alias("e"))
-        .select("e.a", "e.b")
-        .distinct()
-    )
+    """(a, b) for both directions of every edge, distinct; self-loops kept once.
+
+    Written as a union of two projections so that a semi-join on ``a`` (a set
+    of sources) is pushed below the distinct into both edge scans.
+    """
+    fwd = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    bwd = edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
+    return fwd.unionByName(bwd).distinct()
 
 
 def risky_nodes(nodes: DataFrame, labels: DataFrame, risky_label: str = "illicit") -> DataFrame:
@@ -45,11 +44,20 @@ def one_hop(sources: DataFrame, adj: DataFrame) -> DataFrame:
     return adj.join(sources.select(F.col("id").alias("a")), "a", "left_semi")
 
 
-def two_hop_pairs(sources: DataFrame, adj: DataFrame, hop1: DataFrame | None = None) -> DataFrame:
-    """(a, c) with c reachable in two steps, c != a and c not a one-hop neighbour."""
+def two_hop_pairs(sources: DataFrame, adj: DataFrame, hop1: DataFrame | None = None,
+                  restrict: bool = True) -> DataFrame:
+    """(a, c) with c reachable in two steps, c != a and c not a one-hop neighbour.
+
+    With ``restrict`` the second step reads only adjacency rows of the
+    sources' neighbours (a semi-join that reaches the edge scan), so a small
+    source set never shuffles the whole edge table.
+    """
     hop1 = hop1 if hop1 is not None else one_hop(sources, adj)
+    step = adj
+    if restrict:
+        step = adj.join(hop1.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
     wedges = (
-        hop1.join(adj.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
+        hop1.join(step.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
         .where(F.col("a") != F.col("c"))
         .select("a", "c")
         .distinct()
@@ -57,7 +65,7 @@ def two_hop_pairs(sources: DataFrame, adj: DataFrame, hop1: DataFrame | None = N
     return wedges.join(hop1.select("a", F.col("b").alias("c")), ["a", "c"], "left_anti")
 
 
-def exposure_counts(sources: DataFrame, adj: DataFrame, risky: DataFrame) -> DataFrame:
+def exposure_counts(sources: DataFrame, adj: DataFrame, risky: DataFrame, restrict: bool = True) -> DataFrame:
     """Per source: n1, r1 (risky one-hop), n2, r2 (risky two-hop); only sources with neighbours."""
     hop1 = one_hop(sources, adj)
     one = (
@@ -66,7 +74,7 @@ def exposure_counts(sources: DataFrame, adj: DataFrame, risky: DataFrame) -> Dat
         .agg(F.count(F.lit(1)).alias("n1"), F.sum("risky").cast("long").alias("r1"))
     )
     two = (
-        _flag_risky(two_hop_pairs(sources, adj, hop1), "c", risky)
+        _flag_risky(two_hop_pairs(sources, adj, hop1, restrict), "c", risky)
         .groupBy("a")
         .agg(F.count(F.lit(1)).alias("n2"), F.sum("risky").cast("long").alias("r2"))
     )
@@ -82,6 +90,8 @@ def exposure(sources: DataFrame, adj: DataFrame, risky: DataFrame, heavy_degree:
     """
     use_blocks = False
     if heavy_degree is not None:
+        # the adjacency feeds the degree check and every join below: write it once
+        adj = materialize(adj, "adjacency")
         # blocks only pay off when some center is heavy; otherwise enumeration
         # is already bounded by heavy_degree^2 pairs per center
         biggest = adj.groupBy("a").agg(F.count(F.lit(1)).alias("du")).agg(F.max("du")).first()[0] or 0
@@ -89,7 +99,8 @@ def exposure(sources: DataFrame, adj: DataFrame, risky: DataFrame, heavy_degree:
     if use_blocks:
         counts = exposure_counts_blocks(sources, adj, risky, heavy_degree)
     else:
-        counts = exposure_counts(sources, adj, risky)
+        # all-node runs (heavy_degree given) gain nothing from restricting the second step
+        counts = exposure_counts(sources, adj, risky, restrict=heavy_degree is None)
     counts = counts.withColumnRenamed("a", "id")
     df = sources.select("id").join(counts, "id", "left")
     n1 = F.coalesce(F.col("n1"), F.lit(0).cast("long"))
