@@ -83,10 +83,18 @@ def order_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         "label_name", decode_class(F.col("class_raw")))
 
 
-def load_graph(spark: SparkSession, sf_dir: str) -> GraphInputs:
+def load_graph(spark: SparkSession, sf_dir: str, materialize_edges: bool = True) -> GraphInputs:
+    """Graph inputs from the driver tables.  The derived edge list is written
+    once to the shared folder (it stands for an edge file and is read by many
+    plans: degrees, adjacency branches, components)."""
+    from riskgraph.session import materialize
+
+    edges = order_edges(spark, sf_dir)
+    if materialize_edges:
+        edges = materialize(edges, "order_edges")
     return GraphInputs(
         nodes=order_nodes(spark, sf_dir),
-        edges=order_edges(spark, sf_dir),
+        edges=edges,
         labels=order_labels(spark, sf_dir),
     )
 
