@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from riskgraph import config as C
 from riskgraph.functions.text import py_float_text
 
-REVIEW_OBJECT_TYPE = "elliptic_bitcoin_transaction_node"
+REVIEW_OBJECT_TYPE = C.REVIEW_OBJECT_TYPE
 
 
 def _value_text(field: str, kind: str) -> Column:

@@ -7,13 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskgraph import config as C
 from riskgraph.functions.labels import decode_class
 
-INPUT_NAMES = {
-    "classes": "elliptic_txs_classes.csv",
-    "edges": "elliptic_txs_edgelist.csv",
-    "features": "elliptic_txs_features.csv",
-}
+INPUT_NAMES = C.INPUT_FILE_NAMES
 
 
 def discover(spark: SparkSession, root: str, names: dict[str, str] | None = None) -> DataFrame:
