@@ -785,6 +785,57 @@ def q_sample_one(spark, sf):
     return S.seeded_sample(pool, 1, SEED, id_col="txId").select("case_id", "txId")
 
 
+_MASK_SQL = " + ".join(f"CAST({r}_hit AS INTEGER) * {1 << i}" for i, r in enumerate(C.SUPPORTED_RULE_IDS))
+_CTX_FLAT_SQL = ("WITH " + ",\n".join(D.ctes() + D.corpus_ctes()) + "\n"
+    "SELECT q.id, q.id AS txId, q.label_name AS known_label, q.primary_segment, q.risk_score, q.risk_level, "
+    "q.one_hop_neighbor_count, q.one_hop_risk_neighbor_share, q.two_hop_neighbor_count, q.two_hop_risk_neighbor_share, "
+    "q.distance_to_known_illicit_cluster, "
+    "concat_ws(',', " + ", ".join(f"CASE WHEN q.{r}_hit THEN '{r}' END" for r in C.SUPPORTED_RULE_IDS) + ") AS triggered, "
+    "coalesce((SELECT string_agg(t.chunk_id, ',' ORDER BY t.chunk_rank) FROM topk t WHERE t.rule_mask = (" + _MASK_SQL.replace("R0", "q.R0") + ")), '') AS chunk_ids, "
+    f"{len(C.UNAVAILABLE_FIELDS)} AS n_missing FROM queue q")
+
+
+@register("review_contexts_flat", _CTX_FLAT_SQL)
+def q_review_contexts_flat(spark, sf):
+    c = _contexts(spark, sf)
+    return c.select(
+        "id", F.col("review_object.txId").alias("txId"), F.col("known_label_for_research_only").alias("known_label"),
+        F.col("address_profile_adapter.primary_segment").alias("primary_segment"),
+        F.col("risk.risk_score").alias("risk_score"), F.col("risk.risk_level").alias("risk_level"),
+        "graph_exposure.one_hop_neighbor_count", "graph_exposure.one_hop_risk_neighbor_share",
+        "graph_exposure.two_hop_neighbor_count", "graph_exposure.two_hop_risk_neighbor_share",
+        "graph_exposure.distance_to_known_illicit_cluster",
+        F.array_join(F.transform("triggered_rules", lambda r: r["rule_id"]), ",").alias("triggered"),
+        F.array_join(F.transform("retrieved_pdf_chunks", lambda x: x["chunk_id"]), ",").alias("chunk_ids"),
+        F.size("missing_information").alias("n_missing"),
+    )
+
+
+_NOTE_CASE = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN {D.q(C.PROXY_NOTES[r])}" for r in C.SUPPORTED_RULE_IDS) + " END"
+_DOC_NAME = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN {D.q(C.RULE_DOCS[r][0])}" for r in C.SUPPORTED_RULE_IDS) + " END"
+_DRAFT_FLAT_SQL = _wsql([_QHL, _EVTEXT], (
+    "SELECT q.id, q.id AS txId, q.risk_score, q.risk_level, "
+    "'Fallback: Manual review required for transaction ' || CAST(q.id AS VARCHAR) || '. Graph-based rule signals "
+    "triggered; monetary data unavailable.' AS risk_summary, "
+    f"coalesce((SELECT string_agg({_DOC_NAME} || ' triggered with score ' || CAST(score AS VARCHAR) || '.', ' | ' ORDER BY rule_id) "
+    "FROM qhl h WHERE h.id = q.id), '') AS descriptions, "
+    f"coalesce((SELECT string_agg('[' || rule_id || '] ' || {_NOTE_CASE}, ' | ' ORDER BY rule_id) FROM qhl h WHERE h.id = q.id), '') AS behaviors, "
+    "coalesce((SELECT string_agg(rule_id || '=' || evidence, ' | ' ORDER BY rule_id) FROM evtext e WHERE e.id = q.id), '') AS evidence, "
+    f"{D.q(C.PENDING)} AS analyst_decision, 'fallback' AS llm_status FROM queue q"))
+
+
+@register("draft_fallback_flat", _DRAFT_FLAT_SQL)
+def q_draft_fallback_flat(spark, sf):
+    d = RV.fallback_drafts(_contexts(spark, sf))
+    return d.select(
+        "id", "txId", "risk_score", "risk_level", "risk_summary",
+        F.array_join(F.transform("triggered_reason_codes", lambda r: r["description"]), " | ").alias("descriptions"),
+        F.array_join("suspicious_behavior_description", " | ").alias("behaviors"),
+        F.array_join(F.transform("evidence_references", lambda e: F.concat(e["rule_id"], F.lit("="), e["evidence"])), " | ").alias("evidence"),
+        "analyst_decision", "llm_status",
+    )
+
+
 @register("review_contexts", None)
 def q_review_contexts(spark, sf):
     return _contexts(spark, sf)
