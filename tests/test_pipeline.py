@@ -106,3 +106,23 @@ def test_case_retrieval_matches_brute_force(spark):
         scored.sort(key=lambda x: (x[0], -x[1]), reverse=True)  # stable: original order breaks ties
         expect = [(i + 1, cid, s) for i, (s, _p, cid) in enumerate(scored[:C.TOP_K_CHUNKS])]
         assert sorted(got.get(case.id, [])) == expect, case.id
+
+
+def test_merge_drafts_success_and_fallback(spark):
+    import json
+
+    ctx = catalog.queries()["review_contexts"](spark, SF)
+    ids = [r.id for r in ctx.select("id").orderBy("id").limit(3).collect()]
+    body = {"risk_summary": "model summary", "triggered_reason_codes": [], "suspicious_behavior_description": [],
+            "evidence_references": [], "missing_information": ["x"], "human_review_questions": ["q1"],
+            "suggested_next_review_action": "look", "risk_score": 1, "llm_status": "forged"}
+    resp = spark.createDataFrame([(ids[0], json.dumps(body)), (ids[1], "not json")], "id long, content string")
+    merged = {r.id: r for r in RV.merge_drafts(ctx, resp).collect()}
+    ok, bad, none = merged[ids[0]], merged[ids[1]], merged[ids[2]]
+    assert ok.llm_status == "success" and ok.risk_summary == "model summary" and ok.human_review_questions == ["q1"]
+    assert bad.llm_status == "fallback" and bad.risk_summary.startswith("Fallback:")
+    assert none.llm_status == "fallback"
+    risk = {r.id: (r.risk.risk_score, r.risk.risk_level) for r in ctx.collect()}
+    for r in (ok, bad, none):
+        assert (r.risk_score, r.risk_level) == risk[r.id] and r.txId == r.id
+        assert r.analyst_decision == C.PENDING
