@@ -59,6 +59,29 @@ def evidence_map_expr(rid: str) -> Column:
     return F.map_from_arrays(F.array(*keys), F.array(*vals))
 
 
+def _all_evidence_fields() -> list[tuple[str, str]]:
+    seen: dict[str, str] = {}
+    for rid in C.SUPPORTED_RULE_IDS:
+        for field, kind in C.EVIDENCE_FIELDS[rid]:
+            seen.setdefault(field, kind)
+    return list(seen.items())
+
+
+_SPARK_KIND = {"int": "long", "double": "double", "text": "string"}
+
+
+def evidence_values_expr(rid: str) -> Column:
+    """Typed evidence of one rule (numbers stay numbers) with its note, as a
+    struct over all evidence fields; fields of other rules are NULL and are
+    left out when written as JSON."""
+    own = {f for f, _ in C.EVIDENCE_FIELDS[rid]}
+    parts = [
+        (F.col(f).cast(_SPARK_KIND[k]) if f in own else F.lit(None).cast(_SPARK_KIND[k])).alias(f)
+        for f, k in _all_evidence_fields()
+    ]
+    return F.struct(*parts, F.lit(C.PROXY_NOTES[rid]).alias("proxy_note"))
+
+
 def _rule_doc(rid: str) -> Column:
     name, pdr, desc, limit = C.RULE_DOCS[rid]
     return F.struct(F.lit(name).alias("rule_name"), F.lit(pdr).alias("pdr_rule_name"),
@@ -74,6 +97,7 @@ def triggered_rule_structs(rule_ids=C.SUPPORTED_RULE_IDS) -> Column:
             F.lit(rid).alias("rule_id"), F.lit(name).alias("rule_name"), F.lit(pdr).alias("pdr_rule_name"),
             F.lit("triggered").alias("status"), F.col(f"{rid}_score").cast("int").alias("score"),
             evidence_map_expr(rid).alias("evidence_fields"),
+            evidence_values_expr(rid).alias("evidence_values"),
             evidence_text_expr(rid).alias("evidence_text"),
             F.lit(C.PROXY_NOTES[rid]).alias("proxy_note"),
             _rule_doc(rid).alias("rule_doc"),
@@ -163,7 +187,7 @@ def draft_requests(contexts: DataFrame) -> DataFrame:
         F.col("risk.risk_level").alias("risk_level"),
         F.transform("triggered_rules", lambda r: F.struct(
             r["rule_id"].alias("rule_id"), r["rule_name"].alias("rule_name"),
-            F.map_filter(r["evidence_fields"], lambda k, v: k != "proxy_note").alias("evidence"),
+            r["evidence_values"].alias("evidence"),
             r["rule_doc"]["dataset_limit"].alias("limit"),
         )).alias("triggered_rules"),
         F.col("missing_information").alias("missing_info"),
@@ -171,7 +195,7 @@ def draft_requests(contexts: DataFrame) -> DataFrame:
     return contexts.select(
         "id",
         F.lit(C.DRAFT_PROMPT).alias("system"),
-        F.concat(F.lit(C.DRAFT_USER_PREFIX), F.to_json(payload)).alias("user"),
+        F.concat(F.lit(C.DRAFT_USER_PREFIX), F.to_json(payload, {"ignoreNullFields": "true"})).alias("user"),
         F.lit(0.1).alias("temperature"),
     )
 
