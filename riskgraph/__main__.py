@@ -25,7 +25,7 @@ def main(argv=None) -> None:
     ap.add_argument("--n-features", type=int, default=165)
     ap.add_argument("--master", default=None, help="Spark master (default: the environment's)")
     a = ap.parse_args(argv)
-    spark = build_session(master=a.master) if a.master else build_session()
+    spark = build_session(master=a.master)
     pages = spark.read.parquet(a.pages)
     opts = P.RunOptions(skip_top=a.skip_top, batch_size=a.batch_size, seed=a.seed, weights=a.weights,
                         n_features=a.n_features)
