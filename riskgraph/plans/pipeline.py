@@ -112,10 +112,12 @@ def run(spark, data_dir: str, pages: DataFrame, out_dir: str, opts: RunOptions =
     drafts = RV.fallback_drafts(contexts)
     cases = CA.case_records(queue)
     out = out_dir.rstrip("/")
+    # written files keep the record shapes of the original outputs: internal join keys are
+    # dropped (case records show only the masked id)
     written = {
-        "cases": sinks.write_json(cases, f"{out}/aml_demo_cases"),
-        "contexts": sinks.write_json(contexts, f"{out}/rag_contexts"),
-        "drafts": sinks.write_json(drafts, f"{out}/review_drafts"),
+        "cases": sinks.write_json(cases.drop("txId"), f"{out}/aml_demo_cases"),
+        "contexts": sinks.write_json(contexts.drop("id"), f"{out}/rag_contexts"),
+        "drafts": sinks.write_json(drafts.drop("id"), f"{out}/review_drafts"),
         "queue": sinks.write_csv(queue, f"{out}/human_review_queue"),
     }
     rows = []
