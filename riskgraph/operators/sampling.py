@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from riskgraph import config as C
 from riskgraph.session import checkpoint_keep_partitions
 
-# Below this many leading rows, skip/take runs as one bounded top-k.
-TOPK_DIRECT_LIMIT = 100_000
+# A bounded top-k keeps (skip + take) rows per partition and merges them in one
+# task; it is used while that merge stays below this many rows.
+TOPK_MERGE_ROWS = 10_000_000
 
 
 def draw_key(seed: int, id_col: str = "id") -> Column:
@@ -72,16 +73,24 @@ def _id_at_rank(df: DataFrame, id_col: str, k: int) -> int:
     return value_at_rank(df, id_col, k)
 
 
+def _parallelism(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def ranked_slice(scored: DataFrame, skip: int, take: int, score_col: str = "risk_score",
-                 id_col: str = "id", direct_limit: int = TOPK_DIRECT_LIMIT) -> DataFrame:
+                 id_col: str = "id", direct_limit: int | None = None) -> DataFrame:
     """L2: rows at ranks [skip, skip + take) of (score desc, id asc).
 
-    Small skips run as one bounded top-k (TakeOrderedAndProject with offset).
-    Large skips use the score histogram (the score domain is a small integer
-    range by construction) to find the boundary score, distributed selection
-    for the boundary id, and then a top-k of ``take`` rows.
+    Small skips run as one bounded top-k (TakeOrderedAndProject with offset),
+    while (skip + take) x partitions stays under ``TOPK_MERGE_ROWS``.  Larger
+    skips use the score histogram (the score domain is a small integer range by
+    construction) to find the boundary score, distributed selection for the
+    boundary id, and then a top-k of ``take`` rows.
     """
     order = rank_order(score_col, id_col)
+    if direct_limit is None:
+        direct_limit = max(take, TOPK_MERGE_ROWS // max(_parallelism(scored), 1))
     if skip + take <= direct_limit:
         return scored.orderBy(*order).offset(skip).limit(take)
     s_star, k = _score_boundary(scored, skip, score_col)
