@@ -47,19 +47,18 @@ def window_hashes(words: Column, n: int = 3) -> Column:
                        lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, n)]))
 
 
-def covered_words(hashes: Column, n: int = 3) -> Column:
-    """Words that lie in a window whose hash occurs twice or more.  Equal hashes meet by sorting; the
-    union of the windows is summed over their sorted starts."""
-    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    starts = F.sort_array(_repeated_starts(placed))
-    return F.aggregate(starts, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-n).alias("end")),
-                       lambda acc, s: F.struct((acc["n"] + F.least(F.lit(n), s + n - F.greatest(acc["end"], F.lit(0)))).alias("n"),
-                                               (s + n).alias("end")), lambda acc: acc["n"])
+def repeated_starts(placed: Column) -> Column:
+    """Sorted starts of the windows that occur twice or more; ``placed`` is the sorted column of
+    (hash h, start i), where equal hashes are neighbours."""
+    same = lambda k, x: F.coalesce(F.get(placed, k)["h"] == x["h"], F.lit(False))
+    return F.sort_array(F.transform(F.filter(placed, lambda x, k: same(k - 1, x) | same(k + 1, x)), lambda x: x["i"]))
 
 
-def _repeated_starts(placed: Column) -> Column:
-    same = lambda k, x: F.coalesce(F.get(placed, k)["h"] == x["h"], F.lit(False))
-    return F.transform(F.filter(placed, lambda x, k: same(k - 1, x) | same(k + 1, x)), lambda x: x["i"])
+def covered_words(starts: Column, n: int = 3) -> Column:
+    """Words in the union of the windows of n words at these sorted starts."""
+    return F.aggregate(starts, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
+                       lambda acc, s: F.struct((acc["n"] + (s + n - F.greatest(acc["end"], s))).alias("n"),
+                                               (s + n).alias("end")), lambda acc: acc["n"])
 
 
 def normalised(line: Column) -> Column:
@@ -74,13 +73,17 @@ def text_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source"
         "doc_id", "host", "text", words_of(F.col("text")).alias("words"),
         F.filter(F.split("text", "\n", -1), lambda line: line.rlike(WORD_CHAR)).alias("lines"))
     base = base.select("doc_id", "host", "text", F.size("words").alias("n_words"), window_hashes(F.col("words")).alias("hashes"), "lines")
-    base = base.withColumn("repeats", F.size(F.array_distinct("hashes")) < F.size("hashes"))
+    # each step is its own projection: what a lambda looks up must be a column, or it is made anew for every element
+    repeats = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    placed = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    base = base.select("doc_id", "host", "text", "n_words", "lines", F.when(repeats, placed).alias("placed"))
+    base = base.withColumn("starts", F.when(F.col("placed").isNotNull(), repeated_starts(F.col("placed"))))
     return base.select(
         "doc_id", F.xxhash64("host", F.col("host").isNull()).alias("host_key"), F.xxhash64("text").alias("text_key"),
         F.col("n_words").cast("long").alias("n_words"), word_chars(F.col("text")).cast("long").alias("word_chars"),
         count_chars(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("repeats"), covered_words(F.col("hashes"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.coalesce(covered_words(F.col("starts")), F.lit(0).cast("long")).alias("n_repeat_words"),
         F.transform("lines", lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), word_chars(x).alias("chars"))).alias("lines"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgraph.llm import byte_bpe, html_extract, line_rules, secret_scan, url_filters
+from riskgraph.llm import byte_bpe, html_extract, line_rules, packing, quality_eb, secret_scan, url_filters
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
              ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -31,10 +31,26 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_lexed")
 
 
+def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
+
+
+def op3_quality_eb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document; host is its source, path its language section."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_eb.classify(docs, good_labels(spark, sf_dir), F.col("source"), F.col("lang"), carry=["doc_id", "source", "lang"])
+
+
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,7 +64,9 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_secret_scan": op2_secret_scan,
+    "op3_quality_eb": op3_quality_eb,
     "op4_line_rules": op4_line_rules,
+    "op5_packing": op5_packing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_html_extract": op10_html_extract,
 }

@@ -11,8 +11,8 @@ one concatenation also as a whole), and reported with kind ``lexed`` at the lite
 
 Work is per document on whole texts (Arrow batches of small lists of texts); nothing is shuffled.
 Defined results: null text counts as empty and has no spans; repeated rows are scanned each on its
-own; extra columns of the input are kept by :func:`scan` and :func:`redact` and may not be named
-like their outputs.  Cost is linear in the text; only operators and their expressions are lexed.
+own; extra columns of the input are kept by :func:`scan` (but for those named like its outputs, which
+it replaces) and :func:`redact`.  Cost is linear in the text; only operators and their expressions are lexed.
 """
 
 from __future__ import annotations
@@ -218,8 +218,8 @@ def _texts(column: pa.Array, step: int = 64) -> Iterator[list[str | None]]:
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` but the text, plus n_assign, n_access, n_hex, n_lexed (long), base_sha256, spans."""
-    names = [c for c in docs.columns if c != text_col]
     added = ["n_assign", "n_access", "n_hex", "n_lexed", "base_sha256", "spans"]
+    names = [c for c in docs.columns if c.lower() not in (text_col.lower(), *added)]
     schema = docs.select(*names, *[F.lit(0).cast("long").alias(c) for c in added[:4]], *[F.lit("").alias(c) for c in added[4:]]).schema
 
     def run(batches):
