@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgraph.llm import byte_bpe, html_extract, line_rules, packing, quality_eb, secret_scan, url_filters
+from riskgraph.llm import byte_bpe, html_extract, jaccard_join, line_rules, packing, quality_eb, repeat_dedup, secret_scan, url_filters
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
              ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -51,6 +51,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def op7_repeat_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_eb": op3_quality_eb,
     "op4_line_rules": op4_line_rules,
     "op5_packing": op5_packing,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op7_repeat_dedup": op7_repeat_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_html_extract": op10_html_extract,
 }
