@@ -10,22 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.session import materialize
+from riskgraph.llm.tables import discard, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label) of every node that has an edge; label is the smallest node of its component."""
+    """(node, label, before) of every node that has an edge; label is the smallest node of its component."""
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b")
-    both = materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "component_edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("low")).select(
+    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "component_edges")
+    labels = written(both.groupBy("a").agg(F.min("b").alias("low")).select(
         F.col("a").alias("node"), F.least("a", "low").alias("label")), "component_labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
         met = labels.join(near, labels["node"] == near["a"]).select(
             "node", F.col("label").alias("before"), F.least("label", "low").alias("label"))
-        met = materialize(met, "component_met")
+        met = written(met, "component_met")
+        discard(labels)
         jump = met.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        labels = materialize(met.join(jump, met["label"] == jump["at"]).select("node", "before", F.least("label", "next").alias("label")),
-                             "component_labels")
+        labels = written(met.join(jump, met["label"] == jump["at"]).select("node", "before", F.least("label", "next").alias("label")),
+                         "component_labels")
+        discard(met)
         if labels.where("label != before").isEmpty():
-            return labels.select("node", "label")
+            discard(both)
+            return labels

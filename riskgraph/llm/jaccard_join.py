@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from riskgraph.llm.components import components
 from riskgraph.llm.shingles import minhashes, sets
-from riskgraph.session import materialize
+from riskgraph.llm.tables import discard, written
 
 THRESHOLD = (4, 5)  # as a fraction, so that the exact test is in whole numbers
 BANDS, ROWS = 32, 5
@@ -98,9 +98,11 @@ def candidate_groups(texts: DataFrame) -> DataFrame:
     """(node, label) of texts (node, minhash) that share a band with another, label naming the group."""
     keys = F.array(*[F.xxhash64(F.lit(k), *[F.col("minhash")[k * ROWS + r] for r in range(ROWS)]) for k in range(BANDS)])
     bands = texts.select("node", F.explode(keys).alias("band"))
-    lows = materialize(bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    lows = written(bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"))
                        .where("low != high").select("band", "low"), "bands")
-    return components(bands.join(lows, "band").where("node != low").select("node", "low"), "node", "low")
+    groups = components(bands.join(lows, "band").where("node != low").select("node", "low"), "node", "low")
+    discard(lows)
+    return groups
 
 
 def _compare(least: dict[int, int], threshold: tuple[int, int]):
@@ -147,16 +149,18 @@ def link_rows(docs: DataFrame, texts: DataFrame, groups: DataFrame, threshold: t
     members = texts.join(groups, "node").select("node", "label", "key", "rep", "copies", "minhash")
     # one document of each text brings the text itself: the join is on key and id, so copies are not gathered
     full = docs.withColumnRenamed("id", "rep").join(members, ["key", "rep"]).select("node", "label", "copies", "minhash", "text")
-    full = materialize(full, "group_texts")
+    full = written(full, "group_texts")
     sizes = full.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
-    sizes = materialize(sizes.select("label", F.ceil(F.greatest(F.col("n") / CHUNK_TEXTS, F.col("chars") / CHUNK_CHARS)).cast("int").alias("k")),
-                        "group_sizes")
+    sizes = written(sizes.select("label", F.ceil(F.greatest(F.col("n") / CHUNK_TEXTS, F.col("chars") / CHUNK_CHARS)).cast("int").alias("k")),
+                    "group_sizes")
     dealt = full.join(sizes, "label").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("k")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(
         F.least("chunk", x).alias("one"), F.greatest("chunk", x).alias("two")))
     blocks = dealt.withColumn("pair", F.explode(others)).select(
         "label", F.col("pair.one").alias("one"), F.col("pair.two").alias("two"), "chunk", "node", "copies", "minhash", "text")
-    return blocks.groupBy("label", "one", "two").applyInPandas(_compare(least, threshold), "node long, links long, other long")
+    found = written(blocks.groupBy("label", "one", "two").applyInPandas(_compare(least, threshold), "node long, links long, other long"), "links")
+    discard(full, sizes)
+    return found
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD,
@@ -167,16 +171,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     rows = rows.select("id", F.unhex(F.md5("text")).alias("key"), "text")
     # node: a short name of a text; should two texts ever share one, they are compared as one group
     texts = signatures(rows).groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("minhash").alias("minhash"))
-    texts = materialize(texts.withColumn("node", F.xxhash64("key")), "texts")
-    found = materialize(link_rows(rows, texts, candidate_groups(texts), threshold, tolerance), "links")
+    texts = written(texts.withColumn("node", F.xxhash64("key")), "texts")
+    groups = candidate_groups(texts)
+    found = link_rows(rows, texts, groups.select("node", "label"), threshold, tolerance)
     labels = components(found.where("other is not null"), "node", "other")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = texts.select("key", "node", "rep", "copies").join(counts, "node", "left").join(labels, "node", "left").select(
+    known = texts.select("key", "node", "rep", "copies").join(counts, "node", "left").join(labels.select("node", "label"), "node", "left").select(
         "key", F.coalesce("label", "node").alias("label"), "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    known = materialize(known, "text_classes")
+    known = written(known, "text_classes")
+    discard(texts, groups, found, labels)
     first = known.groupBy("label").agg(F.min(F.when(F.col("rep") != NO_ID, F.col("rep"))).alias("class_id"))
-    known = materialize(known.join(first, "label").select("key", "class_id", "n_links"), "classes")
-    return rows.select("id", "key").join(known, "key", "left").select(
+    classes = written(known.join(first, "label").select("key", "class_id", "n_links"), "classes")
+    discard(known)
+    return rows.select("id", "key").join(classes, "key", "left").select(
         F.nullif("id", F.lit(NO_ID)).alias("doc_id"),
         F.when(F.col("n_links").isNull(), F.nullif("id", F.lit(NO_ID))).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.hex("key").alias("text_key"))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.session import materialize
+from riskgraph.llm.tables import discard, written
 
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -92,24 +92,25 @@ def boilerplate(texts: DataFrame, min_texts: int, max_share: float) -> tuple[Dat
     ``chars`` is summed over a text's copies."""
     lines = texts.select("host_key", "text_key", F.explode("lines").alias("x")).groupBy(
         "host_key", "text_key", F.col("x.line").alias("line")).agg(F.sum("x.chars").alias("chars"))
-    lines = materialize(lines, "text_lines")
+    lines = written(lines, "text_lines")
     hosts = texts.select("host_key", "text_key").distinct().groupBy("host_key").agg(F.count(F.lit(1)).alias("n_texts"))
     often = (lines.groupBy("host_key", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_texts)
              .join(hosts, "host_key").where(F.col("n") > max_share * F.col("n_texts")).select("host_key", "line"))
-    return materialize(often, "boilerplate_lines"), lines
+    return written(often, "boilerplate_lines"), lines
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_texts: int = 10,
           max_share: float = 0.001, max_removed: float = 0.5, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_chars."""
-    texts = materialize(text_rules(docs, id_col, host_col, text_col), "text_rules")
+    texts = written(text_rules(docs, id_col, host_col, text_col), "text_rules")
     often, lines = boilerplate(texts, min_texts, max_share)
-    removed = materialize(
+    removed = written(
         lines.join(often, ["host_key", "line"]).groupBy("host_key", "text_key").agg(F.sum("chars").alias("removed")), "removed_chars")
     copies = texts.groupBy("host_key", "text_key").agg(F.count(F.lit(1)).alias("copies"))
-    removed = materialize(removed.join(copies, ["host_key", "text_key"]).select(
+    per_text = written(removed.join(copies, ["host_key", "text_key"]).select(
         "host_key", "text_key", (F.col("removed") / F.col("copies")).cast("long").alias("removed_chars")), "removed_per_text")
-    out = texts.drop("lines").join(removed, ["host_key", "text_key"], "left")
+    discard(often, lines, removed)
+    out = texts.drop("lines").join(per_text, ["host_key", "text_key"], "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     gone = F.coalesce("removed_chars", F.lit(0).cast("long"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgraph.llm.byte_bpe import PieceCache, encode_groups, texts_of
-from riskgraph.session import materialize
+from riskgraph.llm.tables import written
 
 CAPACITY = 2048
 END_ID = 0
@@ -171,7 +171,7 @@ def numbered(pieces: DataFrame, sizes: DataFrame) -> DataFrame:
     groups = F.broadcast(sizes.select("length", F.ceil(F.col("n") / GROUP).alias("groups")))
     salted = pieces.join(groups, "length").withColumn(
         "salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.rand(7)), F.col("groups"))).drop("groups")
-    salted = materialize(salted, "salted_pieces")
+    salted = written(salted, "salted_pieces")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).select(
         "length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
@@ -202,7 +202,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset of every piece of every document."""
-    return pack(materialize(token_pieces(docs, path, capacity, with_ids), "token_pieces"), capacity)
+    return pack(written(token_pieces(docs, path, capacity, with_ids), "token_pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

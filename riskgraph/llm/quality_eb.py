@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.session import materialize
+from riskgraph.llm.tables import discard, written
 
 SAMPLE_ROWS = 8000
 N_FEATURES = 256 + 12
@@ -138,15 +138,16 @@ def posteriors(scored: DataFrame, good_col: str = "__good") -> DataFrame:
     good = F.col(good_col)
     path = scored.where(good.isNotNull()).groupBy("__host", "__path").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(good).alias("s"), F.sum(good * good).alias("q"))
-    path = materialize(path, "site_paths")
+    path = written(path, "site_paths")
     host = path.groupBy("__host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     total = host.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = total["s"] / total["n"] if total["n"] else 0.5
     k_host, k_path = _shrinkage(host), _shrinkage(path)
-    sites = materialize(path.select("__host", "__path", F.col("n").alias("__pn"), F.col("s").alias("__ps")).join(
+    sites = written(path.select("__host", "__path", F.col("n").alias("__pn"), F.col("s").alias("__ps")).join(
         host.select("__host", F.col("n").alias("__hn"), F.col("s").alias("__hs")), "__host"), "sites")
     own = F.coalesce(good, F.lit(mean))
     one = F.when(good.isNotNull(), 1.0).otherwise(0.0)  # the document itself, left out
+    discard(path)
     out = scored.join(sites, ["__host", "__path"], "left")
     n, s = lambda c: F.coalesce(F.col(c), F.lit(0.0)) - one, lambda c: F.coalesce(F.col(c), F.lit(0.0)) - one * own
     out = out.withColumn("evidence", _logit(own))
@@ -167,4 +168,4 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, car
     scored = with_goodness(sited, model, text_col)
     mark = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("+"), c))  # noqa: E731  joins need a value
     scored = scored.select(*carry, mark("__h").alias("__host"), mark("__p").alias("__path"), "__good")
-    return posteriors(materialize(scored, "goodness")).select(*carry, *OUTPUTS)
+    return posteriors(written(scored, "goodness")).select(*carry, *OUTPUTS)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgraph.llm import byte_bpe, html_extract, jaccard_join, line_rules, packing, quality_eb, repeat_dedup, secret_scan, url_filters
+from riskgraph.llm import ann, byte_bpe, html_extract, jaccard_join, line_rules, packing, quality_eb, repeat_dedup, secret_scan, url_filters
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
              ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -59,6 +59,10 @@ def op7_repeat_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_repeat_dedup": op7_repeat_dedup,
+    "op8_ann": op8_ann,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_html_extract": op10_html_extract,
 }

@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 
 from riskgraph.llm.byte_bpe import _powers
 from riskgraph.llm.shingles import _SPREAD, mix
-from riskgraph.session import materialize, scratch_path
+from riskgraph.llm.tables import adopt, discard, written
+from riskgraph.session import scratch_path
 
 LENGTH = 200
 GRAM = 32
@@ -264,47 +265,55 @@ class Corpus:
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.name = f"texts_{uuid.uuid4().hex}"
         texts = rows.groupBy(*TEXT).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-        (texts.write.option("path", scratch_path(spark, "repeat_texts")).option("compression", "zstd")
-         .bucketBy(self.buckets, *TEXT).saveAsTable(self.name))
-        self.texts = spark.table(self.name)
+        path = scratch_path(spark, "repeat_texts")
+        texts.write.option("path", path).option("compression", "zstd").bucketBy(self.buckets, *TEXT).saveAsTable(self.name)
+        self.texts = adopt(spark.table(self.name), path)
 
     def with_marks(self, marks: DataFrame, how: str = "inner") -> DataFrame:
         """Texts with a column of their marks; the marks travel, and are hashed in memory per bucket."""
         return self.texts.join(marks.hint("shuffle_hash"), TEXT, how)
 
+    def discard(self) -> None:
+        self.texts.sparkSession.sql(f"DROP TABLE {self.name}")
+        discard(self.texts)
+
 
 def repeated_ranges(corpus: Corpus) -> tuple[DataFrame, DataFrame]:
     """((tid, chk, zones): phrases all of whose strings repeat; (tid, chk, starts): single strings that repeat)."""
-    found = materialize(corpus.texts.where(F.octet_length("text") >= LENGTH).select(*TEXT, "text").mapInArrow(_trigger_rows, TRIGGER_ROWS), "triggers")
-    again = materialize(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "repeated_grams")
+    found = written(corpus.texts.where(F.octet_length("text") >= LENGTH).select(*TEXT, "text").mapInArrow(_trigger_rows, TRIGGER_ROWS), "triggers")
+    again = written(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "repeated_grams")
     zones = found.join(again, "gram").groupBy(*TEXT).agg(F.collect_list("ref").alias("refs"))
-    zones = materialize(zones, "trigger_zones")
-    phrase = materialize(corpus.with_marks(zones).select(*TEXT, "text", "refs").mapInArrow(_phrase_rows, PHRASE_ROWS), "phrases")
+    zones = written(zones, "trigger_zones")
+    discard(found, again)
+    phrase = written(corpus.with_marks(zones).select(*TEXT, "text", "refs").mapInArrow(_phrase_rows, PHRASE_ROWS), "phrases")
     kinds = phrase.groupBy("inner", "outer").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*TEXT, "ref")).alias("one"))
-    kinds = materialize(kinds, "phrase_kinds")
-    inner = kinds.groupBy("inner").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("outers")).where("total > 1")
-    kinds = materialize(kinds.join(inner, "inner").select("inner", "outer", (F.col("n") > 1).alias("full"), (F.col("outers") > 1).alias("mixed"), "one"),
+    every = written(kinds, "phrase_kinds")
+    discard(zones)
+    inner = every.groupBy("inner").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("outers")).where("total > 1")
+    kinds = written(every.join(inner, "inner").select("inner", "outer", (F.col("n") > 1).alias("full"), (F.col("outers") > 1).alias("mixed"), "one"),
                         "repeated_kinds")
     met = phrase.join(kinds, ["inner", "outer"])
     spelled = F.col("mixed") & (~F.col("full") | (F.struct(*TEXT, "ref") == F.col("one")))
-    met = materialize(met.select(*TEXT, "ref", "inner", "full", spelled.alias("spelled")).where("full or spelled"), "phrase_marks")
-    full = materialize(met.where("full").groupBy(*TEXT).agg(F.collect_list("ref").alias("zones")), "full_phrases")
-    open_ = materialize(met.where("spelled").groupBy(*TEXT).agg(F.collect_list(F.struct("ref", "inner")).alias("marks")), "open_phrases")
-    strings = materialize(corpus.with_marks(open_).select(*TEXT, "text", "marks").mapInArrow(_string_rows, STRING_ROWS), "strings")
-    twice = materialize(strings.groupBy("inner", "whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated_strings")
-    single = materialize(strings.join(twice, ["inner", "whole"]).groupBy(*TEXT).agg(F.collect_list("start").alias("starts")), "string_marks")
+    met = written(met.select(*TEXT, "ref", "inner", "full", spelled.alias("spelled")).where("full or spelled"), "phrase_marks")
+    discard(phrase, every, kinds)
+    full = written(met.where("full").groupBy(*TEXT).agg(F.collect_list("ref").alias("zones")), "full_phrases")
+    open_ = written(met.where("spelled").groupBy(*TEXT).agg(F.collect_list(F.struct("ref", "inner")).alias("marks")), "open_phrases")
+    strings = written(corpus.with_marks(open_).select(*TEXT, "text", "marks").mapInArrow(_string_rows, STRING_ROWS), "strings")
+    twice = written(strings.groupBy("inner", "whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated_strings")
+    single = written(strings.join(twice, ["inner", "whole"]).groupBy(*TEXT).agg(F.collect_list("start").alias("starts")), "string_marks")
+    discard(met, open_, strings, twice)
     return full, single
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of (start, end) in bytes) and, if asked for,
-    kept_text (kept bytes as text; a character cut by a removal is dropped)."""
+def dedup(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """Columns ``carry``, n_bytes, n_removed, n_spans, kept_sha256, spans (array of (start, end) in bytes) and, if asked
+    for, kept_text (kept bytes as text; a character cut by a removal is dropped)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select(
-        "doc_id", F.xxhash64("text").alias("tid"), F.hash("text").alias("chk"), "text")
+    rows = docs.select(F.struct(*carry).alias("row"), text.alias("text")).select(
+        "row", F.xxhash64("text").alias("tid"), F.hash("text").alias("chk"), "text")
     corpus = Corpus(rows.select(*TEXT, "text"))
     full, single = repeated_ranges(corpus)
-    marks = materialize(full.join(single, TEXT, "full"), "marks")
+    marks = written(full.join(single, TEXT, "full"), "marks")
     schema = ("tid long, chk int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
               "spans array<struct<start:bigint,end:bigint>>" + (", kept_text string" if with_text else ""))
 
@@ -324,5 +333,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
                                                  names=["tid", "chk", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"] + ["kept_text"] * with_text)
 
     result = corpus.with_marks(marks, "left").select(*TEXT, "copies", "text", "zones", "starts").mapInArrow(run, schema)
-    result = materialize(result, "deduplicated")
-    return rows.select("doc_id", *TEXT).join(result, TEXT).drop(*TEXT)
+    result = written(result, "deduplicated")
+    discard(full, single, marks)
+    corpus.discard()
+    return rows.select("row", *TEXT).join(result, TEXT).select("row.*", *result.columns[2:])

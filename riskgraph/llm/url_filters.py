@@ -26,6 +26,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskgraph.llm.tables import discard, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GOOD, BAD = "label=good", "label=bad"
 ALLOW, BLOCK = "allow", "block"
@@ -110,12 +112,11 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, labelled: DataFrame, listed: Sequence[tuple[str, str, str]] = (), id_col: str = "page_id",
           url_col: str = "url", default: str = ALLOW, **mining) -> DataFrame:
     """page_id, host, path, rule, verdict, confidence and mined_rule (null unless a mined rule fits)."""
-    from riskgraph.session import materialize
-
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"))
-    verdicts = materialize(match(rows.where("url is not null").select("url").distinct(),
-                                 materialize(mine(labelled, **mining), "url_rules")), "url_verdicts")
+    rules = written(mine(labelled, **mining), "url_rules")
+    verdicts = written(match(rows.where("url is not null").select("url").distinct(), rules), "url_verdicts")
+    discard(rules)
     out = rows.join(verdicts, "url", "left").select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "method_verdict", "confidence", "mined_rule")
     out = out.withColumn("listed", listed_rule(F.col("host"), F.col("path"), listed))
