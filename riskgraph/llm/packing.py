@@ -101,10 +101,12 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids:
 
 def fullest(counts: np.ndarray, space: int) -> list[int]:
     """Lengths, with repeats, of the combination that comes nearest to ``space`` from below, taking no
-    length more often than counted.  Sums reachable so far are the bits of one integer."""
+    length more often than counted; of equally full ones that with the longest pieces, so that short
+    pieces stay for later bins.  Sums reachable so far are the bits of one integer; lengths are entered
+    from the shortest, and the combination is read back from the longest."""
     reach, mask = 1, (1 << (space + 1)) - 1
     steps: list[tuple[int, int, int]] = []
-    for length in np.flatnonzero(counts[:space + 1])[::-1].tolist():
+    for length in np.flatnonzero(counts[:space + 1]).tolist():
         left = min(int(counts[length]), space // length)
         take = 1
         while left:
@@ -113,11 +115,9 @@ def fullest(counts: np.ndarray, space: int) -> list[int]:
             reach |= (reach << (length * take)) & mask
             left -= take
             take *= 2
-        if reach >> space & 1:
-            break
     total, out = reach.bit_length() - 1, []
     for length, take, before in reversed(steps):
-        if not before >> total & 1:
+        if total >= length * take and before >> (total - length * take) & 1:
             out += [length] * take
             total -= length * take
     return out
