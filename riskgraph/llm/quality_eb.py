@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from riskgraph.llm.tables import discard, written
 
@@ -96,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def with_goodness(docs: DataFrame, model, text_col: str = "text", out_col: str = "__good") -> DataFrame:
     """All columns plus the probability of being good by the text alone (null for a text without words)."""
     at = docs.columns.index(text_col)
-    schema = docs.withColumn(out_col, F.lit(0.0).cast("double")).schema
+    schema = StructType([*docs.schema.fields, StructField(out_col, DoubleType(), True)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
