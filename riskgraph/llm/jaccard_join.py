@@ -41,7 +41,7 @@ BANDS, ROWS = 32, 5
 STEP = 20
 TOLERANCE = 1e-7
 CHUNK_TEXTS, CHUNK_CHARS = 192, 4_000_000
-NO_ID = -(2**63)
+NO_ID = 2**63 - 1  # stands for null; larger than any id, so that a copy with an id represents the text
 
 
 def least_matches(n: int, threshold: float, tolerance: float) -> int:
