@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -34,7 +35,8 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     keys = [k for k in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if k]
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(cpus, 8), app="riskgraph-bench")
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(cpus, 8), app="riskgraph-bench",
+                          extra={"spark.driver.memory": "16g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="riskgraph-bench-")})
     times = {}
     for key in keys:
         run_once(spark, key, sf)  # warm-up

@@ -149,12 +149,12 @@ def case_records(queue: DataFrame) -> DataFrame:
     )
 
 
-def hits_long(scored: DataFrame) -> DataFrame:
-    """(id, rule_id, score) for every hit supported rule."""
+def hits_long(scored: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns, rule_id, score) for every hit supported rule."""
     arr = F.filter(F.array(*[
         F.when(F.col(f"{r}_hit"), F.struct(F.lit(r).alias("rule_id"), F.col(f"{r}_score").cast("int").alias("score")))
         for r in C.SUPPORTED_RULE_IDS]), lambda x: x.isNotNull())
-    return scored.select("id", F.inline(arr))
+    return scored.select("id", *carry, F.inline(arr))
 
 
 def score_breakdown_rows(scored: DataFrame) -> DataFrame:
@@ -240,15 +240,16 @@ def parse_evidence(df: DataFrame, text_col: str = "evidence") -> DataFrame:
 
 
 def glossary_table(spark: SparkSession) -> DataFrame:
-    return literal_rows(spark, list(C.EVIDENCE_GLOSSARY.items()), "key string, label string")
+    rows = [(k, label, C.EVIDENCE_EXPLAIN[k]) for k, label in C.EVIDENCE_GLOSSARY.items()]
+    return literal_rows(spark, rows, "key string, label string, explain string")
 
 
 def evidence_glossary(spark: SparkSession, parsed: DataFrame) -> DataFrame:
-    """Parsed entries with their glossary label (default: key with _ as spaces)."""
+    """Parsed entries with their glossary label (default: key with _ as spaces) and explanation."""
     g = F.broadcast(glossary_table(spark))  # fixed, configured glossary
     return parsed.join(g, "key", "left").select(
         "id", "rule_id", "pos", "key", "value",
         F.coalesce(F.col("label"), F.regexp_replace(F.col("key"), "_", " ")).alias("label"),
-        F.when(F.col("label").isNull(), F.lit(C.EVIDENCE_DEFAULT_EXPLAIN)).alias("default_explain"),
+        F.coalesce(F.col("explain"), F.lit(C.EVIDENCE_DEFAULT_EXPLAIN)).alias("explain"),
     )
 

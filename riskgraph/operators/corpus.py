@@ -141,12 +141,16 @@ def retrieval_order() -> list[Column]:
 
 
 def topk_per_mask(scored_chunks: DataFrame, k: int = C.TOP_K_CHUNKS, masks: DataFrame | None = None) -> DataFrame:
-    """Top k chunks per rule set, ranked 1..k; excerpt cut after scoring."""
-    df = scored_chunks
+    """Top k chunks per rule set, ranked 1..k, without their text."""
+    df = scored_chunks.drop("text")
     if masks is not None:
         df = df.join(F.broadcast(masks.select("rule_mask").distinct()), "rule_mask", "left_semi")  # <= 32 rows
-    top = top_per_group(df, ["rule_mask"], retrieval_order(), k, rank_col="chunk_rank", salt_key=F.col("chunk_id"))
-    return top.withColumn("excerpt", excerpt(F.col("text")))
+    return top_per_group(df, ["rule_mask"], retrieval_order(), k, rank_col="chunk_rank", salt_key=F.col("chunk_id"))
+
+
+def with_excerpts(top: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The few winning chunks (at most 32 x k rows) with their text and excerpt, cut after scoring."""
+    return top.join(chunks.select("chunk_id", "text"), "chunk_id").withColumn("excerpt", excerpt(F.col("text")))
 
 
 def rule_mask(hit_cols: list[str] | None = None) -> Column:
@@ -164,5 +168,5 @@ def retrieve_for_cases(cases: DataFrame, chunks: DataFrame, k: int = C.TOP_K_CHU
     # the rule sets present among the cases: at most 32 small integers
     present = sorted(r[0] for r in with_mask.select("rule_mask").distinct().collect())
     wanted = F.array(*[F.lit(m) for m in present]) if present else F.array().cast("array<int>")
-    top = topk_per_mask(mask_scores(chunks, rule_keywords, default_keywords, wanted), k)
+    top = with_excerpts(topk_per_mask(mask_scores(chunks, rule_keywords, default_keywords, wanted), k), chunks)
     return with_mask.join(top, "rule_mask")

@@ -12,9 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph import config as C
 from riskgraph.functions.labels import distance_label
-from riskgraph.session import materialize
+from riskgraph.session import discard, materialize
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -44,18 +43,15 @@ def one_hop(sources: DataFrame, adj: DataFrame) -> DataFrame:
     return adj.join(sources.select(F.col("id").alias("a")), "a", "left_semi")
 
 
-def two_hop_pairs(sources: DataFrame, adj: DataFrame, hop1: DataFrame | None = None,
-                  restrict: bool = True) -> DataFrame:
+def two_hop_pairs(sources: DataFrame, adj: DataFrame, hop1: DataFrame | None = None) -> DataFrame:
     """(a, c) with c reachable in two steps, c != a and c not a one-hop neighbour.
 
-    With ``restrict`` the second step reads only adjacency rows of the
-    sources' neighbours (a semi-join that reaches the edge scan), so a small
-    source set never shuffles the whole edge table.
+    The second step reads only adjacency rows of the sources' neighbours (a
+    semi-join that reaches the edge scan), so a small source set never shuffles
+    the whole edge table.
     """
     hop1 = hop1 if hop1 is not None else one_hop(sources, adj)
-    step = adj
-    if restrict:
-        step = adj.join(hop1.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+    step = adj.join(hop1.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
     wedges = (
         hop1.join(step.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
         .where(F.col("a") != F.col("c"))
@@ -65,7 +61,7 @@ def two_hop_pairs(sources: DataFrame, adj: DataFrame, hop1: DataFrame | None = N
     return wedges.join(hop1.select("a", F.col("b").alias("c")), ["a", "c"], "left_anti")
 
 
-def exposure_counts(sources: DataFrame, adj: DataFrame, risky: DataFrame, restrict: bool = True) -> DataFrame:
+def exposure_counts(sources: DataFrame, adj: DataFrame, risky: DataFrame) -> DataFrame:
     """Per source: n1, r1 (risky one-hop), n2, r2 (risky two-hop); only sources with neighbours."""
     hop1 = one_hop(sources, adj)
     one = (
@@ -74,7 +70,7 @@ def exposure_counts(sources: DataFrame, adj: DataFrame, risky: DataFrame, restri
         .agg(F.count(F.lit(1)).alias("n1"), F.sum("risky").cast("long").alias("r1"))
     )
     two = (
-        _flag_risky(two_hop_pairs(sources, adj, hop1, restrict), "c", risky)
+        _flag_risky(two_hop_pairs(sources, adj, hop1), "c", risky)
         .groupBy("a")
         .agg(F.count(F.lit(1)).alias("n2"), F.sum("risky").cast("long").alias("r2"))
     )
@@ -84,29 +80,20 @@ def exposure_counts(sources: DataFrame, adj: DataFrame, risky: DataFrame, restri
 def exposure(sources: DataFrame, adj: DataFrame, risky: DataFrame, heavy_degree: int | None = None) -> DataFrame:
     """J7 columns for every source id (no neighbours -> zeros, "Not observed").
 
-    ``heavy_degree`` switches to the hub-block counting of
-    ``exposure_counts_blocks`` (for all-node runs on graphs with hubs); without
-    it, two-hop pairs are enumerated, which is linear for a small source set.
+    For a few sources (the review sample) the two-hop pairs are enumerated,
+    which is linear in the sources' neighbourhoods.  An all-node run names
+    ``heavy_degree`` and counts reach through heavier nodes by hub blocks
+    (``exposure_counts_blocks``).  The risky ids are written first, so that the
+    joins that look them up are plain shuffles whose hot keys Spark can split.
     """
-    use_blocks = False
-    if heavy_degree is not None:
-        # the adjacency feeds the degree check and every join below: write it once
-        adj = materialize(adj, "adjacency")
-        # blocks only pay off when some center is heavy; otherwise enumeration
-        # is already bounded by heavy_degree^2 pairs per center
-        biggest = adj.groupBy("a").agg(F.count(F.lit(1)).alias("du")).agg(F.max("du")).first()[0] or 0
-        use_blocks = biggest > heavy_degree
-    if use_blocks:
-        counts = exposure_counts_blocks(sources, adj, risky, heavy_degree)
+    risky = materialize(risky.select("id"), "risky_ids")
+    if heavy_degree is None:
+        counts = exposure_counts(sources, adj, risky)
     else:
-        # all-node runs (heavy_degree given) gain nothing from restricting the second step
-        counts = exposure_counts(sources, adj, risky, restrict=heavy_degree is None)
+        counts = exposure_counts_blocks(sources, materialize(adj, "adjacency"), risky, heavy_degree)
     counts = counts.withColumnRenamed("a", "id")
     df = sources.select("id").join(counts, "id", "left")
-    n1 = F.coalesce(F.col("n1"), F.lit(0).cast("long"))
-    r1 = F.coalesce(F.col("r1"), F.lit(0).cast("long"))
-    n2 = F.coalesce(F.col("n2"), F.lit(0).cast("long"))
-    r2 = F.coalesce(F.col("r2"), F.lit(0).cast("long"))
+    n1, r1, n2, r2 = (F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("n1", "r1", "n2", "r2"))
     return df.select(
         "id",
         n1.alias("one_hop_neighbor_count"),
@@ -119,6 +106,15 @@ def exposure(sources: DataFrame, adj: DataFrame, risky: DataFrame, heavy_degree:
     )
 
 
+def _set_name(members: str) -> list:
+    """Name of a set of ids: two independent exclusive-or sums of hashes, and the size."""
+    return [F.bit_xor(F.xxhash64(members)).alias("s1"), F.bit_xor(F.xxhash64(members, F.lit("set"))).alias("s2"),
+            F.count(F.lit(1)).alias("s3")]
+
+
+SET = ["s1", "s2", "s3"]
+
+
 def exposure_counts_blocks(sources: DataFrame, adj: DataFrame, risky: DataFrame, heavy_degree: int) -> DataFrame:
     """Per source: n1, r1, n2, r2 like ``exposure_counts``, without enumerating
     neighbour pairs around heavy nodes (undirected degree > heavy_degree).
@@ -128,33 +124,38 @@ def exposure_counts_blocks(sources: DataFrame, adj: DataFrame, risky: DataFrame,
     neighbours, T_H(a) = union of N(h) for heavy h in N(a), and the part
     reached through light neighbours, W_L(a) (enumerated; at most
     heavy_degree^2 pairs per light center).  |T_H(a)| is counted without pairs:
-    every node c carries its hub signature S(c) = heavy neighbours of c;
-    signatures are grouped (a hot signature is one row with a count), and a
-    source's hub set Q(a) meets a signature iff they share a hub, so
-    |T_H(a)| = sum of counts of signatures meeting Q(a).  Pairs in W_L(a)
-    already in T_H(a) (S(c) overlaps Q(a)) are not counted twice, and
-    neighbours x of a are removed when they lie in T_H(a) or W_L(a).
+    the heavy neighbours of a node are its hub set; nodes with the same hub set
+    are one row with a count, and |T_H(a)| is the sum of the counts of the hub
+    sets that share a hub with that of a.  Hub sets are named by hashes and kept
+    as (set, hub) rows, never as arrays.  Which sets meet is written once, as
+    are its inputs, so Spark splits a hub that very many sets hold; the pairs of
+    different sets that share a hub are the cost of this operator.  Pairs in W_L(a)
+    already in T_H(a) are not counted twice, and neighbours x of a are removed
+    when they lie in T_H(a) or W_L(a).
     """
     deg = adj.groupBy("a").agg(F.count(F.lit(1)).alias("du"))
-    heavy = deg.where(F.col("du") > heavy_degree).select(F.col("a").alias("b"))
+    heavy = materialize(deg.where(F.col("du") > heavy_degree).select(F.col("a").alias("b")), "hubs")
     src = sources.select(F.col("id").alias("a"))
     rk = risky.select(F.col("id").alias("_rid"), F.lit(1).alias("rk"))
 
     def flag(df: DataFrame, col: str) -> DataFrame:
         return df.join(rk.withColumnRenamed("_rid", col), col, "left").withColumn("rk", F.coalesce("rk", F.lit(0)))
 
-    hop1 = one_hop(sources, adj)                                   # (a, b)
-    adj_h = adj.join(heavy, "b", "left_semi")                      # (x, hub) for every node x
-    sig = adj_h.groupBy("a").agg(F.sort_array(F.collect_list("b")).alias("S"))   # S(x): hubs of x
-    q = sig.join(src, "a", "left_semi").withColumnRenamed("S", "Q")               # Q(a) for sources
-    s_c = sig.withColumnRenamed("a", "c")
-
-    # |T_H| per distinct hub set Q: signatures sharing a hub with Q
-    sigs = flag(s_c, "c").groupBy("S").agg(F.count(F.lit(1)).alias("cnt"), F.sum("rk").alias("rcnt"))
-    qh = q.select("Q").distinct().select("Q", F.explode("Q").alias("h"))
-    sh = sigs.select("S", "cnt", "rcnt", F.explode("S").alias("h"))
-    met = qh.join(sh, "h").groupBy("Q", "S").agg(F.max("cnt").alias("cnt"), F.max("rcnt").alias("rcnt"))
-    blocks = met.groupBy("Q").agg(F.sum("cnt").alias("U"), F.sum("rcnt").alias("UR"))
+    def named(df: DataFrame, node: str, prefix: str) -> DataFrame:
+        return df.select(F.col("a").alias(node), *[F.col(c).alias(prefix + c) for c in SET])
+
+    hop1 = one_hop(sources, adj)                                        # (a, b)
+    adj_h = adj.join(heavy, "b", "left_semi")                           # (x, hub) for every node x
+    sets = materialize(adj_h.groupBy("a").agg(*_set_name("b")), "hub_sets")   # hub set of every node that has one
+    hubs = materialize(adj_h.join(sets, "a").select(*SET, "b").distinct(), "hub_set_members")
+    asked = materialize(sets.join(src, "a", "left_semi").select(*SET).distinct().join(hubs, SET), "asked_sets")
+    qs, ss = ["q" + c for c in SET], SET
+    met = materialize(
+        asked.select("b", *[F.col(c).alias("q" + c) for c in SET]).join(hubs, "b").select(*qs, *ss).distinct(), "sets_that_meet")
+    sizes = flag(sets.withColumnRenamed("a", "c"), "c").groupBy(*SET).agg(F.count(F.lit(1)).alias("cnt"), F.sum("rk").alias("rcnt"))
+    blocks = met.join(sizes, SET).groupBy(*qs).agg(F.sum("cnt").alias("U"), F.sum("rcnt").alias("UR"))
+    pairs = met.withColumn("meet", F.lit(True))
+    q = named(sets, "a", "q")
 
     # W_L: pairs through light centers, minus those already in T_H
     hop1_l = hop1.join(heavy, "b", "left_anti")
@@ -163,28 +164,27 @@ def exposure_counts_blocks(sources: DataFrame, adj: DataFrame, risky: DataFrame,
         .where(F.col("a") != F.col("c")).select("a", "c").distinct()
     )
     wl_new = (
-        flag(wl.join(q, "a", "left").join(s_c, "c", "left"), "c")
-        .where(~F.coalesce(F.arrays_overlap("Q", "S"), F.lit(False)))
+        flag(wl.join(q, "a", "left").join(named(sets, "c", ""), "c", "left").join(pairs, qs + ss, "left"), "c")
+        .where(F.col("meet").isNull())
         .groupBy("a").agg(F.count(F.lit(1)).alias("nL"), F.sum("rk").alias("rL"))
     )
 
     # neighbours x != a that lie in T'(a)
     nb = hop1.where(F.col("a") != F.col("b")).select("a", F.col("b").alias("x"))
     in_t = (
-        flag(nb.join(q, "a", "left")
-             .join(s_c.withColumnRenamed("c", "x"), "x", "left")
+        flag(nb.join(q, "a", "left").join(named(sets, "x", ""), "x", "left").join(pairs, qs + ss, "left")
              .join(wl.select("a", F.col("c").alias("x"), F.lit(True).alias("inL")), ["a", "x"], "left"), "x")
-        .where(F.coalesce(F.arrays_overlap("Q", "S"), F.lit(False)) | F.coalesce(F.col("inL"), F.lit(False)))
+        .where(F.col("meet").isNotNull() | F.col("inL").isNotNull())
         .groupBy("a").agg(F.count(F.lit(1)).alias("nX"), F.sum("rk").alias("rX"))
     )
 
     one = flag(hop1, "b").groupBy("a").agg(F.count(F.lit(1)).alias("n1"), F.sum("rk").cast("long").alias("r1"))
     self_rk = flag(src, "a").select("a", F.col("rk").alias("rk_self"))
     per = (
-        one.join(q, "a", "left").join(blocks, "Q", "left")
+        one.join(q, "a", "left").join(blocks, qs, "left")
         .join(wl_new, "a", "left").join(in_t, "a", "left").join(self_rk, "a", "left")
     )
-    has_q = F.col("Q").isNotNull()
+    has_q = F.col("qs1").isNotNull()
     n_t = F.coalesce(F.col("U"), F.lit(0)) - F.when(has_q, 1).otherwise(0) + F.coalesce(F.col("nL"), F.lit(0))
     r_t = (F.coalesce(F.col("UR"), F.lit(0)) - F.when(has_q, F.coalesce(F.col("rk_self"), F.lit(0))).otherwise(0)
            + F.coalesce(F.col("rL"), F.lit(0)))
@@ -199,58 +199,58 @@ def exposure_counts_blocks(sources: DataFrame, adj: DataFrame, risky: DataFrame,
 # Weakly connected components: large-star / small-star
 # ---------------------------------------------------------------------------
 
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(
-        e.select(F.col("y").alias("u"), F.col("x").alias("v")))
-    mins = both.groupBy("u").agg(F.min("v").alias("mv")).withColumn("m", F.least("u", "mv"))
-    return (
-        both.join(mins.select("u", "m"), "u")
-        .where(F.col("v") > F.col("u"))
-        .select(F.col("v").alias("x"), F.col("m").alias("y"))
-        .distinct()
-    )
+def _minima(pairs: DataFrame, value) -> DataFrame:
+    """(u, m) per u, written: the join that follows is then a plain shuffle on both sides, and Spark splits
+    the rows of a component's root, which in the end holds its whole component."""
+    return materialize(pairs.groupBy("u").agg(F.min("v").alias("mv")).select("u", value.alias("m")), "cc_minima")
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    # orient every edge as (larger, smaller)
-    o = e.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where(F.col("u") != F.col("v"))
-    mins = o.groupBy("u").agg(F.min("v").alias("m"))
-    j = o.join(mins, "u")
-    out = j.select(F.col("v").alias("x"), F.col("m").alias("y")).unionByName(
-        mins.select(F.col("u").alias("x"), F.col("m").alias("y")))
-    return out.where(F.col("x") != F.col("y")).distinct()
+def _star_round(e: DataFrame) -> DataFrame:
+    """One large-star and one small-star step over edges (x, y) with x > y; each step's table is written."""
+    both = e.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(
+        e.select(F.col("y").alias("u"), F.col("x").alias("v")))
+    low = _minima(both, F.least("u", "mv"))
+    large = materialize(
+        both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("x"), F.col("m").alias("y")).distinct(), "cc_large")
+    discard(low)
+    down = large.select(F.col("x").alias("u"), F.col("y").alias("v"))
+    low = _minima(down, F.col("mv"))
+    out = down.join(low, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).unionByName(
+        low.select(F.col("u").alias("x"), F.col("m").alias("y")))
+    out = materialize(out.where(F.col("x") != F.col("y")).distinct(), "cc_edges")
+    discard(low, large)
+    return out
 
 
 def _is_star_forest(e: DataFrame) -> bool:
     """Every child has one parent and no parent is itself a child (one job)."""
     multi = e.groupBy("x").count().where(F.col("count") > 1).select("x")
-    chained = e.select(F.col("y").alias("x")).join(e.select("x"), "x", "left_semi")
+    chained = e.select(F.col("y").alias("x")).distinct().join(e.select("x"), "x", "left_semi")
     return multi.unionByName(chained).isEmpty()
 
 
-def connected_components(node_ids: DataFrame, edges: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, int, bool]:
-    """(id, component) with component = smallest id in the weak component.
+def connected_components(node_ids: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """(id, component) with component = smallest id in the weak component, and the rounds it took.
 
     Alternates large-star and small-star until the edge set is a star forest
-    (each node points at its component minimum).  Each round's edge set is
-    written to the shared folder, so lineage stays one round deep and a lost
-    executor only recomputes one round.  Returns (table, rounds, converged).
+    (each node points at its component minimum); there is no other way out of
+    the loop.  Each round's edge set is written to the shared folder, so lineage
+    stays one round deep, and the one before is deleted.
     """
     e = materialize(
         edges.select(F.greatest("src", "dst").alias("x"), F.least("src", "dst").alias("y"))
         .where(F.col("x") != F.col("y"))
         .distinct(), "cc_edges")
     rounds = 0
-    converged = e.isEmpty()
-    while not converged and rounds < max_rounds:
-        e = materialize(_small_star(_large_star(e)), "cc_edges")
+    while not _is_star_forest(e):
+        before, e = e, _star_round(e)
+        discard(before)
         rounds += 1
-        converged = _is_star_forest(e)
     ids = node_ids.select("id").unionByName(edges.select(F.col("src").alias("id"))).unionByName(
         edges.select(F.col("dst").alias("id"))).distinct()
     comp = ids.join(e.select(F.col("x").alias("id"), F.col("y").alias("parent")), "id", "left").select(
         "id", F.coalesce(F.col("parent"), F.col("id")).alias("component"))
-    return comp, rounds, converged
+    return comp, rounds
 
 
 def component_summary(comp: DataFrame, node_ids: DataFrame | None = None) -> DataFrame:
@@ -263,5 +263,3 @@ def component_summary(comp: DataFrame, node_ids: DataFrame | None = None) -> Dat
         F.sum((F.col("size") == 1).cast("long")).alias("singleton_count"),
     )
 
-
-DISTANCES = (C.DISTANCE_1, C.DISTANCE_2, C.DISTANCE_NONE)

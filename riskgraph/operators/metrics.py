@@ -37,15 +37,20 @@ def time_step_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("time_step").agg(F.count(F.lit(1)).alias("time_step_activity"))
 
 
-def intensity_expr(cols: Sequence[str]) -> Column:
+def _feature(name: str) -> Column:
+    """A feature as double, NaN as NULL."""
+    return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
+
+
+def intensity_expr(cols: Sequence[Column]) -> Column:
     """Mean of absolute values of the given features, nulls skipped; NULL if all null."""
     if not cols:
         return F.lit(0.0)
     total = None
     present = None
     for c in cols:
-        a = F.coalesce(F.abs(F.col(c)), F.lit(0.0))
-        n = F.col(c).isNotNull().cast("int")
+        a = F.coalesce(F.abs(c), F.lit(0.0))
+        n = c.isNotNull().cast("int")
         total = a if total is None else total + a
         present = n if present is None else present + n
     return F.when(present > 0, total / present)
@@ -64,12 +69,14 @@ def with_labels(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 def node_metrics(nodes: DataFrame, edges: DataFrame, labels: DataFrame,
                  intensity_features: int = C.INTENSITY_FEATURES) -> DataFrame:
-    """Id, time_step, label_name, degrees, ratio, intensity, activity (+ features)."""
-    feats = feature_columns(nodes)
-    base = nodes.select(
-        "id", F.col("time_step").cast("int").alias("time_step"),
-        *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in feats],
-    )
+    """Id, time_step, label_name, degrees, ratio, intensity, activity.
+
+    Intensity is taken while the features are read; the features themselves do
+    not travel (``features_of`` brings them back for a few nodes).
+    """
+    feats = feature_columns(nodes)[:intensity_features]
+    base = nodes.select("id", F.col("time_step").cast("int").alias("time_step"),
+                        intensity_expr([_feature(c) for c in feats]).alias("anonymized_behavior_intensity"))
     deg = degree_counts(edges)
     steps = time_step_counts(base)
     df = (
@@ -87,6 +94,10 @@ def node_metrics(nodes: DataFrame, edges: DataFrame, labels: DataFrame,
         (in_d + out_d).alias("neighbor_complexity"),
         F.col("time_step_activity"),
         out_in_ratio(out_d, in_d).alias("out_in_ratio"),
-        intensity_expr(feats[:intensity_features]).alias("anonymized_behavior_intensity"),
-        *feats,
+        "anonymized_behavior_intensity",
     )
+
+
+def features_of(few: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, features) of the nodes in ``few`` (a small table that the planner checks and broadcasts)."""
+    return nodes.join(few.select("id"), "id", "left_semi").select("id", *[_feature(c).alias(c) for c in feature_columns(nodes)])

@@ -9,20 +9,19 @@ from riskgraph import config as C
 from riskgraph.operators.quantiles import quantile_wide
 
 
-def global_quantiles(metrics_df: DataFrame, method: str = "auto") -> DataFrame:
+def global_quantiles(metrics_df: DataFrame) -> DataFrame:
     """A3: one row, ``q_<metric>_p85`` and ``q_<metric>_p90`` for the five segment metrics."""
-    return quantile_wide(metrics_df, C.SEGMENT_METRICS, C.SEGMENT_PROBS, method=method, prefix="q_")
+    return quantile_wide(metrics_df, C.SEGMENT_METRICS, C.SEGMENT_PROBS, prefix="q_")
 
 
-def assign_segments(metrics_df: DataFrame, quantiles: DataFrame | None = None,
-                    method: str = "auto") -> DataFrame:
+def assign_segments(metrics_df: DataFrame, quantiles: DataFrame | None = None) -> DataFrame:
     """P4 + P5: adds primary_segment and secondary_tag_count.
 
     The cut-offs are one row of ten numbers (a global aggregate): evaluated
     once and folded into the projection as constants, so there is no join and
     the comparison stays inside whole-stage codegen.
     """
-    q = quantiles if quantiles is not None else global_quantiles(metrics_df, method)
+    q = quantiles if quantiles is not None else global_quantiles(metrics_df)
     cut = q.first().asDict()
 
     def gt(col: str, name: str):

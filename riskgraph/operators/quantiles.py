@@ -1,30 +1,19 @@
 """Exact percentiles with linear interpolation (pandas ``quantile`` semantics).
 
-Two methods give identical results:
-
-``percentile``
-    Spark's ``percentile`` aggregate.  Its buffer is a map value -> count per
-    group, merged in one task per group: fine for low-cardinality metrics,
-    unbounded for continuous ones on very large inputs.
-
-``auto`` (default)
-    ``percentile`` when the input has at most ``PERCENTILE_ROW_LIMIT`` rows
-    (no group map can exceed that many entries); above it, ``percentile`` for
-    integer-typed metrics and ``exact`` for the others.  The
-    integer metrics here are counts (degrees, nodes per step): k distinct
-    non-negative counts summing to T need T >= k(k-1)/2, so a count metric
-    has at most about sqrt(2T) distinct values and the map stays small at any
-    scale.  Continuous metrics (ratios, intensities) can have as many distinct
-    values as rows and use the distributed selection.
-
-``exact``
-    Distributed selection.  One pass builds a quantile sketch per
-    (group, metric) to find a narrow value window around every requested
-    rank; a second pass counts the rows below each window and collapses the
-    rows inside it to (value, count) pairs, so a hot value is one row.  The
-    exact rank is then found by a running sum over the few distinct values in
-    the window.  If a window misses its rank (the sketch guarantee failed)
-    the group falls back to ``percentile``.  No step holds a whole group.
+The method follows the metric's type, never the size of the input:
+
+integer metrics
+    Spark's ``percentile`` aggregate, all of them in one grouped pass.  Its
+    buffer is a map value -> count per group.  The integer metrics here are
+    counts (degrees, nodes per step): k distinct non-negative counts summing
+    to T need T >= k(k-1)/2, so the map has at most about sqrt(2T) entries
+    and stays small at any scale.
+
+other metrics (ratios, intensities: as many values as rows)
+    Distributed selection (``at_ranks``).  Rows are counted per distinct value
+    (a hot value becomes one row on the map side), the distinct values are
+    range-partitioned and sorted, and counts per partition turn a rank into a
+    place in one partition.  No step holds more than one partition.
 
 Interpolation follows Spark's ``percentile``: position = (n - 1) * p,
 value = (ceil - pos) * v[floor] + (pos - floor) * v[ceil].
@@ -36,18 +25,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-DEFAULT_ACCURACY = 10_000
-PERCENTILE_ROW_LIMIT = 2_000_000
-
-
-def _long_form(df: DataFrame, metrics: Sequence[str], group_cols: Sequence[str]) -> DataFrame:
-    cols = [F.col(g) for g in group_cols] + [F.col(m).cast("double").alias(m) for m in metrics]
-    return (
-        df.select(*cols)
-        .unpivot(list(group_cols), list(metrics), "metric", "value")
-        .where(F.col("value").isNotNull())
-    )
+from riskgraph.session import checkpoint_keep_partitions
 
 
 def _interpolate(pos, lo, hi, v_lo, v_hi):
@@ -58,138 +38,81 @@ def _interpolate(pos, lo, hi, v_lo, v_hi):
     )
 
 
-def _percentile_method(long: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
-    arr = F.percentile(F.col("value"), F.array(*[F.lit(float(p)) for p in probs]))
-    agg = long.groupBy(*keys).agg(arr.alias("q"))
-    return agg.select(
-        *keys,
-        F.posexplode("q").alias("i", "quantile"),
-    )
-
-
-def _exact_method(long: DataFrame, keys: list[str], probs: Sequence[float], accuracy: int) -> DataFrame:
-    from riskgraph.session import materialize
-
-    k = len(probs)
-    slack = 4.0 / accuracy
-    sketch_probs = []
-    for p in probs:
-        sketch_probs += [max(0.0, p - slack), min(1.0, p + slack)]
-
-    # pass 1: count and sketch per key (partial aggregation; one small row per key)
-    bounds = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("value", [float(x) for x in sketch_probs], accuracy).alias("b"),
-    )
-    bcols = [F.col("n")]
-    for i, p in enumerate(probs):
-        pos = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        bcols += [
-            F.col("b")[2 * i].alias(f"L{i}"),
-            F.col("b")[2 * i + 1].alias(f"U{i}"),
-            pos.alias(f"pos{i}"),
-            F.floor(pos).cast("long").alias(f"lo{i}"),
-            F.ceil(pos).cast("long").alias(f"hi{i}"),
-        ]
-    # one small row per (group, metric), written once so later steps do not
-    # re-run the sketch pass
-    bounds = materialize(bounds.select(*keys, *bcols), "quantile_bounds")
-
-    # pass 2: per (key, i) the rows below the window collapse to one NULL bucket,
-    # rows inside the window to (value, count); rows above are dropped.
-    v = F.col("value")
-    tags = F.filter(
-        F.array(*[
-            F.when(v < F.col(f"L{i}"), F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("bucket")))
-            .when(v <= F.col(f"U{i}"), F.struct(F.lit(i).alias("i"), v.alias("bucket")))
-            for i in range(k)
-        ]),
-        lambda x: x.isNotNull(),
-    )
-    counts = (
-        # one row per (group, metric): the planner broadcasts it after checking its size
-        long.join(bounds.select(*keys, *[c for i in range(k) for c in (f"L{i}", f"U{i}")]), keys)
-        .select(*keys, F.inline(tags))
-        .groupBy(*keys, "i", "bucket")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    counts = materialize(counts, "quantile_windows")
+def sorted_counts(df: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """(keys..., value, c, _pid, start) of the distinct values in order, where ``start`` counts the rows
+    of the same key before the value, and (keys..., n) with the rows of each key.
 
-    tcols = [
-        F.struct(F.lit(i).alias("i"), F.col(f"pos{i}").alias("pos"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"))
-        for i in range(k)
-    ]
-    targets = bounds.select(*keys, F.inline(F.array(*tcols)))
-    lt = counts.where(F.col("bucket").isNull()).select(*keys, "i", F.col("c").alias("lt"))
-    inside = counts.where(F.col("bucket").isNotNull())
-    w = Window.partitionBy(*keys, "i").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        inside.withColumn("cum", F.sum("c").over(w))
-        .join(targets, keys + ["i"])
-        .join(lt, keys + ["i"], "left")
-        .withColumn("start", F.coalesce(F.col("lt"), F.lit(0)) + F.col("cum") - F.col("c"))
-    )
-    hit_lo = (F.col("start") <= F.col("lo")) & (F.col("lo") < F.col("start") + F.col("c"))
-    hit_hi = (F.col("start") <= F.col("hi")) & (F.col("hi") < F.col("start") + F.col("c"))
-    picked = ranked.groupBy(*keys, "i", "pos", "lo", "hi").agg(
-        F.max(F.when(hit_lo, F.col("bucket"))).alias("v_lo"),
-        F.max(F.when(hit_hi, F.col("bucket"))).alias("v_hi"),
-    )
-    resolved = (
-        targets.join(picked, keys + ["i", "pos", "lo", "hi"], "left")
-        .withColumn("ok", F.col("v_lo").isNotNull() & F.col("v_hi").isNotNull())
+    The partition layout is fixed by a reliable checkpoint; only the counts per
+    (partition, key) are brought together, at most one row per partition and key
+    that meet.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    order = [F.col(k) for k in (*keys, value)]
+    part = checkpoint_keep_partitions(counts.repartitionByRange(n, *order).sortWithinPartitions(*order)).withColumn(
+        "_pid", F.spark_partition_id())
+    sizes = part.groupBy("_pid", *keys).agg(F.sum("c").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inside = Window.partitionBy("_pid", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = part.withColumn("_in", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(offsets, ["_pid", *keys]).select(
+        *keys, value, "c", (F.col("_off") + F.col("_in")).alias("start"))
+    return rows, sizes.groupBy(*keys).agg(F.sum("_n").alias("n"))
+
+
+def value_at_rank(df: DataFrame, col: str, k: int) -> tuple:
+    """(value, rows before it) at 0-based rank ``k`` of ``col`` (nulls skipped), exactly; None beyond the end."""
+    rows, _ = sorted_counts(df.where(F.col(col).isNotNull()).select(col), [], col)
+    hit = rows.where((F.col("start") <= F.lit(k)) & (F.lit(k) < F.col("start") + F.col("c"))).select(col, "start").first()
+    return None if hit is None else tuple(hit)
+
+
+def _at_ranks(df: DataFrame, metrics: Sequence[str], probs: Sequence[float], group_cols: Sequence[str]) -> DataFrame:
+    keys = [*group_cols, "metric"]
+    long = (
+        df.select(*group_cols, *[F.col(m).cast("double").alias(m) for m in metrics])
+        .unpivot(list(group_cols), list(metrics), "metric", "value")
+        .where(F.col("value").isNotNull())
     )
-    good = resolved.where("ok").select(
-        *keys, "i", _interpolate(F.col("pos"), F.col("lo"), F.col("hi"), F.col("v_lo"), F.col("v_hi")).alias("quantile"))
-    failed = resolved.where(~F.col("ok")).select(*keys).distinct()
-    if failed.isEmpty():
-        return good
-    return good.unionByName(_percentile_method(long.join(failed, keys, "left_semi"), keys, probs))
-
-
-def quantile_long(df: DataFrame, metrics: Sequence[str], probs: Sequence[float],
-                  group_cols: Sequence[str] = (), method: str = "auto",
-                  accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    rows, sizes = sorted_counts(long, keys, "value")
+    pos = lambda p: (F.col("n") - 1).cast("double") * F.lit(float(p))
+    targets = sizes.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(float(p)).alias("p"), pos(p).alias("pos"), F.floor(pos(p)).cast("long").alias("lo"), F.ceil(pos(p)).cast("long").alias("hi"))
+        for p in probs])))
+    # one row per key and probability: the planner broadcasts it after checking its size
+    met = rows.join(targets, keys)
+    at = lambda r: (F.col("start") <= F.col(r)) & (F.col(r) < F.col("start") + F.col("c"))
+    found = met.where(at("lo") | at("hi")).groupBy(*keys, "p", "pos", "lo", "hi").agg(
+        F.max(F.when(at("lo"), F.col("value"))).alias("v_lo"), F.max(F.when(at("hi"), F.col("value"))).alias("v_hi"))
+    return found.select(*keys, "p", _interpolate(F.col("pos"), F.col("lo"), F.col("hi"), F.col("v_lo"), F.col("v_hi")).alias("quantile"))
+
+
+def _percentiles(df: DataFrame, metrics: Sequence[str], probs: Sequence[float], group_cols: Sequence[str]) -> DataFrame:
+    asked = F.array(*[F.lit(float(p)) for p in probs])
+    wide = df.groupBy(*group_cols).agg(*[F.percentile(F.col(m).cast("double"), asked).alias(m) for m in metrics])
+    long = wide.unpivot(list(group_cols), list(metrics), "metric", "q").where(F.col("q").isNotNull())
+    return long.select(*group_cols, "metric", F.posexplode("q").alias("i", "quantile")).select(
+        *group_cols, "metric", asked[F.col("i")].alias("p"), "quantile")
+
+
+def quantile_long(df: DataFrame, metrics: Sequence[str], probs: Sequence[float], group_cols: Sequence[str] = ()) -> DataFrame:
     """Long table: group_cols..., metric, p, quantile (one row per group, metric, p).
 
     Groups or metrics without any non-null value produce no row.
     """
-    from pyspark.sql.types import IntegralType
-
-    keys = list(group_cols) + ["metric"]
-    if method == "auto" and df.count() <= PERCENTILE_ROW_LIMIT:
-        method = "percentile"
-    if method == "auto":
-        types = {f.name: f.dataType for f in df.schema.fields}
-        counts = [m for m in metrics if isinstance(types[m], IntegralType)]
-        other = [m for m in metrics if m not in counts]
-        parts = []
-        if counts:
-            parts.append(quantile_long(df, counts, probs, group_cols, "percentile", accuracy))
-        if other:
-            parts.append(quantile_long(df, other, probs, group_cols, "exact", accuracy))
-        out = parts[0]
-        for extra in parts[1:]:
-            out = out.unionByName(extra)
-        return out
-    long = _long_form(df, metrics, group_cols)
-    if method == "percentile":
-        res = _percentile_method(long, keys, probs)
-    elif method == "exact":
-        res = _exact_method(long, keys, probs, accuracy)
-    else:
-        raise ValueError(f"unknown quantile method {method!r}")
-    p_arr = F.array(*[F.lit(float(p)) for p in probs])
-    return res.select(*keys, p_arr[F.col("i")].alias("p"), F.col("quantile"))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    whole = [m for m in metrics if isinstance(types[m], IntegralType)]
+    other = [m for m in metrics if m not in whole]
+    parts = [f(df, ms, probs, group_cols) for f, ms in ((_percentiles, whole), (_at_ranks, other)) if ms]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def quantile_wide(df: DataFrame, metrics: Sequence[str], probs: Sequence[float],
-                  group_cols: Sequence[str] = (), method: str = "auto",
-                  prefix: str = "", accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                  group_cols: Sequence[str] = (), prefix: str = "") -> DataFrame:
     """One row per group with columns ``<prefix><metric>_pNN``."""
     from riskgraph.config import prob_label
 
-    long = quantile_long(df, metrics, probs, group_cols, method, accuracy)
+    long = quantile_long(df, metrics, probs, group_cols)
     names = {(m, float(p)): f"{prefix}{m}_{prob_label(p)}" for m in metrics for p in probs}
     aggs = [
         F.max(F.when((F.col("metric") == m) & (F.col("p") == F.lit(float(p))), F.col("quantile"))).alias(name)
@@ -198,36 +121,3 @@ def quantile_wide(df: DataFrame, metrics: Sequence[str], probs: Sequence[float],
     if group_cols:
         return long.groupBy(*group_cols).agg(*aggs)
     return long.agg(*aggs)
-
-
-def value_at_rank(df: DataFrame, col: str, k: int, accuracy: int = 1_000_000):
-    """The value at 0-based rank ``k`` of ``col`` (nulls skipped), exactly.
-
-    A sketch gives a narrow window around rank k; rows below it are counted,
-    rows inside it are collapsed to (value, count) and ranked.  Only the window
-    (about 8 / accuracy of the rows) is ever ordered in one place.
-    """
-    vals = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull())
-    stats = vals.agg(F.count(F.lit(1)).alias("n")).first()
-    n = int(stats["n"])
-    if k < 0 or k >= n:
-        raise IndexError(f"rank {k} outside 0..{n - 1}")
-    slack = 4.0 / accuracy
-    p = k / max(n - 1, 1)
-    lo_p, hi_p = max(0.0, p - slack), min(1.0, p + slack)
-    b = vals.agg(F.percentile_approx("value", [lo_p, hi_p], accuracy).alias("b")).first()["b"]
-    lower, upper = b[0], b[1]
-    below = vals.where(F.col("value") < F.lit(lower)).count()
-    if below <= k:
-        w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        hit = (
-            vals.where((F.col("value") >= F.lit(lower)) & (F.col("value") <= F.lit(upper)))
-            .groupBy("value").agg(F.count(F.lit(1)).alias("c"))
-            .withColumn("start", F.lit(below) + F.sum("c").over(w) - F.col("c"))
-            .where((F.col("start") <= F.lit(k)) & (F.lit(k) < F.col("start") + F.col("c")))
-            .select("value")
-            .first()
-        )
-        if hit is not None:
-            return hit["value"]
-    return vals.orderBy("value").offset(k).limit(1).first()["value"]

@@ -8,9 +8,8 @@ canonical form; maps and texts are built from it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskgraph import config as C
 from riskgraph.functions.text import py_float_text
@@ -52,13 +51,6 @@ def evidence_text_expr(rid: str) -> Column:
     return F.concat_ws(", ", *parts)
 
 
-def evidence_map_expr(rid: str) -> Column:
-    """Evidence as map<string,string> in field order, with the rule's note last."""
-    keys = [F.lit(f) for f, _ in C.EVIDENCE_FIELDS[rid]] + [F.lit("proxy_note")]
-    vals = [_value_text(f, k) for f, k in C.EVIDENCE_FIELDS[rid]] + [F.lit(C.PROXY_NOTES[rid])]
-    return F.map_from_arrays(F.array(*keys), F.array(*vals))
-
-
 def _all_evidence_fields() -> list[tuple[str, str]]:
     seen: dict[str, str] = {}
     for rid in C.SUPPORTED_RULE_IDS:
@@ -96,21 +88,24 @@ def triggered_rule_structs(rule_ids=C.SUPPORTED_RULE_IDS) -> Column:
         items.append(F.when(F.col(f"{rid}_hit"), F.struct(
             F.lit(rid).alias("rule_id"), F.lit(name).alias("rule_name"), F.lit(pdr).alias("pdr_rule_name"),
             F.lit("triggered").alias("status"), F.col(f"{rid}_score").cast("int").alias("score"),
-            evidence_map_expr(rid).alias("evidence_fields"),
-            evidence_values_expr(rid).alias("evidence_values"),
-            evidence_text_expr(rid).alias("evidence_text"),
-            F.lit(C.PROXY_NOTES[rid]).alias("proxy_note"),
-            _rule_doc(rid).alias("rule_doc"),
+            evidence_values_expr(rid).alias("evidence_fields"), _rule_doc(rid).alias("rule_doc"),
         )))
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 
+def draft_notes(rule_ids=C.SUPPORTED_RULE_IDS) -> Column:
+    """What a template draft says about each triggered rule, in rule order."""
+    items = [F.when(F.col(f"{rid}_hit"), F.struct(
+        F.lit(rid).alias("rule_id"), F.lit(C.RULE_DOCS[rid][0]).alias("rule_name"), F.col(f"{rid}_score").cast("int").alias("score"),
+        evidence_text_expr(rid).alias("evidence_text"), F.lit(C.PROXY_NOTES[rid]).alias("proxy_note"))) for rid in rule_ids]
+    return F.filter(F.array(*items), lambda x: x.isNotNull())
+
+
 def unsupported_rule_struct() -> Column:
     rid = "R006"
     name, pdr, _d, _l = C.RULE_DOCS[rid]
-    missing = "[" + ", ".join(f'"{m}"' for m in C.UNSUPPORTED_MISSING_FIELDS) + "]"
-    ev = F.create_map(F.lit("status"), F.lit("unavailable"), F.lit("missing_fields"), F.lit(missing),
-                      F.lit("proxy_note"), F.lit(C.UNSUPPORTED_NOTE))
+    ev = F.struct(F.lit("unavailable").alias("status"), F.array(*[F.lit(m) for m in C.UNSUPPORTED_MISSING_FIELDS]).alias("missing_fields"),
+                  F.lit(C.UNSUPPORTED_NOTE).alias("proxy_note"))
     return F.struct(F.lit(rid).alias("rule_id"), F.lit(name).alias("rule_name"), F.lit(pdr).alias("pdr_rule_name"),
                     F.lit("unsupported_by_dataset").alias("status"), F.lit(0).alias("score"),
                     ev.alias("evidence_fields"), _rule_doc(rid).alias("rule_doc"))
@@ -127,7 +122,8 @@ def chunks_per_case(retrieved: DataFrame) -> DataFrame:
 
 
 def review_contexts(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """C4: one nested context per case (cases = review queue rows)."""
+    """C4: one nested context per case (cases = review queue rows).  ``id`` and ``draft_notes`` serve
+    later steps and are not part of the record (``context_records``)."""
     ch = chunks_per_case(retrieved)
     empty_chunks = F.array().cast(ch.schema["retrieved_pdf_chunks"].dataType)
     df = cases.join(ch, "id", "left")
@@ -150,13 +146,19 @@ def review_contexts(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
         F.coalesce(F.col("retrieved_pdf_chunks"), empty_chunks).alias("retrieved_pdf_chunks"),
         F.array(*[F.lit(x) for x in C.UNAVAILABLE_FIELDS]).alias("missing_information"),
         F.array(*[F.lit(x) for x in C.GENERATION_BOUNDARIES]).alias("generation_boundaries"),
+        draft_notes().alias("draft_notes"),
     )
 
 
+def context_records(contexts: DataFrame) -> DataFrame:
+    """The written form of contexts; evidence fields of other rules are NULL and are left out of the JSON."""
+    return contexts.drop("id", "draft_notes")
+
+
 def fallback_drafts(contexts: DataFrame) -> DataFrame:
     """Template draft per context (no model call)."""
     tx = F.col("review_object.txId")
-    rules = F.col("triggered_rules")
+    rules = F.col("draft_notes")
     return contexts.select(
         "id",
         tx.alias("txId"),
@@ -187,7 +189,7 @@ def draft_requests(contexts: DataFrame) -> DataFrame:
         F.col("risk.risk_level").alias("risk_level"),
         F.transform("triggered_rules", lambda r: F.struct(
             r["rule_id"].alias("rule_id"), r["rule_name"].alias("rule_name"),
-            r["evidence_values"].alias("evidence"),
+            r["evidence_fields"].alias("evidence"),
             r["rule_doc"]["dataset_limit"].alias("limit"),
         )).alias("triggered_rules"),
         F.col("missing_information").alias("missing_info"),
@@ -200,54 +202,48 @@ def draft_requests(contexts: DataFrame) -> DataFrame:
     )
 
 
-DRAFT_BODY_SCHEMA = T.StructType([
-    T.StructField("risk_summary", T.StringType()),
-    T.StructField("triggered_reason_codes", T.ArrayType(T.StructType([
-        T.StructField("rule_id", T.StringType()), T.StructField("rule_name", T.StringType()),
-        T.StructField("description", T.StringType())]))),
-    T.StructField("suspicious_behavior_description", T.ArrayType(T.StringType())),
-    T.StructField("evidence_references", T.ArrayType(T.StructType([
-        T.StructField("rule_id", T.StringType()), T.StructField("evidence", T.StringType())]))),
-    T.StructField("missing_information", T.ArrayType(T.StringType())),
-    T.StructField("human_review_questions", T.ArrayType(T.StringType())),
-    T.StructField("suggested_next_review_action", T.StringType()),
-    T.StructField("_corrupt_record", T.StringType()),
-])
+DRAFT_BODY = {
+    "risk_summary": "string",
+    "triggered_reason_codes": "array<struct<rule_id:string,rule_name:string,description:string>>",
+    "suspicious_behavior_description": "array<string>",
+    "evidence_references": "array<struct<rule_id:string,evidence:string>>",
+    "missing_information": "array<string>",
+    "human_review_questions": "array<string>",
+    "suggested_next_review_action": "string",
+}
+FIXED_KEYS = ("txId", "risk_score", "risk_level", "llm_status", "analyst_decision")
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
-    """(id, content) -> (id, parsed struct, parsed_ok).
+    """(id, content) -> (id, parsed_ok, parsed struct, extra map).
 
-    Text that does not parse as a JSON object sets ``_corrupt_record``; a
-    struct of nulls is *not* null, so the flag comes from that field.
+    A response counts if it is a JSON object, whatever its fields hold.  Each
+    field is then read on its own and is NULL where its type differs; keys
+    outside the draft's fields are kept in ``extra`` (value as text, nested values
+    as JSON text).
     """
-    parsed = F.from_json(F.col("content"), DRAFT_BODY_SCHEMA,
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    is_object = F.coalesce(F.trim(F.col("content")).startswith("{"), F.lit(False))
-    return responses.select("id", parsed.alias("parsed"), is_object.alias("_obj")).withColumn(
-        "parsed_ok", F.col("parsed").isNotNull() & F.col("parsed._corrupt_record").isNull() & F.col("_obj")
-    ).drop("_obj")
+    body = F.try_parse_json(F.col("content"))
+    ok = F.coalesce(F.schema_of_variant(body).startswith("OBJECT"), F.lit(False))
+    fields = [F.try_variant_get(body, f"$.{name}", kind).alias(name) for name, kind in DRAFT_BODY.items()]
+    every = F.from_json(F.when(ok, F.col("content")), "map<string,string>")
+    known = F.array(*[F.lit(k) for k in (*DRAFT_BODY, *FIXED_KEYS)])
+    return responses.select("id", ok.alias("parsed_ok"), F.when(ok, F.struct(*fields)).alias("parsed"),
+                            F.map_filter(every, lambda k, _v: ~F.array_contains(known, k)).alias("extra"))
 
 
 def merge_drafts(contexts: DataFrame, responses: DataFrame) -> DataFrame:
-    """Model draft where the response parsed, else the template; id, score,
-    level, status and decision always come from the context."""
+    """Model draft where the response is a JSON object, else the template; id, score,
+    level, status and decision always come from the context.  A response is the draft: fields that it
+    lacks are NULL, other keys that it has are in ``extra``."""
     fb = fallback_drafts(contexts)
-    pr = parse_responses(responses)
-    df = fb.join(pr, "id", "left")
+    df = fb.join(parse_responses(responses), "id", "left")
     ok = F.coalesce(F.col("parsed_ok"), F.lit(False))
-    p = F.col("parsed")
-
-    def pick(name: str) -> Column:
-        return F.when(ok, p[name]).otherwise(F.col(name)).alias(name)
-
     return df.select(
         "id", "txId", "risk_score", "risk_level",
-        pick("risk_summary"), pick("triggered_reason_codes"), pick("suspicious_behavior_description"),
-        pick("evidence_references"), pick("missing_information"), pick("human_review_questions"),
-        pick("suggested_next_review_action"),
+        *[F.when(ok, F.col("parsed")[name]).otherwise(F.col(name)).alias(name) for name in DRAFT_BODY],
         F.lit(C.PENDING).alias("analyst_decision"),
         F.when(ok, F.lit("success")).otherwise(F.lit("fallback")).alias("llm_status"),
+        F.when(ok, F.col("extra")).alias("extra"),
     )
 
 
@@ -261,22 +257,10 @@ def draft_violations(drafts: DataFrame, cases: DataFrame) -> DataFrame:
         "id", F.col("c.rule_id").alias("rule_id"))
     bad_codes = codes.join(hits, ["id", "rule_id"], "left_anti").select(
         "id", F.lit("reason_code_not_triggered").alias("violation"), F.coalesce(F.col("rule_id"), F.lit("")).alias("detail"))
-    required = ["risk_summary", "triggered_reason_codes", "suspicious_behavior_description", "evidence_references",
-                "missing_information", "human_review_questions", "suggested_next_review_action"]
+    required = list(DRAFT_BODY)
     missing = drafts.select("id", F.inline(F.filter(F.array(*[
         F.when(F.col(c).isNull(), F.struct(F.lit("missing_field").alias("violation"), F.lit(c).alias("detail")))
         for c in required]), lambda x: x.isNotNull())))
     decision = drafts.where(F.col("analyst_decision") != C.PENDING).select(
         "id", F.lit("decision_not_pending").alias("violation"), F.col("analyst_decision").alias("detail"))
     return bad_codes.unionByName(missing).unionByName(decision)
-
-
-def responses_from_conversations(spark: SparkSession, cases: DataFrame, conversations: DataFrame) -> DataFrame:
-    """Model responses for the cases, taken from assistant turns of the
-    conversation table (case number n <- conversation n - 1, first assistant turn)."""
-    first = (
-        conversations.where(F.col("role") == "assistant")
-        .groupBy("conv_id").agg(F.min_by("text", "turn").alias("content"))
-    )
-    return cases.select("id", (F.col("draw") - 1).cast("long").alias("conv_id")).join(first, "conv_id", "left").select(
-        "id", F.coalesce(F.col("content"), F.lit("")).alias("content"))

@@ -99,24 +99,10 @@ def triggered_rules(prefix_rules=C.SUPPORTED_RULE_IDS) -> Column:
     )
 
 
-def rule_hits_long(scored: DataFrame, rule_ids=C.SUPPORTED_RULE_IDS) -> DataFrame:
-    """(id, rule_id, score) for every hit rule (long form of the hit columns)."""
-    entries = F.array(*[
-        F.struct(F.lit(rid).alias("rule_id"), F.col(f"{rid}_hit").alias("hit"), F.col(f"{rid}_score").alias("score"))
-        for rid in rule_ids
-    ])
-    return (
-        scored.select("id", F.inline(entries))
-        .where("hit")
-        .drop("hit")
-    )
-
-
-def weights_by_join(spark: SparkSession, hits_long: DataFrame, segments: DataFrame, mode: str = "published") -> DataFrame:
-    """J8 as a dimension join: (id, rule_id) hits x (segment, rule) weights; miss -> 0."""
+def weights_by_join(spark: SparkSession, hits_long: DataFrame, mode: str = "published") -> DataFrame:
+    """J8 as a dimension join: hits (id, primary_segment, rule_id) x (segment, rule) weights; miss -> 0."""
     w = weight_table(spark, mode)
     return (
-        hits_long.join(segments.select("id", "primary_segment"), "id")
-        .join(F.broadcast(w), ["primary_segment", "rule_id"], "left")
+        hits_long.join(F.broadcast(w), ["primary_segment", "rule_id"], "left")  # configured segments x rules
         .select("id", "rule_id", F.coalesce(F.col("weight"), F.lit(0)).alias("weight"))
     )

@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 from riskgraph import config as C
 from riskgraph.session import checkpoint_keep_partitions
 
-# A bounded top-k keeps (skip + take) rows per partition and merges them in one
-# task; it is used while that merge stays below this many rows.
-TOPK_MERGE_ROWS = 10_000_000
-
 
 def draw_key(seed: int, id_col: str = "id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
@@ -55,55 +51,26 @@ def global_rank(df: DataFrame, order: Sequence[Column], num_partitions: int | No
     )
 
 
-def _score_boundary(scored: DataFrame, skip: int, score_col: str) -> tuple[int | None, int]:
-    """(score at rank ``skip`` in the desc order, rows of that score ranked above it)."""
-    hist = scored.groupBy(score_col).agg(F.count(F.lit(1)).alias("n")).collect()
-    seen = 0
-    for row in sorted(hist, key=lambda r: r[score_col], reverse=True):
-        if seen + row["n"] > skip:
-            return row[score_col], skip - seen
-        seen += row["n"]
-    return None, 0
-
-
-def _id_at_rank(df: DataFrame, id_col: str, k: int) -> int:
-    """The (k+1)-th smallest id of df, found by distributed selection."""
-    from riskgraph.operators.quantiles import value_at_rank
-
-    return value_at_rank(df, id_col, k)
-
-
-def _parallelism(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 def ranked_slice(scored: DataFrame, skip: int, take: int, score_col: str = "risk_score",
-                 id_col: str = "id", direct_limit: int | None = None) -> DataFrame:
+                 id_col: str = "id") -> DataFrame:
     """L2: rows at ranks [skip, skip + take) of (score desc, id asc).
 
-    Small skips run as one bounded top-k (TakeOrderedAndProject with offset),
-    while (skip + take) x partitions stays under ``TOPK_MERGE_ROWS``.  Larger
-    skips use the score histogram (the score domain is a small integer range by
-    construction) to find the boundary score, distributed selection for the
-    boundary id, and then a top-k of ``take`` rows.
+    The score at rank ``skip`` and, among the rows of that score, the id are
+    found by distributed selection; then a bounded top-k of ``take`` rows runs
+    on what is left, so no task ever holds the skipped rows.
     """
-    order = rank_order(score_col, id_col)
-    if direct_limit is None:
-        direct_limit = max(take, TOPK_MERGE_ROWS // max(_parallelism(scored), 1))
-    if skip + take <= direct_limit:
-        return scored.orderBy(*order).offset(skip).limit(take)
-    s_star, k = _score_boundary(scored, skip, score_col)
-    if s_star is None:
-        return scored.limit(0)
+    from riskgraph.operators.quantiles import value_at_rank
+
     s = F.col(score_col)
-    if k == 0:
-        rest = scored.where(s <= F.lit(s_star))
-    else:
-        same = scored.where(s == F.lit(s_star))
-        id_k = _id_at_rank(same.select(id_col), id_col, k)
-        rest = scored.where((s < F.lit(s_star)) | ((s == F.lit(s_star)) & (F.col(id_col) >= F.lit(id_k))))
-    return rest.orderBy(*order).limit(take)
+    at = value_at_rank(scored.select((-s).alias("_down")), "_down", skip)
+    if at is None:
+        return scored.limit(0)
+    edge, before = -at[0], at[1]
+    rest = scored.where(s <= F.lit(edge))
+    if skip > before:
+        first = value_at_rank(scored.where(s == F.lit(edge)).select(id_col), id_col, skip - before)[0]
+        rest = scored.where((s < F.lit(edge)) | ((s == F.lit(edge)) & (F.col(id_col) >= F.lit(first))))
+    return rest.orderBy(*rank_order(score_col, id_col)).limit(take)
 
 
 def sample_pool(scored: DataFrame, skip: int = C.SKIP_TOP_N, batch: int = C.BATCH_SIZE,

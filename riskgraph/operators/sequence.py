@@ -1,13 +1,11 @@
 """Next row within a group in a total order (``lead``) without holding a hot
 group in one task.
 
-Small groups use a window per group.  When the largest group exceeds
-``max_group_rows`` the rows are range-partitioned and sorted on
-(group, order...), so a hot group spreads over many partitions; ``lead`` runs
-per (partition, group), and the last row of each (partition, group) takes the
-first row of the same group in the next partition that has one.  That step
-works on a table with one row per (partition, group), whose per-group size is
-at most the number of partitions.
+Rows are range-partitioned and sorted on (group, order...), so a hot group
+spreads over many partitions; ``lead`` runs per (partition, group), and the
+last row of each (partition, group) takes the first row of the same group in
+the next partition that has one.  That step works on a table with one row per
+(partition, group), whose per-group size is at most the number of partitions.
 """
 
 from __future__ import annotations
@@ -19,29 +17,13 @@ from pyspark.sql import functions as F
 
 from riskgraph.session import checkpoint_keep_partitions
 
-MAX_GROUP_ROWS = 5_000_000
-
-
 def lead_within(df: DataFrame, group: str, order: Sequence[str], value: str, out: str = "next_value",
-                max_group_rows: int = MAX_GROUP_ROWS, num_partitions: int | None = None,
-                sizes_from: DataFrame | None = None) -> DataFrame:
+                num_partitions: int | None = None) -> DataFrame:
     """Adds ``out`` = ``value`` of the next row of the same ``group`` in ``order`` (NULL for the last).
 
     ``order`` must make rows of a group totally ordered up to ties whose
     ``value`` is equal (then any tie order gives the same result).
-    ``sizes_from`` may give a cheaper frame whose group sizes bound those of
-    ``df`` (for example the input of a join that can only drop rows).
     """
-    base = sizes_from if sizes_from is not None else df
-    biggest = base.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if biggest <= max_group_rows:
-        w = Window.partitionBy(group).orderBy(*order)
-        return df.withColumn(out, F.lead(value).over(w))
-    return _lead_by_range(df, group, order, value, out, num_partitions)
-
-
-def _lead_by_range(df: DataFrame, group: str, order: Sequence[str], value: str, out: str,
-                   num_partitions: int | None) -> DataFrame:
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys: list[Column] = [F.col(group)] + [F.col(c) for c in order]

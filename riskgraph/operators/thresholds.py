@@ -11,37 +11,26 @@ from riskgraph import config as C
 from riskgraph.operators.quantiles import quantile_long, quantile_wide
 
 
-def threshold_long(segmented: DataFrame, method: str = "auto") -> DataFrame:
+def threshold_long(segmented: DataFrame) -> DataFrame:
     """A4: primary_segment, metric, p75, p90, p95."""
-    long = quantile_long(segmented, C.THRESHOLD_METRICS, C.THRESHOLD_PROBS, ["primary_segment"], method)
+    long = quantile_long(segmented, C.THRESHOLD_METRICS, C.THRESHOLD_PROBS, ["primary_segment"])
     return long.groupBy("primary_segment", "metric").agg(*[
         F.max(F.when(F.col("p") == F.lit(float(p)), F.col("quantile"))).alias(C.prob_label(p))
         for p in C.THRESHOLD_PROBS
     ])
 
 
-def threshold_wide(segmented: DataFrame, method: str = "auto") -> DataFrame:
+def threshold_wide(segmented: DataFrame) -> DataFrame:
     """A5: one row per segment, ``thresh_<metric>_pNN`` columns."""
-    return quantile_wide(segmented, C.THRESHOLD_METRICS, C.THRESHOLD_PROBS, ["primary_segment"],
-                         method, prefix="thresh_")
-
-
-def pivot_thresholds(long: DataFrame) -> DataFrame:
-    """A5 from the long form (segment, metric, p75, p90, p95) -> wide."""
-    aggs = []
-    for m in C.THRESHOLD_METRICS:
-        for p in C.THRESHOLD_PROBS:
-            lab = C.prob_label(p)
-            aggs.append(F.max(F.when(F.col("metric") == m, F.col(lab))).alias(f"thresh_{m}_{lab}"))
-    return long.groupBy("primary_segment").agg(*aggs)
+    return quantile_wide(segmented, C.THRESHOLD_METRICS, C.THRESHOLD_PROBS, ["primary_segment"], prefix="thresh_")
 
 
 def percentile_table(df: DataFrame, metrics: Sequence[str],
                      probs: Sequence[float] = (0.10, 0.25, 0.75, 0.90, 0.95),
-                     by_segment: bool = True, method: str = "auto") -> DataFrame:
+                     by_segment: bool = True) -> DataFrame:
     """Segment (or "_global"), metric, one column per probability."""
     groups = ["primary_segment"] if by_segment and "primary_segment" in df.columns else []
-    long = quantile_long(df, metrics, probs, groups, method)
+    long = quantile_long(df, metrics, probs, groups)
     if not groups:
         long = long.withColumn("primary_segment", F.lit("_global"))
     return long.groupBy("primary_segment", "metric").agg(*[

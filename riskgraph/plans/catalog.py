@@ -20,7 +20,7 @@ from riskgraph.operators import thresholds as T
 from riskgraph.plans import duck_sql as D
 from riskgraph.plans import pipeline as P
 from riskgraph.plans.pipeline import ScoreOptions, scored_nodes, segmented_nodes
-from riskgraph.session import checkpoint_dir
+from riskgraph.session import materialize
 from riskgraph.sources.tables import GraphInputs, load_graph
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +28,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 SKIP = D.SKIP
 BATCH = D.BATCH
 SEED = D.SEED
-HEAVY_DEGREE = 1000
+HEAVY_DEGREE = 24  # the driver's graph has such nodes, so hub blocks are part of every all-node run
 
 _memo: dict = {}
 
@@ -87,6 +87,30 @@ def review_queue(spark: SparkSession, sf: str) -> DataFrame:
     return _memo[k]
 
 
+def mixed_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Stratified batches of two seeds, with draw order: every risk level, segment and rule occurs in it."""
+    k = _key(spark, sf, "mixed")
+    if k not in _memo:
+        from pyspark.sql import Window
+
+        cases = S.sample_merged(scored(spark, sf), ["risk_level"], [SEED, SEED + 1], C.PER_STRATUM).drop("rn", "batch")
+        w = Window.orderBy(S.draw_key(SEED), F.col("id"))  # <= 2 x strata x PER_STRATUM rows
+        _memo[k] = cases.withColumn("draw", F.row_number().over(w))
+    return _memo[k]
+
+
+def mixed_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """The queue of the review keys: the mixed sample with features and exposure."""
+    k = _key(spark, sf, "mixed_queue")
+    if k not in _memo:
+        _memo[k] = P.queue_of(mixed_sample(spark, sf), graph(spark, sf))
+    return _memo[k]
+
+
+def mixed_sql(select: str) -> str:
+    return D.with_sql(select, sample=D.MIXED)
+
+
 REG: dict[str, tuple[QueryFn, str | None]] = {}
 
 
@@ -222,6 +246,18 @@ def q_agg_percentiles(spark, sf):
     return t.select("primary_segment", "metric", *[F.round(c, 6).alias(c) for c in _A6_LABS])
 
 
+_A6_GLOBAL_SQL = " UNION ALL ".join(
+    f"SELECT '_global' AS primary_segment, '{m}' AS metric, "
+    + ", ".join(f"round(quantile_cont({m}::DOUBLE, {p}), 6) AS {C.prob_label(p)}" for p in _A6_PROBS) + " FROM segmented"
+    for m in C.THRESHOLD_METRICS)
+
+
+@register("agg_percentiles_global", D.with_sql(_A6_GLOBAL_SQL))
+def q_agg_percentiles_global(spark, sf):
+    t = T.percentile_table(segmented(spark, sf), C.THRESHOLD_METRICS, _A6_PROBS, by_segment=False)
+    return t.select("primary_segment", "metric", *[F.round(c, 6).alias(c) for c in _A6_LABS])
+
+
 @register("threshold_join", D.with_sql(f"SELECT id, primary_segment, {', '.join(f'round({c}, 6) AS {c}' for c in _TW)} FROM with_thresh"))
 def q_threshold_join(spark, sf):
     seg = segmented(spark, sf)
@@ -340,7 +376,7 @@ SELECT id, comp AS component FROM cc WHERE id IN (SELECT o_orderkey FROM orders)
 @register("graph_components", _CC_SQL)
 def q_graph_components(spark, sf):
     g = graph(spark, sf)
-    comp, _rounds, _conv = G.connected_components(g.nodes.select("id"), g.edges)
+    comp, _rounds = G.connected_components(g.nodes.select("id"), g.edges)
     return comp.join(g.nodes.select("id"), "id", "left_semi")
 
 
@@ -351,7 +387,7 @@ def q_graph_components(spark, sf):
     "SELECT comp, count(*) AS size FROM cc WHERE id IN (SELECT o_orderkey FROM orders) GROUP BY comp) s"))
 def q_graph_component_summary(spark, sf):
     g = graph(spark, sf)
-    comp, _rounds, _conv = G.connected_components(g.nodes.select("id"), g.edges)
+    comp, _rounds = G.connected_components(g.nodes.select("id"), g.edges)
     return G.component_summary(comp, g.nodes.select("id"))
 
 
@@ -369,8 +405,8 @@ def q_sample_pool(spark, sf):
 
 @register("sample_pool_histogram", D.with_sql("SELECT id, risk_score, risk_level FROM pool"))
 def q_sample_pool_histogram(spark, sf):
-    # the large-skip path (score histogram + distributed id selection), forced on
-    return S.sample_pool(scored(spark, sf), SKIP, BATCH, direct_limit=0).select("id", "risk_score", "risk_level")
+    # the same pool from the score column alone: distributed selection needs nothing else
+    return S.sample_pool(scored(spark, sf).select("id", "risk_score", "risk_level"), SKIP, BATCH)
 
 
 @register("sample_cases", D.with_sql("SELECT id, risk_score, risk_level, draw FROM sample"))
@@ -378,9 +414,9 @@ def q_sample_cases(spark, sf):
     return sample(spark, sf).select("id", "risk_score", "risk_level", "draw")
 
 
-@register("agg_risk_levels", D.with_sql("SELECT risk_level, CAST(count(*) AS BIGINT) AS case_count FROM sample GROUP BY risk_level"))
+@register("agg_risk_levels", mixed_sql("SELECT risk_level, CAST(count(*) AS BIGINT) AS case_count FROM sample GROUP BY risk_level"))
 def q_agg_risk_levels(spark, sf):
-    return sample(spark, sf).groupBy("risk_level").agg(F.count(F.lit(1)).alias("case_count"))
+    return mixed_sample(spark, sf).groupBy("risk_level").agg(F.count(F.lit(1)).alias("case_count"))
 
 
 _STRAT_SQL = D.with_sql(
@@ -474,7 +510,7 @@ def q_rag_scores(spark, sf):
 @register("rag_topk", D.corpus_sql(
     f"SELECT rule_mask, chunk_rank, chunk_id, retrieval_score, substring(text, 1, {C.EXCERPT_CHARS}) AS excerpt FROM topk"))
 def q_rag_topk(spark, sf):
-    top = CO.topk_per_mask(mask_scores(spark, sf))
+    top = CO.with_excerpts(CO.topk_per_mask(mask_scores(spark, sf)), chunks(spark, sf))
     return top.select("rule_mask", F.col("chunk_rank").cast("bigint").alias("chunk_rank"), "chunk_id",
                       "retrieval_score", "excerpt")
 
@@ -503,8 +539,8 @@ _DEMO = ("CASE WHEN label_name = 'illicit' THEN 'illicit_for_evaluation_only' "
 _MASK = "left(CAST(id AS VARCHAR), 2) || '...' || right(CAST(id AS VARCHAR), 2)"
 
 
-def _wsql(extra: list[str], select: str, **kw) -> str:
-    return "WITH " + ",\n".join(D.ctes(**kw) + extra) + "\n" + select
+def _wsql(extra: list[str], select: str) -> str:
+    return "WITH " + ",\n".join(D.ctes(sample=D.MIXED) + extra) + "\n" + select
 
 
 def _pct_sql(c: str) -> str:
@@ -536,7 +572,7 @@ _EVPARSE = """evparse AS (
 
 
 def queue_ev(spark, sf):
-    q = review_queue(spark, sf)
+    q = mixed_queue(spark, sf)
     parts = [F.when(F.col(f"{r}_hit"), F.struct(F.lit(r).alias("rule_id"), RV.evidence_text_expr(r).alias("evidence")))
              for r in C.SUPPORTED_RULE_IDS]
     return q.select("id", F.inline(F.filter(F.array(*parts), lambda x: x.isNotNull())))
@@ -545,23 +581,47 @@ def queue_ev(spark, sf):
 def _contexts(spark, sf):
     k = _key(spark, sf, "contexts")
     if k not in _memo:
-        q = review_queue(spark, sf)
+        q = mixed_queue(spark, sf)
         retrieved = CO.retrieve_for_cases(q, chunks(spark, sf), C.TOP_K_CHUNKS, C.DRIVER_RULE_KEYWORDS,
                                           C.DRIVER_DEFAULT_KEYWORDS)
         _memo[k] = RV.review_contexts(q, retrieved)
     return _memo[k]
 
 
+# Model answers by draw number: none, a full draft with a key of its own, cut-off JSON, reason codes that no case has
+# (R006) or not all have (R001), a null field, a field of another type with the rest missing, JSON that is no object.
+_FULL = ('"suspicious_behavior_description": ["b"], "evidence_references": [{"rule_id": "R001", "evidence": "e"}], '
+         '"missing_information": ["m"], "suggested_next_review_action": "act"')
+_R001_NAME = dict(C.RULE_CATALOG)["R001"]
+_ANSWER = f"""CASE draw % 7
+ WHEN 1 THEN '{{"risk_summary": "Case ' || CAST(id AS STRING) || '", "triggered_reason_codes": [], {_FULL}, "human_review_questions": ["q1", "q2"], "summary_zh": "x"}}'
+ WHEN 2 THEN '{{"risk_summary": "cut off'
+ WHEN 3 THEN '{{"risk_summary": "codes", "triggered_reason_codes": [{{"rule_id": "R006"}}, {{"rule_id": "R001", "rule_name": "{_R001_NAME}"}}], {_FULL}, "human_review_questions": ["q3"]}}'
+ WHEN 4 THEN '{{"risk_summary": "null field", "triggered_reason_codes": [], {_FULL}, "human_review_questions": null}}'
+ WHEN 5 THEN '{{"risk_summary": "s", "missing_information": "one item"}}'
+ WHEN 6 THEN '[1, 2]' END"""
+_RESP = ("resp AS (SELECT *, CASE WHEN json_valid(content) THEN content END AS js FROM "
+         f"(SELECT id, draw % 7 AS m, {_ANSWER} AS content FROM queue WHERE draw % 7 <> 0) t)")
+_OK = "coalesce(json_type(js) = 'OBJECT', false)"
+
+
+def _responses(spark, sf):
+    return mixed_queue(spark, sf).where("draw % 7 <> 0").select("id", F.expr(_ANSWER).alias("content"))
+
+
 def _drafts(spark, sf):
+    """A draft for every case: the model's where it answered with an object, else the template."""
     k = _key(spark, sf, "drafts")
     if k not in _memo:
-        ctx = _contexts(spark, sf)
-        conv = spark.read.parquet(f"{sf.rstrip('/')}/conversations.parquet")
-        resp = RV.responses_from_conversations(spark, review_queue(spark, sf), conv)
-        _memo[k] = RV.merge_drafts(ctx, resp)
+        _memo[k] = materialize(RV.merge_drafts(_contexts(spark, sf), _responses(spark, sf)), "drafts")
     return _memo[k]
 
 
+def _answered(spark, sf):
+    """Drafts of the cases that were answered at all; the others are shown without a draft."""
+    return _drafts(spark, sf).join(_responses(spark, sf).select("id"), "id", "left_semi")
+
+
 @register("rule_docs_join", _wsql([_HL, _DOCS], "SELECT hl.id, hl.rule_id, rule_name, pdr_rule_name, description, dataset_limit FROM hl JOIN docs USING (rule_id)"))
 def q_rule_docs_join(spark, sf):
     h = CA.hits_long(scored(spark, sf))
@@ -578,8 +638,7 @@ _WTS = "wts(primary_segment, rule_id, weight) AS (VALUES " + ", ".join(
           "LEFT JOIN wts w ON w.primary_segment = s.primary_segment AND w.rule_id = hl.rule_id"))
 def q_rule_weights_join(spark, sf):
     """J8 as a dimension join: hits x (segment, rule) weights, a miss gives 0."""
-    sc = scored(spark, sf)
-    return R.weights_by_join(spark, CA.hits_long(sc).select("id", "rule_id"), sc)
+    return R.weights_by_join(spark, CA.hits_long(scored(spark, sf), carry=("primary_segment",)))
 
 
 @register("score_breakdown", _wsql([_HL], f"SELECT id, rule_id, replace(rule_id, 'R', 'R-') AS ruleId, {_NAMES} AS name, score AS scoreContribution, {_SEV} AS severity, {_NAMES} || ' contributed ' || CAST(score AS VARCHAR) || ' points.' AS explanation FROM hl"))
@@ -593,12 +652,12 @@ def q_case_severity(spark, sf):
     return h.select("id", "rule_id", "score", L.severity(F.col("score")).alias("severity"))
 
 
-@register("case_band", D.with_sql(f"SELECT id, risk_level, {_BAND} AS riskBand FROM scored"))
+@register("case_band", mixed_sql(f"SELECT id, risk_level, {_BAND} AS riskBand FROM scored"))
 def q_case_band(spark, sf):
     return scored(spark, sf).select("id", "risk_level", L.public_band(F.col("risk_level")).alias("riskBand"))
 
 
-@register("case_flow", D.with_sql(
+@register("case_flow", mixed_sql(
     f"SELECT id, in_degree, out_degree, {_FLOW} AS flowPattern, CASE {_FLOW} "
     + " ".join(f"WHEN '{k}' THEN {D.q(v)}" for k, v in C.CASE_STRUCTURE.items()) + " END AS structureSummary FROM metrics"))
 def q_case_flow(spark, sf):
@@ -607,43 +666,43 @@ def q_case_flow(spark, sf):
     return m.select("id", "in_degree", "out_degree", pattern.alias("flowPattern"), L.flow_sentence(pattern).alias("structureSummary"))
 
 
-@register("case_label", D.with_sql(f"SELECT id, label_name, {_DEMO} AS demoLabel FROM metrics"))
+@register("case_label", mixed_sql(f"SELECT id, label_name, {_DEMO} AS demoLabel FROM metrics"))
 def q_case_label(spark, sf):
     return metrics(spark, sf).select("id", "label_name", L.display_label(F.col("label_name")).alias("demoLabel"))
 
 
-@register("case_model_score", D.with_sql("SELECT id, risk_score, round(risk_score / 100.0, 2) AS modelScore FROM scored"))
+@register("case_model_score", mixed_sql("SELECT id, risk_score, round(risk_score / 100.0, 2) AS modelScore FROM scored"))
 def q_case_model_score(spark, sf):
     return scored(spark, sf).select("id", "risk_score", L.model_score(F.col("risk_score")).alias("modelScore"))
 
 
-@register("case_activity", D.with_sql("SELECT id, total_degree, CASE WHEN total_degree > 5 THEN 'Active spike' ELSE 'Normal' END AS activityStage FROM metrics"))
+@register("case_activity", mixed_sql("SELECT id, total_degree, CASE WHEN total_degree > 5 THEN 'Active spike' ELSE 'Normal' END AS activityStage FROM metrics"))
 def q_case_activity(spark, sf):
     return metrics(spark, sf).select("id", "total_degree", L.activity_stage(F.col("total_degree")).alias("activityStage"))
 
 
-@register("case_neighbor_signal", D.with_sql("SELECT id, two_hop_risk_neighbor_share, CASE WHEN two_hop_risk_neighbor_share > 0 THEN 'elevated' ELSE 'normal' END AS neighborAggregationSignal FROM queue"))
+@register("case_neighbor_signal", mixed_sql("SELECT id, two_hop_risk_neighbor_share, CASE WHEN two_hop_risk_neighbor_share > 0 THEN 'elevated' ELSE 'normal' END AS neighborAggregationSignal FROM queue"))
 def q_case_neighbor_signal(spark, sf):
-    q = review_queue(spark, sf)
+    q = mixed_queue(spark, sf)
     return q.select("id", "two_hop_risk_neighbor_share", L.neighbor_signal(F.col("two_hop_risk_neighbor_share")).alias("neighborAggregationSignal"))
 
 
-@register("win_pct_rank", D.with_sql("SELECT id, " + ", ".join(f"{_pct_sql(c)} AS pct_{c}" for c in CA.PCT_COLS) + " FROM queue"))
+@register("win_pct_rank", mixed_sql("SELECT id, " + ", ".join(f"{_pct_sql(c)} AS pct_{c}" for c in CA.PCT_COLS) + " FROM queue"))
 def q_win_pct_rank(spark, sf):
-    return CA.with_pct_ranks(review_queue(spark, sf)).select("id", *[f"pct_{c}" for c in CA.PCT_COLS])
+    return CA.with_pct_ranks(mixed_queue(spark, sf)).select("id", *[f"pct_{c}" for c in CA.PCT_COLS])
 
 
-@register("case_volume", D.with_sql(f"SELECT id, out_degree, CASE WHEN {_pct_sql('out_degree')} >= 0.8 THEN 'high' ELSE 'medium' END AS transactionVolumeBucket FROM queue"))
+@register("case_volume", mixed_sql(f"SELECT id, out_degree, CASE WHEN {_pct_sql('out_degree')} >= 0.8 THEN 'high' ELSE 'medium' END AS transactionVolumeBucket FROM queue"))
 def q_case_volume(spark, sf):
-    return CA.case_flat(review_queue(spark, sf)).select(F.col("txId").alias("id"), F.col("outputCount").alias("out_degree"), "transactionVolumeBucket")
+    return CA.case_flat(mixed_queue(spark, sf)).select(F.col("txId").alias("id"), F.col("outputCount").alias("out_degree"), "transactionVolumeBucket")
 
 
-@register("case_number", D.with_sql("SELECT id, printf('ELL-%03d', draw) AS case_id FROM queue"))
+@register("case_number", mixed_sql("SELECT id, printf('ELL-%03d', draw) AS case_id FROM queue"))
 def q_case_number(spark, sf):
-    return review_queue(spark, sf).select("id", CA.case_number().alias("case_id"))
+    return mixed_queue(spark, sf).select("id", CA.case_number().alias("case_id"))
 
 
-@register("text_mask", D.with_sql(f"SELECT id, {_MASK} AS transactionIdMasked FROM g_nodes"))
+@register("text_mask", mixed_sql(f"SELECT id, {_MASK} AS transactionIdMasked FROM g_nodes"))
 def q_text_mask(spark, sf):
     return graph(spark, sf).nodes.select("id", X.mask_id(F.col("id")).alias("transactionIdMasked"))
 
@@ -659,7 +718,7 @@ _DEF_COLS = ("id, label_name, primary_segment, risk_score, risk_level, one_hop_n
              "two_hop_neighbor_count, two_hop_risk_neighbor_share, distance_to_known_illicit_cluster")
 
 
-@register("case_defaults", D.with_sql(f"SELECT {_DEF_COLS} FROM queue"))
+@register("case_defaults", mixed_sql(f"SELECT {_DEF_COLS} FROM queue"))
 def q_case_defaults(spark, sf):
     ctx = _contexts(spark, sf)
     return ctx.select(
@@ -671,16 +730,16 @@ def q_case_defaults(spark, sf):
         "graph_exposure.distance_to_known_illicit_cluster")
 
 
-@register("case_text", D.with_sql(
+@register("case_text", mixed_sql(
     "SELECT id, 'Node with ' || CAST(total_degree AS VARCHAR) || ' total connections, ' || CAST(one_hop_neighbor_count AS VARCHAR)"
     " || ' one-hop neighbors.' AS graphSummary, 'Transaction reviewed with ' || CAST("
     + " + ".join(f"CAST({r}_hit AS INTEGER)" for r in C.SUPPORTED_RULE_IDS)
     + " AS VARCHAR) || ' rules triggered. Risk score: ' || CAST(risk_score AS VARCHAR) || '.' AS reviewSummary FROM queue"))
 def q_case_text(spark, sf):
-    return review_queue(spark, sf).select("id", CA.graph_summary().alias("graphSummary"), CA.review_summary().alias("reviewSummary"))
+    return mixed_queue(spark, sf).select("id", CA.graph_summary().alias("graphSummary"), CA.review_summary().alias("reviewSummary"))
 
 
-_FLAT_SQL = D.with_sql(
+_FLAT_SQL = mixed_sql(
     "SELECT printf('ELL-%03d', draw) AS case_id, id AS txId, " + D.q(C.CASE_SOURCE) + " AS source, " + D.q(C.CASE_TYPE)
     + f" AS caseType, time_step AS timeStep, {_MASK} AS transactionIdMasked, {_DEMO} AS demoLabel, {_BAND} AS riskBand,"
     " round(risk_score / 100.0, 2) AS modelScore, in_degree AS inputCount, out_degree AS outputCount,"
@@ -701,12 +760,12 @@ _FLAT_SQL = D.with_sql(
 
 @register("case_flat", _FLAT_SQL)
 def q_case_flat(spark, sf):
-    return CA.case_flat(review_queue(spark, sf))
+    return CA.case_flat(mixed_queue(spark, sf))
 
 
 @register("evidence_rows", _wsql([_EVROWS], "SELECT id, rule_id, field_pos, field, num_value, text_value FROM evrows"))
 def q_evidence_rows(spark, sf):
-    return RV.evidence_rows(review_queue(spark, sf))
+    return RV.evidence_rows(mixed_queue(spark, sf))
 
 
 @register("evidence_text", _wsql([_EVTEXT], "SELECT id, rule_id, evidence FROM evtext"))
@@ -731,12 +790,13 @@ def q_evidence_parse(spark, sf):
     return CA.parse_evidence(queue_ev(spark, sf))
 
 
-_GLOSS = "gloss(key, label) AS (VALUES " + ", ".join(f"({D.q(k)}, {D.q(v)})" for k, v in C.EVIDENCE_GLOSSARY.items()) + ")"
+_GLOSS = "gloss(key, label, explain) AS (VALUES " + ", ".join(
+    f"({D.q(k)}, {D.q(v)}, {D.q(C.EVIDENCE_EXPLAIN[k])})" for k, v in C.EVIDENCE_GLOSSARY.items()) + ")"
 
 
 @register("evidence_glossary", _wsql([_EVTEXT, _EVPARSE, _GLOSS],
           "SELECT id, rule_id, pos, key, value, coalesce(label, replace(key, '_', ' ')) AS label, "
-          f"CASE WHEN label IS NULL THEN {D.q(C.EVIDENCE_DEFAULT_EXPLAIN)} END AS default_explain FROM evparse LEFT JOIN gloss USING (key)"))
+          f"coalesce(explain, {D.q(C.EVIDENCE_DEFAULT_EXPLAIN)}) AS explain FROM evparse LEFT JOIN gloss USING (key)"))
 def q_evidence_glossary(spark, sf):
     return CA.evidence_glossary(spark, CA.parse_evidence(queue_ev(spark, sf)))
 
@@ -744,49 +804,63 @@ def q_evidence_glossary(spark, sf):
 _PANEL_SQL = _wsql([], "SELECT id, rule_id, active, severity, CASE WHEN active THEN CASE severity "
                    + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.SEVERITY_RANK.items())
                    + " ELSE 2 END ELSE 0 END AS severity_rank FROM (" + " UNION ALL ".join(
-                       f"SELECT id, '{r}' AS rule_id, {r}_hit AS active, CASE WHEN {r}_hit THEN "
+                       f"SELECT id, '{r}' AS rule_id, {r}_hit OR (draw % 7 = 3 AND '{r}' = 'R001') AS active, CASE WHEN {r}_hit THEN "
                        f"CASE WHEN {r}_score >= 25 THEN 'high' WHEN {r}_score >= 15 THEN 'medium' ELSE 'low' END "
                        "ELSE 'medium' END AS severity FROM queue" for r, _n in C.RULE_CATALOG) + ") t")
 
 
 @register("rule_panel", _PANEL_SQL)
 def q_rule_panel(spark, sf):
-    return CA.rule_panel(review_queue(spark, sf), _drafts(spark, sf))
+    return CA.rule_panel(mixed_queue(spark, sf), _answered(spark, sf))
 
 
-@register("draft_violations", _wsql([_QHL], "SELECT id, 'reason_code_not_triggered' AS violation, rule_id AS detail FROM qhl WHERE false"))
+_VIOLATIONS = " UNION ALL ".join(
+    ["SELECT id, 'reason_code_not_triggered' AS violation, 'R006' AS detail FROM resp WHERE m = 3",
+     "SELECT r.id, 'reason_code_not_triggered' AS violation, 'R001' AS detail FROM resp r JOIN queue q USING (id) WHERE m = 3 AND NOT R001_hit",
+     "SELECT id, 'missing_field' AS violation, 'human_review_questions' AS detail FROM resp WHERE m = 4"]
+    + [f"SELECT id, 'missing_field' AS violation, '{c}' AS detail FROM resp WHERE m = 5" for c in RV.DRAFT_BODY if c != "risk_summary"])
+
+
+@register("draft_violations", _wsql([_RESP], _VIOLATIONS))
 def q_draft_violations(spark, sf):
-    return RV.draft_violations(_drafts(spark, sf), review_queue(spark, sf))
+    return RV.draft_violations(_drafts(spark, sf), mixed_queue(spark, sf))
 
 
-@register("case_drafts", D.with_sql("SELECT printf('ELL-%03d', draw) AS case_id, id AS txId, true AS has_draft, true AS in_pool FROM queue"))
+@register("case_drafts", mixed_sql("SELECT printf('ELL-%03d', draw) AS case_id, id AS txId, draw % 7 <> 0 AS has_draft, draw % 7 <> 0 AS in_pool FROM queue"))
 def q_case_drafts(spark, sf):
-    flat = CA.case_flat(review_queue(spark, sf))
-    return CA.case_drafts(flat, _drafts(spark, sf)).select("case_id", "txId", "has_draft", "in_pool")
+    flat = CA.case_flat(mixed_queue(spark, sf))
+    return CA.case_drafts(flat, _answered(spark, sf)).select("case_id", "txId", "has_draft", "in_pool")
+
+
+_TEMPLATE = ("'Fallback: Manual review required for transaction ' || CAST(id AS VARCHAR) || '. Graph-based rule signals triggered; "
+             "monetary data unavailable.'")
 
 
-@register("case_effective", D.with_sql(
-    "SELECT printf('ELL-%03d', draw) AS case_id, id AS txId, risk_level AS effective_level, risk_score AS effective_score, "
-    "'Fallback: Manual review required for transaction ' || CAST(id AS VARCHAR) || '. Graph-based rule signals triggered; "
-    "monetary data unavailable.' AS effective_summary, " + D.q(C.PENDING) + " AS effective_status, "
-    + D.q(" | ".join(C.FALLBACK_QUESTIONS[:4])) + " AS effective_questions FROM queue"))
+@register("case_effective", _wsql([_RESP, f"""eff AS (
+  SELECT q.*, printf('ELL-%03d', draw) AS case_id, r.m, {_OK} AS ok, r.js FROM queue q LEFT JOIN resp r USING (id))"""],
+    f"SELECT case_id, id AS txId, CASE WHEN m IS NULL THEN {_BAND} ELSE risk_level END AS effective_level, risk_score AS effective_score, "
+    f"CASE WHEN m IS NULL THEN 'Transaction reviewed with ' || CAST(" + " + ".join(f"CAST({r}_hit AS INTEGER)" for r in C.SUPPORTED_RULE_IDS)
+    + f" AS VARCHAR) || ' rules triggered. Risk score: ' || CAST(risk_score AS VARCHAR) || '.' WHEN ok THEN json_extract_string(js, '$.risk_summary') "
+    f"ELSE {_TEMPLATE} END AS effective_summary, " + D.q(C.PENDING) + " AS effective_status, "
+    f"CASE WHEN m IN (1) THEN 'q1 | q2' WHEN m = 3 THEN 'q3' WHEN m IN (2, 6) THEN {D.q(' | '.join(C.FALLBACK_QUESTIONS[:4]))} "
+    f"ELSE {D.q(' | '.join(C.CASE_QUESTIONS[:4]))} END AS effective_questions FROM eff"))
 def q_case_effective(spark, sf):
-    flat = CA.case_flat(review_queue(spark, sf))
-    return CA.case_effective(flat, _drafts(spark, sf))
+    flat = CA.case_flat(mixed_queue(spark, sf))
+    return CA.case_effective(flat, _answered(spark, sf))
 
 
-@register("sample_one", D.with_sql(
-    "SELECT printf('ELL-%03d', draw) AS case_id, id AS txId FROM queue "
+@register("sample_one", mixed_sql(
+    "SELECT printf('ELL-%03d', draw) AS case_id, id AS txId FROM queue WHERE draw % 7 <> 0 "
     "ORDER BY md5('42:' || CAST(id AS VARCHAR)), id LIMIT 1"))
 def q_sample_one(spark, sf):
     """One case drawn (seeded) from the cases that have a draft (all cases if none has)."""
-    flat = CA.case_flat(review_queue(spark, sf))
-    pool = CA.case_drafts(flat, _drafts(spark, sf)).where("in_pool")
+    flat = CA.case_flat(mixed_queue(spark, sf))
+    pool = CA.case_drafts(flat, _answered(spark, sf)).where("in_pool")
     return S.seeded_sample(pool, 1, SEED, id_col="txId").select("case_id", "txId")
 
 
 _MASK_SQL = " + ".join(f"CAST({r}_hit AS INTEGER) * {1 << i}" for i, r in enumerate(C.SUPPORTED_RULE_IDS))
-_CTX_FLAT_SQL = ("WITH " + ",\n".join(D.ctes() + D.corpus_ctes()) + "\n"
+_CTX_FLAT_SQL = ("WITH " + ",\n".join(D.ctes(sample=D.MIXED) + D.corpus_ctes()) + "\n"
     "SELECT q.id, q.id AS txId, q.label_name AS known_label, q.primary_segment, q.risk_score, q.risk_level, "
     "q.one_hop_neighbor_count, q.one_hop_risk_neighbor_share, q.two_hop_neighbor_count, q.two_hop_risk_neighbor_share, "
     "q.distance_to_known_illicit_cluster, "
@@ -851,14 +925,9 @@ def q_draft_requests(spark, sf):
     return RV.draft_requests(_contexts(spark, sf))
 
 
-@register("src_responses", _wsql([
-    "conv1 AS (SELECT conv_id, arg_min(text, turn) AS content FROM conversations WHERE role = 'assistant' GROUP BY conv_id)"],
-    "SELECT q.id, coalesce(json_valid(coalesce(c.content, '')) AND ltrim(coalesce(c.content, '')) LIKE '{%', false) AS parsed_ok "
-    "FROM queue q LEFT JOIN conv1 c ON c.conv_id = q.draw - 1"))
+@register("src_responses", _wsql([_RESP], f"SELECT id, {_OK} AS parsed_ok FROM resp"))
 def q_src_responses(spark, sf):
-    conv = spark.read.parquet(f"{sf.rstrip('/')}/conversations.parquet")
-    resp = RV.responses_from_conversations(spark, review_queue(spark, sf), conv)
-    return RV.parse_responses(resp).select("id", "parsed_ok")
+    return RV.parse_responses(_responses(spark, sf)).select("id", "parsed_ok")
 
 
 @register("draft_merge", None)
@@ -866,14 +935,59 @@ def q_draft_merge(spark, sf):
     return _drafts(spark, sf)
 
 
+def _joined(column):
+    return F.coalesce(F.array_join(column, " | "), F.lit(""))
+
+
+def _draft_flat(d):
+    return d.select(
+        "txId", "risk_score", "risk_level", "llm_status", "risk_summary", "analyst_decision",
+        _joined(F.transform("triggered_reason_codes", lambda r: r["rule_id"])).alias("codes"),
+        _joined(F.col("human_review_questions")).alias("questions"), F.size(F.coalesce("missing_information", F.array())).alias("n_missing"))
+
+
+_LIST = lambda path: f"coalesce(array_to_string(json_extract_string(js, '{path}'), ' | '), '')"
+_MERGE_SQL = _wsql([_RESP, _QHL, f"""mrg AS (
+  SELECT q.*, {_OK} AS ok, r.js, r.m FROM queue q LEFT JOIN resp r USING (id))"""],
+    "SELECT id AS txId, risk_score, risk_level, CASE WHEN ok THEN 'success' ELSE 'fallback' END AS llm_status, "
+    f"CASE WHEN ok THEN json_extract_string(js, '$.risk_summary') ELSE {_TEMPLATE} END AS risk_summary, {D.q(C.PENDING)} AS analyst_decision, "
+    f"CASE WHEN ok THEN {_LIST('$.triggered_reason_codes[*].rule_id')} ELSE coalesce((SELECT string_agg(rule_id, ' | ' ORDER BY rule_id) "
+    "FROM qhl h WHERE h.id = mrg.id), '') END AS codes, "
+    f"CASE WHEN ok THEN {_LIST('$.human_review_questions[*]')} ELSE {D.q(' | '.join(C.FALLBACK_QUESTIONS))} END AS questions, "
+    f"CASE WHEN ok AND m = 5 THEN 0 WHEN ok THEN 1 ELSE {len(C.UNAVAILABLE_FIELDS)} END AS n_missing FROM mrg")
+
+
+@register("draft_merge_flat", _MERGE_SQL)
+def q_draft_merge_flat(spark, sf):
+    return _draft_flat(_drafts(spark, sf))
+
+
+_REQ_RULES = "concat_ws(',', " + ", ".join(f"CASE WHEN {r}_hit THEN '{r}' END" for r in C.SUPPORTED_RULE_IDS) + ")"
+
+
+@register("draft_requests_flat", mixed_sql(
+    f"SELECT id, id AS txId, risk_level, {_REQ_RULES} AS rules, CASE WHEN R003_hit THEN out_degree END AS r003_out_degree, "
+    f"{len(C.UNAVAILABLE_FIELDS)} AS n_missing, CAST(0.1 AS DOUBLE) AS temperature FROM queue"))
+def q_draft_requests_flat(spark, sf):
+    """Draft requests, their JSON payload read back."""
+    r = RV.draft_requests(_contexts(spark, sf))
+    body = F.from_json(F.substring("user", len(C.DRAFT_USER_PREFIX) + 1, 1 << 30),
+                       "txId long, risk_level string, triggered_rules array<struct<rule_id:string,evidence:map<string,string>>>, missing_info array<string>")
+    r = r.select("id", body.alias("b"), "temperature")
+    third = F.filter("b.triggered_rules", lambda x: x["rule_id"] == "R003")
+    return r.select("id", "b.txId", "b.risk_level", F.array_join(F.transform("b.triggered_rules", lambda x: x["rule_id"]), ",").alias("rules"),
+                    F.get(third, 0)["evidence"]["out_degree"].cast("long").alias("r003_out_degree"),
+                    F.size("b.missing_info").alias("n_missing"), "temperature")
+
+
 @register("case_records", None)
 def q_case_records(spark, sf):
-    return CA.case_records(review_queue(spark, sf))
+    return CA.case_records(mixed_queue(spark, sf))
 
 
 # --------------------------------------------------------------------------- summary
 
-@register("summary_profile", D.with_sql(
+@register("summary_profile", mixed_sql(
     "SELECT (SELECT count(*) FROM g_nodes) AS node_count, (SELECT count(*) FROM g_edges) AS directed_edge_count, "
     "(SELECT count(DISTINCT time_step) FROM g_nodes) AS time_step_count, (SELECT min(time_step) FROM g_nodes) AS time_step_min, "
     "(SELECT max(time_step) FROM g_nodes) AS time_step_max, 5 AS raw_feature_count, 3 AS anonymous_feature_count"))
@@ -882,13 +996,13 @@ def q_summary_profile(spark, sf):
     return SU.dataset_profile(g.nodes, g.edges)
 
 
-@register("summary_labels", D.with_sql("SELECT label_name, count(*) AS node_count FROM metrics GROUP BY label_name"))
+@register("summary_labels", mixed_sql("SELECT label_name, count(*) AS node_count FROM metrics GROUP BY label_name"))
 def q_summary_labels(spark, sf):
     g = graph(spark, sf)
     return SU.label_distribution(g.nodes, g.labels)
 
 
-@register("summary_degree", D.with_sql(
+@register("summary_degree", mixed_sql(
     "SELECT e AS directed_edge_count, n AS node_count, round(2.0 * e / n, 4) AS average_directed_degree FROM "
     "(SELECT (SELECT count(*) FROM g_edges) AS e, (SELECT count(*) FROM g_nodes) AS n) t"))
 def q_summary_degree(spark, sf):
@@ -933,23 +1047,32 @@ def _found(spark, sf) -> dict:
     return {r["key"]: r["path"] for r in FS.discover(spark, root).collect()}  # at most 3 rows
 
 
-@register("src_discover", None)
+@register("src_discover", D.with_sql(
+    "SELECT 'classes' AS key, (SELECT count(*) FROM g_labels) AS n_rows UNION ALL SELECT 'edges' AS key, (SELECT count(*) FROM g_edges) AS n_rows "
+    "UNION ALL SELECT 'features' AS key, (SELECT count(*) FROM g_nodes) AS n_rows"))
 def q_src_discover(spark, sf):
-    names = {"orders": "orders.parquet", "lineitem": "lineitem.parquet", "documents": "documents.parquet"}
-    return FS.discover(spark, sf, names)
+    """The three raw inputs found by name, with the rows that each file holds."""
+    found = _found(spark, sf)
+    frames = {"classes": FS.read_labels(spark, found["classes"]), "edges": FS.read_edges(spark, found["edges"]),
+              "features": FS.read_nodes(spark, found["features"], n_features=3)}
+    out = None
+    for key, frame in frames.items():
+        row = frame.agg(F.lit(key).alias("key"), F.count(F.lit(1)).alias("n_rows"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
-@register("src_labels", D.with_sql("SELECT id, class_raw, label_name FROM g_labels"))
+@register("src_labels", mixed_sql("SELECT id, class_raw, label_name FROM g_labels"))
 def q_src_labels(spark, sf):
     return FS.read_labels(spark, _found(spark, sf)["classes"])
 
 
-@register("src_edges", D.with_sql("SELECT src, dst FROM g_edges"))
+@register("src_edges", mixed_sql("SELECT src, dst FROM g_edges"))
 def q_src_edges(spark, sf):
     return FS.read_edges(spark, _found(spark, sf)["edges"])
 
 
-@register("src_nodes", D.with_sql("SELECT id, CAST(time_step AS DOUBLE) AS time_step, f_001, f_002, f_003 FROM g_nodes"))
+@register("src_nodes", mixed_sql("SELECT id, CAST(time_step AS DOUBLE) AS time_step, f_001, f_002, f_003 FROM g_nodes"))
 def q_src_nodes(spark, sf):
     return FS.read_nodes(spark, _found(spark, sf)["features"], n_features=3)
 
@@ -959,26 +1082,29 @@ def _written(spark, sf, name: str, df_fn) -> tuple[str, DataFrame]:
     if k not in _memo:
         df = df_fn()
         path = scratch_path(spark, name)
-        (K.write_csv if name == "queue" else K.write_json)(df, path)
+        if name == "queue":
+            K.write_csv(df, path)
+        else:
+            K.write_json(df, path, null_fields=name != "contexts")
         _memo[k] = (path, df)
     return _memo[k]
 
 
 @register("sink_cases", None)
 def q_sink_cases(spark, sf):
-    path, df = _written(spark, sf, "cases", lambda: CA.case_records(review_queue(spark, sf)))
+    path, df = _written(spark, sf, "cases", lambda: CA.case_records(mixed_queue(spark, sf)))
     return spark.read.schema(df.schema).json(path)
 
 
 @register("src_cases_json", None)
 def q_src_cases_json(spark, sf):
-    path, df = _written(spark, sf, "cases", lambda: CA.case_records(review_queue(spark, sf)))
+    path, df = _written(spark, sf, "cases", lambda: CA.case_records(mixed_queue(spark, sf)))
     return FS.read_json_records(spark, path, df.schema)
 
 
 @register("sink_contexts", None)
 def q_sink_contexts(spark, sf):
-    path, df = _written(spark, sf, "contexts", lambda: _contexts(spark, sf))
+    path, df = _written(spark, sf, "contexts", lambda: RV.context_records(_contexts(spark, sf)))
     return spark.read.schema(df.schema).json(path)
 
 
@@ -988,14 +1114,41 @@ def q_sink_drafts(spark, sf):
     return spark.read.schema(df.schema).json(path)
 
 
-@register("sink_queue", D.with_sql(f"SELECT {cols(SCORED_COLS)}, f_001, f_002, f_003, {cols(EXPOSURE_COLS)}, draw FROM queue"))
+@register("sink_cases_flat", mixed_sql(
+    f"SELECT printf('ELL-%03d', draw) AS id, {_BAND} AS riskBand, in_degree AS inDegree, round(two_hop_risk_neighbor_share, 2) AS twoHopShare, "
+    + " + ".join(f"CAST({r}_hit AS INTEGER)" for r in C.SUPPORTED_RULE_IDS) + " AS n_rules FROM queue"))
+def q_sink_cases_flat(spark, sf):
+    return q_sink_cases(spark, sf).select(
+        "id", "riskBand", F.col("graphContext.inDegree").alias("inDegree"), F.col("graphContext.twoHopRiskNeighborShare").alias("twoHopShare"),
+        F.size("triggeredRules").alias("n_rules"))
+
+
+@register("sink_contexts_flat", mixed_sql(
+    f"SELECT id AS txId, risk_score, {_REQ_RULES} AS rules, coalesce(CASE WHEN R001_hit THEN total_degree END, -1) AS r001_degree, "
+    f"{D.q(', '.join(C.UNSUPPORTED_MISSING_FIELDS))} AS unsupported FROM queue"))
+def q_sink_contexts_flat(spark, sf):
+    c = q_sink_contexts(spark, sf)
+    first = F.filter("triggered_rules", lambda r: r["rule_id"] == "R001")
+    return c.select(
+        F.col("review_object.txId").alias("txId"), F.col("risk.risk_score").alias("risk_score"),
+        F.array_join(F.transform("triggered_rules", lambda r: r["rule_id"]), ",").alias("rules"),
+        F.coalesce(F.get(first, 0)["evidence_fields"]["total_degree"], F.lit(-1)).cast("long").alias("r001_degree"),
+        F.array_join(F.col("unsupported_rules")[0]["evidence_fields"]["missing_fields"], ", ").alias("unsupported"))
+
+
+@register("sink_drafts_flat", _MERGE_SQL)
+def q_sink_drafts_flat(spark, sf):
+    return _draft_flat(q_sink_drafts(spark, sf))
+
+
+@register("sink_queue", mixed_sql(f"SELECT {cols(SCORED_COLS)}, f_001, f_002, f_003, {cols(EXPOSURE_COLS)}, draw FROM queue"))
 def q_sink_queue(spark, sf):
-    path, df = _written(spark, sf, "queue", lambda: review_queue(spark, sf).select(
+    path, df = _written(spark, sf, "queue", lambda: mixed_queue(spark, sf).select(
         *SCORED_COLS, "f_001", "f_002", "f_003", *EXPOSURE_COLS, "draw"))
     return spark.read.option("header", "true").schema(K.flatten_for_csv(df).schema).csv(path)
 
 
-@register("sink_counts", D.with_sql("SELECT count(*) AS cases, count(*) AS contexts, count(*) AS drafts FROM sample"))
+@register("sink_counts", mixed_sql("SELECT count(*) AS cases, count(*) AS contexts, count(*) AS drafts FROM sample"))
 def q_sink_counts(spark, sf):
     c = q_sink_cases(spark, sf).agg(F.count(F.lit(1)).alias("cases"))
     x = q_sink_contexts(spark, sf).agg(F.count(F.lit(1))).scalar()
@@ -1004,7 +1157,8 @@ def q_sink_counts(spark, sf):
 
 
 @register("pipeline_run", D.with_sql(" UNION ALL ".join(
-    f"SELECT '{o}' AS output, count(*) AS rows FROM sample" for o in ("cases", "contexts", "drafts", "queue"))))
+    f"SELECT '{o}' AS output, count(*) AS rows FROM sample" for o in ("cases", "contexts", "drafts", "queue", "requests"))
+    + " UNION ALL SELECT 'drafts from the model' AS output, count(*) FILTER (WHERE draw % 7 IN (1, 3, 4, 5)) AS rows FROM sample"))
 def q_pipeline_run(spark, sf):
     from riskgraph.sources.tables import load_corpus_pages
 
@@ -1012,7 +1166,11 @@ def q_pipeline_run(spark, sf):
     out = scratch_path(spark, "run")
     opts = P.RunOptions(skip_top=SKIP, batch_size=BATCH, seed=SEED, n_features=3,
                         rule_keywords=C.DRIVER_RULE_KEYWORDS, default_keywords=C.DRIVER_DEFAULT_KEYWORDS)
-    return P.run(spark, root, load_corpus_pages(spark, sf), out, opts).select("output", "rows")
+    answers = sample(spark, sf).where("draw % 7 <> 0").select("id", F.expr(_ANSWER).alias("content"))
+    written = P.run(spark, root, load_corpus_pages(spark, sf), out, opts, responses=answers)
+    drafts = spark.read.json(f"{out}/review_drafts").where("llm_status = 'success'")
+    return written.select("output", "rows").unionByName(
+        drafts.agg(F.lit("drafts from the model").alias("output"), F.count(F.lit(1)).alias("rows")))
 
 
 def queries() -> dict[str, QueryFn]:

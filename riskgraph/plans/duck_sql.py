@@ -60,7 +60,16 @@ POOL = BATCH * C.POOL_FACTOR
 SEED = C.SAMPLING_SEED
 
 
-def ctes(mode: str = "published", skip: int = SKIP, batch: int = BATCH, seed: int = SEED) -> list[str]:
+DRAWN = (f"SELECT *, row_number() OVER (ORDER BY md5('{SEED}:' || CAST(id AS VARCHAR)), id) AS draw "
+         f"FROM pool QUALIFY draw <= {BATCH}")
+# one stratum per risk level, two seeds: every level, segment and rule occurs
+MIXED = (f"SELECT *, row_number() OVER (ORDER BY md5('{SEED}:' || CAST(id AS VARCHAR)), id) AS draw FROM ranked WHERE id IN ("
+         + " UNION ALL ".join(
+             f"SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY risk_level ORDER BY md5('{s}:' || CAST(id AS VARCHAR)), id) AS rn "
+             f"FROM scored) t WHERE rn <= {C.PER_STRATUM}" for s in (SEED, SEED + 1)) + ")")
+
+
+def ctes(mode: str = "published", skip: int = SKIP, batch: int = BATCH, sample: str = DRAWN) -> list[str]:
     pool = batch * C.POOL_FACTOR
     raw_sum = " + ".join(f"{r}_score" for r in C.RULE_IDS)
     return [
@@ -124,8 +133,7 @@ def ctes(mode: str = "published", skip: int = SKIP, batch: int = BATCH, seed: in
   FROM (SELECT *, CAST({raw_sum} AS INTEGER) AS risk_score_raw FROM weighted) t)""",
         f"""ranked AS (SELECT *, row_number() OVER (ORDER BY risk_score DESC, id) AS rank FROM scored)""",
         f"""pool AS (SELECT * FROM ranked WHERE rank > {skip} AND rank <= {skip + pool})""",
-        f"""sample AS (SELECT *, row_number() OVER (ORDER BY md5('{seed}:' || CAST(id AS VARCHAR)), id) AS draw
-                       FROM pool QUALIFY draw <= {batch})""",
+        f"""sample AS ({sample})""",
         # graph exposure
         """adj AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM g_edges UNION ALL SELECT dst AS a, src AS b FROM g_edges) t)""",
         """risky AS (SELECT n.id FROM g_nodes n JOIN g_labels l ON l.id = n.id WHERE l.label_name = 'illicit')""",

@@ -18,8 +18,7 @@ from riskgraph.sources.tables import GraphInputs
 @dataclass(frozen=True)
 class ScoreOptions:
     weights: str = "published"      # or "literal"
-    quantiles: str = "auto"         # or "exact" / "percentile"
-    materialize: bool = True        # checkpoint node metrics once (shared checkpoint dir)
+    materialize: bool = True        # write node metrics once (shared checkpoint dir)
 
 
 def materialized(df: DataFrame, opts: ScoreOptions) -> DataFrame:
@@ -37,13 +36,13 @@ def materialized(df: DataFrame, opts: ScoreOptions) -> DataFrame:
 
 def segmented_nodes(g: GraphInputs, opts: ScoreOptions = ScoreOptions()) -> DataFrame:
     metrics = materialized(node_metrics(g.nodes, g.edges, g.labels), opts)
-    return assign_segments(metrics, method=opts.quantiles)
+    return assign_segments(metrics)
 
 
 def scored_nodes(g: GraphInputs, opts: ScoreOptions = ScoreOptions()) -> DataFrame:
     """Metrics -> segment -> peer thresholds -> rules -> weights -> score -> level."""
     seg = segmented_nodes(g, opts)
-    wide = threshold_wide(seg, method=opts.quantiles)
+    wide = threshold_wide(seg)
     df = join_thresholds(seg, wide)
     df = evaluate_rules(df)
     df = apply_weights(df, opts.weights)
@@ -65,27 +64,40 @@ class RunOptions:
 def review_queue(scored: DataFrame, g: GraphInputs, opts: RunOptions = RunOptions()) -> DataFrame:
     """Sample (skip, pool, seeded draw) -> exposure for the sampled ids only.
 
+    The drawn rows are written first, so the pool and the draw run once.
     Exposure does not feed the rules, so it is computed after sampling; its
-    one- and two-hop joins then touch only the sample's neighbourhoods.  The
-    queue is small (batch rows) and reused by every review output, so it is
-    written once to the shared checkpoint folder.
+    one- and two-hop joins then touch only the sample's neighbourhoods, and the
+    features are brought back for the sample alone.  The queue is small (batch
+    rows) and reused by every review output, so it is written as well.
     """
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    from riskgraph.operators import graph as G
     from riskgraph.operators import sampling as S
 
     cases = S.sample_cases(scored, opts.skip_top, opts.batch_size, opts.seed)
     cases = cases.withColumn("draw", F.row_number().over(Window.orderBy(S.draw_key(opts.seed), F.col("id"))))
-    adj = G.adjacency(g.edges)
-    exp = G.exposure(cases.select("id"), adj, G.risky_nodes(g.nodes, g.labels))
-    return materialize(cases.join(exp, "id"), "review_queue")
+    return queue_of(cases, g)
+
+
+def queue_of(cases: DataFrame, g: GraphInputs) -> DataFrame:
+    """Drawn scored rows with their features and exposure."""
+    from riskgraph.operators import graph as G
+    from riskgraph.operators.metrics import features_of
 
+    cases = materialize(cases, "drawn")
+    exp = G.exposure(cases.select("id"), G.adjacency(g.edges), G.risky_nodes(g.nodes, g.labels))
+    return materialize(cases.join(features_of(cases, g.nodes), "id").join(exp, "id"), "review_queue")
 
-def run(spark, data_dir: str, pages: DataFrame, out_dir: str, opts: RunOptions = RunOptions()) -> DataFrame:
+
+def run(spark, data_dir: str, pages: DataFrame, out_dir: str, opts: RunOptions = RunOptions(),
+        responses=None) -> DataFrame:
     """C11: discover inputs -> load -> score -> sample -> exposure -> retrieval ->
-    contexts -> drafts -> cases -> write all outputs.  Returns (output, path, rows)."""
+    contexts -> draft requests -> drafts -> cases -> write all outputs.  Returns (output, path, rows).
+
+    ``responses``: (id, content) of model answers, or a function that takes the written requests
+    (id, system, user, temperature) and returns them; without, every draft is the template.
+    """
     from pyspark.sql import functions as F
 
     from riskgraph import sinks
@@ -94,7 +106,7 @@ def run(spark, data_dir: str, pages: DataFrame, out_dir: str, opts: RunOptions =
     from riskgraph.operators import review as RV
     from riskgraph.sources import files
 
-    found = {r["key"]: r["path"] for r in files.discover(spark, data_dir).collect()}  # at most 3 rows
+    found = {r["key"]: r["path"] for r in files.discover(spark, data_dir).collect()}  # one row per input
     missing = set(files.INPUT_NAMES) - set(found)
     if missing:
         raise FileNotFoundError(f"inputs not found under {data_dir}: {sorted(missing)}")
@@ -108,15 +120,18 @@ def run(spark, data_dir: str, pages: DataFrame, out_dir: str, opts: RunOptions =
     chunks = CO.corpus_chunks(spark, pages)
     retrieved = CO.retrieve_for_cases(queue, chunks, rule_keywords=opts.rule_keywords,
                                       default_keywords=opts.default_keywords)
-    contexts = RV.review_contexts(queue, retrieved)
-    drafts = RV.fallback_drafts(contexts)
+    contexts = materialize(RV.review_contexts(queue, retrieved), "contexts")
     cases = CA.case_records(queue)
     out = out_dir.rstrip("/")
-    # written files keep the record shapes of the original outputs: internal join keys are
-    # dropped (case records show only the masked id)
+    requests = sinks.write_json(RV.draft_requests(contexts), f"{out}/draft_requests")
+    if callable(responses):
+        responses = responses(spark.read.json(requests))
+    drafts = RV.fallback_drafts(contexts) if responses is None else RV.merge_drafts(contexts, responses)
+    # internal join keys and helper columns are not written (case records show only the masked id)
     written = {
         "cases": sinks.write_json(cases.drop("txId"), f"{out}/aml_demo_cases"),
-        "contexts": sinks.write_json(contexts.drop("id"), f"{out}/rag_contexts"),
+        "contexts": sinks.write_json(RV.context_records(contexts), f"{out}/rag_contexts", null_fields=False),
+        "requests": requests,
         "drafts": sinks.write_json(drafts.drop("id"), f"{out}/review_drafts"),
         "queue": sinks.write_csv(queue, f"{out}/human_review_queue"),
     }

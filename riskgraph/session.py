@@ -3,7 +3,6 @@ scratch folder (the cluster's ``spark.checkpoint.dir``)."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -20,14 +19,15 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str | None = "local[8]", shuffle_partitions: int = 8, app: str = "riskgraph",
+def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "riskgraph",
                   extra: dict | None = None) -> SparkSession:
+    """A session.  Master, shuffle partitions and memory are the cluster's unless the caller names them."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", "16g")
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if extra:
         conf.update(extra)
     for k, v in conf.items():
@@ -40,9 +40,9 @@ def build_session(master: str | None = "local[8]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
-    On a cluster this is ``spark.checkpoint.dir`` (a shared file system).  Only
-    when nothing is configured (tests, local runs) a fresh local folder is
-    created and registered as the checkpoint dir.
+    On a cluster this is ``spark.checkpoint.dir`` (a shared file system), and
+    it is an error not to configure one.  Only where driver and executors are
+    one process (a local master, as in tests) a fresh local folder is made.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,6 +52,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="riskgraph-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
@@ -63,18 +65,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def conf_int(spark: SparkSession, key: str, default: int) -> int:
-    try:
-        return int(spark.conf.get(key))
-    except Exception:  # noqa: BLE001 - missing key
-        return default
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
+_tables: dict[int, tuple[object, str]] = {}
 
 
 def materialize(df, name: str = "table"):
@@ -84,7 +75,18 @@ def materialize(df, name: str = "table"):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    _tables[id(out)] = (out, path)
+    return out
+
+
+def discard(*frames) -> None:
+    """Delete tables that ``materialize`` wrote, once everything that reads them is written itself."""
+    for frame in frames:
+        _, path = _tables.pop(id(frame))
+        spark = frame.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def checkpoint_keep_partitions(df):

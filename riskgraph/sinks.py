@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_json(df: DataFrame, path: str) -> str:
-    """K1-K3: JSON Lines, non-ASCII text kept as is."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_json(df: DataFrame, path: str, null_fields: bool = True) -> str:
+    """K1-K3: JSON Lines, non-ASCII text kept as is; without ``null_fields`` keys of NULL values are left out."""
+    df.write.mode("overwrite").option("ignoreNullFields", str(not null_fields).lower()).json(path)
     return path
 
 

@@ -16,9 +16,9 @@ INPUT_NAMES = C.INPUT_FILE_NAMES
 def discover(spark: SparkSession, root: str, names: dict[str, str] | None = None) -> DataFrame:
     """(key, path) for every input found by exact name anywhere under root.
 
-    An input is a file or a folder of part files with the expected name.  The
-    tree is listed by the file source itself (only paths are read, no file
-    content), so the listing is distributed like any other scan.
+    An input is a file or a folder of part files with the expected name; of
+    several with one name the path that sorts first counts.  Only paths are read,
+    no file content; the file source keeps the listing of the tree on the driver.
     """
     import re
 
@@ -31,7 +31,7 @@ def discover(spark: SparkSession, root: str, names: dict[str, str] | None = None
     for key, name in names.items():
         pat = r"^(.*/" + re.escape(name) + r")(/.*)?$"
         hit = files.where(F.col("path").rlike(pat)).select(
-            F.lit(key).alias("key"), F.regexp_extract("path", pat, 1).alias("path")).distinct()
+            F.lit(key).alias("key"), F.regexp_extract("path", pat, 1).alias("path")).groupBy("key").agg(F.min("path").alias("path"))
         found = hit if found is None else found.unionByName(hit)
     return found
 

@@ -11,9 +11,9 @@ SF0001 = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = build_session(master="local[4]", shuffle_partitions=4, app="riskgraph-tests",
-                      extra={"spark.driver.memory": "8g"})
+                      extra={"spark.driver.memory": "8g", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     yield s
     s.stop()
 

@@ -61,9 +61,8 @@ def test_two_hop_excludes_self_and_one_hop(fixture_graph):
 
 def test_components_fixture(fixture_graph):
     g = fixture_graph
-    comp, rounds, converged = G.connected_components(g.nodes.select("id"), g.edges)
+    comp, rounds = G.connected_components(g.nodes.select("id"), g.edges)
     c = {r.id: r.component for r in comp.collect()}
-    assert converged
     assert c[1] == c[2] == c[3] == c[4] == c[5] == c[99] == 1
     assert c[6] == c[7] == c[8] == c[9] == 6
     assert c[10] == 10
@@ -75,8 +74,7 @@ def test_components_long_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i + 1, i) for i in range(1, n)], "src long, dst long")
     nodes = spark.range(1, n + 1).select(F.col("id"))
-    comp, rounds, converged = G.connected_components(nodes, edges)
-    assert converged
+    comp, rounds = G.connected_components(nodes, edges)
     assert comp.where("component <> 1").count() == 0
 
 
@@ -108,3 +106,49 @@ def test_hub_blocks_equal_enumeration_tables(spark):
         assert _exp_rows(G.exposure(g.nodes.select("id"), adj2, risky, heavy_degree=theta)) == ref, theta
     assert _exp_rows(G.exposure(g.nodes.select("id"), adj, risky, heavy_degree=10)) == _exp_rows(
         G.exposure(g.nodes.select("id"), adj, risky))
+
+
+def test_hub_with_most_edges(spark):
+    """A star whose centre holds nearly every edge: results equal enumeration, and no task of the joins around
+    the centre reads its whole neighbourhood."""
+    n = 20000
+    edges = spark.range(n).select((F.col("id") + 1).alias("src"), F.lit(0).cast("long").alias("dst")).unionByName(
+        spark.createDataFrame([(1, 2), (2, 3), (90000, 90001)], "src long, dst long"))
+    nodes = spark.range(n + 1).select("id").unionByName(spark.createDataFrame([(90000,), (90001,)], "id long"))
+    risky = spark.createDataFrame([(3,), (77,), (0,)], "id long")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.files.openCostInBytes": "1m",
+            "spark.sql.files.maxPartitionBytes": "1m", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        flagged = G._flag_risky(G.materialize(G.adjacency(edges).repartition(8)), "b", G.materialize(risky))
+        probe = flagged.select(F.sum("risky").alias("n"))
+        probe.collect()
+        plan = probe._jdf.queryExecution().executedPlan().toString()
+        both = G.materialize(G.adjacency(edges).select(F.col("a").alias("u"), F.col("b").alias("v")).repartition(8))
+        low = G._minima(both, F.least("u", "mv"))
+        probe2 = both.join(low, "u").select(F.sum("m").alias("n"))
+        probe2.collect()
+        plan2 = probe2._jdf.queryExecution().executedPlan().toString()
+        comp, _ = G.connected_components(nodes, edges)
+        sizes = sorted(r["count"] for r in comp.groupBy("component").count().collect())
+        got = _exp_rows(G.exposure(nodes, G.adjacency(edges), risky, heavy_degree=10))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plan and "skew=true" in plan2
+    assert sizes == [2, n + 1]
+    near = {0: set(range(1, n + 1)), 90000: {90001}, 90001: {90000}} | {i: {0} for i in range(1, n + 1)}
+    for a, b in ((1, 2), (2, 3)):
+        near[a].add(b)
+        near[b].add(a)
+    bad = {3, 77, 0}
+    want = []
+    for a, one in near.items():
+        two = set().union(*(near[b] for b in one)) - {a} - one
+        r1, r2 = len(one & bad), len(two & bad)
+        want.append((a, len(one), r1, len(two), r2))
+    assert [r[:5] for r in got] == sorted(want)

@@ -48,7 +48,7 @@ def test_sample_stable_across_partitions(spark):
 def test_review_outputs_sf0001(spark):
     ctx = catalog.queries()["review_contexts"](spark, SF)
     drafts = catalog.queries()["draft_fallback"](spark, SF)
-    q = catalog.review_queue(spark, SF)
+    q = catalog.mixed_queue(spark, SF)
     assert ctx.count() == q.count()
     assert ctx.where(F.size("retrieved_pdf_chunks") > C.TOP_K_CHUNKS).count() == 0
     assert drafts.where(F.col("analyst_decision") != C.PENDING).count() == 0
@@ -82,7 +82,7 @@ def test_case_retrieval_matches_brute_force(spark):
     from riskgraph.operators import corpus as CO
     from riskgraph.sources.tables import load_corpus_pages
 
-    q = catalog.review_queue(spark, SF)
+    q = catalog.mixed_queue(spark, SF)
     chunks = CO.corpus_chunks(spark, load_corpus_pages(spark, SF))
     got = {}
     for r in CO.retrieve_for_cases(q, chunks, rule_keywords=C.DRIVER_RULE_KEYWORDS,
