@@ -17,11 +17,6 @@ def decode_class(class_raw: Column) -> Column:
     )
 
 
-def nan_to_null(c: Column) -> Column:
-    """NaN becomes NULL so that comparisons and aggregates skip it."""
-    return F.nanvl(c, F.lit(None).cast("double"))
-
-
 def risk_level(score: Column) -> Column:
     """Band by the first threshold the score reaches (>=), highest first."""
     expr = None

@@ -65,13 +65,11 @@ def hit_count() -> Column:
 
 
 def graph_summary() -> Column:
-    return F.format_string("Node with %d total connections, %d one-hop neighbors.",
-                           F.col("total_degree"), F.coalesce(F.col("one_hop_neighbor_count"), F.col("total_degree")))
+    return C.sentence(C.CASE_GRAPH_SUMMARY, F.col("total_degree"), F.coalesce(F.col("one_hop_neighbor_count"), F.col("total_degree")))
 
 
 def review_summary() -> Column:
-    return F.format_string("Transaction reviewed with %d rules triggered. Risk score: %d.", hit_count(),
-                           F.col("risk_score"))
+    return C.sentence(C.CASE_REVIEW_SUMMARY, hit_count(), F.col("risk_score"))
 
 
 def case_flat(queue: DataFrame) -> DataFrame:

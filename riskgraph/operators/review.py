@@ -164,11 +164,10 @@ def fallback_drafts(contexts: DataFrame) -> DataFrame:
         tx.alias("txId"),
         F.col("risk.risk_score").alias("risk_score"),
         F.col("risk.risk_level").alias("risk_level"),
-        F.format_string("Fallback: Manual review required for transaction %d. "
-                        "Graph-based rule signals triggered; monetary data unavailable.", tx).alias("risk_summary"),
+        C.sentence(C.FALLBACK_SUMMARY, tx).alias("risk_summary"),
         F.transform(rules, lambda r: F.struct(
             r["rule_id"].alias("rule_id"), r["rule_name"].alias("rule_name"),
-            F.format_string("%s triggered with score %d.", r["rule_name"], r["score"]).alias("description"),
+            C.sentence(C.FALLBACK_REASON, r["rule_name"], r["score"]).alias("description"),
         )).alias("triggered_reason_codes"),
         F.transform(rules, lambda r: F.format_string("[%s] %s", r["rule_id"], r["proxy_note"])).alias(
             "suspicious_behavior_description"),

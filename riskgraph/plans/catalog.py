@@ -714,6 +714,8 @@ def q_text_rule_id(spark, sf):
     return h.select("id", "rule_id", dashed.alias("ruleId"), X.rule_id_plain(dashed).alias("rule_id_back"))
 
 
+_GRAPH_SENTENCE = C.sentence_sql(C.CASE_GRAPH_SUMMARY, "total_degree", "one_hop_neighbor_count")
+_REVIEW_SENTENCE = C.sentence_sql(C.CASE_REVIEW_SUMMARY, " + ".join(f"CAST({r}_hit AS INTEGER)" for r in C.SUPPORTED_RULE_IDS), "risk_score")
 _DEF_COLS = ("id, label_name, primary_segment, risk_score, risk_level, one_hop_neighbor_count, one_hop_risk_neighbor_share, "
              "two_hop_neighbor_count, two_hop_risk_neighbor_share, distance_to_known_illicit_cluster")
 
@@ -731,10 +733,7 @@ def q_case_defaults(spark, sf):
 
 
 @register("case_text", mixed_sql(
-    "SELECT id, 'Node with ' || CAST(total_degree AS VARCHAR) || ' total connections, ' || CAST(one_hop_neighbor_count AS VARCHAR)"
-    " || ' one-hop neighbors.' AS graphSummary, 'Transaction reviewed with ' || CAST("
-    + " + ".join(f"CAST({r}_hit AS INTEGER)" for r in C.SUPPORTED_RULE_IDS)
-    + " AS VARCHAR) || ' rules triggered. Risk score: ' || CAST(risk_score AS VARCHAR) || '.' AS reviewSummary FROM queue"))
+    f"SELECT id, {_GRAPH_SENTENCE} AS graphSummary, {_REVIEW_SENTENCE} AS reviewSummary FROM queue"))
 def q_case_text(spark, sf):
     return mixed_queue(spark, sf).select("id", CA.graph_summary().alias("graphSummary"), CA.review_summary().alias("reviewSummary"))
 
@@ -750,11 +749,9 @@ _FLAT_SQL = mixed_sql(
     " round(two_hop_risk_neighbor_share, 2) AS twoHopRiskNeighborShare,"
     " distance_to_known_illicit_cluster AS distanceToKnownIllicitCluster,"
     " CASE WHEN two_hop_risk_neighbor_share > 0 THEN 'elevated' ELSE 'normal' END AS neighborAggregationSignal,"
-    " 'Node with ' || CAST(total_degree AS VARCHAR) || ' total connections, ' || CAST(one_hop_neighbor_count AS VARCHAR)"
-    " || ' one-hop neighbors.' AS graphSummary,"
+    f" {_GRAPH_SENTENCE} AS graphSummary,"
     " CASE WHEN total_degree > 5 THEN 'Active spike' ELSE 'Normal' END AS activityStage,"
-    " 'Transaction reviewed with ' || CAST(" + " + ".join(f"CAST({r}_hit AS INTEGER)" for r in C.SUPPORTED_RULE_IDS)
-    + " AS VARCHAR) || ' rules triggered. Risk score: ' || CAST(risk_score AS VARCHAR) || '.' AS reviewSummary,"
+    f" {_REVIEW_SENTENCE} AS reviewSummary,"
     " risk_score AS riskScore FROM queue")
 
 
@@ -832,15 +829,13 @@ def q_case_drafts(spark, sf):
     return CA.case_drafts(flat, _answered(spark, sf)).select("case_id", "txId", "has_draft", "in_pool")
 
 
-_TEMPLATE = ("'Fallback: Manual review required for transaction ' || CAST(id AS VARCHAR) || '. Graph-based rule signals triggered; "
-             "monetary data unavailable.'")
+_TEMPLATE = C.sentence_sql(C.FALLBACK_SUMMARY, "id")
 
 
 @register("case_effective", _wsql([_RESP, f"""eff AS (
   SELECT q.*, printf('ELL-%03d', draw) AS case_id, r.m, {_OK} AS ok, r.js FROM queue q LEFT JOIN resp r USING (id))"""],
     f"SELECT case_id, id AS txId, CASE WHEN m IS NULL THEN {_BAND} ELSE risk_level END AS effective_level, risk_score AS effective_score, "
-    f"CASE WHEN m IS NULL THEN 'Transaction reviewed with ' || CAST(" + " + ".join(f"CAST({r}_hit AS INTEGER)" for r in C.SUPPORTED_RULE_IDS)
-    + f" AS VARCHAR) || ' rules triggered. Risk score: ' || CAST(risk_score AS VARCHAR) || '.' WHEN ok THEN json_extract_string(js, '$.risk_summary') "
+    f"CASE WHEN m IS NULL THEN {_REVIEW_SENTENCE} WHEN ok THEN json_extract_string(js, '$.risk_summary') "
     f"ELSE {_TEMPLATE} END AS effective_summary, " + D.q(C.PENDING) + " AS effective_status, "
     f"CASE WHEN m IN (1) THEN 'q1 | q2' WHEN m = 3 THEN 'q3' WHEN m IN (2, 6) THEN {D.q(' | '.join(C.FALLBACK_QUESTIONS[:4]))} "
     f"ELSE {D.q(' | '.join(C.CASE_QUESTIONS[:4]))} END AS effective_questions FROM eff"))
@@ -889,9 +884,8 @@ _NOTE_CASE = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN {D.q(C.PROXY_NOTES[r])
 _DOC_NAME = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN {D.q(C.RULE_DOCS[r][0])}" for r in C.SUPPORTED_RULE_IDS) + " END"
 _DRAFT_FLAT_SQL = _wsql([_QHL, _EVTEXT], (
     "SELECT q.id, q.id AS txId, q.risk_score, q.risk_level, "
-    "'Fallback: Manual review required for transaction ' || CAST(q.id AS VARCHAR) || '. Graph-based rule signals "
-    "triggered; monetary data unavailable.' AS risk_summary, "
-    f"coalesce((SELECT string_agg({_DOC_NAME} || ' triggered with score ' || CAST(score AS VARCHAR) || '.', ' | ' ORDER BY rule_id) "
+    f"{C.sentence_sql(C.FALLBACK_SUMMARY, 'q.id')} AS risk_summary, "
+    f"coalesce((SELECT string_agg({C.sentence_sql(C.FALLBACK_REASON, _DOC_NAME, 'score')}, ' | ' ORDER BY rule_id) "
     "FROM qhl h WHERE h.id = q.id), '') AS descriptions, "
     f"coalesce((SELECT string_agg('[' || rule_id || '] ' || {_NOTE_CASE}, ' | ' ORDER BY rule_id) FROM qhl h WHERE h.id = q.id), '') AS behaviors, "
     "coalesce((SELECT string_agg(rule_id || '=' || evidence, ' | ' ORDER BY rule_id) FROM evtext e WHERE e.id = q.id), '') AS evidence, "

@@ -45,28 +45,79 @@ def test_sample_stable_across_partitions(spark):
     assert res[0] == res[1] and len(res[0]) == catalog.BATCH
 
 
+def test_mixed_queue_has_every_kind_of_case(spark):
+    q = catalog.mixed_queue(spark, SF)
+    assert {r[0] for r in q.select("risk_level").distinct().collect()} == {"Critical", "High", "Medium", "Low"}
+    assert {r[0] for r in q.select("primary_segment").distinct().collect()} == {C.SEGMENT_LOW, C.SEGMENT_ACTIVE, C.SEGMENT_HIGH_VALUE}
+    hits = q.agg(*[F.sum(F.col(f"{r}_hit").cast("int")) for r in C.SUPPORTED_RULE_IDS]).first()
+    assert all(0 < n < q.count() for n in hits)
+
+
 def test_review_outputs_sf0001(spark):
     ctx = catalog.queries()["review_contexts"](spark, SF)
     drafts = catalog.queries()["draft_fallback"](spark, SF)
     q = catalog.mixed_queue(spark, SF)
     assert ctx.count() == q.count()
     assert ctx.where(F.size("retrieved_pdf_chunks") > C.TOP_K_CHUNKS).count() == 0
+    assert ctx.where(F.size("retrieved_pdf_chunks") > 0).count() > 0
     assert drafts.where(F.col("analyst_decision") != C.PENDING).count() == 0
-    v = RV.draft_violations(drafts, q)
-    assert v.count() == 0
-    assert q.where("one_hop_neighbor_count > total_degree").count() == 0
+    assert RV.draft_violations(drafts, q).count() == 0
+    kinds = {(r.violation, r.detail) for r in catalog.queries()["draft_violations"](spark, SF).collect()}
+    assert {("reason_code_not_triggered", "R006"), ("reason_code_not_triggered", "R001"), ("missing_field", "human_review_questions")} <= kinds
+    status = {r.llm_status for r in catalog.queries()["draft_merge"](spark, SF).collect()}
+    assert status == {"success", "fallback"}
+
+
+def test_context_records_have_the_original_shape(spark):
+    import json
+
+    ctx = catalog.queries()["review_contexts"](spark, SF)
+    from riskgraph import sinks
+    from riskgraph.session import scratch_path
+
+    path = sinks.write_json(RV.context_records(ctx), scratch_path(spark, "shape"), null_fields=False)
+    rows = [json.loads(r.value) for r in spark.read.text(path).collect()]
+    fields = {"R001": {"total_degree": int, "time_step_activity": int}, "R002": {"time_step": float, "time_step_activity": int, "total_degree": int},
+              "R003": {"out_degree": int, "anonymized_behavior_intensity": float},
+              "R004": {"out_degree": int, "in_degree": int, "out_in_ratio": float},
+              "R005": {"neighbor_complexity": int, "one_hop_neighbor_count": int, "one_hop_risk_neighbor_share": float,
+                       "two_hop_neighbor_count": int, "two_hop_risk_neighbor_share": float, "distance_to_known_illicit_cluster": str}}
+    seen = set()
+    for r in rows:
+        assert set(r) == {"review_object", "known_label_for_research_only", "address_profile_adapter", "risk", "graph_exposure", "triggered_rules",
+                          "unsupported_rules", "retrieved_pdf_chunks", "missing_information", "generation_boundaries"}
+        for t in r["triggered_rules"]:
+            seen.add(t["rule_id"])
+            assert set(t) == {"rule_id", "rule_name", "pdr_rule_name", "status", "score", "evidence_fields", "rule_doc"}
+            want = fields[t["rule_id"]] | {"proxy_note": str}
+            assert {k: type(v) for k, v in t["evidence_fields"].items()} == want
+        (u,) = r["unsupported_rules"]
+        assert set(u["evidence_fields"]) == {"status", "missing_fields", "proxy_note"} and isinstance(u["evidence_fields"]["missing_fields"], list)
+    assert seen == set(C.SUPPORTED_RULE_IDS)
+
+
+def test_full_run_with_responses(spark):
+    rows = {r.output: r.rows for r in catalog.queries()["pipeline_run"](spark, SF).collect()}
+    assert set(rows) == {"cases", "contexts", "drafts", "queue", "requests", "drafts from the model"}
+    assert 0 < rows["drafts from the model"] < rows["drafts"] == rows["requests"] == rows["queue"]
 
 
 def test_response_parsing(spark):
     resp = spark.createDataFrame([
-        (1, '{"risk_summary": "s", "human_review_questions": ["q"]}'),
+        (1, '{"risk_summary": "s", "human_review_questions": ["q"], "summary_zh": "x", "more": {"a": 1}, "txId": 5}'),
         (2, "not json"),
         (3, "{}"),
         (4, "[1, 2]"),
         (5, ""),
+        (6, '{"risk_summary": "s", "missing_information": "one item"}'),
+        (7, None),
+        (8, ' {"risk_summary": null} '),
     ], "id long, content string")
-    ok = {r.id: r.parsed_ok for r in RV.parse_responses(resp).collect()}
-    assert ok == {1: True, 2: False, 3: True, 4: False, 5: False}
+    got = {r.id: r for r in RV.parse_responses(resp).collect()}
+    assert {i for i, r in got.items() if r.parsed_ok} == {1, 3, 6, 8}
+    assert got[6].parsed.risk_summary == "s" and got[6].parsed.missing_information is None
+    assert got[1].parsed.human_review_questions == ["q"] and got[1].extra == {"summary_zh": "x", "more": '{"a":1}'}
+    assert got[8].parsed.risk_summary is None and got[3].extra == {}
 
 
 def test_entry_runs(spark):
@@ -91,7 +142,7 @@ def test_case_retrieval_matches_brute_force(spark):
     all_chunks = [(r.source_rank, r.source_id, r.page, r.chunk_no, r.chunk_id, r.text)
                   for r in chunks.orderBy("source_rank", "source_id", "page", "chunk_no").collect()]
     cases = q.select("id", *[f"{rid}_hit" for rid in C.SUPPORTED_RULE_IDS]).collect()
-    assert len(cases) == catalog.BATCH
+    assert len(cases) == catalog.mixed_queue(spark, SF).count()
     for case in cases:
         kws = []
         for rid in C.SUPPORTED_RULE_IDS:
