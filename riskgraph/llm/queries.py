@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgraph.llm import ann, byte_bpe, html_extract, jaccard_join, line_rules, packing, quality_eb, repeat_dedup, secret_scan, url_filters
+from riskgraph.llm import ann, byte_bpe, duck, html_extract, jaccard_join, line_rules, packing, quality_eb, repeat_dedup, secret_scan, url_filters
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
              ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -88,4 +88,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(duck.ORACLES)
