@@ -45,7 +45,8 @@ JUNK = frozenset("""ad ads adv advert adverts advertisement advertising adsense
 banner banners comment comments commentlist disqus discussion respond replies reply nav navbar navigation menu menus breadcrumb breadcrumbs
 pagination pager footer foot sidebar sidebars aside widget widgets cookie cookies consent gdpr notice notices alert alerts popup modal overlay
 toolbar share sharing social related recommended recommendations subscribe subscription newsletter signup login masthead topbar
-skip skiplink tags toc complementary contentinfo search hidden""".split())
+skip skiplink tags toc complementary contentinfo search dialog copyright disclaimer legal hidden header""".split())
+JUNK_STARTS = ("cookie", "advert", "sponsor", "newsletter", "subscri", "breadcrumb", "sidebar", "navbar", "footer", "popup")
 MAIN = frozenset("article main content post entry story body text page".split())
 WORD = re.compile(r"[a-z]+|[A-Z](?:[a-z]+|[A-Z]*)")
 
@@ -72,7 +73,10 @@ def _is_junk(tag: str, attrs: str, in_article: bool) -> bool:
         name, value = m["name"].lower(), m["a"] or m["b"] or m["c"] or ""
         if name in ("class", "id", "role"):
             words = {w.lower() for part in value.split() for w in WORD.findall(part)}
-            if words & JUNK and not (tag in ("article", "main") or tag != "header" and words & MAIN and not words & _NEVER):
+            if in_article:
+                words.discard("header")  # that of the article
+            junk = words & JUNK or {w for w in words if w.startswith(JUNK_STARTS)}
+            if junk and tag not in ("article", "main") and not (words & MAIN and junk <= _MAY_BE_MAIN):
                 return True
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -81,7 +85,8 @@ def _is_junk(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-_NEVER = JUNK - {"page", "text", "tags", "toc", "search", "related", "social", "share", "promo", "menu", "widget"}
+# Next to a word for main text ("post-header", "search-page") these do not mark a part as something else
+_MAY_BE_MAIN = frozenset("page text tags toc search related social share promo menu widget header".split())
 
 
 class Tree:

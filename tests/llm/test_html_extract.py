@@ -34,6 +34,9 @@ def test_query_gives_the_articles(spark):
      "Loose text and more\n\nPara, one.\n\ntail"),
     ('<article><p>Alpha<script>if (a < b) "</p>"</script> beta<div class="ad">AD</div><form><p>send</p></form><p>Gamma</article>',
      "Alpha beta\n\nGamma"),
+    ('<div class="site-header"><p>Site, name, here</p></div><div class="post"><div class="post-header"><h1>T</h1></div><p>Body, text.</p></div>'
+     '<div class="cookiebar"><p>We, use, cookies</p></div><div id="copyright"><p>c</p></div>', "T\n\nBody, text."),
+    ('<article><div class="header"><h1>T</h1></div><p>Body.</p><div class="text-ad">buy</div></article>', "T\n\nBody."),
     ("<body><p>first, with text.</p><p>second.</p><footer>f</footer></body>", "first, with text.\n\nsecond."),
     ("<article><p>cut off in a ta<a hr", "cut off in a ta"), ("<p>x &lt; y &#233; &#x4e2d; &am</p>", "x < y é 中 &am")])
 def test_pages(page, text):
