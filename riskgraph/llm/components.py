@@ -1,8 +1,9 @@
-"""Connected components by minimum labels with pointer jumping, one written table per round.
+"""Connected components by contraction, every step a written table.
 
-Rounds repeat until nothing changes; there is no cap.  Labels are written before every join, so Spark
-knows their size and can split the rows of a node that very many edges share.  Work per round is
-proportional to the edges, and pointer jumping makes the rounds few even on long chains.
+Each round points every node at its smallest neighbour (or itself), follows the pointers to their roots by
+doubling, replaces nodes by roots in the edges and drops what has become a loop or a repeat.  Edges and
+nodes shrink at least by half per round, and rounds end when no edge is left; there is no cap.  Pointers are
+written before every join, so Spark knows their size and can split the rows of a node that very many edges share.
 """
 
 from __future__ import annotations
@@ -13,22 +14,43 @@ from pyspark.sql import functions as F
 from riskgraph.llm.tables import discard, written
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label, before) of every node that has an edge; label is the smallest node of its component."""
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b")
-    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "component_edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("low")).select(
-        F.col("a").alias("node"), F.least("a", "low").alias("label")), "component_labels")
+def _roots(edges: DataFrame) -> DataFrame:
+    """(node, label, before): every node of the edges with the root of its chain of smallest neighbours."""
+    both = edges.select(F.col("x").alias("node"), F.col("y").alias("near")).unionByName(
+        edges.select(F.col("y").alias("node"), F.col("x").alias("near")))
+    pointer = written(both.groupBy("node").agg(F.min("near").alias("low")).select("node", F.least("node", "low").alias("label")), "pointers")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
-        met = labels.join(near, labels["node"] == near["a"]).select(
-            "node", F.col("label").alias("before"), F.least("label", "low").alias("label"))
-        met = written(met, "component_met")
-        discard(labels)
-        jump = met.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        labels = written(met.join(jump, met["label"] == jump["at"]).select("node", "before", F.least("label", "next").alias("label")),
-                         "component_labels")
-        discard(met)
-        if labels.where("label != before").isEmpty():
-            discard(both)
-            return labels
+        jump = pointer.select(F.col("node").alias("at"), F.col("label").alias("next"))
+        after = written(pointer.join(jump, pointer["label"] == jump["at"]).select(
+            "node", F.col("next").alias("label"), F.col("label").alias("before")), "pointers")
+        discard(pointer)
+        pointer = after
+        if pointer.where("label != before").isEmpty():
+            return pointer
+
+
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("x"), F.greatest(a, b).alias("y")]
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, label, ...) of every node that has an edge to another; label is the smallest node of its component."""
+    edges = written(edges.where(F.col(a) != F.col(b)).select(*_ordered(a, b)).distinct(), "component_edges")
+    labels = None
+    while labels is None or not edges.isEmpty():
+        roots = _roots(edges)
+        of = lambda end: roots.select(F.col("node").alias(end), F.col("label").alias("root_" + end))
+        met = edges.join(of("x"), "x").join(of("y"), "y").where("root_x != root_y").select(*_ordered("root_x", "root_y")).distinct()
+        met = written(met, "component_edges")
+        discard(edges)
+        edges = met
+        if labels is None:
+            labels = roots
+            continue
+        up = roots.select(F.col("node").alias("at"), F.col("label").alias("root"))
+        after = written(labels.join(up, labels["label"] == up["at"], "left").select("node", F.coalesce("root", "label").alias("label")),
+                        "component_labels")
+        discard(labels, roots)
+        labels = after
+    discard(edges)
+    return labels
