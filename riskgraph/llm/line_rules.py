@@ -2,9 +2,10 @@
 
 Per text, base rules count words, symbols, repeated lines and repeated word windows.  Across texts,
 normalised lines (lower case, white space collapsed, digits as 0) are hashed, and the different texts
-of one host that hold a line are counted.  A line found in more than ``min_texts`` texts and more
-than ``max_share`` of the host's texts is boilerplate and is removed; a document whose lines lose more
-than ``max_removed`` of their characters is depleted and rejected.
+of one host that hold a line are counted.  A line found in more than ``min_texts`` texts of its host
+is boilerplate and is removed, however many other texts the host has; a document whose lines lose more
+than ``max_removed`` of their characters is depleted and rejected.  A caller may ask for more than a
+share ``max_share`` of the host's texts besides; by default the count alone decides.
 
 Only DataFrame functions are used.  The text is read once: counts and line hashes go to one table in
 the shared folder.  Exact copies count as one text; all that follows is keyed by (host, text), so
@@ -93,14 +94,15 @@ def boilerplate(texts: DataFrame, min_texts: int, max_share: float) -> tuple[Dat
     lines = texts.select("host_key", "text_key", F.explode("lines").alias("x")).groupBy(
         "host_key", "text_key", F.col("x.line").alias("line")).agg(F.sum("x.chars").alias("chars"))
     lines = written(lines, "text_lines")
-    hosts = texts.select("host_key", "text_key").distinct().groupBy("host_key").agg(F.count(F.lit(1)).alias("n_texts"))
-    often = (lines.groupBy("host_key", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_texts)
-             .join(hosts, "host_key").where(F.col("n") > max_share * F.col("n_texts")).select("host_key", "line"))
-    return written(often, "boilerplate_lines"), lines
+    often = lines.groupBy("host_key", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_texts)
+    if max_share > 0:
+        hosts = texts.select("host_key", "text_key").distinct().groupBy("host_key").agg(F.count(F.lit(1)).alias("n_texts"))
+        often = often.join(hosts, "host_key").where(F.col("n") > max_share * F.col("n_texts"))
+    return written(often.select("host_key", "line"), "boilerplate_lines"), lines
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_texts: int = 10,
-          max_share: float = 0.001, max_removed: float = 0.5, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
+          max_share: float = 0.0, max_removed: float = 0.5, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_chars."""
     texts = written(text_rules(docs, id_col, host_col, text_col), "text_rules")
     often, lines = boilerplate(texts, min_texts, max_share)

@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskgraph.llm import line_rules, queries
 
@@ -74,3 +75,13 @@ def test_awkward_rows(spark):
     got = sorted((tuple(r)[:8] for r in line_rules.judge(docs).collect()), key=repr)
     assert got == judged([(r["doc_id"], r["source"], r["text"]) for r in docs.collect()], 10, 0.001)
     assert line_rules.judge(no_docs(spark)).collect() == []
+
+
+def test_hot_host_is_judged_as_a_small_one(spark):
+    body = F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), F.conv("id", 10, 26)) for i in range(5)])
+    line = F.lit("read all of the terms and conditions here now ")
+    held = spark.range(12).select(F.col("id").alias("doc_id"), F.lit("h").alias("source"), F.concat(line, F.lit("\n"), body).alias("text"))
+    rest = spark.range(100, 12100).select(F.col("id").alias("doc_id"), F.lit("h").alias("source"), body.alias("text"))
+    for table in (held, held.union(rest)):
+        got = line_rules.judge(table, min_words=5).where("doc_id < 12").collect()
+        assert len(got) == 12 and all(r["removed_chars"] == 37 and not r["kept"] for r in got)
