@@ -8,10 +8,11 @@ all of its tokens occur.  The most confident fitting rule decides (ties: higher
 
 Hand-written (host, path) rules come before mined ones; the longest fitting one wins.
 
-All steps are DataFrame operations.  The relative support bounds the frequent single tokens by (tokens
-per URL / support), whatever the input's size.  Verdicts are made per distinct URL, so a URL that
-fills a third of the table is judged once; the last join carries no aggregate, so Spark may split a
-hot URL.
+All steps are DataFrame operations.  A combination is frequent from ``min_count`` labelled URLs on,
+however many others there are, so more data finds more of the rare hosts.  The frequent single tokens,
+which FP-growth lists on the driver, are at most (labelled URLs x tokens per URL / ``min_count``).
+Rules are matched per distinct set of tokens, verdicts kept per distinct URL, so a URL that fills a
+third of the table is judged once; the last join carries no aggregate, so Spark may split a hot URL.
 
 Defined results: a null URL or one without ``://`` has empty host and path, no rule and the default
 verdict; labels that are null are not used; without labelled rows no rule is mined; repeated rows
@@ -79,16 +80,17 @@ def tokens_of(url: Column) -> Column:
         t.startswith("word=") & F.array_contains(labels, F.substring(t, 6, 1 << 20)))))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, min_count: int = 25) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.0, min_confidence: float = 0.8, min_count: int = 25) -> DataFrame:
     """Rules (rule_id, tokens, anchor, label, confidence, lift, support) from ``labelled`` (url, bad boolean).
-    ``min_count``: a combination must also occur that often, else few labels would make every subset frequent."""
+    A combination must occur ``min_count`` times; ``min_support`` asks for a share of the labelled URLs besides."""
     spark = labelled.sparkSession
     baskets = labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull()).select(
         F.concat(tokens_of(F.col("url")), F.array(F.when(F.col("bad"), BAD).otherwise(GOOD))).alias("items"))
     n = baskets.count()
     if n < min_count:
         return spark.createDataFrame([], RULE_SCHEMA)
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(baskets)
+    # FP-growth rounds support x rows up: half a row less, so that exactly min_count rows are enough
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, (min_count - 0.5) / n), minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent")[0].isin(GOOD, BAD)).select(
         F.xxhash64(F.array_sort("antecedent"), "consequent").alias("rule_id"), F.array_sort("antecedent").alias("tokens"),
         F.col("consequent")[0].alias("label"), "confidence", "lift", "support")
@@ -98,14 +100,13 @@ def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float
     return rules.join(rarest, "rule_id").select("rule_id", "tokens", "anchor", "label", "confidence", "lift", "support")
 
 
-def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """For distinct URLs (column url) that some mined rule fits: url, method_verdict, confidence, mined_rule."""
-    tokens = urls.select("url", tokens_of(F.col("url")).alias("url_tokens"))
-    found = (tokens.select("url", "url_tokens", F.explode("url_tokens").alias("anchor")).join(rules, "anchor")
+def match(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """For distinct token sets (column url_tokens) that some mined rule fits: url_tokens, method_verdict, confidence, mined_rule."""
+    found = (token_sets.select("url_tokens", F.explode("url_tokens").alias("anchor")).join(rules, "anchor")
              .where(F.size(F.array_except("tokens", "url_tokens")) == 0))
     best = F.max(F.struct("confidence", "lift", (F.col("label") == BAD).alias("bad"), F.array_join("tokens", " ").alias("mined_rule")))
-    return found.groupBy("url").agg(best.alias("b")).select(
-        "url", F.when(F.col("b.bad"), BLOCK).otherwise(ALLOW).alias("method_verdict"),
+    return found.groupBy("url_tokens").agg(best.alias("b")).select(
+        "url_tokens", F.when(F.col("b.bad"), BLOCK).otherwise(ALLOW).alias("method_verdict"),
         F.col("b.confidence").alias("confidence"), F.col("b.mined_rule").alias("mined_rule"))
 
 
@@ -115,8 +116,10 @@ def judge(pages: DataFrame, labelled: DataFrame, listed: Sequence[tuple[str, str
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"))
     rules = written(mine(labelled, **mining), "url_rules")
-    verdicts = written(match(rows.where("url is not null").select("url").distinct(), rules), "url_verdicts")
-    discard(rules)
+    urls = rows.where("url is not null").select("url").distinct().select("url", F.array_sort(tokens_of(F.col("url"))).alias("url_tokens"))
+    sets = written(match(urls.select("url_tokens").distinct(), rules), "url_token_sets")
+    verdicts = written(urls.join(sets, "url_tokens").drop("url_tokens"), "url_verdicts")
+    discard(rules, sets)
     out = rows.join(verdicts, "url", "left").select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "method_verdict", "confidence", "mined_rule")
     out = out.withColumn("listed", listed_rule(F.col("host"), F.col("path"), listed))

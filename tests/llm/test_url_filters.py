@@ -65,3 +65,12 @@ def test_mined_verdicts_and_awkward_rows(spark):
     none = spark.createDataFrame([], "url string, bad boolean")
     assert {r["verdict"] for r in U.judge(pages, none).collect()} == {"allow"}
     assert U.judge(pages.where("false"), labelled(spark), min_count=5).collect() == []
+
+
+def test_rare_host_among_many_labels(spark):
+    many = spark.range(8000).selectExpr("concat('https://h', id % 40, '.good.net/', id) url", "false bad")
+    for n, want in ((25, "block"), (24, "allow")):
+        rare = spark.range(n).selectExpr("concat('https://rare.org/', id) url", "true bad")
+        pages = spark.createDataFrame([(1, "https://rare.org/new"), (2, "https://h1.good.net/7")], "page_id long, url string")
+        got = {r["page_id"]: r["verdict"] for r in U.judge(pages, many.union(rare)).collect()}
+        assert got == {1: want, 2: "allow"}
