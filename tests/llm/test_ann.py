@@ -89,3 +89,16 @@ def test_fewer_candidates_and_none(spark):
     assert ann.search(table.where("false"), F.col("id") % 20 == 0).collect() == []
     assert ann.search(table, F.col("id") == 99).collect() == []
     assert ann.search(table.where("vec_id = 0"), F.col("id") == 0).collect() == []
+
+
+def test_recall_with_many_parts_and_unsampled_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 1500)
+    monkeypatch.setattr(ann, "PART_ROWS", 500)
+    fitted, fit = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda x, parts: fitted.append(fit(x, parts)) or fitted[-1])
+    x = clustered(8000)
+    got = answers(ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("id") % 20 == 0))
+    (router, visits), = fitted
+    assert router.w[2].shape[1] == 16 and visits < 16
+    near = ann.exact_neighbours(x, np.arange(0, 8000, 20), 20)
+    assert np.mean([np.isin([j for _, j, _ in got[20 * k]], near[k]).mean() for k in range(400)]) >= 0.9
