@@ -6,8 +6,9 @@ sidebars, and containers whose class, id or role says advert, notice, share bar,
 reader comments.  Every paragraph-like block then passes points to its ancestors: one for being
 there, one for each comma, one for each 100 characters up to three; its parent gets all of them, the
 next ancestors a half, a third and so on.  A container's points are discounted by its link density.
-The best container is taken, together with siblings that score at least a fifth of it or are dense
-text themselves; their blocks are the main text.
+The best container, or the <article> or <main> around it, is taken, together with siblings that score
+at least a fifth of it (and ten points) or are dense text themselves, inside a <main> those of every
+level below it; their blocks are the main text.
 
 Work is per page (Arrow batches); nothing is shuffled.  Defined results: null or empty html, and
 pages without text, give an empty text; repeated rows are extracted each on its own; very long pages
@@ -230,15 +231,22 @@ def main_text(source: str | None) -> str:
     while article is not None and article.tag not in ("article", "main"):
         article = article.parent
     chosen = [article or best]
-    if article is None and best.parent is not None:
-        for other in best.parent.children:
-            if other is best or other.junk:
+    main = article
+    while main is not None and main.tag != "main":
+        main = main.parent
+    node = chosen[0]
+    while node is not main and node.parent is not None:
+        for other in node.parent.children:
+            if other is node or other.junk:
                 continue
             chars = sum(len(b) for _, b in other.blocks)
             dense = other.tag in PARAGRAPH and chars and other.link_chars < chars / 4
-            if dense or other.points >= max(10, best.points / 5):
+            if dense or other.points >= max(10, chosen[0].points / 5):
                 chosen.append(other)
-        chosen[0].parent.blocks and chosen.append(Node("#text", None, 0, blocks=best.parent.blocks))
+        node.parent.blocks and chosen.append(Node("#text", None, 0, blocks=node.parent.blocks))
+        if main is None:
+            break
+        node = node.parent
     found, todo = [], list(chosen)
     while todo:
         node = todo.pop()

@@ -49,3 +49,18 @@ def test_long_and_awkward_rows(spark):
     out = H.extract(spark.createDataFrame(data, "page_id long, url string, html string, text int")).collect()
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in out) == [(0, 1), (1, 0), (1, 0), (3, 40000 * 12 - 2), (4, 4)]
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+LONG, SHORT, TINY = "<p>" + "one, two, " * 40 + "</p>", "<p>" + "three, four, " * 8 + "</p>", "<p>a card</p>"
+
+
+@pytest.mark.parametrize("page, kept, left", [
+    (f"<main><article>{LONG}</article><article>{SHORT}</article></main>", ["one", "three"], []),
+    (f"<main><article>{SHORT}</article><article>{LONG}</article><article>{TINY}</article></main>", ["one", "three"], ["a card"]),
+    (f"<main><h1>Title</h1><p>lead</p><article>{LONG}</article><div class=related>{SHORT}</div></main>", ["Title", "lead", "one"], ["three"]),
+    (f"<main><h1>Title</h1><section><article><div>{LONG}</div></article><article><div>{SHORT * 3}</div></article></section></main><p>out</p>",
+     ["Title", "one", "three"], ["out"]),
+    (f"<div><article>{LONG}</article><article>{SHORT}</article></div><div>{TINY}</div>", ["one", "three"], ["a card"])])
+def test_siblings_of_the_article(page, kept, left):
+    text = H.main_text(page)
+    assert all(x in text for x in kept) and not any(x in text for x in left)
