@@ -1,13 +1,14 @@
 """Secret scan by assignment-aware lexing.
 
-Three base patterns (assignments to well-known names, cloud access keys, long hex runs) always
-report.  On top of them source and configuration syntax is lexed around every assignment operator
-into (name, expression) pairs: the name left of ``=``, ``:``, ``:=`` or ``=>`` (quoted keys,
-subscripts, type annotations included), and on the right a chain of string literals, bare values and
-names joined by ``+``.  Names are constants: an expression that mentions one takes over its literals,
-from the nearest assignment before it, else the first after it, through any number of steps.  A
-literal that reaches a sensitive name is scored by the name's words and by its own shape (parts of
-one concatenation also as a whole), and reported with kind ``lexed`` at the literal's own place.
+Three base patterns (assignments to well-known names, cloud access keys, long hex runs) always report.
+On top of them source and configuration syntax is lexed around every assignment operator into (name,
+expression) pairs: the name left of ``=``, ``:``, ``:=`` or ``=>`` (quoted keys, subscripts, type
+annotations included), and on the right a chain of string literals (also triple-quoted or over several
+lines), bare values and names joined by ``+``, a heredoc or a YAML block scalar.  Names are constants:
+an expression that mentions one takes over its literals, from the nearest assignment before it, else the
+first after it, through any number of steps.  A literal that reaches a sensitive name is scored by the
+name's words and by its own shape (parts of one concatenation also as a whole), and reported with kind
+``lexed`` at the literal's own place.
 
 Work is per document on whole texts (Arrow batches of small lists of texts); nothing is shuffled.
 Defined results: null text counts as empty and has no spans; repeated rows are scanned each on its
@@ -41,9 +42,13 @@ OPERATOR = re.compile(r"[=:]")
 NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-$@")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 TERM = re.compile(
-    r"""[ \t]*(?:[fFrRbBuU]{0,2}(?P<quote>["'`])(?P<text>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)"""
+    r"""[ \t]*(?:[fFrRbBuU]{0,2}(?P<quote>\"{3}|'{3}|["'`])(?P<text>(?:\\(?s:.)|(?!(?P=quote))[^\\])*)(?P=quote)"""
     r"""|(?P<bare>[^\s"'`,;#&|<>(){}\[\]+]+(?:\+(?=[^\s"'`+])[^\s"'`,;#&|<>(){}\[\]+]+)*))""")
 PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*(?:\\?\n[ \t]*)?")
+BLOCK = re.compile(r"[ \t]*[|>][-+1-9]{0,2}[ \t]*(?:#[^\n]*)?\n")  # YAML
+HEREDOC = re.compile(r"""[ \t]*(?:["']?\$\([ \t]*cat[ \t]*)?<<<?[-~]?[ \t]*(?P<mark>["'`]?)(?P<tag>[A-Za-z_]\w*)(?P=mark)[^\n]*\n""")
+INDENT = re.compile(r"[ \t]*(?:-[ \t]+)*")
+LINE_WORD = re.compile(r"^[ \t]*([A-Za-z_]\w*)", re.M)
 # Weights of name words; two-word names count if both occur
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "pass": 2, "secret": 3, "token": 3, "apikey": 3,
              "credential": 3, "credentials": 3, "bearer": 2, "auth": 2, "authorization": 2, "privatekey": 3, "accesskey": 3,
@@ -87,10 +92,29 @@ def _name_before(text: str, end: int) -> tuple[str, int]:
     return text[j:i].strip(".-"), j
 
 
+def _indented(text: str, at: int, key: int) -> int:
+    """End of the lines from ``at`` on that are empty or indented deeper than the key of the line that holds ``key``."""
+    line = text.rfind("\n", 0, key) + 1
+    depth = INDENT.match(text, line).end() - line
+    while at < len(text):
+        end = text.find("\n", at) % (len(text) + 1)  # not found: the text's end
+        if text[at:min(end, at + depth + 1)].strip():
+            return at
+        at = end + 1
+    return len(text)
+
+
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int, bool]:
+    inner = text[start:end]
+    return start + len(inner) - len(inner.lstrip()), end - len(inner) + len(inner.rstrip()), True
+
+
 def assignments(text: str) -> list[Assignment]:
-    """(name, expression) pairs in order of their operators."""
+    """(name, expression) pairs in order of their operators.  What a literal over several lines holds is
+    lexed as well, unless the literal is bound to a name of weight 3 and so reported as a whole."""
     out: list[Assignment] = []
     skip = -1
+    marks: dict[str, list[int]] | None = None  # first words of lines: ends of heredocs
     for m in OPERATOR.finditer(text):
         p = m.start()
         if p < skip:
@@ -114,10 +138,31 @@ def assignments(text: str) -> list[Assignment]:
                 name = owner
         pair = Assignment(name, p)
         at = end
+        block = None
+        if text[p] == ":" and (t := BLOCK.match(text, end)):
+            block = t.end(), _indented(text, t.end(), p)
+        elif t := HEREDOC.match(text, end):
+            if marks is None:
+                marks = {}
+                for w in LINE_WORD.finditer(text):
+                    marks.setdefault(w[1], []).append(w.start(1))
+            ends = marks.get(t["tag"], [])
+            if (k := bisect_left(ends, t.end())) < len(ends):
+                block = t.end(), ends[k]
+        if block:
+            pair.literals.append(_trimmed(text, *block))
+            if name_score(name) >= 3:
+                skip = block[1]
+            out.append(pair)
+            continue
         while t := TERM.match(text, at):
             if t["text"] is not None:
-                pair.literals.append((t.start("text"), t.end("text"), True))
-                skip = t.end()
+                lines, long = "\n" in t["text"], len(t["quote"]) == 3
+                if lines and t["quote"] in "\"'" and text[t.end():t.end() + 1].isalnum():
+                    break  # an open quote, or an apostrophe
+                pair.literals.append(_trimmed(text, *t.span("text")) if lines or long else (*t.span("text"), True))
+                if not lines and not long or t["quote"] not in "\"'" and name_score(name) >= 3:
+                    skip = t.end()
             elif text[t.end():t.end() + 1] == "(":
                 break  # a call
             else:
@@ -138,14 +183,16 @@ def name_score(name: str) -> int:
     return max([best, *(w for (a, b), w in SENSITIVE_PAIRS.items() if a in words and b in words)])
 
 
-def literal_score(value: str, quoted: bool) -> float:
-    """Shape of a literal: length, entropy, mixed classes; placeholders and plain words score low."""
-    if len(value) < 6 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+def literal_score(value: str, quoted: bool, weight: int) -> float:
+    """Shape of a literal: length, entropy, mixed classes; placeholders and plain words score low.  White space
+    inside (pass phrases, key blocks) is only for quoted literals of names of weight 3."""
+    spaced = any(c.isspace() for c in value)
+    if len(value) < 6 or PLACEHOLDER.match(value) or spaced and not (quoted and weight >= 3 and value.strip()):
         return -10.0
     count = Counter(value)
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in count.values())
     digits = sum(c.isdigit() for c in value)
-    kinds = (digits > 0) + any(c.islower() for c in value) + any(c.isupper() for c in value) + any(not c.isalnum() for c in value)
+    kinds = (digits > 0) + any(c.islower() for c in value) + any(c.isupper() for c in value) + any(not (c.isalnum() or c.isspace()) for c in value)
     score = (entropy >= 2.5) + (entropy >= 3.2) + (kinds >= 2) + (len(value) >= 16)
     if not quoted and not digits:
         return -10.0  # a bare word is prose or a name
@@ -183,9 +230,9 @@ def lexed_spans(text: str) -> list[tuple[str, int, int, int, int]]:
         if weight := name_score(a.name):
             reach = sources(i)
             strings = sorted(x[:2] for x in reach if x[2])
-            whole = len(strings) > 1 and weight + literal_score("".join(text[a:b] for a, b in strings), True) >= SCORE_LIMIT
+            whole = len(strings) > 1 and weight + literal_score("".join(text[a:b] for a, b in strings), True, weight) >= SCORE_LIMIT
             for start, end, quoted in reach:
-                if whole and quoted and end > start or weight + literal_score(text[start:end], quoted) >= SCORE_LIMIT:
+                if whole and quoted and end > start or weight + literal_score(text[start:end], quoted, weight) >= SCORE_LIMIT:
                     out.add(("lexed", start, end, start, end))
     return list(out)
 

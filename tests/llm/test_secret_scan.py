@@ -59,3 +59,19 @@ def test_awkward_rows(spark):
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert texts[16] == "password = [SECRET]" and texts[1] is None and texts[9] == dict(awkward_texts())[9]
     assert S.scan(no_docs(spark)).collect() == [] and S.redact(no_docs(spark)).collect() == []
+
+
+@pytest.mark.parametrize("text, literals", [
+    ('password = """S3cr3tValue9"""', ["S3cr3tValue9"]), ("private_key = \'\'\'\nS3cr3tValue9\n\'\'\'\nx = 1", ["S3cr3tValue9"]),
+    ('private_key: "S3cr3t\n  Value9 x1"\nnext: 1', ["S3cr3t\n  Value9 x1"]), ("signing_key = `ab12cd34\nEF56gh78`;", ["ab12cd34\nEF56gh78"]),
+    ("- private_key: |\n    -----BEGIN-----\n    MIIBOgIBAAJBAK==\n\n    abcd1234\n  user: bob", ["-----BEGIN-----\n    MIIBOgIBAAJBAK==\n\n    abcd1234"]),
+    ("a:\n    signing_key: |\n      q9W8e7R6t5Y4\nb: 1", ["q9W8e7R6t5Y4"]),
+    ("signing_key: >-\n  q9W8e7R6t5Y4", ["q9W8e7R6t5Y4"]), ("signing_key = <<-EOT\n  q9W8e7R6t5Y4\n  EOT\nx = 1", ["q9W8e7R6t5Y4"]),
+    ("PRIVATE_KEY=$(cat <<'E'\nab12cd34 ef\nE\n)", ["ab12cd34 ef"]), ('passphrase = "correct horse battery staple"', ["correct horse battery staple"]),
+    ('k = """\nq9W8e7R6t5Y4\n"""\nprivate_key = k', ["q9W8e7R6t5Y4"]),
+    ('note = """\nprivate_key = "q9W8e7R6t5Y4"\n"""', ["q9W8e7R6t5Y4"]), ("conf: |\n  private_key: q9W8e7R6t5Y4\n", ["q9W8e7R6t5Y4"]),
+    ('private_key = "open\nsigning_key = "q9W8e7R6t5Y4"', ["q9W8e7R6t5Y4"]), ("my password: 'tis what\nwe don't tell", []),
+    ('auth = "two words here 12"', []), ("signing_key: |\nuser: bob", []), ("signing_key = <<EOT\nnever ends 12", [])])
+def test_literals_over_lines_and_with_spaces(text, literals):
+    assert sorted(text[a:b] for _, a, b, _, _ in S.lexed_spans(text)) == sorted(literals)
+    assert S.masked(text, S.lexed_spans(text)).count(S.MASK) == len(literals)
