@@ -924,6 +924,15 @@ def q_src_responses(spark, sf):
     return RV.parse_responses(_responses(spark, sf)).select("id", "parsed_ok")
 
 
+@register("src_responses_turns", f"SELECT conv_id, turn, {_OK} AS parsed_ok, json_extract_string(CASE WHEN {_OK} THEN js END, '$.risk_summary') "
+          "AS risk_summary FROM (SELECT conv_id, turn, CASE WHEN json_valid(text) THEN text END AS js FROM conversations WHERE role = 'assistant') t")
+def q_src_responses_turns(spark, sf):
+    """S6 over every assistant turn, so that its work follows the table; the seven kinds of answers are in src_responses."""
+    turns = spark.read.parquet(f"{sf.rstrip('/')}/conversations.parquet").where("role = 'assistant'")
+    parsed = RV.parse_responses(turns.select(F.struct("conv_id", "turn").alias("id"), F.col("text").alias("content")))
+    return parsed.select("id.conv_id", "id.turn", "parsed_ok", F.col("parsed.risk_summary").alias("risk_summary"))
+
+
 @register("draft_merge", None)
 def q_draft_merge(spark, sf):
     return _drafts(spark, sf)

@@ -39,3 +39,17 @@ def test_matches_duckdb(spark, con, key):
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
     assert _norm(sp, df.columns) == _norm(res.fetchall(), dcols)
+
+
+def test_responses_of_every_assistant_turn(spark, con, tmp_path):
+    key = "src_responses_turns"
+    got = [tuple(r) for r in E.queries()[key](spark, SF).collect()]
+    assert len(got) == con.execute("SELECT count(*) FROM conversations WHERE role = 'assistant'").fetchone()[0]
+    assert sorted(got) == sorted(con.execute(E.oracle_sql()[key]).fetchall())
+    turns = [(1, 0, "user", "{}"), (1, 1, "assistant", '{"risk_summary": "s", "x": 1}'), (1, 2, "assistant", "[1]"), (2, 1, "assistant", None),
+             (2, 2, "assistant", '{"risk_summary": null}'), (2, 3, "assistant", '{"cut')]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    other = duckdb.connect()
+    other.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = [(1, 1, True, "s"), (1, 2, False, None), (2, 1, False, None), (2, 2, True, None), (2, 3, False, None)]
+    assert sorted(tuple(r) for r in E.queries()[key](spark, str(tmp_path)).collect()) == want == sorted(other.execute(E.oracle_sql()[key]).fetchall())
