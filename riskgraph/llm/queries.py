@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgraph.llm import ann, byte_bpe, duck, html_extract, jaccard_join, line_rules, packing, quality_eb, repeat_dedup, secret_scan, url_filters
+from riskgraph.llm import ann, byte_bpe, duck, html_extract, jaccard_join, line_rules, packing, quality_eb, repeat_dedup, secret_scan, setsketch_dedup, spelling_groups, url_filters, whitening
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
              ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -73,6 +73,18 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.groups(table(spark, sf_dir, "documents"))
+
+
+def op13_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_secret_scan": op2_secret_scan,
@@ -84,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_html_extract": op10_html_extract,
+    "op11_whitening": op11_whitening,
+    "op12_spelling_groups": op12_spelling_groups,
+    "op13_setsketch_dedup": op13_setsketch_dedup,
 }
 
 

@@ -42,21 +42,21 @@ def _words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.concatenate([[0], np.searchsorted(a, ends)])
 
 
-def _shingles(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _shingles(words: np.ndarray, first: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes, first shingle of each text and the number of shingles)."""
     n = np.diff(first)
-    count = np.where(n >= SIZE, n - SIZE + 1, np.minimum(n, 1))
+    count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     out_first = np.concatenate([[0], np.cumsum(count)])
     at = np.arange(out_first[-1]) + np.repeat(first[:-1] - out_first[:-1], count)
     left = np.repeat(first[1:], count) - at  # words from here to the text's end
-    padded = np.concatenate([words, np.zeros(SIZE, np.uint64)])
+    padded = np.concatenate([words, np.zeros(size, np.uint64)])
     h = np.zeros(len(at), np.uint64)
-    for k in range(SIZE):
+    for k in range(size):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + np.where(left > k, padded[at + k], np.uint64(k + 1)))
     return h, out_first
 
 
-def _segments(raw: bytes) -> Iterator[bytes]:
+def _segments(raw: bytes, size: int = SIZE) -> Iterator[bytes]:
     start = 0
     while len(raw) - start > 2 * SEGMENT:
         cut = start + SEGMENT
@@ -64,7 +64,7 @@ def _segments(raw: bytes) -> Iterator[bytes]:
             cut += 1
         yield raw[start:cut]
         back, words = cut, 0  # the next segment repeats the last words
-        while back > start and words < SIZE - 1:
+        while back > start and words < size - 1:
             while back > start and _SPACE[raw[back - 1]]:
                 back -= 1
             while back > start and not _SPACE[raw[back - 1]]:
@@ -74,34 +74,36 @@ def _segments(raw: bytes) -> Iterator[bytes]:
     yield raw[start:]
 
 
-def grouped(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(index of the first text, shingle hashes, bounds) for runs of texts; a long text comes alone."""
+def grouped(texts: list[str], size: int = SIZE, fold: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, shingle hashes, bounds) for runs of texts; a long text comes alone.
+    ``fold`` reads A-Z as a-z."""
     def run(at: int, raws: list[bytes]):
-        return at, *_shingles(*_words(raws))
+        return at, *_shingles(*_words(raws), size)
 
     held: list[bytes] = []
-    size, at = 0, 0
+    held_bytes, at = 0, 0
     for i, t in enumerate(texts):
         raw = t.encode("utf-8")
-        if held and size + len(raw) > SEGMENT:
+        raw = raw.lower() if fold else raw
+        if held and held_bytes + len(raw) > SEGMENT:
             yield run(at, held)
-            held, size = [], 0
+            held, held_bytes = [], 0
         if len(raw) > 2 * SEGMENT:
-            h = np.unique(np.concatenate([run(0, [s])[1] for s in _segments(raw)]))
+            h = np.unique(np.concatenate([run(0, [s])[1] for s in _segments(raw, size)]))
             yield i, h, np.array([0, len(h)])
             continue
         if not held:
             at = i
         held.append(raw)
-        size += len(raw)
+        held_bytes += len(raw)
     if held:
         yield run(at, held)
 
 
-def sets(texts: list[str]) -> list[np.ndarray]:
+def sets(texts: list[str], size: int = SIZE, fold: bool = False) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     out: list[np.ndarray] = []
-    for _, h, first in grouped(texts):
+    for _, h, first in grouped(texts, size, fold):
         out += [np.unique(h[i:j]) for i, j in zip(first.tolist(), first[1:].tolist())]
     return out
 
