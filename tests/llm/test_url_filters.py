@@ -40,7 +40,9 @@ def labelled(spark):
 
 def test_mined_rules_match_enumeration(spark):
     table = labelled(spark)
-    got = {(tuple(r["tokens"]), r["label"]): round(r["confidence"], 9) for r in U.mine(table, 0.1, 0.9, 5).collect()}
+    rules, items = U.mine(table, 0.1, 0.9, 5)
+    item = dict(tuple(r) for r in items.collect())
+    got = {(tuple(r["items"]), r["label"]): round(r["confidence"], 9) for r in rules.collect()}
     baskets = [(set(r[0]), "label=bad" if r[1] else "label=good") for r in
                table.where("url is not null and bad is not null").select(U.tokens_of(U.F.col("url")), "bad").collect()]
     count, both = Counter(), Counter()
@@ -50,7 +52,35 @@ def test_mined_rules_match_enumeration(spark):
                 count[c] += 1
                 both[c, label] += 1
     least = 0.1 * len(baskets)
-    assert got == {k: round(n / count[k[0]], 9) for k, n in both.items() if n >= least and n / count[k[0]] >= 0.9}
+    want = {k: round(n / count[k[0]], 9) for k, n in both.items() if n >= least and n / count[k[0]] >= 0.9}
+    # every combination of tokens is a rule through its items, at the same confidence, and no other rule is there
+    assert {(tuple(sorted({item[t] for t in c})), label): p for (c, label), p in want.items()} == got
+    same = {}
+    for t in item:
+        same.setdefault(frozenset(i for i, (tokens, _) in enumerate(baskets) if t in tokens), set()).add(item[t])
+    assert all(len(v) == 1 for v in same.values()) and len(same) == len(set(item.values()))
+
+
+def test_repeated_long_urls_are_one_item(spark):
+    long = "https://spam.example.net/" + "/".join(f"part{i}" for i in range(60)) + ".html"
+    other = "https://fine.example.net/" + "/".join(f"word{i}" for i in range(60)) + ".html"
+    table = spark.createDataFrame([(long, True)] * 30 + [(other, False)] * 40, "url string, bad boolean")
+    rules, items = U.mine(table)
+    assert rules.count() <= 8 and items.select("item").distinct().count() <= 3
+    pages = spark.createDataFrame([(1, long), (2, other), (3, "https://new.net/part7/x"), (4, "https://new.net/word9"), (5, "https://new.net/x")],
+                                  "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["confidence"]) for r in U.judge(pages, table).collect()}
+    assert got == {1: ("block", 1.0), 2: ("allow", 1.0), 3: ("block", 1.0), 4: ("allow", 1.0), 5: ("allow", None)}
+
+
+def test_query_blocks_by_mined_rules(spark, tmp_path):
+    """Planted tables through the query itself: pages of one host name documents with bad labels."""
+    pages = spark.range(200).selectExpr("id page_id", "concat('https://', if(id % 4 = 0, 'casino.biz', 'news.net'), '/a/', id) url", "'' html")
+    labels = spark.range(0, 160).selectExpr("id doc_id", "if(id % 4 = 0, 0, 1) quality", "0 toxic")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["page_id"]: r["verdict"] for r in queries.op1_url_filters(spark, str(tmp_path)).collect()}
+    assert got == {i: "block" if i % 4 == 0 else "allow" for i in range(200)}
 
 
 def test_mined_verdicts_and_awkward_rows(spark):
