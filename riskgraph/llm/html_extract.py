@@ -3,30 +3,36 @@
 A page is read into a tree of containers (tags that only style text are not nodes).  Parts that are
 never main text are left out: scripts, styles, forms, navigation, headers and footers of the page,
 sidebars, and containers whose class, id or role says advert, notice, share bar, related links or
-reader comments.  Every paragraph-like block then passes points to its ancestors: one for being
-there, one for each comma, one for each 100 characters up to three; its parent gets all of them, the
-next ancestors a half, a third and so on.  A container's points are discounted by its link density.
+reader comments.  An <article> or <main> that says so is left out if there is another one beside it, or if
+the page has more text outside it than inside.  Every paragraph-like block then passes points to its
+ancestors: one for being there, one for each comma, one for each 100 characters up to three; its parent
+gets all of them, every further ancestor half of the one below, up to the root, summed in one pass from
+the leaves.  A container's points are discounted by its link density.
 The best container, or the <article> or <main> around it, is taken, together with siblings that score
 at least a fifth of it (and ten points) or are dense text themselves, inside a <main> those of every
 level below it; their blocks are the main text.
 
 Work is per page (Arrow batches); nothing is shuffled.  Defined results: null or empty html, and
 pages without text, give an empty text; repeated rows are extracted each on its own; very long pages
-cost linear time; ties go to the container that comes first; other input columns are not read.
+are read whole in linear time (broken tags and deep nesting included); ties go to the container that comes
+first; an empty table gives no rows; other input columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
-                   r"""|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.DOTALL)
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
+# An ordinary tag; a broken one costs no more than the way to the next "<"
+TAG = re.compile(r"""<(?P<close>/?)(?P<tag>[A-Za-z][^\s/><]*+)(?P<attrs>(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>""")
+NAME = re.compile(r"<(?P<close>/?)(?P<tag>[A-Za-z][^\s/><]*+)")
 ATTRIBUTE = re.compile(r"""(?P<name>[^\s=/"'>]+)(?:\s*=\s*(?:"(?P<a>[^"]*)"|'(?P<b>[^']*)'|(?P<c>[^\s"'>]+)))?""")
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,7 +49,7 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
         "tfoot": ({"tr", "td", "th", "tbody"}, {"table"}), "option": ({"option"}, {"select"})}
 # Words in class, id or role that mark a part as not main text
 JUNK = frozenset("""ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion promoted
-banner banners comment comments commentlist disqus discussion respond replies reply nav navbar navigation menu menus breadcrumb breadcrumbs
+banner banners comment comments commentlist disqus discussion respond responses replies reply feedback nav navbar navigation menu menus breadcrumb breadcrumbs
 pagination pager footer foot sidebar sidebars aside widget widgets cookie cookies consent gdpr notice notices alert alerts popup modal overlay
 toolbar share sharing social related recommended recommendations subscribe subscription newsletter signup login masthead topbar
 skip skiplink tags toc complementary contentinfo search dialog copyright disclaimer legal hidden header""".split())
@@ -58,6 +64,8 @@ class Node:
     parent: "Node | None"
     order: int
     junk: bool = False
+    inside: bool = False  # an article or main, or inside one
+    doubt: bool = False  # an article or main that is named like something else
     children: list["Node"] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)  # (place in the page, text) directly in this node
     points: float = 0.0
@@ -77,7 +85,7 @@ def _is_junk(tag: str, attrs: str, in_article: bool) -> bool:
             if in_article:
                 words.discard("header")  # that of the article
             junk = words & JUNK or {w for w in words if w.startswith(JUNK_STARTS)}
-            if junk and tag not in ("article", "main") and not (words & MAIN and junk <= _MAY_BE_MAIN):
+            if junk and not (words & MAIN and junk <= _MAY_BE_MAIN):
                 return True
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -94,8 +102,10 @@ class Tree:
     """One pass over the tags; blocks are finished whenever a container begins or ends."""
 
     def __init__(self, source: str):
-        self.root = self.node = Node("html", None, 0)
-        self.nodes = [self.root]
+        self.node = Node("html", None, 0)
+        self.nodes = [self.node]
+        self.stack = [self.node]
+        self.open: dict[str, list[int]] = {}  # tag: depths of its open nodes
         self.text: list[str] = []
         self.in_link = 0
         self.links = 0
@@ -121,37 +131,86 @@ class Tree:
             if self.in_link:
                 self.links += len(s)
 
-    def push(self, tag: str, junk: bool) -> None:
+    def push(self, tag: str, attrs: str) -> None:
         self.flush()
         self.in_link = 0
-        node = Node(tag, self.node, len(self.nodes), junk or self.node.junk)
-        self.node.children.append(node)
+        up, article = self.node, tag in ("article", "main")
+        junk = _is_junk(tag, attrs, up.inside)
+        node = Node(tag, up, len(self.nodes), up.junk or junk and not article, up.inside or article, article and junk and not up.junk)
+        up.children.append(node)
         self.nodes.append(node)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(node)
         self.node = node
 
+    def close(self, depth: int) -> None:
+        self.flush()
+        self.in_link = 0
+        while len(self.stack) > depth:
+            self.open[self.stack.pop().tag].pop()
+        self.node = self.stack[-1]
+
     def pop(self, tags: set[str] | frozenset[str], until: set[str] | frozenset[str] = frozenset()) -> None:
         """Close the nearest open node with one of the tags, if it is open below ``until``."""
-        node = self.node
-        while node is not None and node.tag not in tags:
-            if node.tag in until or node.parent is None:
+        stack = self.stack
+        low = max(0, len(stack) - 9)
+        for depth in range(len(stack) - 1, low, -1):
+            tag = stack[depth].tag
+            if tag in tags:
+                return self.close(depth)
+            if tag in until:
                 return
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.flush()
-            self.in_link = 0
-            self.node = node.parent
+        if low:  # deep nesting: from the depths of open tags
+            nearest = max((d for t in tags for d in self.open.get(t, ())[-1:]), default=0)
+            if nearest > max((d for t in until for d in self.open.get(t, ())[-1:]), default=0):
+                self.close(nearest)
+
+    def tag_at(self, source: str, at: int) -> tuple[bool, str, str, int] | None:
+        """(closing, tag, attributes, end) of the tag at a "<"; None if it is none, as a quote in it never ends."""
+        if m := TAG.match(source, at):
+            return bool(m["close"]), m["tag"].lower(), m["attrs"], m.end()
+        if not (m := NAME.match(source, at)):
+            return None
+        if self.marks is None:  # places of all that may end a tag or begin a quote, once per page
+            self.marks = {q: [x.start() for x in re.finditer(q, source)] for q in (">", '"', "'")}
+        p, seen = m.end(), []
+        while True:
+            nearest = {q: places[k] for q, places in self.marks.items() if (k := bisect_left(places, p)) < len(places)}
+            if not nearest:
+                end = len(source)
+                return bool(m["close"]), m["tag"].lower(), source[m.end():end], end
+            q = min(nearest, key=nearest.get)
+            if q == ">":
+                return bool(m["close"]), m["tag"].lower(), source[m.end():nearest[q]], nearest[q] + 1
+            if nearest[q] in self.dead:
+                break  # from here an earlier tag found no end
+            seen.append(nearest[q])
+            places = self.marks[q]
+            k = bisect_left(places, nearest[q] + 1)
+            if k == len(places):
+                break
+            p = places[k] + 1
+        self.dead.update(seen)
+        return None
 
     def read(self, source: str) -> None:
-        at = 0
-        while (m := TOKEN.search(source, at)) is not None:
-            self.data(source[at:m.start()])
-            at = m.end()
-            if m["tag"] is None:
+        self.marks: dict[str, list[int]] | None = None
+        self.dead: set[int] = set()
+        at = search = 0
+        while (p := source.find("<", search)) >= 0:
+            if m := MARKUP.match(source, p):
+                self.data(source[at:p])
+                at = search = m.end()
                 if m["cdata"]:
                     self.data(m["cdata"])
                 continue
-            tag = m["tag"].lower()
-            if m["close"]:
+            if (found := self.tag_at(source, p)) is None:
+                search = p + 1
+                continue
+            self.data(source[at:p])
+            closing, tag, attrs, at = found
+            search = at
+            if closing:
                 if tag == "a":
                     self.in_link = 0
                 elif tag in ("p", "br"):
@@ -168,10 +227,10 @@ class Tree:
                     self.text.append(" " if tag in ("br", "img", "input") else "")
                 continue
             if tag in RAW:
-                if m["attrs"].rstrip().endswith("/"):
+                if attrs.rstrip().endswith("/"):
                     continue
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                at = search = end.end() if end else len(source)
                 continue
             if tag == "a":
                 self.in_link = 1
@@ -182,27 +241,43 @@ class Tree:
                 self.pop({"p"}, CLOSES_P - {"p"})
             if tag in ENDS:
                 self.pop(*ENDS[tag])
-            article = self.node
-            while article is not None and article.tag not in ("article", "main"):
-                article = article.parent
-            self.push(tag, _is_junk(tag, m["attrs"], article is not None))
+            self.push(tag, attrs)
         tail = source[at:]
         cut = tail.rfind("<")
         self.data(tail[:cut] if cut >= 0 and re.match(r"</?[A-Za-z!]", tail[cut:]) else tail)
 
 
+def _settle_doubts(nodes: list[Node]) -> None:
+    """Articles that are named like something else are left out if another article stands beside them, or if they are
+    the only one and hold less text than the rest of the page."""
+    doubts = [n for n in nodes if n.doubt]
+    if not doubts:
+        return
+    chars: dict[Node, int] = {}
+    sure: dict[Node, int] = {}  # articles without doubt at or below a node
+    for node in reversed(nodes):  # children come after their parents
+        chars[node] = (0 if node.junk else node.chars) + sum(chars[c] for c in node.children)
+        sure[node] = (node.tag == "article" and not node.doubt and not node.junk) + sum(sure[c] for c in node.children)
+    others = sure[nodes[0]]
+    only = sum(n.tag == "article" and not n.junk for n in nodes) <= 1
+    for node in doubts:
+        inside = sure[node]
+        if others - inside > 0 or not inside and (not only or chars[nodes[0]] > 2 * chars[node]):
+            node.junk = True
+    for node in nodes[1:]:
+        node.junk = node.junk or node.parent.junk
+
+
 def _best(nodes: list[Node]) -> Node | None:
     """The container with the most points after the discount for links."""
-    for node in nodes:
+    for node in reversed(nodes):  # children come after their parents
         if node.junk:
             continue
+        holder = node.parent if node.tag in PARAGRAPH and node.parent is not None else node
         for _, block in node.blocks:
-            points = 1 + block.count(",") + min(3, len(block) / 100)
-            holder = node.parent if node.tag in PARAGRAPH and node.parent is not None else node
-            share = 1
-            while holder is not None and share <= 6:
-                holder.points += points / share
-                holder, share = holder.parent, share + 1
+            holder.points += 1 + block.count(",") + min(3, len(block) / 100)
+        if node.parent is not None:
+            node.parent.points += node.points / 2
     total = {}
     for node in reversed(nodes):  # children come after their parents
         own = [0, 0] if node.junk else [node.chars, node.link_chars]
@@ -222,6 +297,7 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     tree = Tree(source)
+    _settle_doubts(tree.nodes)
     best = _best(tree.nodes)
     if best is None:
         return ""

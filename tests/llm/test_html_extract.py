@@ -64,3 +64,43 @@ LONG, SHORT, TINY = "<p>" + "one, two, " * 40 + "</p>", "<p>" + "three, four, "
 def test_siblings_of_the_article(page, kept, left):
     text = H.main_text(page)
     assert all(x in text for x in kept) and not any(x in text for x in left)
+
+
+PARAS = "".join(f"<p>Paragraph {i} of the story, with some, more, words in it.</p>" for i in range(6))
+COMMENT = "<p>nice, really, very, very nice, I think, yes, and, so, on, and, on, well, well, well.</p>"
+
+
+@pytest.mark.parametrize("page, kept, left", [
+    (f'<main><article>{PARAS}</article><article class="comment">{COMMENT}</article></main>', "Paragraph 5", "nice"),
+    (f'<main><article><p>Short.</p></article><section id="responses"><article>{COMMENT * 3}</article></section></main>', "Short.", "nice"),
+    (f'<main><article><p>Short.</p></article><article class="comment">{COMMENT * 3}</article><article id="reply-2">{COMMENT}</article></main>', "Short.", "nice"),
+    (f'<div>{PARAS}</div><article class="comment">{COMMENT}</article>', "Paragraph 5", "nice"),
+    (f'<main class="comments-page"><article>{PARAS}</article></main>', "Paragraph 5", "nice"),
+    (f'<main><h1>T</h1><article class="notice">{PARAS}</article></main>', "Paragraph 5", "nice"),
+    (f'<article class="sponsored">{PARAS}</article>', "Paragraph 5", "nice")])
+def test_comments_in_articles(page, kept, left):
+    text = H.main_text(page)
+    assert kept in text and left not in text
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: "<a " * n + '"', lambda n: "<a<" * n + '"', lambda n: '<a "b" ' * n + "'", lambda n: """<a "b' """ * n + '"',
+    lambda n: "<div>" * n + "<p>deep, text</p>", lambda n: "<table>" + "<div>" * n + "</li>" * n + "x", lambda n: "<div>" * n + "</section>" * n,
+    lambda n: "<p>" + "<b " * n, lambda n: "<div>" * n + "<li>" * n, lambda n: "<article>" * n + "text, text", lambda n: "<" * n, lambda n: "<div class='" * n])
+def test_linear_time(make):
+    import time
+
+    def seconds(n):
+        page = make(n)
+        start = time.process_time()
+        H.main_text(page)
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(40000) < 16 * max(seconds(5000), 0.02)  # eight times as long
+
+
+def test_broken_tags_are_text():
+    assert H.main_text('<p>a < b and <i "never closed</p>') == 'a < b and <i "never closed'
+    assert H.main_text("""<p title='a>b' class="x<y">text</p>""") == "text"
+    assert H.main_text("<p>x<a href='u>v'>link</a>, y</p>") == "xlink, y"
