@@ -7,13 +7,16 @@ annotations included), and on the right a chain of string literals (also triple-
 lines), bare values and names joined by ``+``, a heredoc or a YAML block scalar.  Names are constants:
 an expression that mentions one takes over its literals, from the nearest assignment before it, else the
 first after it, through any number of steps.  A literal that reaches a sensitive name is scored by the
-name's words and by its own shape (parts of one concatenation also as a whole), and reported with kind
-``lexed`` at the literal's own place.
+most sensitive name it reaches and by its own shape, and reported with kind ``lexed`` at its own place.
+Constants are propagated once: weights go down from names to the literals they reach, the shape of a whole
+concatenation (length, character counts) goes up from literals to names; where the whole scores, its parts are reported.
 
 Work is per document on whole texts (Arrow batches of small lists of texts); nothing is shuffled.
 Defined results: null text counts as empty and has no spans; repeated rows are scanned each on its
 own; extra columns of the input are kept by :func:`scan` (but for those named like its outputs, which
-it replaces) and :func:`redact`.  Cost is linear in the text; only operators and their expressions are lexed.
+it replaces) and :func:`redact`.  Ties (spans of several kinds at one place) go in the order of kinds; an empty table gives
+no rows.  Whole texts are read, at a cost linear in the text and in the literals that reach sensitive names; only operators
+and their expressions are lexed.
 """
 
 from __future__ import annotations
@@ -57,6 +60,7 @@ SENSITIVE_PAIRS = {("api", "key"): 3, ("access", "key"): 3, ("private", "key"):
                    ("master", "key"): 3, ("connection", "string"): 2, ("client", "key"): 2}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|changeme|change_me|example.*|your[_-].*|dummy.*|todo|test|"
                          r"placeholder|redacted|secret|password|<.*>|\$\{.*|\{\{.*|%\(.*|\$[A-Za-z_].*)$")
+PLACEHOLDER_START = re.compile(r"(?i)^(?:example|your[_-]|dummy|\$\{|\{\{|%\(|\$[A-Za-z_])")
 SCORE_LIMIT = 4.0
 
 
@@ -104,9 +108,20 @@ def _indented(text: str, at: int, key: int) -> int:
     return len(text)
 
 
-def _trimmed(text: str, start: int, end: int) -> tuple[int, int, bool]:
-    inner = text[start:end]
-    return start + len(inner) - len(inner.lstrip()), end - len(inner) + len(inner.rstrip()), True
+NONSPACE = re.compile(r"\S")
+
+
+def _trimmed(text: str, start: int, end: int, ends: dict[int, int]) -> tuple[int, int, bool]:
+    """The literal without white space around it; ``ends`` remembers where text ends before an end."""
+    m = NONSPACE.search(text, start, end)
+    if not m:
+        return end, end, True
+    if end not in ends:
+        k = end
+        while text[k - 1].isspace():
+            k -= 1
+        ends[end] = k
+    return m.start(), ends[end], True
 
 
 def assignments(text: str) -> list[Assignment]:
@@ -114,6 +129,7 @@ def assignments(text: str) -> list[Assignment]:
     lexed as well, unless the literal is bound to a name of weight 3 and so reported as a whole."""
     out: list[Assignment] = []
     skip = -1
+    ends: dict[int, int] = {}
     marks: dict[str, list[int]] | None = None  # first words of lines: ends of heredocs
     for m in OPERATOR.finditer(text):
         p = m.start()
@@ -146,11 +162,11 @@ def assignments(text: str) -> list[Assignment]:
                 marks = {}
                 for w in LINE_WORD.finditer(text):
                     marks.setdefault(w[1], []).append(w.start(1))
-            ends = marks.get(t["tag"], [])
-            if (k := bisect_left(ends, t.end())) < len(ends):
-                block = t.end(), ends[k]
+            places = marks.get(t["tag"], [])
+            if (k := bisect_left(places, t.end())) < len(places):
+                block = t.end(), places[k]
         if block:
-            pair.literals.append(_trimmed(text, *block))
+            pair.literals.append(_trimmed(text, *block, ends))
             if name_score(name) >= 3:
                 skip = block[1]
             out.append(pair)
@@ -160,7 +176,7 @@ def assignments(text: str) -> list[Assignment]:
                 lines, long = "\n" in t["text"], len(t["quote"]) == 3
                 if lines and t["quote"] in "\"'" and text[t.end():t.end() + 1].isalnum():
                     break  # an open quote, or an apostrophe
-                pair.literals.append(_trimmed(text, *t.span("text")) if lines or long else (*t.span("text"), True))
+                pair.literals.append(_trimmed(text, *t.span("text"), ends) if lines or long else (*t.span("text"), True))
                 if not lines and not long or t["quote"] not in "\"'" and name_score(name) >= 3:
                     skip = t.end()
             elif text[t.end():t.end() + 1] == "(":
@@ -183,57 +199,136 @@ def name_score(name: str) -> int:
     return max([best, *(w for (a, b), w in SENSITIVE_PAIRS.items() if a in words and b in words)])
 
 
-def literal_score(value: str, quoted: bool, weight: int) -> float:
-    """Shape of a literal: length, entropy, mixed classes; placeholders and plain words score low.  White space
-    inside (pass phrases, key blocks) is only for quoted literals of names of weight 3."""
-    spaced = any(c.isspace() for c in value)
-    if len(value) < 6 or PLACEHOLDER.match(value) or spaced and not (quoted and weight >= 3 and value.strip()):
+def _shape(count: Counter, length: float, placeholder: bool, blank: bool, quoted: bool, weight: int) -> float:
+    """Score of a literal by its character counts.  White space inside (pass phrases, key blocks) is only for quoted
+    literals of names of weight 3."""
+    spaced = any(c.isspace() for c in count)
+    if length < 6 or placeholder or spaced and not (quoted and weight >= 3 and not blank):
         return -10.0
-    count = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in count.values())
-    digits = sum(c.isdigit() for c in value)
-    kinds = (digits > 0) + any(c.islower() for c in value) + any(c.isupper() for c in value) + any(not (c.isalnum() or c.isspace()) for c in value)
-    score = (entropy >= 2.5) + (entropy >= 3.2) + (kinds >= 2) + (len(value) >= 16)
+    entropy = -sum(n / length * math.log2(n / length) for n in count.values() if n)
+    digits = any(c.isdigit() for c in count)
+    kinds = digits + any(c.islower() for c in count) + any(c.isupper() for c in count) + any(not (c.isalnum() or c.isspace()) for c in count)
+    score = (entropy >= 2.5) + (entropy >= 3.2) + (kinds >= 2) + (length >= 16)
     if not quoted and not digits:
         return -10.0  # a bare word is prose or a name
     return score - (0 if quoted else 0.5)
 
 
-def lexed_spans(text: str) -> list[tuple[str, int, int, int, int]]:
-    pairs = assignments(text)
-    if not pairs:
-        return []
+def literal_score(value: str, quoted: bool, weight: int) -> float:
+    """Shape of a literal: length, entropy, mixed classes; placeholders and plain words score low."""
+    return _shape(Counter(value), len(value), bool(PLACEHOLDER.match(value)), not value.strip(), quoted, weight)
+
+
+HEAD = 64
+LARGE = 2.0**60
+
+
+@dataclass
+class Whole:
+    """What an expression's strings add up to: number of strings, character counts, first and last characters."""
+    parts: int = 0
+    length: float = 0.0
+    count: Counter = field(default_factory=Counter)
+    head: str = ""
+    last: str = ""
+
+    def add(self, parts: int, length: float, count: Counter, head: str, last: str) -> None:
+        self.parts = min(2, self.parts + parts)
+        if len(self.head) < HEAD and self.length < HEAD:
+            self.head = (self.head + head)[:HEAD]
+        self.last = last or self.last
+        self.length += length
+        for c, n in count.items():
+            self.count[c] += n
+        if self.length > LARGE:  # shares of characters are what counts
+            self.length /= 2.0**30
+            for c in self.count:
+                self.count[c] /= 2.0**30
+
+    def score(self, weight: int) -> float:
+        """As :func:`literal_score` of the whole; of a long one the placeholder is told by its beginning and its end."""
+        if self.length <= HEAD:
+            placeholder = bool(PLACEHOLDER.match(self.head))
+        else:
+            one = len({c.lower() for c in self.count}) == 1 and self.head[0] in "xX*."
+            placeholder = one or bool(PLACEHOLDER_START.match(self.head)) or self.head[0] == "<" and self.last == ">"
+        return _shape(self.count, self.length, placeholder, all(c.isspace() for c in self.count), True, weight)
+
+
+def _constants(pairs: list[Assignment]) -> list[list[tuple[str, int]]]:
+    """Per pair its names that are constants, with the pair each stands for: the nearest before, else the first after."""
     by_name: dict[str, list[int]] = {}
     for i, a in enumerate(pairs):
         by_name.setdefault(a.name, []).append(i)
+    out = []
+    for k, a in enumerate(pairs):
+        found = []
+        for n in a.names:
+            if (own := by_name.get(n)) and own != [k]:
+                j = bisect_left(own, k)
+                found.append((n, own[j - 1] if j else own[j] if own[j] != k else own[j + 1]))
+        out.append(found)
+    return out
 
-    def sources(i: int) -> list[tuple[int, int, bool]]:
-        """Literals that reach pair i, through constants."""
-        found, todo, seen = [], [i], {i}
-        while todo:
-            k = todo.pop()
-            a = pairs[k]
-            named = set()
-            for n in a.names:
-                if (own := by_name.get(n)) and own != [k]:
-                    j = bisect_left(own, k) - 1  # nearest before; else the first after
-                    j = own[j] if j >= 0 else next((x for x in own if x != k), k)
-                    named.add(n)
-                    if j not in seen:
-                        seen.add(j)
-                        todo.append(j)
-            found += [x for x in a.literals if x[2] or text[x[0]:x[1]] not in named]
-        return found
-
-    out = set()
-    for i, a in enumerate(pairs):
-        if weight := name_score(a.name):
-            reach = sources(i)
-            strings = sorted(x[:2] for x in reach if x[2])
-            whole = len(strings) > 1 and weight + literal_score("".join(text[a:b] for a, b in strings), True, weight) >= SCORE_LIMIT
-            for start, end, quoted in reach:
-                if whole and quoted and end > start or weight + literal_score(text[start:end], quoted, weight) >= SCORE_LIMIT:
+
+def _wholes(text: str, pairs: list[Assignment], uses: list[list[int]], wanted: list[int]) -> dict[int, Whole]:
+    """Wholes of the wanted pairs and of all that they use, each made once, used ones first; in a ring of constants the one
+    that closes it adds nothing."""
+    done: dict[int, Whole] = {}
+    begun: set[int] = set()
+    todo = [(i, False) for i in reversed(wanted)]
+    while todo:
+        k, ready = todo.pop()
+        if not ready:
+            if k not in begun:
+                begun.add(k)
+                todo.append((k, True))
+                todo += [(j, False) for j in uses[k] if j not in begun]
+            continue
+        whole = Whole()
+        for start, end, quoted in pairs[k].literals:
+            if quoted and end > start:
+                whole.add(1, end - start, Counter(text[start:end]), text[start:min(end, start + HEAD)], text[end - 1])
+        for j in uses[k]:
+            if (w := done.get(j)) and w.parts:
+                whole.add(w.parts, w.length, w.count, w.head, w.last)
+        done[k] = whole
+    return done
+
+
+def _reached(starts: list[int], uses: list[list[int]], seen: set[int]) -> list[int]:
+    """Pairs that ``starts`` reach and that are not in ``seen`` yet; they are added to it."""
+    out, todo = [], [i for i in starts if i not in seen]
+    seen.update(todo)
+    while todo:
+        k = todo.pop()
+        out.append(k)
+        new = [j for j in uses[k] if j not in seen]
+        seen.update(new)
+        todo += new
+    return out
+
+
+def lexed_spans(text: str) -> list[tuple[str, int, int, int, int]]:
+    pairs = assignments(text)
+    weights = [name_score(a.name) for a in pairs]
+    if not any(weights):
+        return []
+    named = _constants(pairs)
+    uses = [list(dict.fromkeys(j for _, j in found)) for found in named]
+    out, seen = set(), set()
+    for weight in sorted({w for w in weights if w}, reverse=True):  # the most sensitive name decides
+        for k in _reached([i for i, w in enumerate(weights) if w == weight], uses, seen):
+            constants = {n for n, _ in named[k]}
+            for start, end, quoted in pairs[k].literals:
+                value = text[start:end]
+                if (quoted or value not in constants) and weight + literal_score(value, quoted, weight) >= SCORE_LIMIT:
                     out.add(("lexed", start, end, start, end))
+    sensitive = [i for i, w in enumerate(weights) if w]
+    wholes = _wholes(text, pairs, uses, sensitive)
+    scoring = [i for i in sensitive if wholes[i].parts > 1 and weights[i] + wholes[i].score(weights[i]) >= SCORE_LIMIT]
+    for k in _reached(scoring, uses, set()):
+        out |= {("lexed", start, end, start, end) for start, end, quoted in pairs[k].literals if quoted and end > start}
     return list(out)
 
 

@@ -75,3 +75,35 @@ def test_awkward_rows(spark):
 def test_literals_over_lines_and_with_spaces(text, literals):
     assert sorted(text[a:b] for _, a, b, _, _ in S.lexed_spans(text)) == sorted(literals)
     assert S.masked(text, S.lexed_spans(text)).count(S.MASK) == len(literals)
+
+
+def chain(n):
+    return "\n".join(f"token{i} = token{i - 1} + 'x1'" for i in range(1, n))
+
+
+@pytest.mark.parametrize("make", [
+    chain, lambda n: "\n".join(f"c{i} = c{i - 1} + c{i - 1} + 'q{i}W8'" for i in range(1, n)) + f"\npassword = c{n - 1}",
+    lambda n: "\n".join(f"a{i} = <<E\nx" for i in range(n)) + "\nE\n", lambda n: "a = b\nb = a\n" * n + "secret = a",
+    lambda n: "k = 'ab12'\n" + "\n".join(f"password{i} = k + 'cd34EF'" for i in range(n)),
+    lambda n: "\n".join(f"c{i} = c{i - 1} + 'z'" for i in range(1, n)) + "\n" + "\n".join(f"secret{i} = c{n - 1} + 'y{i}'" for i in range(n))])
+def test_linear_time(make):
+    import time
+
+    def seconds(n):
+        text = make(n)
+        start = time.process_time()
+        S.find(text)
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(8000) < 16 * max(seconds(1000), 0.05)  # eight times as long
+
+
+def test_wholes_and_best_weight():
+    text = "a = 'q9'\nb = a + 'W8'\nc = b + 'e7R6'\nprivate_key = c"
+    assert sorted(text[x:y] for _, x, y, _, _ in S.lexed_spans(text)) == ["W8", "e7R6", "q9"]
+    text = "v = 'two words 12'\nauth = v\npassphrase = v"
+    assert [text[x:y] for _, x, y, _, _ in S.lexed_spans(text)] == ["two words 12"]  # of weight 3 by the second name
+    assert S.lexed_spans("a = 'x'\nb = a + a + a + a\ntoken = b + b + b + b + b + b + b + b + b + b + b + b + b + b + b + b + b") == []
+    spans = S.lexed_spans(chain(50))
+    assert sorted(chain(50)[x:y] for _, x, y, _, _ in spans) == ["token0"] + ["x1"] * 49  # token0 is no constant
