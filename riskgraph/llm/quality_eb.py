@@ -2,10 +2,10 @@
 
 Evidence of a document: a logistic model over byte shares and repetition measures of the whole text,
 fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``; the sample is the rows with the smallest
-hash of their id).  Evidence of its place: documents sit in paths (here the language section) of hosts.
+hash of their id, ids that repeat by the digest of their text).  Evidence of its place: documents sit in paths (here the language section) of hosts.
 Mean goodness per host is shrunk toward the global mean, mean goodness per path toward its host, each by
 n / (n + k), where k is the ratio of variance within sites to variance between them, estimated from
-grouped sums (one-way analysis of variance).  Sparse sites thus follow their parent.  A document is
+grouped sums (nested analysis of variance: hosts about the global mean, paths about their host).  Sparse sites thus follow their parent.  A document is
 left out of the means it is judged by.  Its posterior log odds are its own evidence plus the log odds of
 its path against the global ones.
 
@@ -80,14 +80,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = labels.where(F.col("good").isNotNull()).select(F.col(id_col).alias("id"), "good").orderBy(
         F.xxhash64("id"), "id", "good").limit(rows)
     chosen = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(
-        F.broadcast(sample), "id").select("text", "good")
+        F.broadcast(sample), "id").select("text", "good", F.xxhash64("id").alias("h"), F.md5("text").alias("digest"))
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([features(t).tobytes() for t in b.column(0).to_pylist()], pa.binary()), b.column(1)], names=["x", "good"])
+                [pa.array([features(t).tobytes() for t in b.column(0).to_pylist()], pa.binary()), *b.columns[1:]], names=["x", "good", "h", "digest"])
 
-    got = chosen.mapInArrow(run, "x binary, good boolean").limit(4 * rows).collect()  # the second limit holds should ids repeat
+    order = ["h", "digest", "good"]
+    got = chosen.mapInArrow(run, "x binary, good boolean, h long, digest string").orderBy(*order).limit(rows).select("x", "good").collect()
     y = np.array([r["good"] for r in got], np.float64)
     if not len(y) or y.min() == y.max():
         return None
@@ -129,6 +130,21 @@ def _shrinkage(groups: DataFrame) -> float:
     return within / max((between - within) / size, 1e-3 * within)
 
 
+def _nested_shrinkage(paths: DataFrame) -> float:
+    """k of paths within their hosts, from (__host, n, s, q) per path: host means take out what hosts differ by."""
+    n, s, q = F.col("n"), F.col("s"), F.col("q")
+    hosts = paths.groupBy("__host").agg(F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum(q).alias("q"), F.count(F.lit(1)).alias("g"),
+                                        F.sum(s * s / n).alias("b"), F.sum(n * n).alias("nn"))
+    r = hosts.agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum("g").alias("g"), F.count(F.lit(1)).alias("h"), F.sum("b").alias("b"),
+                  F.sum(F.col("s") * F.col("s") / F.col("n")).alias("hb"), F.sum(F.col("nn") / F.col("n")).alias("nn")).first()
+    if not r["n"] or r["g"] <= r["h"] or r["n"] <= r["g"]:
+        return 1e3
+    within = max((r["q"] - r["b"]) / (r["n"] - r["g"]), 1e-9)
+    between = (r["b"] - r["hb"]) / (r["g"] - r["h"])
+    size = (r["n"] - r["nn"]) / (r["g"] - r["h"])
+    return within / max((between - within) / size, 1e-3 * within)
+
+
 def _logit(p: Column) -> Column:
     p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
     return F.log(p / (1 - p))
@@ -143,7 +159,7 @@ def posteriors(scored: DataFrame, good_col: str = "__good") -> DataFrame:
     host = path.groupBy("__host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     total = host.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = total["s"] / total["n"] if total["n"] else 0.5
-    k_host, k_path = _shrinkage(host), _shrinkage(path)
+    k_host, k_path = _shrinkage(host), _nested_shrinkage(path)
     sites = written(path.select("__host", "__path", F.col("n").alias("__pn"), F.col("s").alias("__ps")).join(
         host.select("__host", F.col("n").alias("__hn"), F.col("s").alias("__hs")), "__host"), "sites")
     own = F.coalesce(good, F.lit(mean))

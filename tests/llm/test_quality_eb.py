@@ -64,3 +64,60 @@ def test_awkward_rows(spark):
     untrained = Q.classify(docs, labels.where("good"), F.col("source"), F.col("lang"), carry=["doc_id", "text"]).collect()
     assert all(r["kept"] == bool((r["text"] or "").strip()) for r in untrained)
     assert Q.classify(no_docs(spark), labels, F.col("source"), F.col("lang")).collect() == []
+
+
+def brute_posteriors(rows):
+    """(host, path, evidence) rows -> (host posterior, path posterior, score), with sums over lists."""
+    import math
+    from collections import defaultdict
+
+    good = [1 / (1 + math.exp(-e)) for _, _, e in rows]
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for (h, p, _), g in zip(rows, good):
+        hosts[h].append(g)
+        paths[h, p].append(g)
+    mean = sum(good) / len(good)
+    square = lambda groups, about: sum(len(v) * (sum(v) / len(v) - about(k)) ** 2 for k, v in groups.items())
+    inside = lambda groups: sum(sum((x - sum(v) / len(v)) ** 2 for x in v) for v in groups.values())
+
+    def k(groups, about, free, size):
+        within = max(inside(groups) / (len(good) - len(groups)), 1e-9)
+        return within / max((square(groups, about) / free - within) / (size / free), 1e-3 * within)
+
+    k_host = k(hosts, lambda h: mean, len(hosts) - 1, len(good) - sum(len(v) ** 2 for v in hosts.values()) / len(good)) if len(hosts) > 1 else 1e3
+    nested = sum(sum(len(v) ** 2 for key, v in paths.items() if key[0] == h) / len(own) for h, own in hosts.items())
+    k_path = (k(paths, lambda key: sum(hosts[key[0]]) / len(hosts[key[0]]), len(paths) - len(hosts), len(good) - nested)
+              if len(paths) > len(hosts) else 1e3)
+    logit = lambda p: math.log(p / (1 - p))
+    out = []
+    for (h, p, e), g in zip(rows, good):
+        a = (sum(hosts[h]) - g + k_host * mean) / (len(hosts[h]) - 1 + k_host)
+        b = (sum(paths[h, p]) - g + k_path * a) / (len(paths[h, p]) - 1 + k_path)
+        out.append((a, b, e + logit(b) - logit(mean)))
+    return out, k_path
+
+
+def test_query_posteriors_match_brute_force(spark):
+    from riskgraph.llm import queries
+
+    got = queries.op3_quality_eb(spark, "/root/testdata/sf0.001").collect()
+    want, _ = brute_posteriors([(r["source"], r["lang"], r["evidence"]) for r in got])
+    for r, (a, b, score) in zip(got, want):
+        assert abs(r["host_posterior"] - a) < 1e-6 and abs(r["path_posterior"] - b) < 1e-6 and abs(r["score"] - score) < 1e-5
+        assert r["kept"] == (r["score"] >= 0)
+
+
+def test_paths_are_shrunk_within_their_hosts(spark):
+    """Two hosts far apart, paths of one host alike: nothing tells paths apart, so their k is large."""
+    rows = [(h, p, base + 0.02 * ((7 * i) % 11 - 5)) for h, base in (("a", 0.2), ("b", 0.8)) for p in "xyz" for i in range(40)]
+    table = spark.createDataFrame([(h, p, g) for h, p, g in rows], "__host string, __path string, good double")
+    F = Q.F
+    paths = table.groupBy("__host", "__path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("good").alias("s"), F.sum(F.col("good") ** 2).alias("q"))
+    assert Q._nested_shrinkage(paths) > 500 and Q._shrinkage(paths) < 1
+
+
+def test_repeated_ids_fit_alike_whatever_the_partitions(spark):
+    docs = [(i % 30, f"text number {i} " + ("good words here " if i % 2 else "zz zz zz ") * (1 + i % 5)) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2 == 1) for i in range(30)], "doc_id long, good boolean")
+    fits = [Q.fit(spark.createDataFrame(docs, "doc_id long, text string").repartition(n), labels, rows=50) for n in (1, 5)]
+    assert all((a == b).all() if hasattr(a, "all") else a == b for a, b in zip(*fits))
