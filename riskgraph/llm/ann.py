@@ -17,8 +17,8 @@ many copies of one vector is just more blocks, and in a block only as many copie
 in an answer are compared (those with the smallest ids, so nothing is lost).
 
 Defined results: vectors that are null, empty, zero, of another length than most, or that hold null or
-non-finite components take no part; ids that are null take none either; rows that repeat an id count once;
-ties go to the smaller id; an empty table gives no rows; extra columns are not read.
+non-finite components take no part; ids that are null take none either; rows that repeat an id count once, with the
+smallest of their vectors in the order of arrays; ties go to the smaller id; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -211,7 +211,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     width = rows.groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").first()
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("v") == width["w"])
+    # one row for each id, aggregated before the shuffle
+    rows = written(rows.where(F.size("v") == width["w"]).groupBy("id").agg(F.min("v").alias("v")), "vectors")
+    width = {"n": rows.count()}
     sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()])
     router, visits = fit(sample, min(MAX_PARTS, math.ceil(width["n"] / PART_ROWS)))
     index = written(routed(rows, router, 1), "index")

@@ -102,3 +102,16 @@ def test_recall_with_many_parts_and_unsampled_rows(spark, monkeypatch):
     assert router.w[2].shape[1] == 16 and visits < 16
     near = ann.exact_neighbours(x, np.arange(0, 8000, 20), 20)
     assert np.mean([np.isin([j for _, j, _ in got[20 * k]], near[k]).mean() for k in range(400)]) >= 0.9
+
+
+def test_ids_with_several_vectors_answer_once(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART_ROWS", 300)
+    x, y = clustered(1200), clustered(1200, seed=2)
+    both = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, v.tolist()) for i, v in enumerate(y)]
+    table = spark.createDataFrame(both, "vec_id long, embedding array<double>").repartition(7)
+    got = answers(ann.search(table, F.col("id") % 20 == 0))
+    one = {i: min(a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))}
+    assert sorted(got) == [i for i in one if i % 20 == 0]
+    for i, found in got.items():
+        assert len({j for _, j, _ in found}) == len(found) == 20 and i not in {j for _, j, _ in found}
+        assert all(s == sum_in_order(one[i], one[j]) for _, j, s in found)
