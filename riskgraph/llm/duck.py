@@ -16,9 +16,7 @@ covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i +
 lines AS MATERIALIZED (SELECT rid, length(regexp_replace(line, '{SPACE}', '', 'g')) AS chars,
           trim(translate(regexp_replace(lower(line), '{SPACE}+', ' ', 'g'), '123456789', '000000000')) AS norm
           FROM (SELECT rid, unnest(lines) AS line FROM w) x),
-hosts AS (SELECT host, count(DISTINCT t) AS n_texts FROM d GROUP BY host),
-often AS (SELECT host, norm FROM lines JOIN d USING (rid) JOIN hosts USING (host) GROUP BY host, norm, n_texts
-          HAVING count(DISTINCT t) > 10 AND count(DISTINCT t) > 0.001 * n_texts),
+often AS (SELECT host, norm FROM lines JOIN d USING (rid) GROUP BY host, norm HAVING count(DISTINCT t) > 10),
 gone AS (SELECT rid, sum(chars) AS n FROM lines JOIN d USING (rid) JOIN often USING (host, norm) GROUP BY rid),
 base AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(t, '{SPACE}', '', 'g')) AS word_chars,
            length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,

@@ -43,7 +43,7 @@ def judged(docs, min_texts, max_share):
 
 def test_query_matches_brute_force(spark):
     got = sorted((tuple(r)[:8] for r in queries.op4_line_rules(spark, SF).collect()), key=repr)
-    assert got == judged(rows("documents", "doc_id, source, text"), 10, 0.001)
+    assert got == judged(rows("documents", "doc_id, source, text"), 10, 0)
 
 
 @pytest.fixture(scope="module")
@@ -73,7 +73,7 @@ def test_boilerplate_and_copies(spark, boiler):
 def test_awkward_rows(spark):
     docs = awkward_docs(spark)
     got = sorted((tuple(r)[:8] for r in line_rules.judge(docs).collect()), key=repr)
-    assert got == judged([(r["doc_id"], r["source"], r["text"]) for r in docs.collect()], 10, 0.001)
+    assert got == judged([(r["doc_id"], r["source"], r["text"]) for r in docs.collect()], 10, 0)
     assert line_rules.judge(no_docs(spark)).collect() == []
 
 
@@ -85,3 +85,18 @@ def test_hot_host_is_judged_as_a_small_one(spark):
     for table in (held, held.union(rest)):
         got = line_rules.judge(table, min_words=5).where("doc_id < 12").collect()
         assert len(got) == 12 and all(r["removed_chars"] == 37 and not r["kept"] for r in got)
+
+
+def test_large_host_through_sql(spark, tmp_path):
+    """A line in 12 of 12,000 texts of one host is boilerplate in the query and in its SQL alike."""
+    import duckdb
+
+    docs = spark.range(12000).selectExpr(
+        "id doc_id", "concat(case when id < 12 then 'the same notice on some pages of this host\n' else '' end, 'own', id, ' ', "
+        "concat_ws(' ', transform(sequence(0, 59), k -> concat('w', k, 'x', id % 50)))) text", "'en' lang", "'h' source", "1L n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in queries.op4_line_rules(spark, str(tmp_path)).select("doc_id", "kept", "removed_chars").collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == set(con.execute(f"SELECT doc_id, kept, removed_chars FROM ({queries.oracle_sql()['op4_line_rules']}) t").fetchall())
+    assert {i for i, _, n in got if n} == set(range(12))
