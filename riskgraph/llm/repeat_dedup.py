@@ -305,9 +305,9 @@ def repeated_ranges(corpus: Corpus) -> tuple[DataFrame, DataFrame]:
     return full, single
 
 
-def dedup(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """Columns ``carry``, n_bytes, n_removed, n_spans, kept_sha256, spans (array of (start, end) in bytes) and, if asked
-    for, kept_text (kept bytes as text; a character cut by a removal is dropped)."""
+def cut(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """row (a struct of the columns ``carry``, so that no name clashes), n_bytes, n_removed, n_spans, kept_sha256, spans (array
+    of (start, end) in bytes) and, if asked for, kept_text (kept bytes as text; a character cut by a removal is dropped)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*carry).alias("row"), text.alias("text")).select(
         "row", F.xxhash64("text").alias("tid"), F.hash("text").alias("chk"), "text")
@@ -336,4 +336,10 @@ def dedup(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_col: str =
     result = written(result, "deduplicated")
     discard(full, single, marks)
     corpus.discard()
-    return rows.select("row", *TEXT).join(result, TEXT).select("row.*", *result.columns[2:])
+    return rows.select("row", *TEXT).join(result, TEXT).select("row", *result.columns[2:])
+
+
+def dedup(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """:func:`cut` with the carried columns beside the others."""
+    found = cut(docs, carry, text_col, with_text)
+    return found.select("row.*", *found.columns[1:])

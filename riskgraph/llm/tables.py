@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 
 from riskgraph.session import scratch_path
 
 _paths: dict[int, str] = {}
-_frames: dict[str, DataFrame] = {}
+_frames: dict[str, tuple[DataFrame, int]] = {}  # with the thread that wrote the table
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -21,13 +23,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def adopt(frame: DataFrame, path: str) -> DataFrame:
     """Remember that ``frame`` reads the table at ``path``."""
     _paths[id(frame)] = path
-    _frames[path] = frame  # keeps the id in use
+    _frames[path] = frame, threading.get_ident()  # keeps the id in use
     return frame
 
 
 def live() -> set[str]:
-    """Tables written and not yet discarded."""
-    return set(_frames)
+    """Tables that this thread has written and not yet discarded (another run in the driver is another thread)."""
+    return {path for path, (_, owner) in _frames.items() if owner == threading.get_ident()}
 
 
 def discard(*frames: DataFrame) -> None:
@@ -37,7 +39,7 @@ def discard(*frames: DataFrame) -> None:
 
 
 def discard_paths(spark: SparkSession, paths: set[str]) -> None:
-    for path in paths & live():
+    for path in paths & set(_frames):
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        del _paths[id(_frames.pop(path))]
+        del _paths[id(_frames.pop(path)[0])]
