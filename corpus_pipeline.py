@@ -7,12 +7,13 @@
 5. packing: the tokenised documents are packed into sequences of 2048 ids.
 
 All but the last return the columns of documents (text and n_chars as changed).  Null ids and texts,
-repeated rows and empty tables pass through as each operator defines; a class whose ids are all null keeps one
-document per different text.
+repeated rows, very long texts and empty tables pass through as each operator defines; a class whose ids are all null keeps
+one document per different text.  Extra columns are carried whatever their names, also those of an operator's outputs.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality_eb.classify(docs, good_labels(spark, sf_dir), F.col("source"), F.col("lang"))
-    return judged.where("kept").select(*docs.columns)
+    nested = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("section"))
+    judged = quality_eb.classify(nested, good_labels(spark, sf_dir), F.col("host"), F.col("section"), carry=["row"])
+    return judged.where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +43,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    cut = repeat_dedup.dedup(docs, carry=others, with_text=True)
+    cut = repeat_dedup.cut(docs, carry=others, with_text=True)
     cut = cut.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    return cut.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*docs.columns)
+    changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return cut.select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,17 +59,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-_left: list[set[str]] = []
+_run = threading.local()  # each run is a thread: tables that its last stages have left
 
 
 def _tidy(stage: Stage) -> Stage:
     """The stage, which first deletes what the stage before the last has left in the shared folder."""
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if len(_left) > 1:
-            tables.discard_paths(spark, _left.pop(0))
+        left = _run.__dict__.setdefault("left", [])
+        if len(left) > 1:
+            tables.discard_paths(spark, left.pop(0))
         before = tables.live()
         out = stage(spark, docs, sf_dir)
-        _left.append(tables.live() - before)
+        left.append(tables.live() - before)
         return out
 
     return run
