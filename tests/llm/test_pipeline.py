@@ -1,6 +1,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as Q
 
 import corpus_pipeline
 from riskgraph.llm import secret_scan
@@ -87,3 +88,17 @@ def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame([(4, text, "en", "s", 1), (4, text, "en", "s", 1), (9, text + " end", "en", "s", 1), (None, text, "en", "s", 1)],
                                  "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()] == [4]
+
+
+def test_clashing_columns_are_carried(spark):
+    names = ["n_removed", "spans", "kept_text", "kept", "score", "evidence", "n_bytes", "row", "host", "section", "n_links", "class_id", "label", "number"]
+    docs = spark.createDataFrame([(i, f"text {i} " + " ".join(f"plain{i}x{k} words" for k in range(60)), "en", "s", 1) for i in range(6)],
+                                 "doc_id long, text string, lang string, source string, n_chars long").select(
+        "*", *[Q.concat(Q.lit(n), Q.col("doc_id")).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        from riskgraph.llm.tables import written
+
+        docs = written(stage(spark, docs, SF), "test_stage")
+        got = docs.collect()
+        assert got and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
+    assert corpus_pipeline.pack(spark, docs, SF).count() == len(got)
