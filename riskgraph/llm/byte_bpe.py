@@ -8,7 +8,8 @@ automaton's states; function composition is associative, so a text is cut into e
 all strips are composed at once (vectorised over strips and entry states), the short sequence of
 strip functions is scanned, and the strips are replayed from their now known entry states.
 
-The slices between starts feed a cached pair merge.  Offsets of pieces (code points) and of
+The slices between starts are named by hashes and looked up, all at once, in a table of pieces seen before;
+what is new feeds the pair merge.  Offsets of pieces (code points) and of
 tokens (bytes) are kept, so decoding is a gather over the vocabulary that can be cut at any token.
 
 Defined results: null text counts as empty; an empty text has no tokens; repeated rows are
@@ -44,8 +45,8 @@ N_SYMBOLS = 9
 Q_FRESH, Q_LETTER, Q_NUMBER, Q_OTHER, Q_JOIN, Q_WHITE, Q_TAKE1, Q_TAKE2 = range(8)
 N_STATES = 8
 SEGMENT = 1 << 20  # code points handled at once
-STRIPS = 2048
-CACHE_LIMIT = 250_000
+STRIPS = 16384
+CACHE_LIMIT = 1_000_000  # pieces a worker remembers: about 70 MB
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -144,13 +145,15 @@ def piece_starts(cp: np.ndarray, reset: np.ndarray) -> np.ndarray:
         reach = _NEXT_FLAT[row[:, None] + reach]
         if reach.shape[1] > 1 and (reach == reach[:, :1]).all():
             reach = reach[:, :1]
-    ends = np.broadcast_to(reach, (width, N_STATES))
     # scan the strip functions, then replay every strip from its entry state
-    entry = np.empty(width, np.uint8)
-    q = Q_FRESH
-    for i, f in enumerate(ends.tolist()):
-        entry[i] = q
-        q = f[q]
+    entry = np.full(width, Q_FRESH, np.uint8)
+    if reach.shape[1] == 1:
+        entry[1:] = reach[:-1, 0]
+    else:
+        q = Q_FRESH
+        for i, f in enumerate(reach.tolist()):
+            entry[i] = q
+            q = f[q]
     state, starts = entry, np.empty((length, width), bool)
     for i, row in enumerate(step):
         at = row + state
@@ -194,29 +197,17 @@ class Group:
         filled = self.first[1:] > self.first[:-1]
         self.b[ends[filled]] = reset[filled]
 
-    def distinct(self) -> tuple[list[str], np.ndarray]:
-        """The distinct pieces, and for every piece its place among them.  Pieces are told apart by
-        two 64-bit sums over their code points; should the sums ever disagree, by the strings."""
-        if not len(self.a):
-            return [], np.zeros(0, np.int64)
-        one, two = (self._sums(which) for which in (0, 1))
-        _, at, back = np.unique(one, return_index=True, return_inverse=True)
-        size = self.b - self.a
-        if not (np.array_equal(two[at][back], two) and np.array_equal(size[at][back], size)):
-            place: dict[str, int] = {}
-            back = np.array([place.setdefault(self.text[i:j], len(place)) for i, j in zip(self.a.tolist(), self.b.tolist())])
-            return list(place), back
-        return [self.text[i:j] for i, j in zip(self.a[at].tolist(), self.b[at].tolist())], back
-
-    def _sums(self, which: int) -> np.ndarray:
-        power, inverse = _powers(which, len(self.cp) + 1)
-        spread = (self.cp.astype(np.uint64) + np.uint64(which + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    def names(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit sums over the code points of each piece: one by place, one regardless of it."""
+        power, inverse = _powers(0, len(self.cp) + 1)
+        spread = (self.cp.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         spread ^= spread >> np.uint64(29)
+        total = np.zeros((2, len(self.cp) + 1), np.uint64)
+        np.cumsum(spread, out=total[1, 1:])
         spread *= power[: len(self.cp)]
-        total = np.zeros(len(self.cp) + 1, np.uint64)
-        np.cumsum(spread, out=total[1:])
-        out = (total[self.b] - total[self.a]) * inverse[self.a]
-        return out ^ (out >> np.uint64(31))
+        np.cumsum(spread, out=total[0, 1:])
+        one = (total[0][self.b] - total[0][self.a]) * inverse[self.a]
+        return one ^ (one >> np.uint64(31)), total[1][self.b] - total[1][self.a]
 
 
 _power_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -333,40 +324,84 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-class PieceCache:
-    """Ids of pieces seen before.  Two generations of at most ``limit`` pieces: when the newer is full
-    it becomes the older, and pieces still in use move up, so memory is bounded and common pieces stay."""
+class PieceTable:
+    """Ids of pieces seen before, named by two 64-bit sums: a hash table in arrays (open addressing), looked up for all
+    pieces of a group at once.  Beyond ``limit`` pieces it starts anew, so memory is bounded; common pieces are soon back."""
 
     def __init__(self, encode_many: Callable[[list[str]], list[tuple[int, ...]]], limit: int = CACHE_LIMIT):
         self.encode_many, self.limit = encode_many, limit
-        self.new: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-
-    def ids(self, words: list[str]) -> list[tuple[int, ...]]:
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
-        get, older = self.new.get, self.old.get
-        found = [get(w) or older(w) for w in words]
-        missing = [i for i, x in enumerate(found) if x is None]
-        for i, x in zip(missing, self.encode_many([words[i] for i in missing]) if missing else ()):
-            found[i] = x
-        self.new.update(zip(words, found))
-        return found
-
-
-def encode_groups(texts: list[str], cache: PieceCache) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.clear(limit)
+
+    def clear(self, room: int) -> None:
+        bits = max(4, (2 * room).bit_length())
+        self.shift, self.mask, self.room = np.uint64(64 - bits), (1 << bits) - 1, room
+        self.one, self.two = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.entry = np.full(1 << bits, -1, np.int32)
+        self.start, self.size = np.zeros(room, np.int64), np.zeros(room, np.int32)
+        self.flat, self.used, self.filled = np.zeros(4 * room, np.int32), 0, 0
+
+    def _slots(self, one: np.ndarray) -> np.ndarray:
+        return ((one * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Entries of pieces, -1 for those not in the table."""
+        slot = self._slots(one)
+        out = self.entry[slot]
+        todo = np.flatnonzero((out >= 0) & ~((self.one[slot] == one) & (self.two[slot] == two)))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self.mask
+            at = slot[todo]
+            out[todo] = self.entry[at]
+            todo = todo[(out[todo] >= 0) & ~((self.one[at] == one[todo]) & (self.two[at] == two[todo]))]
+        return out
+
+    def add(self, one: np.ndarray, two: np.ndarray, ids: list[tuple[int, ...]]) -> np.ndarray:
+        """Enter distinct pieces that are not in the table; their entries."""
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+        new = np.arange(self.used, self.used + len(ids), dtype=np.int32)
+        while self.filled + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.filled:self.filled + len(flat)] = flat
+        self.start[new] = self.filled + np.cumsum(size) - size
+        self.size[new] = size
+        self.used, self.filled = self.used + len(ids), self.filled + len(flat)
+        slot, todo = self._slots(one), np.arange(len(ids))
+        while len(todo):
+            at = slot[todo]
+            free = self.entry[at] < 0
+            self.entry[at[free]] = new[todo[free]]  # of several that want a slot one gets it
+            won = self.entry[at] == new[todo]
+            self.one[at[won]], self.two[at[won]] = one[todo[won]], two[todo[won]]
+            todo = todo[~won]
+            slot[todo] = (slot[todo] + 1) & self.mask
+        return new
+
+    def __call__(self, group: Group) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after another, number of ids of each piece)."""
+        one, two = group.names()
+        entry = self.find(one, two)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing) and self.used + len(missing) > self.room:
+            self.clear(max(self.limit, len(one)))
+            missing = np.arange(len(one))
+        if len(missing):
+            order = missing[np.lexsort((two[missing], one[missing]))]
+            first = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
+            at = order[first]
+            words = [group.text[i:j] for i, j in zip(group.a[at].tolist(), group.b[at].tolist())]
+            entry[order] = self.add(one[at], two[at], self.encode_many(words))[np.cumsum(first) - 1]
+        size = self.size[entry].astype(np.int64)
+        return (gather(self.flat, self.start[entry], size) if len(size) else self.flat[:0]), size
+
+
+def encode_groups(texts: list[str], table: PieceTable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, bounds) for groups of texts in order: the ids of a group's text j are
     ``ids[bounds[j]:bounds[j + 1]]``."""
     def run(group: list[str]) -> tuple[np.ndarray, np.ndarray]:
         g = Group(group)
-        words, place = g.distinct()
-        found = cache.ids(words)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
-        start = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
-        each = size[place] if len(size) else np.zeros(0, np.int64)
-        ids = gather(flat, start[place], each) if len(each) else flat
-        return ids, np.concatenate([[0], np.cumsum(each)])[g.first]
+        ids, size = table(g)
+        return ids, np.concatenate([[0], np.cumsum(size)])[g.first]
 
     group: list[str] = []
     held = 0
@@ -395,7 +430,7 @@ class Codec:
             vocab[rank] = token
         self.bytes, self.start, self.size = self._table(vocab)
         self.number = self._table([b"%d," % i for i in range(len(vocab))])
-        self.cache = PieceCache(PairMerger(self.ranks))
+        self.table = PieceTable(PairMerger(self.ranks))
 
     @staticmethod
     def _table(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -403,7 +438,7 @@ class Codec:
         return np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum(size)[:-1]]), size
 
     def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for ids, bounds in encode_groups(texts, self.cache):
+        for ids, bounds in encode_groups(texts, self.table):
             for i, j in zip(bounds.tolist(), bounds[1:].tolist()):
                 yield ids[i:j]
 

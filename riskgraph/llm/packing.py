@@ -20,6 +20,7 @@ for, the ids) are kept.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskgraph.llm.byte_bpe import PieceCache, encode_groups, texts_of
+from riskgraph.llm.byte_bpe import PieceTable, encode_groups, texts_of
 from riskgraph.llm.tables import written
 
 CAPACITY = 2048
@@ -37,10 +38,29 @@ END_ID = 0
 GROUP = 2000
 
 
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """Bytes and ids of a byte-level BPE file whose ids are in the order of its merges, so that merging by the smallest id
+    gives the file's own ids; None for any other file."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, merges = model.get("vocab"), [tuple(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges", [])]
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if model.get("type") != "BPE" or not plain:
+        return None
+    # the usual printable stand-ins for bytes
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte_of = {chr(b): b for b in printable} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
+    merged = [vocab.get(a + b, -1) for a, b in merges]
+    single = [t for t in byte_of if t in vocab]
+    if len(single) < 256 or merged != sorted(set(merged)) or merged[0] < 256 or len(vocab) != 256 + len(merges):
+        return None
+    return {bytes(byte_of[c] for c in token): i for token, i in vocab.items()}
+
+
 class TokenizerIds:
-    """Ids of whole texts as the tokenizer file gives them; splitting is vectorised and the library
-    encodes each distinct piece once while it stays cached.  Texts that hold the string of an added
-    token are encoded by the library as they are."""
+    """Ids of whole texts as the tokenizer file gives them; splitting is vectorised and each distinct piece is encoded
+    once while it stays in the table: by merging over the file's own ranks where its ids are in the order of its merges,
+    else by the library.  Texts that hold the string of an added token are encoded by the library as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
@@ -48,11 +68,17 @@ class TokenizerIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = PieceCache(lambda words: [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        if ranks := byte_ranks(path):
+            import tiktoken
+
+            merger = tiktoken.Encoding("pieces", pat_str="(?s:.)+", mergeable_ranks=ranks, special_tokens={})
+            self.table = PieceTable(lambda words: [merger.encode_ordinary(w) for w in words])
+        else:
+            self.table = PieceTable(lambda words: [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
 
     def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
         special = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        plain = ((ids, bounds) for ids, bounds in encode_groups([t for i, t in enumerate(texts) if i not in special], self.cache))
+        plain = ((ids, bounds) for ids, bounds in encode_groups([t for i, t in enumerate(texts) if i not in special], self.table))
         flow = (ids[i:j] for ids, bounds in plain for i, j in zip(bounds.tolist(), bounds[1:].tolist()))
         for i, text in enumerate(texts):
             yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32) if i in special else next(flow)

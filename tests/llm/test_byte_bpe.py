@@ -53,9 +53,9 @@ def test_strip_composition_matches_one_strip(monkeypatch):
     assert np.array_equal(whole, byte_bpe.piece_starts(cp, reset))
 
 
-def test_cache_generations_keep_results(library):
+def test_small_table_keeps_results(library):
     codec = byte_bpe.Codec(PATH)
-    codec.cache.limit = 50
+    codec.table = byte_bpe.PieceTable(codec.table.encode_many, 50)
     texts = random_texts(500, 5)
     assert [i.tolist() for i in codec.encode_batch(texts)] == [library.encode_ordinary(t) for t in texts]
     for t in texts[:50]:
@@ -88,3 +88,18 @@ def test_tokenizer_ids_match_the_library():
     tokenizer = Tokenizer.from_file(path)
     for text, ids in zip(texts, packing.tokenizer_ids(path).encode_batch(texts), strict=True):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_small_piece_table_starts_anew():
+    """A table far smaller than the number of pieces gives the same ids."""
+    import public_tokenizers
+
+    ranks = byte_bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).ranks
+    merger = byte_bpe.PairMerger(ranks)
+    texts = [" ".join(f"w{(i * j) % 97}x{j % 13}" for j in range(50)) for i in range(60)] + ["", "one"]
+    small, large = byte_bpe.PieceTable(merger, 40), byte_bpe.PieceTable(merger)
+    for part in (texts, texts[::-1], texts[:3]):
+        for (a, b), (c, d) in zip(byte_bpe.encode_groups(part, small), byte_bpe.encode_groups(part, large)):
+            assert a.tolist() == c.tolist() and b.tolist() == d.tolist()
+    for text in texts:
+        assert sum((len(a) for a, _ in byte_bpe.encode_groups([text], small)), 0) == sum((len(a) for a, _ in byte_bpe.encode_groups([text], large)), 0)

@@ -87,3 +87,19 @@ def test_hot_length_is_numbered_in_small_groups(spark):
     pieces = spark.range(9000).selectExpr("id doc_id", "0 piece", "0L start", "if(id % 3 = 0, 7L, id % 50 + 1) length", "id ids_crc32")
     out = packing.pack(pieces, 64).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in out}) == 9000
+
+
+def test_pieces_by_ranks_equal_the_library():
+    """Random byte soup, all scripts: merging by the file's ranks gives the library's ids."""
+    import random
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert len(packing.byte_ranks(path)) == 50256 and packing.byte_ranks(public_tokenizers.path("word_bpe_49k.json")) is None
+    own, r = packing.TokenizerIds(path), random.Random(6)
+    texts = ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(0xC0, 0x250), r.randrange(0x370, 0x5F0), r.randrange(0x4E00, 0x4F00),
+                                   r.randrange(0x1F300, 0x1F600), 10, 32, 39])) for _ in range(r.randrange(200))) for _ in range(400)]
+    texts += ["a" * 5000, "<|endoftext|> x", "\x00\x01 \u200b", "don't we'LL  \n\n  end "]
+    for text, ids in zip(texts, own.encode_batch(texts)):
+        assert ids.tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
