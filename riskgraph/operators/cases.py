@@ -2,7 +2,7 @@
 (draft lookup, effective values, rule panel, evidence parsing).
 
 Windows here (percentile rank, case number) run only over the sample, whose
-size is the batch parameter; nothing here groups the population.
+size is the batch parameter; ``population_pct_ranks`` ranks any number of rows.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from riskgraph import config as C
 from riskgraph.functions import labels as L
+from riskgraph.functions.rounding import round_share
 from riskgraph.functions.text import mask_id, rule_id_dashed, rule_id_plain
-from riskgraph.session import literal_rows
+from riskgraph.operators.quantiles import sorted_counts
+from riskgraph.session import literal_rows, materialize
 
 PCT_COLS = ["total_degree", "out_degree", "time_step_activity", "anonymized_behavior_intensity",
             "two_hop_risk_neighbor_share"]
@@ -35,6 +37,23 @@ def with_pct_ranks(sample: DataFrame, cols=PCT_COLS) -> DataFrame:
     return out
 
 
+def population_pct_ranks(df: DataFrame, cols) -> DataFrame:
+    """W1 over any number of rows: adds ``pct_<col>``.
+
+    Ranks come from the counts of distinct values (range-partitioned and sorted, as for the percentiles) and are joined
+    back by value, so no task holds the population and a hot value is one counted row.
+    """
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "metric", "value").where("value IS NOT NULL")
+    values, sizes = sorted_counts(long, ["metric"], "value")
+    ranks = materialize(values.join(sizes, "metric").select(
+        "metric", "value", ((F.col("start") + 1 + (F.col("c") - 1) / 2.0) / F.col("n")).alias("pct")), "pct_ranks")
+    out = df
+    for c in cols:
+        own = ranks.where(F.col("metric") == c).select(F.col("value").alias("_value"), F.col("pct").alias(f"pct_{c}"))
+        out = out.join(own, F.col(c).cast("double") == F.col("_value"), "left").drop("_value")
+    return out
+
+
 def case_number(order_col: str = "draw") -> Column:
     """``ELL-001`` ... (no truncation past 999)."""
     return F.format_string("ELL-%03d", F.col(order_col))
@@ -92,9 +111,9 @@ def case_flat(queue: DataFrame) -> DataFrame:
         pattern.alias("flowPattern"),
         L.flow_sentence(pattern).alias("structureSummary"),
         F.col("one_hop_neighbor_count").alias("oneHopNeighborCount"),
-        F.round(F.col("one_hop_risk_neighbor_share"), 2).alias("oneHopRiskNeighborShare"),
+        round_share(F.col("one_hop_risk_neighbor_share")).alias("oneHopRiskNeighborShare"),
         F.col("two_hop_neighbor_count").alias("twoHopNeighborCount"),
-        F.round(F.col("two_hop_risk_neighbor_share"), 2).alias("twoHopRiskNeighborShare"),
+        round_share(F.col("two_hop_risk_neighbor_share")).alias("twoHopRiskNeighborShare"),
         F.col("distance_to_known_illicit_cluster").alias("distanceToKnownIllicitCluster"),
         L.neighbor_signal(F.col("two_hop_risk_neighbor_share")).alias("neighborAggregationSignal"),
         graph_summary().alias("graphSummary"),

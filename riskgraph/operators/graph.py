@@ -4,15 +4,17 @@ two-hop exposure to risky nodes, and weakly connected components.
 Exposure is computed for a *set of source nodes*.  For a small set (the
 review sample) every step is linear in the sources' neighbourhoods, and the
 planner broadcasts the small side; for all nodes (``exposure_full``) the
-two-hop step is the wedge join, whose size is the sum of squared degrees.
+two-hop step is the wedge join through ordinary nodes, and a union of
+bitmaps through hubs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgraph.functions.labels import distance_label
+from riskgraph.functions.rounding import share
 from riskgraph.session import discard, materialize
 
 
@@ -77,20 +79,21 @@ def exposure_counts(sources: DataFrame, adj: DataFrame, risky: DataFrame) -> Dat
     return one.join(two, "a", "left")
 
 
-def exposure(sources: DataFrame, adj: DataFrame, risky: DataFrame, heavy_degree: int | None = None) -> DataFrame:
+def exposure(sources: DataFrame, adj: DataFrame, risky: DataFrame, hub_limit: int | None = None) -> DataFrame:
     """J7 columns for every source id (no neighbours -> zeros, "Not observed").
 
     For a few sources (the review sample) the two-hop pairs are enumerated,
     which is linear in the sources' neighbourhoods.  An all-node run names
-    ``heavy_degree`` and counts reach through heavier nodes by hub blocks
-    (``exposure_counts_blocks``).  The risky ids are written first, so that the
-    joins that look them up are plain shuffles whose hot keys Spark can split.
+    ``hub_limit`` (see :func:`hub_degree`) and unites what is reached through
+    nodes with more neighbours as bitmaps (``exposure_counts_all``).  The risky
+    ids are written first, so that the joins that look them up are plain
+    shuffles whose hot keys Spark can split.
     """
     risky = materialize(risky.select("id"), "risky_ids")
-    if heavy_degree is None:
+    if hub_limit is None:
         counts = exposure_counts(sources, adj, risky)
     else:
-        counts = exposure_counts_blocks(sources, materialize(adj, "adjacency"), risky, heavy_degree)
+        counts = exposure_counts_all(adj, risky, hub_limit)
     counts = counts.withColumnRenamed("a", "id")
     df = sources.select("id").join(counts, "id", "left")
     n1, r1, n2, r2 = (F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("n1", "r1", "n2", "r2"))
@@ -98,14 +101,48 @@ def exposure(sources: DataFrame, adj: DataFrame, risky: DataFrame, heavy_degree:
         "id",
         n1.alias("one_hop_neighbor_count"),
         r1.alias("one_hop_risky_count"),
-        F.round(r1 / F.greatest(n1, F.lit(1)), 4).alias("one_hop_risk_neighbor_share"),
+        share(r1, n1).alias("one_hop_risk_neighbor_share"),
         n2.alias("two_hop_neighbor_count"),
         r2.alias("two_hop_risky_count"),
-        F.round(r2 / F.greatest(n2, F.lit(1)), 4).alias("two_hop_risk_neighbor_share"),
+        share(r2, n2).alias("two_hop_risk_neighbor_share"),
         distance_label(r1, r2).alias("distance_to_known_illicit_cluster"),
     )
 
 
+def one_hop_exposure(sources: DataFrame, adj: DataFrame, risky: DataFrame) -> DataFrame:
+    """The one-hop columns alone: one look-up of the risky ids and one grouped count."""
+    counts = _flag_risky(adj, "b", risky).groupBy("a").agg(
+        F.count(F.lit(1)).alias("n1"), F.sum("risky").cast("long").alias("r1"))
+    df = sources.select("id").join(counts.withColumnRenamed("a", "id"), "id", "left")
+    n1, r1 = (F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("n1", "r1"))
+    return df.select("id", n1.alias("one_hop_neighbor_count"), r1.alias("one_hop_risky_count"),
+                     share(r1, n1).alias("one_hop_risk_neighbor_share"))
+
+
+BITMAP_BYTES = 4096  # of Spark's bitmap functions: 32,768 nodes a bitmap
+
+
+def hub_degree(nodes: int) -> int:
+    """Neighbours above which a node's pairs cost more than its bitmaps.
+
+    A node with d neighbours has d * d pairs of two longs; as a hub it brings each of its d neighbours (if none share
+    their hubs) two bitmaps per 32,768 nodes of the graph.  Results are the same either way.
+    """
+    buckets = -(-max(nodes, 1) // (8 * BITMAP_BYTES))
+    return 2 * BITMAP_BYTES * buckets // 16
+
+
+def numbered(ids: DataFrame) -> DataFrame:
+    """(id, num): dense numbers from 1, in no particular order.  Places within partitions are written with the ids, so
+    only one row per partition is brought together."""
+    part = materialize(ids.select("id", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("mid")), "numbered")
+    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = part.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select("pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    place = F.col("mid") - F.shiftleft(F.col("pid").cast("long"), 33)
+    return part.join(offsets, "pid").select("id", (F.col("off") + place + 1).alias("num"))
+
+
 def _set_name(members: str) -> list:
     """Name of a set of ids: two independent exclusive-or sums of hashes, and the size."""
     return [F.bit_xor(F.xxhash64(members)).alias("s1"), F.bit_xor(F.xxhash64(members, F.lit("set"))).alias("s2"),
@@ -115,84 +152,72 @@ def _set_name(members: str) -> list:
 SET = ["s1", "s2", "s3"]
 
 
-def exposure_counts_blocks(sources: DataFrame, adj: DataFrame, risky: DataFrame, heavy_degree: int) -> DataFrame:
-    """Per source: n1, r1, n2, r2 like ``exposure_counts``, without enumerating
-    neighbour pairs around heavy nodes (undirected degree > heavy_degree).
-
-    With T'(a) = (union of N(b) for b in N(a)) minus a, the two-hop set is
-    T'(a) minus N(a).  T'(a) is split into the part reached through heavy
-    neighbours, T_H(a) = union of N(h) for heavy h in N(a), and the part
-    reached through light neighbours, W_L(a) (enumerated; at most
-    heavy_degree^2 pairs per light center).  |T_H(a)| is counted without pairs:
-    the heavy neighbours of a node are its hub set; nodes with the same hub set
-    are one row with a count, and |T_H(a)| is the sum of the counts of the hub
-    sets that share a hub with that of a.  Hub sets are named by hashes and kept
-    as (set, hub) rows, never as arrays.  Which sets meet is written once, as
-    are its inputs, so Spark splits a hub that very many sets hold; the pairs of
-    different sets that share a hub are the cost of this operator.  Pairs in W_L(a)
-    already in T_H(a) are not counted twice, and neighbours x of a are removed
-    when they lie in T_H(a) or W_L(a).
-    """
-    deg = adj.groupBy("a").agg(F.count(F.lit(1)).alias("du"))
-    heavy = materialize(deg.where(F.col("du") > heavy_degree).select(F.col("a").alias("b")), "hubs")
-    src = sources.select(F.col("id").alias("a"))
-    rk = risky.select(F.col("id").alias("_rid"), F.lit(1).alias("rk"))
-
-    def flag(df: DataFrame, col: str) -> DataFrame:
-        return df.join(rk.withColumnRenamed("_rid", col), col, "left").withColumn("rk", F.coalesce("rk", F.lit(0)))
-
-    def named(df: DataFrame, node: str, prefix: str) -> DataFrame:
-        return df.select(F.col("a").alias(node), *[F.col(c).alias(prefix + c) for c in SET])
-
-    hop1 = one_hop(sources, adj)                                        # (a, b)
-    adj_h = adj.join(heavy, "b", "left_semi")                           # (x, hub) for every node x
-    sets = materialize(adj_h.groupBy("a").agg(*_set_name("b")), "hub_sets")   # hub set of every node that has one
-    hubs = materialize(adj_h.join(sets, "a").select(*SET, "b").distinct(), "hub_set_members")
-    asked = materialize(sets.join(src, "a", "left_semi").select(*SET).distinct().join(hubs, SET), "asked_sets")
-    qs, ss = ["q" + c for c in SET], SET
-    met = materialize(
-        asked.select("b", *[F.col(c).alias("q" + c) for c in SET]).join(hubs, "b").select(*qs, *ss).distinct(), "sets_that_meet")
-    sizes = flag(sets.withColumnRenamed("a", "c"), "c").groupBy(*SET).agg(F.count(F.lit(1)).alias("cnt"), F.sum("rk").alias("rcnt"))
-    blocks = met.join(sizes, SET).groupBy(*qs).agg(F.sum("cnt").alias("U"), F.sum("rcnt").alias("UR"))
-    pairs = met.withColumn("meet", F.lit(True))
-    q = named(sets, "a", "q")
-
-    # W_L: pairs through light centers, minus those already in T_H
-    hop1_l = hop1.join(heavy, "b", "left_anti")
-    wl = (
-        hop1_l.join(adj.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
-        .where(F.col("a") != F.col("c")).select("a", "c").distinct()
-    )
-    wl_new = (
-        flag(wl.join(q, "a", "left").join(named(sets, "c", ""), "c", "left").join(pairs, qs + ss, "left"), "c")
-        .where(F.col("meet").isNull())
-        .groupBy("a").agg(F.count(F.lit(1)).alias("nL"), F.sum("rk").alias("rL"))
-    )
+def _bit(bits: str, position: str):
+    """Bit at ``position`` of a bitmap, 0 or 1."""
+    return F.expr(
+        f"shiftright(cast(conv(hex(substring({bits}, cast({position} div 8 as int) + 1, 1)), 16, 10) as int), cast({position} % 8 as int)) & 1")
 
-    # neighbours x != a that lie in T'(a)
-    nb = hop1.where(F.col("a") != F.col("b")).select("a", F.col("b").alias("x"))
-    in_t = (
-        flag(nb.join(q, "a", "left").join(named(sets, "x", ""), "x", "left").join(pairs, qs + ss, "left")
-             .join(wl.select("a", F.col("c").alias("x"), F.lit(True).alias("inL")), ["a", "x"], "left"), "x")
-        .where(F.col("meet").isNotNull() | F.col("inL").isNotNull())
-        .groupBy("a").agg(F.count(F.lit(1)).alias("nX"), F.sum("rk").alias("rX"))
-    )
 
-    one = flag(hop1, "b").groupBy("a").agg(F.count(F.lit(1)).alias("n1"), F.sum("rk").cast("long").alias("r1"))
-    self_rk = flag(src, "a").select("a", F.col("rk").alias("rk_self"))
-    per = (
-        one.join(q, "a", "left").join(blocks, qs, "left")
-        .join(wl_new, "a", "left").join(in_t, "a", "left").join(self_rk, "a", "left")
-    )
-    has_q = F.col("qs1").isNotNull()
-    n_t = F.coalesce(F.col("U"), F.lit(0)) - F.when(has_q, 1).otherwise(0) + F.coalesce(F.col("nL"), F.lit(0))
-    r_t = (F.coalesce(F.col("UR"), F.lit(0)) - F.when(has_q, F.coalesce(F.col("rk_self"), F.lit(0))).otherwise(0)
-           + F.coalesce(F.col("rL"), F.lit(0)))
-    return per.select(
-        "a", "n1", "r1",
-        (n_t - F.coalesce(F.col("nX"), F.lit(0))).cast("long").alias("n2"),
-        (r_t - F.coalesce(F.col("rX"), F.lit(0))).cast("long").alias("r2"),
-    )
+def hub_unions(adj: DataFrame, hubs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is reached through hubs, as bitmaps over dense node numbers.
+
+    Returns (a, set) of every node next to a hub, where the set names its hubs; (set, bucket, bits, risky_bits), the
+    union of the neighbourhoods of the set's hubs, one row per set and bucket that is not empty; and (id, num).  Hub
+    sets are named by hashes and kept as (set, hub) rows; inputs of every join are written, so Spark can split a hub
+    that very many sets hold.  No pair of nodes or of sets is made.
+    """
+    nums = materialize(numbered(adj.select(F.col("a").alias("id")).distinct()), "node_numbers")
+    beside = adj.join(hubs.withColumnRenamed("hub", "a"), "a", "left_semi").select(F.col("a").alias("hub"), F.col("b").alias("id"), "rb")
+    num = F.col("num")
+    bitmaps = materialize(
+        beside.join(nums, "id").groupBy("hub", F.bitmap_bucket_number(num).alias("bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(num)).alias("bits"),
+            F.bitmap_construct_agg(F.when(F.col("rb") == 1, F.bitmap_bit_position(num))).alias("risky_bits")), "hub_bitmaps")
+    sets = materialize(beside.groupBy(F.col("id").alias("a")).agg(*_set_name("hub")), "hub_sets")
+    members = materialize(beside.select(F.col("id").alias("a"), "hub").join(sets, "a").select(*SET, "hub").distinct(), "hub_set_members")
+    unions = materialize(
+        members.join(bitmaps, "hub").groupBy(*SET, "bucket").agg(
+            F.bitmap_or_agg("bits").alias("bits"), F.bitmap_or_agg("risky_bits").alias("risky_bits")), "hub_unions")
+    return sets, unions, nums
+
+
+def exposure_counts_all(adj: DataFrame, risky: DataFrame, hub_limit: int) -> DataFrame:
+    """(a, n1, r1, n2, r2) like ``exposure_counts``, for every node that has neighbours.
+
+    The two-hop set of a is T(a) minus a minus N(a), T(a) being the union of N(b) over a's neighbours b.  E(a) holds
+    N(a) and what is reached through neighbours of at most ``hub_limit`` neighbours, without a (enumerated); U(a) is
+    what is reached through hubs (:func:`hub_unions`), a among it.  Then
+    n2 = |E| - |N without a| + |U| - 1 - |E and U|, where the last three stand only for nodes next to a hub.
+    """
+    flag = risky.select(F.col("id").alias("b"), F.lit(1).alias("rb"))
+    adj = materialize(adj.join(flag, "b", "left").select("a", "b", F.coalesce("rb", F.lit(0)).alias("rb")), "adjacency")
+    others = F.col("a") != F.col("b")
+    one = adj.groupBy("a").agg(
+        F.count(F.lit(1)).alias("n1"), F.sum("rb").cast("long").alias("r1"),
+        F.count_if(others).alias("o1"), F.sum(F.when(others, F.col("rb")).otherwise(0)).alias("q1"))
+    hubs = materialize(one.where(F.col("n1") > hub_limit).select(F.col("a").alias("hub")), "hubs")
+    none = hubs.isEmpty()
+    light = adj if none else adj.join(hubs.withColumnRenamed("hub", "b"), "b", "left_anti")
+    steps = light.select("a", "b").join(adj.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("rb").alias("rc")), "b")
+    near = steps.select("a", "c", "rc").unionByName(adj.select("a", F.col("b").alias("c"), F.col("rb").alias("rc")))
+    reached = near.where(F.col("a") != F.col("c")).distinct()
+    if not none:
+        reached = materialize(reached, "reached")
+    counts = one.join(reached.groupBy("a").agg(F.count(F.lit(1)).alias("e"), F.sum("rc").alias("er")), "a", "left")
+    e, er = (F.coalesce(F.col(c), F.lit(0)) for c in ("e", "er"))
+    n2, r2 = e - F.col("o1"), er - F.col("q1")
+    if not none:
+        sets, unions, nums = hub_unions(adj, hubs)
+        sizes = unions.groupBy(*SET).agg(F.sum(F.bitmap_count("bits")).alias("u"), F.sum(F.bitmap_count("risky_bits")).alias("ur"))
+        place = nums.select(F.col("id").alias("c"), F.bitmap_bucket_number("num").alias("bucket"), F.bitmap_bit_position("num").alias("pos"))
+        both = reached.join(sets, "a").join(place, "c").join(unions, [*SET, "bucket"]).where(_bit("bits", "pos") == 1)
+        both = both.groupBy("a").agg(F.count(F.lit(1)).alias("eu"), F.sum("rc").alias("eur"))
+        own = sets.join(flag.withColumnRenamed("b", "a"), "a", "left").join(sizes, SET).select(
+            "a", (F.col("u") - 1).alias("u"), (F.col("ur") - F.coalesce("rb", F.lit(0))).alias("ur"))
+        counts = counts.join(own, "a", "left").join(both, "a", "left")
+        part = lambda c: F.coalesce(F.col(c), F.lit(0))
+        n2, r2 = n2 + part("u") - part("eu"), r2 + part("ur") - part("eur")
+    return counts.select("a", "n1", "r1", n2.cast("long").alias("n2"), r2.cast("long").alias("r2"))
 
 
 # ---------------------------------------------------------------------------

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from riskgraph.session import checkpoint_keep_partitions
+from riskgraph.session import materialize
 
 
 def _interpolate(pos, lo, hi, v_lo, v_hi):
@@ -42,15 +42,15 @@ def sorted_counts(df: DataFrame, keys: Sequence[str], value: str) -> tuple[DataF
     """(keys..., value, c, _pid, start) of the distinct values in order, where ``start`` counts the rows
     of the same key before the value, and (keys..., n) with the rows of each key.
 
-    The partition layout is fixed by a reliable checkpoint; only the counts per
-    (partition, key) are brought together, at most one row per partition and key
-    that meet.
+    The sorted values are written with the number of their partition; only the
+    counts per (partition, key) are brought together, at most one row per partition
+    and key that meet.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
     order = [F.col(k) for k in (*keys, value)]
-    part = checkpoint_keep_partitions(counts.repartitionByRange(n, *order).sortWithinPartitions(*order)).withColumn(
-        "_pid", F.spark_partition_id())
+    part = materialize(counts.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(
+        "_pid", F.spark_partition_id()), "sorted_counts")
     sizes = part.groupBy("_pid", *keys).agg(F.sum("c").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))

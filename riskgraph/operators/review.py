@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskgraph import config as C
+from riskgraph.functions.pyjson import json_object, json_text
 from riskgraph.functions.text import py_float_text
 
 REVIEW_OBJECT_TYPE = C.REVIEW_OBJECT_TYPE
@@ -181,22 +183,31 @@ def fallback_drafts(contexts: DataFrame) -> DataFrame:
     )
 
 
+def _evidence_json(rule: Column) -> Column:
+    """A triggered rule's evidence as JSON text, its fields in the rule's own order and the note last."""
+    out = F.lit(None).cast("string")
+    for rid in C.SUPPORTED_RULE_IDS:
+        fields = rule["evidence_fields"]
+        own = [(f, fields[f], T.StringType() if k == "text" else T.DoubleType() if k == "double" else T.LongType()) for f, k in C.EVIDENCE_FIELDS[rid]]
+        own.append(("proxy_note", fields["proxy_note"], T.StringType()))
+        out = F.when(rule["rule_id"] == rid, json_object(own)).otherwise(out)
+    return out
+
+
 def draft_requests(contexts: DataFrame) -> DataFrame:
-    """(id, system, user) messages for an outside model; payload as JSON text."""
-    payload = F.struct(
-        F.col("review_object.txId").alias("txId"),
-        F.col("risk.risk_level").alias("risk_level"),
-        F.transform("triggered_rules", lambda r: F.struct(
-            r["rule_id"].alias("rule_id"), r["rule_name"].alias("rule_name"),
-            r["evidence_fields"].alias("evidence"),
-            r["rule_doc"]["dataset_limit"].alias("limit"),
-        )).alias("triggered_rules"),
-        F.col("missing_information").alias("missing_info"),
-    )
+    """(id, system, user) messages for an outside model; the payload is JSON text as Python's ``json.dumps`` writes it."""
+    text = T.StringType()
+    rules = F.transform("triggered_rules", lambda r: F.concat(
+        F.lit('{"rule_id": '), json_text(r["rule_id"], text), F.lit(', "rule_name": '), json_text(r["rule_name"], text),
+        F.lit(', "evidence": '), _evidence_json(r), F.lit(', "limit": '), json_text(r["rule_doc"]["dataset_limit"], text), F.lit("}")))
+    payload = F.concat(
+        F.lit('{"txId": '), F.col("review_object.txId").cast("string"), F.lit(', "risk_level": '), json_text(F.col("risk.risk_level"), text),
+        F.lit(', "triggered_rules": ['), F.array_join(rules, ", "),
+        F.lit('], "missing_info": '), json_text(F.col("missing_information"), T.ArrayType(text)), F.lit("}"))
     return contexts.select(
         "id",
         F.lit(C.DRAFT_PROMPT).alias("system"),
-        F.concat(F.lit(C.DRAFT_USER_PREFIX), F.to_json(payload, {"ignoreNullFields": "true"})).alias("user"),
+        F.concat(F.lit(C.DRAFT_USER_PREFIX), payload).alias("user"),
         F.lit(0.1).alias("temperature"),
     )
 
@@ -214,26 +225,28 @@ FIXED_KEYS = ("txId", "risk_score", "risk_level", "llm_status", "analyst_decisio
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
-    """(id, content) -> (id, parsed_ok, parsed struct, extra map).
+    """(id, content) -> (id, parsed_ok, parsed struct, extra map, extra_json).
 
     A response counts if it is a JSON object, whatever its fields hold.  Each
     field is then read on its own and is NULL where its type differs; keys
     outside the draft's fields are kept in ``extra`` (value as text, nested values
-    as JSON text).
+    as JSON text) and, with their types, in ``extra_json`` (one JSON object).
     """
     body = F.try_parse_json(F.col("content"))
     ok = F.coalesce(F.schema_of_variant(body).startswith("OBJECT"), F.lit(False))
     fields = [F.try_variant_get(body, f"$.{name}", kind).alias(name) for name, kind in DRAFT_BODY.items()]
     every = F.from_json(F.when(ok, F.col("content")), "map<string,string>")
     known = F.array(*[F.lit(k) for k in (*DRAFT_BODY, *FIXED_KEYS)])
+    typed = F.from_json(F.when(ok, F.col("content")), "map<string,variant>")
+    own = lambda k, _v: ~F.array_contains(known, k)
     return responses.select("id", ok.alias("parsed_ok"), F.when(ok, F.struct(*fields)).alias("parsed"),
-                            F.map_filter(every, lambda k, _v: ~F.array_contains(known, k)).alias("extra"))
+                            F.map_filter(every, own).alias("extra"), F.to_json(F.map_filter(typed, own)).alias("extra_json"))
 
 
 def merge_drafts(contexts: DataFrame, responses: DataFrame) -> DataFrame:
     """Model draft where the response is a JSON object, else the template; id, score,
     level, status and decision always come from the context.  A response is the draft: fields that it
-    lacks are NULL, other keys that it has are in ``extra``."""
+    lacks are NULL, other keys that it has are in ``extra`` and ``extra_json`` (at top level once written)."""
     fb = fallback_drafts(contexts)
     df = fb.join(parse_responses(responses), "id", "left")
     ok = F.coalesce(F.col("parsed_ok"), F.lit(False))
@@ -243,6 +256,7 @@ def merge_drafts(contexts: DataFrame, responses: DataFrame) -> DataFrame:
         F.lit(C.PENDING).alias("analyst_decision"),
         F.when(ok, F.lit("success")).otherwise(F.lit("fallback")).alias("llm_status"),
         F.when(ok, F.col("extra")).alias("extra"),
+        F.when(ok, F.col("extra_json")).alias("extra_json"),
     )
 
 

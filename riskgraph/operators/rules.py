@@ -106,3 +106,26 @@ def weights_by_join(spark: SparkSession, hits_long: DataFrame, mode: str = "publ
         hits_long.join(F.broadcast(w), ["primary_segment", "rule_id"], "left")  # configured segments x rules
         .select("id", "rule_id", F.coalesce(F.col("weight"), F.lit(0)).alias("weight"))
     )
+
+
+def score_rule_table(df: DataFrame, rules: DataFrame, weights: DataFrame, segment: str = "primary_segment") -> DataFrame:
+    """P12, J8, P13, P14 for a caller's rules: ids, predicates and weights come from tables alone.
+
+    ``rules`` (rule_id, predicate SQL text) is configuration-sized: its rows become one projection.  ``weights``
+    (segment, rule_id, weight) becomes one row per segment, a map from rule to weight (repeated rows add up), joined
+    on the segment.  A rule without a weight, and a segment without any, scores 0.  Adds ``rule_hits`` (array of rule_id
+    and score of the hit rules, in order of their ids), ``risk_score_raw``, ``risk_score`` and ``risk_level``.
+    """
+    preds = sorted((r["rule_id"], r["predicate"]) for r in rules.select("rule_id", "predicate").collect())
+    if len({rid for rid, _ in preds}) < len(preds):
+        raise ValueError("a rule id occurs twice in the rule table")
+    hit = F.array(*[F.when(rule_hit(sql), F.lit(rid)) for rid, sql in preds]) if preds else F.array().cast("array<string>")
+    per_rule = weights.where("rule_id IS NOT NULL AND weight IS NOT NULL").groupBy(F.col(segment).alias("_segment"), "rule_id").agg(
+        F.sum("weight").cast("int").alias("weight"))
+    per_segment = per_rule.groupBy("_segment").agg(F.map_from_entries(F.collect_list(F.struct("rule_id", "weight"))).alias("_weights"))
+    out = df.withColumn("_hits", F.array_compact(hit)).join(per_segment, F.col(segment) == F.col("_segment"), "left")
+    scores = F.transform("_hits", lambda r: F.struct(
+        r.alias("rule_id"), F.coalesce(F.element_at("_weights", r), F.lit(0)).alias("score")))
+    out = out.withColumn("rule_hits", scores).drop("_hits", "_segment", "_weights")
+    out = out.withColumn("risk_score_raw", F.aggregate("rule_hits", F.lit(0), lambda total, r: total + r["score"]))
+    return out.withColumn("risk_score", F.least("risk_score_raw", F.lit(100))).withColumn("risk_level", risk_level(F.col("risk_score")))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgraph import config as C
-from riskgraph.session import checkpoint_keep_partitions
+from riskgraph.session import materialize
 
 
 def draw_key(seed: int, id_col: str = "id") -> Column:
@@ -29,17 +29,16 @@ def global_rank(df: DataFrame, order: Sequence[Column], num_partitions: int | No
                 rank_col: str = "rank") -> DataFrame:
     """L1: 1-based position of every row in a total order, fully distributed.
 
-    Range-partition + sort, then a reliable checkpoint fixes partition
-    contents; row positions come from per-partition counts (one small row per
-    partition) plus the in-partition record number.
+    Range-partition + sort, written with partition and record numbers; row
+    positions come from per-partition counts (one small row per partition) plus
+    the in-partition record number.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = (
-        checkpoint_keep_partitions(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    part = materialize(
+        df.repartitionByRange(n, *order).sortWithinPartitions(*order)
         .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_mid", F.monotonically_increasing_id())
-    )
+        .withColumn("_mid", F.monotonically_increasing_id()), "ranked")
     sizes = part.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
@@ -55,17 +54,20 @@ def ranked_slice(scored: DataFrame, skip: int, take: int, score_col: str = "risk
                  id_col: str = "id") -> DataFrame:
     """L2: rows at ranks [skip, skip + take) of (score desc, id asc).
 
-    The score at rank ``skip`` and, among the rows of that score, the id are
-    found by distributed selection; then a bounded top-k of ``take`` rows runs
-    on what is left, so no task ever holds the skipped rows.
+    Scores are whole numbers with a cap (at most 101 values), so one grouped
+    count finds the score at rank ``skip``; among the rows of that score the id
+    is found by distributed selection.  Then a bounded top-k of ``take`` rows
+    runs on what is left, so no task ever holds the skipped rows.
     """
     from riskgraph.operators.quantiles import value_at_rank
 
     s = F.col(score_col)
-    at = value_at_rank(scored.select((-s).alias("_down")), "_down", skip)
+    up_to = Window.orderBy(s.desc())
+    ends = scored.groupBy(s).agg(F.count(F.lit(1)).alias("c")).withColumn("end", F.sum("c").over(up_to))
+    at = ends.where(F.col("end") > skip).orderBy("end").select(score_col, (F.col("end") - F.col("c")).alias("before")).first()
     if at is None:
         return scored.limit(0)
-    edge, before = -at[0], at[1]
+    edge, before = at
     rest = scored.where(s <= F.lit(edge))
     if skip > before:
         first = value_at_rank(scored.where(s == F.lit(edge)).select(id_col), id_col, skip - before)[0]

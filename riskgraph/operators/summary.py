@@ -46,3 +46,28 @@ def case_distributions(cases: DataFrame) -> DataFrame:
             F.struct(F.lit("demoLabel").alias("dimension"), L.display_label(F.col("label_name")).alias("value")),
         )))
     return x.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("case_count"))
+
+
+def _counts_map(counts: DataFrame, key: str, value: str):
+    """A few counted values (labels, bands) as one map."""
+    return counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value))))).scalar()
+
+
+def summary_record(nodes: DataFrame, edges: DataFrame, labels: DataFrame, components: DataFrame, cases: DataFrame) -> DataFrame:
+    """A12 to A15 as one nested record (one row); ``components`` from ``graph.component_summary``."""
+    profile = dataset_profile(nodes, edges)
+    by = case_distributions(cases)
+    one = lambda c: components.select(c).scalar()
+    return profile.select(
+        F.struct(F.col("node_count").alias("nodeCount"), F.col("directed_edge_count").alias("directedEdgeCount"),
+                 F.col("time_step_count").alias("timeStepCount"), F.array("time_step_min", "time_step_max").alias("timeStepRange"),
+                 F.col("raw_feature_count").alias("rawFeatureCountIncludingTxIdAndTimeStep"),
+                 F.col("anonymous_feature_count").alias("anonymousFeatureCount")).alias("keyFactors"),
+        _counts_map(label_distribution(nodes, labels), "label_name", "node_count").alias("labelDistribution"),
+        F.struct(F.col("directed_edge_count").alias("directedEdgeCount"),
+                 average_degree(nodes, edges).select("average_directed_degree").scalar().alias("averageDirectedDegreeApprox"),
+                 one("component_count").alias("weakComponentCount"), one("largest_component_size").alias("largestWeakComponentSize"),
+                 one("singleton_count").alias("singleNodeComponentCount")).alias("graphSummary"),
+        F.struct(cases.agg(F.count(F.lit(1))).scalar().alias("maxDemoCases"),
+                 _counts_map(by.where("dimension = 'riskBand'"), "value", "case_count").alias("riskBandDistribution"),
+                 _counts_map(by.where("dimension = 'demoLabel'"), "value", "case_count").alias("demoLabelDistribution")).alias("generatedDemoCaseSummary"))

@@ -5,12 +5,14 @@ over all of their rows.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgraph import config as C
+from riskgraph.functions.rounding import python_round_ratio, ratio_sql, round_share_sql
 from riskgraph.operators import graph as G
 from riskgraph.operators import metrics as M
 from riskgraph.operators import profile as PR
@@ -28,7 +30,6 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 SKIP = D.SKIP
 BATCH = D.BATCH
 SEED = D.SEED
-HEAVY_DEGREE = 24  # the driver's graph has such nodes, so hub blocks are part of every all-node run
 
 _memo: dict = {}
 
@@ -310,6 +311,33 @@ def q_scored_nodes(spark, sf):
     return scored(spark, sf).select(*SCORED_COLS)
 
 
+# A caller's own rules: seven predicates; weights for one segment only, and none for R-E.
+OWN_RULES = [
+    ("R-A", "total_degree > thresh_total_degree_p95"), ("R-B", "in_degree >= 3 * out_degree AND in_degree > 3"), ("R-C", "out_degree = 0"),
+    ("R-D", "time_step % 7 = 0"), ("R-E", "label_name = 'illicit'"),
+    ("R-F", "anonymized_behavior_intensity < thresh_anonymized_behavior_intensity_p75"),
+    ("R-G", "neighbor_complexity > thresh_neighbor_complexity_p90 AND out_in_ratio > 1")]
+OWN_WEIGHTS = [(C.SEGMENT_LOW, "R-A", 40), (C.SEGMENT_LOW, "R-B", 15), (C.SEGMENT_LOW, "R-C", 5), (C.SEGMENT_LOW, "R-D", 3), (C.SEGMENT_LOW, "R-F", 2),
+               (C.SEGMENT_LOW, "R-G", 50), (C.SEGMENT_LOW, "R-G", 9)]  # repeated weights add up
+_OWN_WEIGHT = {rid: sum(w for _, r, w in OWN_WEIGHTS if r == rid) for rid, _ in OWN_RULES}
+_OWN_SQL = D.with_sql(
+    "SELECT id, primary_segment, hits, risk_score_raw, CAST(least(risk_score_raw, 100) AS INTEGER) AS risk_score, CASE WHEN least(risk_score_raw, 100) >= 80 "
+    "THEN 'Critical' WHEN risk_score_raw >= 60 THEN 'High' WHEN risk_score_raw >= 30 THEN 'Medium' ELSE 'Low' END AS risk_level FROM ("
+    "SELECT id, primary_segment, concat_ws(',', " + ", ".join(f"CASE WHEN {p} THEN '{r}' END" for r, p in OWN_RULES) + ") AS hits, "
+    f"CAST(CASE WHEN primary_segment = {D.q(C.SEGMENT_LOW)} THEN " + " + ".join(
+        f"CASE WHEN {p} THEN {_OWN_WEIGHT[r]} ELSE 0 END" for r, p in OWN_RULES) + " ELSE 0 END AS INTEGER) AS risk_score_raw FROM with_thresh) t")
+
+
+@register("rules_own_table", _OWN_SQL)
+def q_rules_own_table(spark, sf):
+    """P12 to P14 with rules and weights that only the caller's tables name."""
+    opts = ScoreOptions(rules=spark.createDataFrame(OWN_RULES, "rule_id string, predicate string"),
+                        rule_weights=spark.createDataFrame(OWN_WEIGHTS, "primary_segment string, rule_id string, weight int"))
+    df = scored_nodes(graph(spark, sf), opts)
+    return df.select("id", "primary_segment", F.array_join(F.transform("rule_hits", lambda r: r["rule_id"]), ",").alias("hits"),
+                     "risk_score_raw", "risk_score", "risk_level")
+
+
 @register("agg_triggered", D.with_sql(
     "SELECT id, " + "concat_ws(',', " + ", ".join(f"CASE WHEN {r}_hit THEN '{r}' END" for r in C.SUPPORTED_RULE_IDS)
     + ") AS triggered_rules FROM scored"))
@@ -328,16 +356,16 @@ def _exposure_all(spark, sf):
     k = _key(spark, sf, "exposure_all")
     if k not in _memo:
         g = graph(spark, sf)
-        # all nodes: pairs are enumerated only around light centers (<= HEAVY_DEGREE^2 each);
-        # reach through heavier nodes is counted by hub blocks
+        # all nodes: pairs are enumerated around ordinary nodes, reach through hubs is a union of bitmaps
         _memo[k] = G.exposure(g.nodes.select("id"), G.adjacency(g.edges), G.risky_nodes(g.nodes, g.labels),
-                              heavy_degree=HEAVY_DEGREE)
+                              hub_limit=G.hub_degree(g.nodes.count()))
     return _memo[k]
 
 
 @register("exposure_1hop", D.with_sql("SELECT id, one_hop_neighbor_count, one_hop_risky_count, one_hop_risk_neighbor_share FROM exposure"))
 def q_exposure_1hop(spark, sf):
-    return _exposure_all(spark, sf).select("id", "one_hop_neighbor_count", "one_hop_risky_count", "one_hop_risk_neighbor_share")
+    g = graph(spark, sf)
+    return G.one_hop_exposure(g.nodes.select("id"), G.adjacency(g.edges), G.risky_nodes(g.nodes, g.labels))
 
 
 @register("exposure_2hop", D.with_sql("SELECT id, two_hop_neighbor_count, two_hop_risky_count, two_hop_risk_neighbor_share FROM exposure"))
@@ -345,6 +373,15 @@ def q_exposure_2hop(spark, sf):
     return _exposure_all(spark, sf).select("id", "two_hop_neighbor_count", "two_hop_risky_count", "two_hop_risk_neighbor_share")
 
 
+@register("exposure_hubs", D.with_sql("SELECT id, two_hop_neighbor_count, two_hop_risky_count FROM exposure"))
+def q_exposure_hubs(spark, sf):
+    """J6 with the reach through the nodes of more than 20 neighbours as unions of bitmaps (the driver's graph has no
+    node above the degree from which an all-node run does so)."""
+    g = graph(spark, sf)
+    e = G.exposure(g.nodes.select("id"), G.adjacency(g.edges), G.risky_nodes(g.nodes, g.labels), hub_limit=20)
+    return e.select("id", "two_hop_neighbor_count", "two_hop_risky_count")
+
+
 @register("exposure_full", D.with_sql(f"SELECT id, {cols(EXPOSURE_COLS)} FROM exposure"))
 def q_exposure_full(spark, sf):
     return _exposure_all(spark, sf).select("id", *EXPOSURE_COLS)
@@ -464,13 +501,6 @@ def chunks(spark, sf):
     return _memo[k]
 
 
-def mask_scores(spark, sf):
-    k = _key(spark, sf, "mask_scores")
-    if k not in _memo:
-        _memo[k] = CO.mask_scores(chunks(spark, sf), C.DRIVER_RULE_KEYWORDS, C.DRIVER_DEFAULT_KEYWORDS)
-    return _memo[k]
-
-
 @register("src_corpus", D.corpus_sql("SELECT source_id, title, publisher, url, page, text FROM pages"))
 def q_src_corpus(spark, sf):
     return CO.corpus_pages(spark, load_corpus_pages(spark, sf)).select("source_id", "title", "publisher", "url", "page", "text")
@@ -502,15 +532,32 @@ def q_text_keyword_counts(spark, sf):
     return kc.select("chunk_id", F.inline(pairs)).where(F.col("kw_count") > 0)
 
 
+def list_scores(spark, sf):
+    k = _key(spark, sf, "list_scores")
+    if k not in _memo:
+        vocab = CO.keyword_vocabulary(C.DRIVER_RULE_KEYWORDS, C.DRIVER_DEFAULT_KEYWORDS)
+        posted = CO.postings(chunks(spark, sf), vocab)
+        _memo[k] = materialize(CO.list_scores(posted, C.DRIVER_RULE_KEYWORDS, C.DRIVER_DEFAULT_KEYWORDS), "list_scores")
+    return _memo[k]
+
+
+@register("rag_postings", _KW_SQL)
+def q_rag_postings(spark, sf):
+    """The postings table, the text scanned once for all keywords."""
+    vocab = CO.keyword_vocabulary(C.DRIVER_RULE_KEYWORDS, C.DRIVER_DEFAULT_KEYWORDS)
+    return CO.postings(chunks(spark, sf), vocab).select("chunk_id", "keyword", F.col("n").alias("kw_count"))
+
+
 @register("rag_scores", D.corpus_sql("SELECT rule_mask, chunk_id, retrieval_score FROM mask_scores"))
 def q_rag_scores(spark, sf):
-    return mask_scores(spark, sf).select("rule_mask", "chunk_id", "retrieval_score")
+    return CO.set_scores(list_scores(spark, sf)).select("rule_mask", "chunk_id", "retrieval_score")
 
 
 @register("rag_topk", D.corpus_sql(
     f"SELECT rule_mask, chunk_rank, chunk_id, retrieval_score, substring(text, 1, {C.EXCERPT_CHARS}) AS excerpt FROM topk"))
 def q_rag_topk(spark, sf):
-    top = CO.with_excerpts(CO.topk_per_mask(mask_scores(spark, sf)), chunks(spark, sf))
+    top, _ = CO.topk_by_threshold(list_scores(spark, sf))
+    top = CO.with_excerpts(top, chunks(spark, sf))
     return top.select("rule_mask", F.col("chunk_rank").cast("bigint").alias("chunk_rank"), "chunk_id",
                       "retrieval_score", "excerpt")
 
@@ -583,7 +630,7 @@ def _contexts(spark, sf):
     if k not in _memo:
         q = mixed_queue(spark, sf)
         retrieved = CO.retrieve_for_cases(q, chunks(spark, sf), C.TOP_K_CHUNKS, C.DRIVER_RULE_KEYWORDS,
-                                          C.DRIVER_DEFAULT_KEYWORDS)
+                                          C.DRIVER_DEFAULT_KEYWORDS, list_scores(spark, sf))
         _memo[k] = RV.review_contexts(q, retrieved)
     return _memo[k]
 
@@ -692,6 +739,24 @@ def q_win_pct_rank(spark, sf):
     return CA.with_pct_ranks(mixed_queue(spark, sf)).select("id", *[f"pct_{c}" for c in CA.PCT_COLS])
 
 
+@register("win_pct_rank_all", D.with_sql("SELECT id, " + ", ".join(f"{_pct_sql(c)} AS pct_{c}" for c in CA.PCT_COLS[:4]) + " FROM metrics"))
+def q_win_pct_rank_all(spark, sf):
+    """W1 over every node."""
+    return CA.population_pct_ranks(metrics(spark, sf), CA.PCT_COLS[:4]).select("id", *[f"pct_{c}" for c in CA.PCT_COLS[:4]])
+
+
+_LINE_D = {"share": "CAST(l_quantity AS BIGINT)", "share_of_five": "5 * CAST(l_quantity AS BIGINT)"}
+
+
+@register("round_python", "SELECT l_orderkey, l_linenumber, l_quantity, " + ", ".join(
+    f"{ratio_sql('CAST(l_linenumber AS BIGINT)', d, 4)} AS {name}" for name, d in _LINE_D.items()) + " FROM lineitem WHERE l_quantity >= 1")
+def q_round_python(spark, sf):
+    """Quotients rounded as Python rounds them; 1/32 and 1/160 are among them."""
+    lines = spark.read.parquet(f"{sf.rstrip('/')}/lineitem.parquet").where("l_quantity >= 1")
+    return lines.select("l_orderkey", "l_linenumber", "l_quantity", *[
+        python_round_ratio(F.col("l_linenumber"), F.expr(d), 4).alias(name) for name, d in _LINE_D.items()])
+
+
 @register("case_volume", mixed_sql(f"SELECT id, out_degree, CASE WHEN {_pct_sql('out_degree')} >= 0.8 THEN 'high' ELSE 'medium' END AS transactionVolumeBucket FROM queue"))
 def q_case_volume(spark, sf):
     return CA.case_flat(mixed_queue(spark, sf)).select(F.col("txId").alias("id"), F.col("outputCount").alias("out_degree"), "transactionVolumeBucket")
@@ -745,8 +810,8 @@ _FLAT_SQL = mixed_sql(
     f" CASE WHEN {_pct_sql('out_degree')} >= 0.8 THEN 'high' ELSE 'medium' END AS transactionVolumeBucket,"
     f" {_FLOW} AS flowPattern, CASE {_FLOW} " + " ".join(f"WHEN '{k}' THEN {D.q(v)}" for k, v in C.CASE_STRUCTURE.items())
     + " END AS structureSummary, one_hop_neighbor_count AS oneHopNeighborCount,"
-    " round(one_hop_risk_neighbor_share, 2) AS oneHopRiskNeighborShare, two_hop_neighbor_count AS twoHopNeighborCount,"
-    " round(two_hop_risk_neighbor_share, 2) AS twoHopRiskNeighborShare,"
+    f" {round_share_sql('one_hop_risk_neighbor_share')} AS oneHopRiskNeighborShare, two_hop_neighbor_count AS twoHopNeighborCount,"
+    f" {round_share_sql('two_hop_risk_neighbor_share')} AS twoHopRiskNeighborShare,"
     " distance_to_known_illicit_cluster AS distanceToKnownIllicitCluster,"
     " CASE WHEN two_hop_risk_neighbor_share > 0 THEN 'elevated' ELSE 'normal' END AS neighborAggregationSignal,"
     f" {_GRAPH_SENTENCE} AS graphSummary,"
@@ -914,7 +979,21 @@ def q_draft_fallback(spark, sf):
     return RV.fallback_drafts(_contexts(spark, sf))
 
 
-@register("draft_requests", None)
+def _json_sql(field: str, kind: str) -> str:
+    value = f"""'"' || {field} || '"'""" if kind == "text" else _ev_text_sql(kind, field)
+    return f"""'"{field}": ' || {value}"""
+
+
+_REQ_USER = (D.q(C.DRAFT_USER_PREFIX) + " || '{\"txId\": ' || CAST(id AS VARCHAR) || ', \"risk_level\": \"' || risk_level || '\", \"triggered_rules\": [' || "
+    "concat_ws(', ', " + ", ".join(
+        f"CASE WHEN {r}_hit THEN " + D.q(f'{{"rule_id": "{r}", "rule_name": {json.dumps(C.RULE_DOCS[r][0])}, "evidence": {{') + " || "
+        + " || ', ' || ".join(_json_sql(f, k) for f, k in C.EVIDENCE_FIELDS[r]) + " || "
+        + D.q(f', "proxy_note": {json.dumps(C.PROXY_NOTES[r])}}}, "limit": {json.dumps(C.RULE_DOCS[r][3])}}}') + " END" for r in C.SUPPORTED_RULE_IDS)
+    + ") || " + D.q(f'], "missing_info": {json.dumps(list(C.UNAVAILABLE_FIELDS))}}}'))
+
+
+@register("draft_requests", mixed_sql(
+    f"SELECT id, {D.q(C.DRAFT_PROMPT)} AS system, {_REQ_USER} AS \"user\", CAST(0.1 AS DOUBLE) AS temperature FROM queue"))
 def q_draft_requests(spark, sf):
     return RV.draft_requests(_contexts(spark, sf))
 
@@ -1025,6 +1104,7 @@ def q_summary_cases(spark, sf):
 
 from riskgraph import sinks as K  # noqa: E402
 from riskgraph.session import scratch_path  # noqa: E402
+from riskgraph.schema import DATASET_SUMMARY, DRAFT_RECORD  # noqa: E402
 from riskgraph.sources import files as FS  # noqa: E402
 
 
@@ -1080,45 +1160,55 @@ def q_src_nodes(spark, sf):
     return FS.read_nodes(spark, _found(spark, sf)["features"], n_features=3)
 
 
-def _written(spark, sf, name: str, df_fn) -> tuple[str, DataFrame]:
+def _written(spark, sf, name: str, df_fn) -> tuple[str, DataFrame, int]:
+    """Path, frame and rows (counted while writing) of an output."""
     k = _key(spark, sf, "written", name)
     if k not in _memo:
         df = df_fn()
         path = scratch_path(spark, name)
-        if name == "queue":
-            K.write_csv(df, path)
-        else:
-            K.write_json(df, path, null_fields=name != "contexts")
-        _memo[k] = (path, df)
+        put = {"queue": K.put_csv, "contexts": K.put_contexts, "drafts": K.put_drafts}.get(name, K.put_json)
+        _memo[k] = (path, df, put(df, path))
     return _memo[k]
 
 
+def _cases_written(spark, sf):
+    return _written(spark, sf, "cases", lambda: CA.case_records(mixed_queue(spark, sf)))
+
+
+def _contexts_written(spark, sf):
+    return _written(spark, sf, "contexts", lambda: RV.context_records(_contexts(spark, sf)))
+
+
+def _drafts_written(spark, sf):
+    return _written(spark, sf, "drafts", lambda: _drafts(spark, sf))
+
+
 @register("sink_cases", None)
 def q_sink_cases(spark, sf):
-    path, df = _written(spark, sf, "cases", lambda: CA.case_records(mixed_queue(spark, sf)))
+    path, df, _ = _cases_written(spark, sf)
     return spark.read.schema(df.schema).json(path)
 
 
 @register("src_cases_json", None)
 def q_src_cases_json(spark, sf):
-    path, df = _written(spark, sf, "cases", lambda: CA.case_records(mixed_queue(spark, sf)))
+    path, df, _ = _cases_written(spark, sf)
     return FS.read_json_records(spark, path, df.schema)
 
 
 @register("sink_contexts", None)
 def q_sink_contexts(spark, sf):
-    path, df = _written(spark, sf, "contexts", lambda: RV.context_records(_contexts(spark, sf)))
+    path, df, _ = _contexts_written(spark, sf)
     return spark.read.schema(df.schema).json(path)
 
 
 @register("sink_drafts", None)
 def q_sink_drafts(spark, sf):
-    path, df = _written(spark, sf, "drafts", lambda: _drafts(spark, sf))
-    return spark.read.schema(df.schema).json(path)
+    path, _, _ = _drafts_written(spark, sf)
+    return FS.read_json_records(spark, path, DRAFT_RECORD)
 
 
 @register("sink_cases_flat", mixed_sql(
-    f"SELECT printf('ELL-%03d', draw) AS id, {_BAND} AS riskBand, in_degree AS inDegree, round(two_hop_risk_neighbor_share, 2) AS twoHopShare, "
+    f"SELECT printf('ELL-%03d', draw) AS id, {_BAND} AS riskBand, in_degree AS inDegree, {round_share_sql('two_hop_risk_neighbor_share')} AS twoHopShare, "
     + " + ".join(f"CAST({r}_hit AS INTEGER)" for r in C.SUPPORTED_RULE_IDS) + " AS n_rules FROM queue"))
 def q_sink_cases_flat(spark, sf):
     return q_sink_cases(spark, sf).select(
@@ -1146,17 +1236,59 @@ def q_sink_drafts_flat(spark, sf):
 
 @register("sink_queue", mixed_sql(f"SELECT {cols(SCORED_COLS)}, f_001, f_002, f_003, {cols(EXPOSURE_COLS)}, draw FROM queue"))
 def q_sink_queue(spark, sf):
-    path, df = _written(spark, sf, "queue", lambda: mixed_queue(spark, sf).select(
+    path, df, _ = _written(spark, sf, "queue", lambda: mixed_queue(spark, sf).select(
         *SCORED_COLS, "f_001", "f_002", "f_003", *EXPOSURE_COLS, "draw"))
     return spark.read.option("header", "true").schema(K.flatten_for_csv(df).schema).csv(path)
 
 
 @register("sink_counts", mixed_sql("SELECT count(*) AS cases, count(*) AS contexts, count(*) AS drafts FROM sample"))
 def q_sink_counts(spark, sf):
-    c = q_sink_cases(spark, sf).agg(F.count(F.lit(1)).alias("cases"))
-    x = q_sink_contexts(spark, sf).agg(F.count(F.lit(1))).scalar()
-    d = q_sink_drafts(spark, sf).agg(F.count(F.lit(1))).scalar()
-    return c.select("cases", x.alias("contexts"), d.alias("drafts"))
+    """K5: rows observed while the outputs are written."""
+    counts = {"cases": _cases_written(spark, sf)[2], "contexts": _contexts_written(spark, sf)[2], "drafts": _drafts_written(spark, sf)[2]}
+    return spark.range(1).select(*[F.lit(n).cast("long").alias(name) for name, n in counts.items()])
+
+
+@register("sink_drafts_extra", _wsql([_RESP], "SELECT q.id AS txId, CASE WHEN m = 1 THEN 'x' END AS summary_zh FROM queue q LEFT JOIN resp r USING (id)"))
+def q_sink_drafts_extra(spark, sf):
+    """A key that only a model's answer has, at top level of the written record."""
+    path, _, _ = _drafts_written(spark, sf)
+    return FS.read_json_records(spark, path, "txId long, summary_zh string")
+
+
+def _summary(spark, sf):
+    k = _key(spark, sf, "summary")
+    if k not in _memo:
+        g = graph(spark, sf)
+        comp, _ = G.connected_components(g.nodes.select("id"), g.edges)
+        cases = S.sample_merged(scored(spark, sf), ["risk_level"], [SEED, SEED + 1], C.PER_STRATUM)
+        record = SU.summary_record(g.nodes, g.edges, g.labels, G.component_summary(comp, g.nodes.select("id")), cases)
+        path = scratch_path(spark, "summary")
+        K.put_json(record, path)
+        _memo[k] = path
+    return _memo[k]
+
+
+_SUM_SQL = "WITH " + ",\n".join(D.ctes() + [f"mrg AS ({_MERGED_BODY})"]) + "\n" + (
+    "SELECT (SELECT count(*) FROM g_nodes) AS nodes, (SELECT count(*) FROM g_edges) AS edges, (SELECT count(DISTINCT time_step) FROM g_nodes) AS steps, "
+    "(SELECT min(time_step) FROM g_nodes) AS first_step, (SELECT max(time_step) FROM g_nodes) AS last_step, "
+    "(SELECT count(*) FROM metrics WHERE label_name = 'licit') AS licit, (SELECT count(*) FROM metrics WHERE label_name = 'unknown') AS unknown, "
+    "(SELECT count(*) FROM metrics WHERE label_name = 'illicit') AS illicit, "
+    "(SELECT round(2.0 * (SELECT count(*) FROM g_edges) / count(*), 4) FROM g_nodes) AS degree, (SELECT count(*) FROM mrg) AS cases, "
+    f"(SELECT count(*) FROM mrg WHERE {_BAND} = 'high') AS high, (SELECT count(*) FROM mrg JOIN metrics USING (id) WHERE label_name = 'unknown') AS unknown_cases")
+
+
+@register("sink_summary", _SUM_SQL)
+def q_sink_summary(spark, sf):
+    """The dataset summary written as one record and read back with its declared schema."""
+    r = FS.read_json_records(spark, _summary(spark, sf), DATASET_SUMMARY)
+    label = lambda x: F.col("labelDistribution")[x]
+    return r.select(
+        F.col("keyFactors.nodeCount").alias("nodes"), F.col("keyFactors.directedEdgeCount").alias("edges"), F.col("keyFactors.timeStepCount").alias("steps"),
+        F.col("keyFactors.timeStepRange")[0].alias("first_step"), F.col("keyFactors.timeStepRange")[1].alias("last_step"),
+        label("licit").alias("licit"), label("unknown").alias("unknown"), label("illicit").alias("illicit"),
+        F.col("graphSummary.averageDirectedDegreeApprox").alias("degree"), F.col("generatedDemoCaseSummary.maxDemoCases").alias("cases"),
+        F.col("generatedDemoCaseSummary.riskBandDistribution")["high"].alias("high"),
+        F.col("generatedDemoCaseSummary.demoLabelDistribution")["unknown"].alias("unknown_cases"))
 
 
 @register("pipeline_run", D.with_sql(" UNION ALL ".join(

@@ -8,6 +8,7 @@ all common table expressions; DuckDB only evaluates those a statement uses.
 from __future__ import annotations
 
 from riskgraph import config as C
+from riskgraph.functions.rounding import ratio_sql
 from riskgraph.operators.corpus import RETRIEVAL_RULES, keyword_vocabulary
 
 WS_CLASS = (
@@ -146,9 +147,9 @@ def ctes(mode: str = "published", skip: int = SKIP, batch: int = BATCH, sample:
         f"""exposure AS (
   SELECT n.id,
          coalesce(h1.n1, 0) AS one_hop_neighbor_count, coalesce(h1.r1, 0) AS one_hop_risky_count,
-         round(coalesce(h1.r1, 0) / greatest(coalesce(h1.n1, 0), 1), 4) AS one_hop_risk_neighbor_share,
+         {ratio_sql("coalesce(h1.r1, 0)", "greatest(coalesce(h1.n1, 0), 1)", 4)} AS one_hop_risk_neighbor_share,
          coalesce(h2.n2, 0) AS two_hop_neighbor_count, coalesce(h2.r2, 0) AS two_hop_risky_count,
-         round(coalesce(h2.r2, 0) / greatest(coalesce(h2.n2, 0), 1), 4) AS two_hop_risk_neighbor_share,
+         {ratio_sql("coalesce(h2.r2, 0)", "greatest(coalesce(h2.n2, 0), 1)", 4)} AS two_hop_risk_neighbor_share,
          CASE WHEN coalesce(h1.r1, 0) > 0 THEN {q(C.DISTANCE_1)} WHEN coalesce(h2.r2, 0) > 0 THEN {q(C.DISTANCE_2)}
               ELSE {q(C.DISTANCE_NONE)} END AS distance_to_known_illicit_cluster
   FROM g_nodes n LEFT JOIN hop1 h1 ON h1.a = n.id LEFT JOIN hop2 h2 ON h2.a = n.id)""",
@@ -163,9 +164,9 @@ def ctes(mode: str = "published", skip: int = SKIP, batch: int = BATCH, sample:
         f"""s_exposure AS (
   SELECT s.id,
          coalesce(h1.n1, 0) AS one_hop_neighbor_count, coalesce(h1.r1, 0) AS one_hop_risky_count,
-         round(coalesce(h1.r1, 0) / greatest(coalesce(h1.n1, 0), 1), 4) AS one_hop_risk_neighbor_share,
+         {ratio_sql("coalesce(h1.r1, 0)", "greatest(coalesce(h1.n1, 0), 1)", 4)} AS one_hop_risk_neighbor_share,
          coalesce(h2.n2, 0) AS two_hop_neighbor_count, coalesce(h2.r2, 0) AS two_hop_risky_count,
-         round(coalesce(h2.r2, 0) / greatest(coalesce(h2.n2, 0), 1), 4) AS two_hop_risk_neighbor_share,
+         {ratio_sql("coalesce(h2.r2, 0)", "greatest(coalesce(h2.n2, 0), 1)", 4)} AS two_hop_risk_neighbor_share,
          CASE WHEN coalesce(h1.r1, 0) > 0 THEN {q(C.DISTANCE_1)} WHEN coalesce(h2.r2, 0) > 0 THEN {q(C.DISTANCE_2)}
               ELSE {q(C.DISTANCE_NONE)} END AS distance_to_known_illicit_cluster
   FROM sample s LEFT JOIN s_hop1 h1 ON h1.a = s.id LEFT JOIN s_hop2 h2 ON h2.a = s.id)""",

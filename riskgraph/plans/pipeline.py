@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from riskgraph.operators.metrics import node_metrics
 from riskgraph.operators.profile import assign_segments
-from riskgraph.operators.rules import apply_weights, evaluate_rules, score_and_level
+from riskgraph.operators.rules import apply_weights, evaluate_rules, score_and_level, score_rule_table
 from riskgraph.operators.thresholds import join_thresholds, threshold_wide
 from riskgraph.session import materialize
 from riskgraph.sources.tables import GraphInputs
@@ -19,6 +19,8 @@ from riskgraph.sources.tables import GraphInputs
 class ScoreOptions:
     weights: str = "published"      # or "literal"
     materialize: bool = True        # write node metrics once (shared checkpoint dir)
+    rules: DataFrame | None = None          # own rules: (rule_id, predicate), scored with
+    rule_weights: DataFrame | None = None   # (primary_segment, rule_id, weight)
 
 
 def materialized(df: DataFrame, opts: ScoreOptions) -> DataFrame:
@@ -40,10 +42,15 @@ def segmented_nodes(g: GraphInputs, opts: ScoreOptions = ScoreOptions()) -> Data
 
 
 def scored_nodes(g: GraphInputs, opts: ScoreOptions = ScoreOptions()) -> DataFrame:
-    """Metrics -> segment -> peer thresholds -> rules -> weights -> score -> level."""
+    """Metrics -> segment -> peer thresholds -> rules -> weights -> score -> level.
+
+    With a rule table of the caller's own, hits and scores are in ``rule_hits`` instead of one column per rule.
+    """
     seg = segmented_nodes(g, opts)
     wide = threshold_wide(seg)
     df = join_thresholds(seg, wide)
+    if opts.rules is not None:
+        return score_rule_table(df, opts.rules, opts.rule_weights)
     df = evaluate_rules(df)
     df = apply_weights(df, opts.weights)
     df = score_and_level(df)
@@ -123,21 +130,19 @@ def run(spark, data_dir: str, pages: DataFrame, out_dir: str, opts: RunOptions =
     contexts = materialize(RV.review_contexts(queue, retrieved), "contexts")
     cases = CA.case_records(queue)
     out = out_dir.rstrip("/")
-    requests = sinks.write_json(RV.draft_requests(contexts), f"{out}/draft_requests")
+    requests = f"{out}/draft_requests"
+    written = {"requests": (requests, sinks.put_json(RV.draft_requests(contexts), requests))}
     if callable(responses):
         responses = responses(spark.read.json(requests))
     drafts = RV.fallback_drafts(contexts) if responses is None else RV.merge_drafts(contexts, responses)
     # internal join keys and helper columns are not written (case records show only the masked id)
-    written = {
-        "cases": sinks.write_json(cases.drop("txId"), f"{out}/aml_demo_cases"),
-        "contexts": sinks.write_json(RV.context_records(contexts), f"{out}/rag_contexts", null_fields=False),
-        "requests": requests,
-        "drafts": sinks.write_json(drafts.drop("id"), f"{out}/review_drafts"),
-        "queue": sinks.write_csv(queue, f"{out}/human_review_queue"),
-    }
-    rows = []
-    for name, path in written.items():
-        reader = spark.read.option("header", "true").csv(path) if name == "queue" else spark.read.json(path)
-        rows.append((name, path, reader.count()))
-    return spark.createDataFrame(rows, "output string, path string, rows long").withColumn(
-        "rows", F.col("rows").cast("long"))
+    for name, folder, write, frame in (
+        ("cases", "aml_demo_cases", sinks.put_json, cases.drop("txId")),
+        ("contexts", "rag_contexts", sinks.put_contexts, RV.context_records(contexts)),
+        ("drafts", "review_drafts", sinks.put_drafts, drafts),
+        ("queue", "human_review_queue", sinks.put_csv, queue),
+    ):
+        written[name] = (f"{out}/{folder}", write(frame, f"{out}/{folder}"))
+    # rows were counted while they were written
+    rows = [(name, path, count) for name, (path, count) in written.items()]
+    return spark.createDataFrame(rows, "output string, path string, rows long")

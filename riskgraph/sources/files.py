@@ -64,6 +64,6 @@ def read_nodes(spark: SparkSession, path: str, n_features: int = 165) -> DataFra
     return spark.read.option("header", "false").schema(feature_schema(n_features)).csv(path)
 
 
-def read_json_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON Lines records read back with a declared schema."""
     return spark.read.schema(schema).json(path)

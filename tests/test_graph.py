@@ -83,28 +83,28 @@ def _exp_rows(df):
                    r.two_hop_risky_count, r.distance_to_known_illicit_cluster) for r in df.collect())
 
 
-def test_hub_blocks_equal_enumeration_fixture(fixture_graph):
+def test_hub_bitmaps_equal_enumeration_fixture(fixture_graph):
     g = fixture_graph
     adj = G.adjacency(g.edges)
     risky = G.risky_nodes(g.nodes, g.labels)
     ref = _exp_rows(G.exposure(g.nodes.select("id"), adj, risky))
     for theta in (0, 1, 2, 3, 100):
-        assert _exp_rows(G.exposure(g.nodes.select("id"), adj, risky, heavy_degree=theta)) == ref, theta
+        assert _exp_rows(G.exposure(g.nodes.select("id"), adj, risky, hub_limit=theta)) == ref, theta
 
 
-def test_hub_blocks_equal_enumeration_tables(spark):
+def test_hub_bitmaps_equal_enumeration_tables(spark):
     from riskgraph.sources.tables import load_graph
 
     g = load_graph(spark, "/root/testdata/sf0.001")
     adj = G.adjacency(g.edges)
     risky = G.risky_nodes(g.nodes, g.labels)
-    # add a hub joined to every tenth node so that blocks overlap light wedges
+    # add a hub joined to every tenth node so that bitmaps overlap light wedges
     hub_edges = g.nodes.where("id % 10 = 0").select(F.lit(999999999).cast("long").alias("src"), F.col("id").alias("dst"))
     adj2 = G.adjacency(g.edges.unionByName(hub_edges))
     ref = _exp_rows(G.exposure(g.nodes.select("id"), adj2, risky))
     for theta in (8, 12):
-        assert _exp_rows(G.exposure(g.nodes.select("id"), adj2, risky, heavy_degree=theta)) == ref, theta
-    assert _exp_rows(G.exposure(g.nodes.select("id"), adj, risky, heavy_degree=10)) == _exp_rows(
+        assert _exp_rows(G.exposure(g.nodes.select("id"), adj2, risky, hub_limit=theta)) == ref, theta
+    assert _exp_rows(G.exposure(g.nodes.select("id"), adj, risky, hub_limit=10)) == _exp_rows(
         G.exposure(g.nodes.select("id"), adj, risky))
 
 
@@ -135,7 +135,7 @@ def test_hub_with_most_edges(spark):
         plan2 = probe2._jdf.queryExecution().executedPlan().toString()
         comp, _ = G.connected_components(nodes, edges)
         sizes = sorted(r["count"] for r in comp.groupBy("component").count().collect())
-        got = _exp_rows(G.exposure(nodes, G.adjacency(edges), risky, heavy_degree=10))
+        got = _exp_rows(G.exposure(nodes, G.adjacency(edges), risky, hub_limit=10))
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -152,3 +152,30 @@ def test_hub_with_most_edges(spark):
         r1, r2 = len(one & bad), len(two & bad)
         want.append((a, len(one), r1, len(two), r2))
     assert [r[:5] for r in got] == sorted(want)
+
+
+def test_own_hub_set_for_every_node(spark):
+    """Each node has its own set of hubs: the cost stays in (set, hub, bucket) rows, and counts equal enumeration."""
+    hubs, n = 12, 3000
+    member = F.expr(f"filter(sequence(0, {hubs - 1}), h -> (shiftright(id + 1, cast(h as int)) & 1) = 1)")
+    edges = spark.range(n).select((F.col("id") + 100).alias("src"), F.explode(member).cast("long").alias("dst"))
+    edges = edges.unionByName(spark.range(n - 1).where("id % 3 = 0").select((F.col("id") + 100).alias("src"), (F.col("id") + 101).alias("dst")))
+    nodes = spark.range(hubs).unionByName(spark.range(100, 100 + n)).select("id")
+    risky = nodes.where("id % 7 = 0")
+    adj = G.adjacency(edges)
+    ref = _exp_rows(G.exposure(nodes, adj, risky))
+    assert _exp_rows(G.exposure(nodes, adj, risky, hub_limit=50)) == ref
+    flagged = G.materialize(adj.withColumn("rb", F.lit(0)))
+    sets, unions, nums = G.hub_unions(flagged, spark.range(hubs).select(F.col("id").alias("hub")))
+    held = sets.select(*G.SET).distinct().count()
+    assert held > n // 2 and unions.count() == held  # one bucket of 32,768 nodes
+    got = nums.agg(F.min("num"), F.max("num"), F.count_distinct("num")).first()
+    assert tuple(got) == (1, n + hubs, n + hubs)
+
+
+def test_one_hop_alone(fixture_graph):
+    g = fixture_graph
+    args = (g.nodes.select("id"), G.adjacency(g.edges), G.risky_nodes(g.nodes, g.labels))
+    both = G.exposure(*args)
+    one = G.one_hop_exposure(*args)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, both.select(*one.columns).collect()))
