@@ -12,10 +12,11 @@
    under the threshold.  What is left is verified on the full shingle sets.
 4. Pivots first: each bucket's node of largest bucket mass (a centre of its copies) is compared with the other
    members, one row per member.  Verified links give classes.
-5. Then, in buckets that still hold several classes, every node tries its most likely partners of other classes, the
-   best first, a few more each round, until none is left.  Sketches of one bucket meet in chunk pairs of bounded size,
-   each pair in the first band it shares; only tried pairs become rows.  A pair is left out only once both ends are
-   in one class, so classes are exactly the components of the verified links.
+5. Then buckets that still hold several classes are dealt into chunks of bounded size (nodes and shingles), and every
+   pair of chunks is one small group of rows with sketches and sets.  There each pair of different classes is judged, in
+   the first band it shares, and what stays credible is verified on the spot, the most likely first; a pair is left out
+   only if both ends are linked already.  No row per pair is made: a spanning forest of the links leaves the group, so
+   classes are exactly the components of the verified links.
 
 Result per document: n_shingles, component_id (smallest doc_id that links reach, itself included) and kept
 (doc_id equals component_id).
@@ -28,10 +29,12 @@ columns, whatever their names, are not carried.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.llm.components import components
@@ -44,10 +47,9 @@ BANDS, ROWS = 28, 6
 REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, 65534  # b, a and q of the sketch: 16-bit registers
 TOLERANCE = 1e-7
-CHUNK = 512
+CHUNK_NODES, CHUNK_SHINGLES = 256, 1 << 20
+PACK_NODES, PACK_SHINGLES = 2048, 1 << 21  # small buckets that one group of rows holds
 BLOCK = 1 << 15
-PACK_ROWS = 4096
-FIRST_TRIES, MORE = 2, 4
 NO_ID = 2**63 - 1  # stands for null; larger than any id
 
 
@@ -179,12 +181,16 @@ def pivot_pairs(members: DataFrame, nodes: DataFrame, threshold: tuple[int, int]
     return out
 
 
+def texts_of(needed: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, text) of the needed nodes: one document brings the text; rows that repeat it are dropped."""
+    named = nodes.join(needed, "node").select("node", F.col("rep").alias("id"), "text_key")
+    return rows.join(named, ["id", "text_key"]).select("node", "text").dropDuplicates(["node"])
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """The pairs (x, y) whose full shingle sets reach the threshold."""
     needed = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    # one document brings the node's text; rows that repeat it are dropped
-    named = nodes.join(needed, "node").select("node", F.col("rep").alias("id"), "text_key")
-    texts = written(rows.join(named, ["id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "pair_texts")
+    texts = written(texts_of(needed, nodes, rows), "pair_texts")
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
 
     def run(batches):
@@ -226,12 +232,12 @@ def _pairs_of(chunk: np.ndarray, bounds: np.ndarray, one: int, two: int) -> tupl
     return np.concatenate(i), np.concatenate(j)
 
 
-def _candidates(threshold: tuple[int, int], tries: int):
+def _compare(threshold: tuple[int, int]):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """The next ``tries`` partners of each node, from one pair of chunks of each of some buckets."""
+        """Spanning forest of the links between classes, from one pair of chunks of each of some buckets."""
         rows = rows.sort_values(["band", "node"], ignore_index=True)
-        band, node, label, n, last, last_partner = (rows[c].to_numpy() for c in ("band", "node", "label", "n", "last", "last_partner"))
-        values = _sketches(rows["sketch"])
+        band, node, label, n = (rows[c].to_numpy() for c in ("band", "node", "label", "n"))
+        values, raw = _sketches(rows["sketch"]), rows["set"].tolist()
         keys = band_keys(values)
         earlier = np.cumsum(keys == band[:, None], axis=1) == 0  # bands before the one of this row
         bounds = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1], [True]]))
@@ -244,40 +250,55 @@ def _candidates(threshold: tuple[int, int], tries: int):
             first = ~((keys[a] == keys[b]) & earlier[a]).any(axis=1)  # a pair counts in the first band it shares
             a, b = a[first], b[first]
             likely, keep = judge_pairs(n[a], n[b], (values[a] > values[b]).sum(1), (values[a] < values[b]).sum(1), threshold)
-            a, b, likely = a[keep], b[keep], likely[keep]
-            for x, y in ((a, b), (b, a)):
-                new = (likely < last[x]) | ((likely == last[x]) & (node[y] > last_partner[x]))
-                found.append(pd.DataFrame({"node": node[x[new]], "partner": node[y[new]], "likely": likely[new]}))
-        if not found:
-            return pd.DataFrame({"node": [], "partner": [], "likely": []})
-        pairs = pd.concat(found).sort_values(["node", "likely", "partner"], ascending=[True, False, True])
-        return pairs.groupby("node").head(tries)
+            found.append((a[keep], b[keep], likely[keep]))
+        a, b, likely = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        forest = []
+        own = lru_cache(maxsize=2 * CHUNK_NODES)(lambda k: np.frombuffer(raw[k], np.uint64))
+        for k in np.argsort(-likely, kind="stable").tolist():
+            x, y = int(a[k]), int(b[k])
+            one, two = root(int(label[x])), root(int(label[y]))
+            if one != two and linked(own(x), own(y), threshold):
+                parent[one] = two
+                forest.append((node[x], node[y]))
+        return pd.DataFrame(forest, columns=["x", "y"], dtype="int64")
 
     return run
 
 
-def next_tries(members: DataFrame, nodes: DataFrame, labels: DataFrame, cursors: DataFrame | None, tries: int,
-               threshold: tuple[int, int]) -> DataFrame:
-    """(node, partner, likely): for every node its next most likely partners of other classes, best first."""
-    classed = members.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    mixed = written(classed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows"))
-                    .where("low != high").select("band", F.ceil(F.col("rows") / CHUNK).cast("int").alias("k")), "mixed_buckets")
-    open_rows = classed.join(mixed, "band").join(nodes.select("node", "n", "sketch"), "node")
-    if cursors is None:
-        open_rows = open_rows.withColumns({"last": F.lit(2.0), "last_partner": F.lit(0).cast("long")})
-    else:
-        open_rows = open_rows.join(cursors, "node", "left").fillna({"last": 2.0, "last_partner": 0})
-    packs = max(1, classed.join(mixed, "band").count() // PACK_ROWS)
-    small = F.col("k") == 1
-    dealt = open_rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+def links_between(members: DataFrame, nodes: DataFrame, rows: DataFrame, labels: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(x, y): links that join the classes ``labels`` (node, label), found inside the buckets that hold several of them."""
+    classed = members.select("band", "node").join(labels, "node", "left").join(nodes.select("node", "n"), "node").select(
+        "band", "node", F.coalesce("label", "node").alias("label"), "n")
+    mixed = classed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("size"))
+    chunks = F.ceil(F.greatest(F.col("rows") / CHUNK_NODES, F.col("size") / CHUNK_SHINGLES)).cast("int")
+    mixed = written(mixed.where("low != high").select("band", "rows", "size", chunks.alias("k")), "mixed_buckets")
+    total = mixed.agg(F.sum("rows").alias("rows"), F.sum("size").alias("size")).first()
+    packs = max(1, (total["rows"] or 0) // PACK_NODES, (total["size"] or 0) // PACK_SHINGLES)
+    rest = written(classed.join(mixed.select("band", "k"), "band"), "mixed_members")
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, len(b), 256):
+                part = b.slice(i, 256)
+                own = [x.tobytes() for x in sets(part.column(1).to_pylist(), WORDS, fold=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], names=["node", "set"])
+
+    full = texts_of(rest.select("node").distinct(), nodes, rows).mapInArrow(run, "node long, set binary")
+    full = written(full.join(nodes.select("node", "sketch"), "node"), "open_sets")
+    dealt = rest.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(F.least("chunk", x).alias("one"), F.greatest("chunk", x).alias("two")))
     blocks = dealt.withColumn("pair", F.explode(others)).select(
-        F.when(small, F.pmod(F.xxhash64("band"), F.lit(packs))).otherwise(F.col("band")).alias("pack"),
-        F.col("pair.one").alias("one"), F.col("pair.two").alias("two"), "band", "chunk", "node", "label", "n", "sketch", "last", "last_partner")
-    found = blocks.groupBy("pack", "one", "two").applyInPandas(_candidates(threshold, tries), "node long, partner long, likely double")
-    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("likely"), "partner")))
-    out = written(ranked.where(F.col("r") <= tries).drop("r"), "tries")
-    discard(mixed)
+        F.when(F.col("k") == 1, F.pmod(F.xxhash64("band"), F.lit(packs))).otherwise(F.col("band")).alias("pack"),
+        F.col("pair.one").alias("one"), F.col("pair.two").alias("two"), "band", "chunk", "node", "label", "n")
+    out = written(blocks.join(full, "node").groupBy("pack", "one", "two").applyInPandas(_compare(threshold), "x long, y long"), "links")
+    discard(mixed, rest, full)
     return out
 
 
@@ -286,25 +307,11 @@ def classes(nodes: DataFrame, rows: DataFrame, threshold: tuple[int, int]) -> Da
     members = buckets(nodes)
     pairs = pivot_pairs(members, nodes, threshold)
     links = verified(pairs, nodes, rows, threshold)
-    discard(pairs)
     labels = components(links, "x", "y")
-    cursors, tries = None, FIRST_TRIES
-    while True:
-        tried = next_tries(members, nodes, labels.select("node", "label"), cursors, tries, threshold)
-        if tried.isEmpty():
-            break
-        pairs = written(tried.select(F.least("node", "partner").alias("x"), F.greatest("node", "partner").alias("y")).distinct(), "tried_pairs")
-        more = verified(pairs, nodes, rows, threshold)
-        both = written(links.unionByName(more), "links")
-        reached = tried.groupBy("node").agg(F.max(F.struct((-F.col("likely")).alias("down"), "partner")).alias("at")).select(
-            "node", (-F.col("at.down")).alias("last"), F.col("at.partner").alias("last_partner"))
-        if cursors is not None:
-            reached = cursors.join(reached.select("node", F.lit(True).alias("newer")), "node", "left").where("newer IS NULL").drop("newer").unionByName(reached)
-        reached = written(reached, "cursors")
-        discard(tried, pairs, more, links, labels, *([cursors] if cursors is not None else []))
-        links, cursors, tries = both, reached, tries * MORE
-        labels = components(links, "x", "y")
-    discard(tried, members, links, *([cursors] if cursors is not None else []))
+    more = links_between(members, nodes, rows, labels.select("node", "label"), threshold)
+    discard(members, pairs, labels)
+    labels = components(links.unionByName(more), "x", "y")
+    discard(links, more)
     return labels
 
 

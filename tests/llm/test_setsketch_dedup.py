@@ -76,7 +76,7 @@ def variants(n, words=90, seed=5):
 
 def test_groups_about_the_threshold(spark, monkeypatch):
     """Many near copies whose links to the centre and to each other hold or fail narrowly, in several chunks."""
-    monkeypatch.setattr(S, "CHUNK", 16)
+    monkeypatch.setattr(S, "CHUNK_NODES", 16)
     docs = variants(120) + [(1000 + i, t) for i, t in variants(40, 40, 7)]
     frame = spark.createDataFrame([(i, t, "en", "s", 1, "k", 1, "l", 1, 1, 1) for i, t in docs], DOC_SCHEMA)
     assert got(S.dedup(frame)) == brute(docs)
