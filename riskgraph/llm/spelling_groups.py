@@ -8,7 +8,11 @@
 3. Level by level, states (word, position, node, edits) are joined with the edges of that level.  Without an edit a state
    follows its own word; where a child's piece differs from the word's own, a replaced, an extra or a missing code point
    gives states with one edit, which from there on follow exact pieces only.  An edit is placed at the first piece
-   that differs, so every neighbour is reached once.  States with one edit that end in a word are its neighbours.
+   that differs.  States with one edit that end in a word are its neighbours.
+   This runs twice, over the words and over the reversed words, each time with edits in the second half of a word only:
+   an edit in the first half is one in the second half read backwards, and deep nodes have few children where the
+   root has the whole alphabet.  Edges know the lengths of the words below them and the code points that follow (as bits),
+   so a state that cannot end in a word is dropped where it would begin.
    Levels end when no two words share a prefix of that depth and no state is left.
    Every level's frontier is a written table: lineage ends there, and a lost executor repeats one level.
 4. A word's form is its neighbour of largest count if that is at least twice the word's; roots follow forms by pointer
@@ -33,7 +37,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_LENGTH, MIN_COUNT = 5, 3
 FAULT_EVERY = 97
 SINGLE_LEVELS = 24  # levels of one code point; below, pieces double
-SMALL_LEVELS = 2  # levels whose edges are at most 90 + 90 * 90, the alphabet's size
 
 
 def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,57 +63,79 @@ def _piece(text: str, start: Column | int, size: Column | int) -> Column:
     return F.substring(F.col(text), lit(start) + 1, lit(size))
 
 
+def _bit(place: str) -> str:
+    return f"shiftleft(1L, cast({place} as int))"
+
+
+def _has(bits: str, place: str) -> str:
+    return f"(shiftright({bits}, cast({place} as int)) & 1) = 1"
+
+
 def edges(words: DataFrame, depth: int) -> DataFrame:
-    """(node, piece, ends, words): the trie's edges below the prefixes of ``depth`` code points; ends tells whether the child
-    is a word, words how many words lie at or below it."""
+    """(node, piece, ends, words, lengths, follows): the trie's edges below the prefixes of ``depth`` code points; ends tells
+    whether the child is a word, words how many lie at or below it, lengths which lengths they have and follows which
+    code points come after the child (bits of 64 classes)."""
     size = level(depth)
+    after = f"substring(word, {depth + size + 1}, 1)"
     own = words.where(F.char_length("word") > depth).select(
-        _piece("word", 0, depth).alias("node"), _piece("word", depth, size).alias("piece"), (F.char_length("word") <= depth + size).alias("ends"))
-    return own.groupBy("node", "piece").agg(F.max("ends").alias("ends"), F.count(F.lit(1)).alias("words"))
+        _piece("word", 0, depth).alias("node"), _piece("word", depth, size).alias("piece"), (F.char_length("word") <= depth + size).alias("ends"),
+        F.expr(_bit("least(char_length(word), 63)")).alias("length"), F.expr(f"if({after} = '', 0L, {_bit(f'ascii({after}) % 64')})").alias("follow"))
+    return own.groupBy("node", "piece").agg(F.max("ends").alias("ends"), F.count(F.lit(1)).alias("words"),
+                                            F.bit_or("length").alias("lengths"), F.bit_or("follow").alias("follows"))
+
+
+def _alive(pos: str) -> Column:
+    """Whether the state at ``pos`` of its word and at the child of an edge can end in a word: a word of the length it
+    needs lies at or below the child, and either both are at their end or the word's next code point may follow."""
+    after = f"substring(word, {pos} + 1, 1)"
+    length = f"least(char_length(word) - ({pos}) + char_length(node) + char_length(piece), 63)"
+    return F.expr(f"{_has('lengths', length)} AND (char_length(word) = {pos} AND ends OR {after} != '' AND {_has('follows', f'ascii({after}) % 64')})")
 
 
 def _spawned(words: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
     """States with one edit that leave their word's own path at this depth."""
     size = level(depth)
-    own = words.where(F.char_length("word") >= depth).select("word", _piece("word", 0, depth).alias("node"))
+    length = F.char_length("word")
+    own = words.where((length >= depth) & (F.floor(length / 2) < depth + size)).select("word", _piece("word", 0, depth).alias("node"))
     met = own.join(steps, "node")
     n = F.char_length("piece")
-    left = F.char_length("word") - depth
-    differs = F.col("piece") != _piece("word", depth, n)
     kinds = []
     for extra in (0, -1, 1):  # replaced, extra in the neighbour, missing in the neighbour
         piece = _piece("word", depth, n + extra)
-        fits = (left >= n + extra) & (F.levenshtein(F.col("piece"), piece, 1) == 1)
-        kinds.append(F.when(fits, F.struct((F.lit(depth) + n + extra).alias("pos"))))
-    states = met.where(differs).select("word", "node", "piece", "ends", F.explode(F.array_compact(F.array(*kinds))).alias("s"))
-    return states.select("word", F.col("s.pos").alias("pos"), F.concat("node", "piece").alias("node"), "ends")
+        if size == 1:  # one code point: another one, one against none, or the second of two
+            one = F.col("piece") == _piece("word", depth + 1, 1) if extra == 1 else F.lit(True)
+        else:
+            one = F.levenshtein(F.col("piece"), piece, 1) == 1
+        fits = (length >= depth + n + extra) & one & _alive(f"({depth} + char_length(piece) + {extra})")
+        kinds.append(F.when(fits, F.lit(depth) + n + extra))
+    states = met.where(F.col("piece") != _piece("word", depth, n)).select(
+        "word", F.concat("node", "piece").alias("node"), "ends", F.explode(F.array_compact(F.array(*kinds))).alias("pos"))
+    return states.select("word", "pos", "node", "ends")
 
 
 def _followed(frontier: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
     """States with one edit, one exact piece further."""
     ahead = frontier.select("word", "pos", "node", _piece("word", F.col("pos"), level(depth)).alias("piece")).where("piece != ''")
-    return ahead.join(steps, ["node", "piece"]).select(
-        "word", (F.col("pos") + F.char_length("piece")).alias("pos"), F.concat("node", "piece").alias("node"), "ends")
+    met = ahead.join(steps, ["node", "piece"]).where(_alive("(pos + char_length(piece))"))
+    return met.select("word", (F.col("pos") + F.char_length("piece")).alias("pos"), F.concat("node", "piece").alias("node"), "ends")
 
 
-def neighbours(words: DataFrame) -> DataFrame:
-    """(word, near), both ways, for words that differ by exactly one inserted, deleted or replaced code point.
-    ``words`` is a written table."""
-    longest = words.agg(F.max(F.char_length("word"))).first()[0] or 0
+def _second_half(words: DataFrame) -> DataFrame:
+    """(word, near) of words that differ in the second half of ``word``; ``words`` is a written table."""
+    lengths = words.agg(F.min(F.char_length("word")), F.max(F.char_length("word"))).first()
+    depth, longest = (lengths[0] or 0) // 2, lengths[1] or 0
     shorter = words.select(F.col("word").alias("near")).join(
         words.select("word", F.expr("substring(word, 1, char_length(word) - 1)").alias("near")), "near").select("word", "near")
-    found, frontier, depth, branching = [written(shorter, "near")], None, 0, True
+    found, frontier, branching = [written(shorter, "near")], None, True
     while depth < longest and (branching or frontier is not None):
         steps = written(edges(words, depth), "trie")
-        # at most one edge per letter and prefix of this length
-        step = F.broadcast(steps) if depth < SMALL_LEVELS else steps
         states = []
         if branching:
-            states.append(_spawned(words, step, depth))
+            states.append(_spawned(words, steps, depth))
             branching = not steps.where("words > 1").isEmpty()
         if frontier is not None:
-            states.append(_followed(frontier, step, depth))
-        reached = written(reduce(DataFrame.unionByName, states).where("pos < char_length(word) OR ends"), "frontier")
+            states.append(_followed(frontier, steps, depth))
+        reached = written(reduce(DataFrame.unionByName, states), "frontier")
         discard(steps)
         found.append(reached)
         frontier = reached.where("pos < char_length(word)")
@@ -124,6 +149,18 @@ def neighbours(words: DataFrame) -> DataFrame:
     return out
 
 
+def neighbours(words: DataFrame) -> DataFrame:
+    """(word, near), both ways, for words that differ by exactly one inserted, deleted or replaced code point.
+    ``words`` is a written table."""
+    last = _second_half(words)
+    backwards = written(words.select(F.reverse("word").alias("word")), "reversed_words")
+    first = _second_half(backwards)
+    # an edit inside a run of one code point may lie in either half
+    out = written(last.unionByName(first.select(F.reverse("word").alias("word"), F.reverse("near").alias("near"))).distinct(), "near")
+    discard(last, backwards, first)
+    return out
+
+
 def roots(forms: DataFrame) -> DataFrame:
     """(word, root) of words that have a form; ``forms``: (word, form), acyclic."""
     pointer = written(forms.select("word", F.col("form").alias("root")), "roots")
