@@ -3,18 +3,20 @@
 1. Runs of letters (A-Z, a-z, U+00C0 to U+00FF) of whole texts, A-Z lower-cased; a run whose CRC-32 of
    ``<doc_id>:<run>`` is divisible by 97 loses the code point at CRC modulo its length.  Words are the distinct
    results of at least 5 code points that occur at least 3 times; counts are summed before the shuffle.
-2. The trie of all words is a table of edges (node, piece, child), a node being the prefix it stands for.  A level
-   reads one code point; below depth 24 the pieces double in length, so very long words take few levels.
+2. The trie of all words and of all reversed words is a table of edges (side, depth, node, piece), a node being the prefix it
+   stands for, partitioned by depth.  A level reads one code point; below depth 8 the pieces grow with the depth, so
+   very long words take few levels.  An edge to a node with one word below is a leaf: it reads the rest of that word.
 3. Level by level, states (word, position, node, edits) are joined with the edges of that level.  Without an edit a state
    follows its own word; where a child's piece differs from the word's own, a replaced, an extra or a missing code point
    gives states with one edit, which from there on follow exact pieces only.  An edit is placed at the first piece
-   that differs.  States with one edit that end in a word are its neighbours.
-   This runs twice, over the words and over the reversed words, each time with edits in the second half of a word only:
-   an edit in the first half is one in the second half read backwards, and deep nodes have few children where the
-   root has the whole alphabet.  Edges know the lengths of the words below them and the code points that follow (as bits),
-   so a state that cannot end in a word is dropped where it would begin.
-   Levels end when no two words share a prefix of that depth and no state is left.
-   Every level's frontier is a written table: lineage ends there, and a lost executor repeats one level.
+   that differs.  States with one edit that end in a word are its neighbours; at a leaf that is the lookup of a whole word.
+   Edits are placed in the second half of a word only, on both sides: an edit in the first half is one in the second half
+   read backwards, and deep nodes have few children where the root has the whole alphabet.  States without an edit need no
+   frontier, since their node is a prefix of their word: all of them meet the edges in one join.  Edges know the lengths
+   of the words below them and the code points that follow (as bits), so a state that cannot end in a word is dropped
+   where it would begin.
+   Levels end when no state is open.  Every level is one job that writes its frontier and counts its open states on the
+   way: lineage ends there, and a lost executor repeats one level.
 4. A word's form is its neighbour of largest count if that is at least twice the word's; roots follow forms by pointer
    doubling (counts at least double along a chain, so it has at most 63 steps).
 
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from riskgraph.llm.tables import discard, written
@@ -36,7 +38,7 @@ LETTERS = "[a-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_LENGTH, MIN_COUNT = 5, 3
 FAULT_EVERY = 97
-SINGLE_LEVELS = 24  # levels of one code point; below, pieces double
+SINGLE_LEVELS = 8  # levels of one code point; below, pieces grow
 
 
 def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,6 +60,15 @@ def level(depth: int) -> int:
     return 1 if depth < SINGLE_LEVELS else 1 << ((depth // SINGLE_LEVELS).bit_length())
 
 
+def levels(shortest: int, longest: int) -> list[tuple[int, int]]:
+    """(depth, code points) of every level, from the middle of the shortest word on: a few for each doubling of the length."""
+    out, depth = [], shortest // 2
+    while depth < longest:
+        out.append((depth, level(depth)))
+        depth += level(depth)
+    return out
+
+
 def _piece(text: str, start: Column | int, size: Column | int) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.substring(F.col(text), lit(start) + 1, lit(size))
@@ -71,17 +82,25 @@ def _has(bits: str, place: str) -> str:
     return f"(shiftright({bits}, cast({place} as int)) & 1) = 1"
 
 
-def edges(words: DataFrame, depth: int) -> DataFrame:
-    """(node, piece, ends, words, lengths, follows): the trie's edges below the prefixes of ``depth`` code points; ends tells
-    whether the child is a word, words how many lie at or below it, lengths which lengths they have and follows which
-    code points come after the child (bits of 64 classes)."""
-    size = level(depth)
-    after = f"substring(word, {depth + size + 1}, 1)"
-    own = words.where(F.char_length("word") > depth).select(
-        _piece("word", 0, depth).alias("node"), _piece("word", depth, size).alias("piece"), (F.char_length("word") <= depth + size).alias("ends"),
+def _at_levels(sides: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """Every word (side, word) at every level: depth, size and the node that is its prefix there."""
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.lit(s).alias("size")) for d, s in steps]))
+    return sides.select("side", "word", each.alias("step")).select(
+        "side", "word", "step.depth", "step.size", _piece("word", 0, F.col("step.depth")).alias("node"))
+
+
+def edges(sides: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """(side, depth, node, piece, ends, leaf, lengths, follows): ends tells whether the child is a word, leaf whether one word
+    only lies at or below it, lengths which lengths the words there have and follows which code points come after the child
+    (bits of 64 classes)."""
+    length = F.char_length("word")
+    own = _at_levels(sides, steps).where(length > F.col("depth"))
+    after = "substring(word, depth + size + 1, 1)"
+    own = own.select(
+        "side", "depth", "node", _piece("word", F.col("depth"), F.col("size")).alias("piece"), (length <= F.col("depth") + F.col("size")).alias("ends"),
         F.expr(_bit("least(char_length(word), 63)")).alias("length"), F.expr(f"if({after} = '', 0L, {_bit(f'ascii({after}) % 64')})").alias("follow"))
-    return own.groupBy("node", "piece").agg(F.max("ends").alias("ends"), F.count(F.lit(1)).alias("words"),
-                                            F.bit_or("length").alias("lengths"), F.bit_or("follow").alias("follows"))
+    return own.groupBy("side", "depth", "node", "piece").agg(
+        F.max("ends").alias("ends"), (F.count(F.lit(1)) == 1).alias("leaf"), F.bit_or("length").alias("lengths"), F.bit_or("follow").alias("follows"))
 
 
 def _alive(pos: str) -> Column:
@@ -92,72 +111,71 @@ def _alive(pos: str) -> Column:
     return F.expr(f"{_has('lengths', length)} AND (char_length(word) = {pos} AND ends OR {after} != '' AND {_has('follows', f'ascii({after}) % 64')})")
 
 
-def _spawned(words: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
-    """States with one edit that leave their word's own path at this depth."""
-    size = level(depth)
-    length = F.char_length("word")
-    own = words.where((length >= depth) & (F.floor(length / 2) < depth + size)).select("word", _piece("word", 0, depth).alias("node"))
-    met = own.join(steps, "node")
-    n = F.char_length("piece")
+def _states(met: DataFrame) -> DataFrame:
+    """States at the children: open ones go on with the edges of depth ``at``, the others are done."""
+    done = F.col("leaf") | (F.col("pos") == F.char_length("word"))
+    return met.select("side", "word", "pos", F.concat("node", "piece").alias("node"), (~done).alias("open"),
+                      (F.col("depth") + F.col("size")).cast("int").alias("at"))
+
+
+def _spawned(sides: DataFrame, trie: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """States with one edit where they leave their word's own path, over all levels."""
+    length, depth, size, n = F.char_length("word"), F.col("depth"), F.col("size"), F.char_length("piece")
+    own = _at_levels(sides, steps).where((length >= depth) & (F.floor(length / 2) < depth + size))
+    met = own.join(trie, ["side", "depth", "node"]).where(F.col("piece") != _piece("word", depth, n))
     kinds = []
     for extra in (0, -1, 1):  # replaced, extra in the neighbour, missing in the neighbour
-        piece = _piece("word", depth, n + extra)
-        if size == 1:  # one code point: another one, one against none, or the second of two
-            one = F.col("piece") == _piece("word", depth + 1, 1) if extra == 1 else F.lit(True)
-        else:
-            one = F.levenshtein(F.col("piece"), piece, 1) == 1
-        fits = (length >= depth + n + extra) & one & _alive(f"({depth} + char_length(piece) + {extra})")
-        kinds.append(F.when(fits, F.lit(depth) + n + extra))
-    states = met.where(F.col("piece") != _piece("word", depth, n)).select(
-        "word", F.concat("node", "piece").alias("node"), "ends", F.explode(F.array_compact(F.array(*kinds))).alias("pos"))
-    return states.select("word", "pos", "node", "ends")
-
-
-def _followed(frontier: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
-    """States with one edit, one exact piece further."""
-    ahead = frontier.select("word", "pos", "node", _piece("word", F.col("pos"), level(depth)).alias("piece")).where("piece != ''")
-    met = ahead.join(steps, ["node", "piece"]).where(_alive("(pos + char_length(piece))"))
-    return met.select("word", (F.col("pos") + F.char_length("piece")).alias("pos"), F.concat("node", "piece").alias("node"), "ends")
-
-
-def _second_half(words: DataFrame) -> DataFrame:
-    """(word, near) of words that differ in the second half of ``word``; ``words`` is a written table."""
-    lengths = words.agg(F.min(F.char_length("word")), F.max(F.char_length("word"))).first()
-    depth, longest = (lengths[0] or 0) // 2, lengths[1] or 0
-    shorter = words.select(F.col("word").alias("near")).join(
-        words.select("word", F.expr("substring(word, 1, char_length(word) - 1)").alias("near")), "near").select("word", "near")
-    found, frontier, branching = [written(shorter, "near")], None, True
-    while depth < longest and (branching or frontier is not None):
-        steps = written(edges(words, depth), "trie")
-        states = []
-        if branching:
-            states.append(_spawned(words, steps, depth))
-            branching = not steps.where("words > 1").isEmpty()
-        if frontier is not None:
-            states.append(_followed(frontier, steps, depth))
-        reached = written(reduce(DataFrame.unionByName, states), "frontier")
-        discard(steps)
-        found.append(reached)
-        frontier = reached.where("pos < char_length(word)")
-        frontier = None if frontier.isEmpty() else frontier
-        depth += level(depth)
-    near = found[0]
-    for reached in found[1:]:
-        near = near.unionByName(reached.where("ends AND pos = char_length(word)").select("word", F.col("node").alias("near")))
-    out = written(near, "near")
-    discard(*found)
-    return out
+        # a piece of one code point: another one, one against none, or the second of two
+        single = F.col("piece") == _piece("word", depth + 1, 1) if extra == 1 else F.lit(True)
+        one = F.when(size == 1, single).otherwise(F.levenshtein(F.col("piece"), _piece("word", depth, n + extra), 1) == 1)
+        fits = (length >= depth + n + extra) & one & _alive(f"(depth + char_length(piece) + {extra})")
+        kinds.append(F.when(fits, depth + n + extra))
+    return _states(met.withColumn("pos", F.explode(F.array_compact(F.array(*kinds)))))
+
+
+def _followed(frontier: DataFrame, trie: DataFrame, depth: int, size: int) -> DataFrame:
+    """Open states at ``depth``, one exact piece further."""
+    ahead = frontier.select("side", "word", "pos", "node", _piece("word", F.col("pos"), size).alias("piece"))
+    met = ahead.join(trie.where(F.col("depth") == depth), ["side", "node", "piece"]).where(_alive("(pos + char_length(piece))"))
+    return _states(met.withColumn("pos", F.col("pos") + F.char_length("piece")).withColumn("size", F.lit(size)))
+
+
+def _ended(states: DataFrame) -> DataFrame:
+    """(side, word, near): what the states that are done would have to end in."""
+    return states.where("NOT open").select("side", "word", F.expr("concat(node, substring(word, pos + 1))").alias("near"))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """(word, near), both ways, for words that differ by exactly one inserted, deleted or replaced code point.
     ``words`` is a written table."""
-    last = _second_half(words)
-    backwards = written(words.select(F.reverse("word").alias("word")), "reversed_words")
-    first = _second_half(backwards)
+    lengths = words.agg(F.min(F.char_length("word")), F.max(F.char_length("word"))).first()
+    steps = levels(lengths[0] or 0, lengths[1] or 0)
+    if not steps:
+        return written(words.select("word", F.col("word").alias("near")), "near")
+    sides = written(words.select(F.lit(0).alias("side"), "word").unionByName(words.select(F.lit(1).alias("side"), F.reverse("word").alias("word"))), "sides")
+    trie = written(edges(sides, steps), "trie", "depth")
+    spawned = written(_spawned(sides, trie, steps), "frontier", "at")
+    waiting = {r["at"] for r in spawned.where("open").select("at").distinct().collect()}  # at most one row a level
+    # one code point less at the end is no edge of the trie
+    ends = sides.select("side", "word", F.expr("substring(word, 1, char_length(word) - 1)").alias("near"))
+    found, tables, frontier = [ends, _ended(spawned)], [sides, trie, spawned], None
+    for depth, size in steps:
+        starts = [spawned.where((F.col("at") == depth) & F.col("open"))] if depth in waiting else []
+        if frontier is not None:
+            starts.append(frontier.where("open"))
+        if not starts:
+            continue
+        left = Observation()
+        reached = _followed(reduce(DataFrame.unionByName, [s.select("side", "word", "pos", "node") for s in starts]), trie, depth, size)
+        reached = written(reached.observe(left, F.count_if("open").alias("open")), "frontier")
+        found.append(_ended(reached))
+        tables.append(reached)
+        frontier = reached if left.get["open"] else None
+    turned = lambda c: F.when(F.col("side") == 1, F.reverse(c)).otherwise(F.col(c)).alias(c)
     # an edit inside a run of one code point may lie in either half
-    out = written(last.unionByName(first.select(F.reverse("word").alias("word"), F.reverse("near").alias("near"))).distinct(), "near")
-    discard(last, backwards, first)
+    near = reduce(DataFrame.unionByName, found).select(turned("word"), turned("near")).distinct()
+    out = written(near.join(words.select(F.col("word").alias("near")), "near", "left_semi").select("word", "near"), "near")
+    discard(*tables)
     return out
 
 
