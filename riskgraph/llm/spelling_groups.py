@@ -120,17 +120,21 @@ def _states(met: DataFrame) -> DataFrame:
 
 def _spawned(sides: DataFrame, trie: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
     """States with one edit where they leave their word's own path, over all levels."""
-    length, depth, size, n = F.char_length("word"), F.col("depth"), F.col("size"), F.char_length("piece")
-    own = _at_levels(sides, steps).where((length >= depth) & (F.floor(length / 2) < depth + size))
-    met = own.join(trie, ["side", "depth", "node"]).where(F.col("piece") != _piece("word", depth, n))
+    own = _at_levels(sides, steps).withColumn("len", F.char_length("word")).where("len >= depth AND len div 2 < depth + size")
+    own = own.withColumn("tail", F.expr("substring(word, depth + 1, size + 2)"))  # all that the tests below read of the word
+    met = own.join(trie, ["side", "depth", "node"]).withColumn("n", F.char_length("piece")).where("piece != substring(tail, 1, n)")
     kinds = []
     for extra in (0, -1, 1):  # replaced, extra in the neighbour, missing in the neighbour
+        # as in _alive: a word of that length lies there, and both are at their end or the next code point may follow
+        after = f"substring(tail, n + {extra} + 1, 1)"
+        alive = (f"len >= depth + n + {extra} AND {_has('lengths', f'least(len - {extra}, 63)')} AND "
+                 f"if(len = depth + n + {extra}, ends, {_has('follows', f'ascii({after}) % 64')})")
         # a piece of one code point: another one, one against none, or the second of two
-        single = F.col("piece") == _piece("word", depth + 1, 1) if extra == 1 else F.lit(True)
-        one = F.when(size == 1, single).otherwise(F.levenshtein(F.col("piece"), _piece("word", depth, n + extra), 1) == 1)
-        fits = (length >= depth + n + extra) & one & _alive(f"(depth + char_length(piece) + {extra})")
-        kinds.append(F.when(fits, depth + n + extra))
-    return _states(met.withColumn("pos", F.explode(F.array_compact(F.array(*kinds)))))
+        single = "piece = substring(tail, 2, 1)" if extra == 1 else "true"
+        one = f"if(size = 1, {single}, levenshtein(piece, substring(tail, 1, n + {extra}), 1) = 1)"
+        kinds.append(F.expr(f"if({alive} AND {one}, depth + n + {extra}, null)"))
+    met = met.where(F.coalesce(*kinds).isNotNull())
+    return _states(met.withColumn("pos", F.explode(F.array(*kinds))).where("pos IS NOT NULL"))
 
 
 def _followed(frontier: DataFrame, trie: DataFrame, depth: int, size: int) -> DataFrame:
