@@ -76,3 +76,18 @@ def test_lead_within_equals_window(spark):
     ref = sorted(tuple(r) for r in df.withColumn("nx", F.lead("k").over(w)).collect())
     for parts in (None, 7):
         assert sorted(tuple(r) for r in lead_within(df, "g", ["d", "k"], "k", "nx", num_partitions=parts).collect()) == ref
+
+
+def test_lead_within_hot_groups(spark):
+    """Only groups above an even share are sorted over partitions (the NULL group, too); the rest is one window, nothing is persisted."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from riskgraph.operators.sequence import hot_groups, lead_within
+    from riskgraph.session import materialize
+
+    df = spark.range(3000).selectExpr("case when id % 3 = 0 then 7 when id % 5 = 0 then null else id end as g", "id as k")
+    assert [set(hot_groups(materialize(df), "g", n)) for n in (1, 4, 8)] == [set(), {7}, {7, None}]
+    ref = sorted(map(str, df.withColumn("nx", F.lead("k").over(Window.partitionBy("g").orderBy("k"))).collect()))
+    for n in (1, 4, 8):
+        assert sorted(map(str, lead_within(df, "g", ["k"], "k", "nx", num_partitions=n).collect())) == ref
