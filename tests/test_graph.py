@@ -179,3 +179,31 @@ def test_one_hop_alone(fixture_graph):
     both = G.exposure(*args)
     one = G.one_hop_exposure(*args)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, both.select(*one.columns).collect()))
+
+
+def test_exposure_of_all_nodes_by_lists(spark, monkeypatch):
+    """Neighbour lists, wider nodes in rows and hubs as words give the counts of enumeration; no row per pair is written or shuffled
+    for narrow nodes, and a hub's bitmap holds only words that have a bit."""
+    edges = G.materialize(spark.range(1500).select(F.expr("cast(pow(pmod(xxhash64(id), 997) / 997, 3) * 300 as bigint) - 5").alias("src"),
+                                                   F.expr("pmod(xxhash64(id, 1), 400)").alias("dst")))
+    nodes = spark.range(-5, 400).select("id")
+    risky = nodes.where("id % 7 = 0")
+    ref = _exp_rows(G.exposure(nodes, G.adjacency(edges), risky))
+    assert _exp_rows(G.exposure(nodes, G.adjacency(edges, 3), risky, hub_limit=1000)) == ref
+    monkeypatch.setattr(G, "LIST", 12)
+    assert _exp_rows(G.exposure(nodes, G.adjacency(edges), risky, hub_limit=8)) == ref
+    adj = G.materialize(G.adjacency(edges).withColumn("rb", F.lit(0)))
+    lists = G._lists(adj, "bigint", 4)
+    assert lists.count() == adj.select("a").distinct().count()
+    hubs = adj.groupBy("a").count().where("count > 8").select(F.col("a").alias("hub"))
+    _, unions, _ = G.hub_unions(adj, hubs)
+    held = unions.select(F.inline("words")).select(F.sum(F.bit_count("bits")).alias("n"), F.min(F.bit_count("bits")).alias("least")).first()
+    assert held["n"] > 0 and held["least"] > 0
+
+
+def test_one_hop_dealt_in_parts(fixture_graph):
+    g = fixture_graph
+    risky = G.risky_nodes(g.nodes, g.labels)
+    parts = G.one_hop_exposure(g.ids, G.adjacency(g.edges, 3), risky, 3)
+    plain = G.one_hop_exposure(g.ids, G.adjacency(g.edges), risky)
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, plain.collect()))
