@@ -207,3 +207,11 @@ def test_one_hop_dealt_in_parts(fixture_graph):
     parts = G.one_hop_exposure(g.ids, G.adjacency(g.edges, 3), risky, 3)
     plain = G.one_hop_exposure(g.ids, G.adjacency(g.edges), risky)
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_components_of_loops_and_missing_rows(spark):
+    """Ends without a node row and nodes with only a loop have a component; the look-up of chains waits for single parents."""
+    edges = spark.createDataFrame([(5, 5), (1, 2), (2, 1), (3, 2), (9, 9), (8, 4)], "src long, dst long")
+    comp, _ = G.connected_components(spark.createDataFrame([(1,), (7,), (9,)], "id long"), edges)
+    assert sorted(map(tuple, comp.collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (7, 7), (8, 4), (9, 9)]
+    assert G._edge_set(edges.toDF("x", "y").union(edges.toDF("x", "y")), 3, "twice").count() == 6
