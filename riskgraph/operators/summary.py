@@ -9,10 +9,13 @@ from riskgraph.functions import labels as L
 from riskgraph.operators.metrics import feature_columns, with_labels
 
 
-def dataset_profile(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Node count, directed edge count, time steps (count, min, max), feature counts."""
+def dataset_profile(nodes: DataFrame, edges: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """Node count, directed edge count, time steps (count, min, max), feature counts.
+
+    ``steps``: (id, time_step) of ``nodes``, row for row, where they are had more cheaply; so with ``summary_record``.
+    """
     n_feat = len(feature_columns(nodes))
-    node_stats = nodes.agg(
+    node_stats = (nodes if steps is None else steps).agg(
         F.count(F.lit(1)).alias("node_count"),
         F.countDistinct("time_step").alias("time_step_count"),
         F.min("time_step").alias("time_step_min"),
@@ -53,9 +56,11 @@ def _counts_map(counts: DataFrame, key: str, value: str):
     return counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value))))).scalar()
 
 
-def summary_record(nodes: DataFrame, edges: DataFrame, labels: DataFrame, components: DataFrame, cases: DataFrame) -> DataFrame:
+def summary_record(nodes: DataFrame, edges: DataFrame, labels: DataFrame, components: DataFrame, cases: DataFrame,
+                   steps: DataFrame | None = None) -> DataFrame:
     """A12 to A15 as one nested record (one row); ``components`` from ``graph.component_summary``."""
-    profile = dataset_profile(nodes, edges)
+    profile = dataset_profile(nodes, edges, steps)
+    nodes = nodes if steps is None else steps
     by = case_distributions(cases)
     one = lambda c: components.select(c).scalar()
     return profile.select(

@@ -215,3 +215,42 @@ def test_components_of_loops_and_missing_rows(spark):
     comp, _ = G.connected_components(spark.createDataFrame([(1,), (7,), (9,)], "id long"), edges)
     assert sorted(map(tuple, comp.collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (7, 7), (8, 4), (9, 9)]
     assert G._edge_set(edges.toDF("x", "y").union(edges.toDF("x", "y")), 3, "twice").count() == 6
+
+
+def test_components_shuffle_each_edge_four_times_a_round(spark, tmp_path):
+    """A round deals all edges out for the minima of both steps, the small-star join and the distinct edges; the star test reads the minima."""
+    written = []
+    real = G.materialize
+    edges = spark.createDataFrame([(5, 1), (5, 1), (7, 5), (9, 7), (8, 1), (8, 2)], "x long, y long")
+
+    def counting(df, name="table"):
+        written.append(name)
+        return real(df, name)
+
+    G.materialize = counting
+    try:
+        low = G._lowest(edges)
+        assert not G._is_star_forest(low)
+        out = G._star_round(edges, low)
+    finally:
+        G.materialize = real
+    assert written == ["cc_minima", "cc_large", "cc_minima", "cc_edges"]
+    assert sorted(map(tuple, low.collect())) == [
+        (1, 1, True), (2, 2, True), (5, 1, False), (7, 5, False), (8, 1, False), (9, 7, True)]
+    # large-star: (5,1) (5,1) (7,1) (9,5) (8,1) (8,2); small-star on those
+    assert sorted(map(tuple, out.collect())) == [(2, 1), (5, 1), (7, 1), (8, 1), (9, 5)]
+    star = spark.createDataFrame([(2, 1), (3, 1), (3, 1), (6, 5)], "x long, y long")
+    assert G._is_star_forest(G._lowest(star))
+    comp, rounds = G.connected_components(spark.range(1, 8), star.toDF("src", "dst"))
+    assert rounds == 0 and sorted(map(tuple, comp.collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5), (7, 7)]
+
+
+def test_summary_from_steps_alone(spark, fixture_graph):
+    """The record is the same from (id, time_step) rows as from the nodes with all their features."""
+    from riskgraph.operators import summary as SU
+
+    g = fixture_graph
+    cases = spark.createDataFrame([("High", "illicit"), ("Low", "licit")], "risk_level string, label_name string")
+    comp = G.component_summary(G.connected_components(g.ids, g.edges)[0], g.ids)
+    whole = SU.summary_record(g.nodes, g.edges, g.labels, comp, cases).first()
+    assert SU.summary_record(g.nodes, g.edges, g.labels, comp, cases, g.steps).first() == whole
