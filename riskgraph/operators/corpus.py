@@ -147,6 +147,15 @@ def _overlaps_itself(keyword: str) -> bool:
     return any(keyword.endswith(keyword[:n]) for n in range(1, len(keyword)))
 
 
+def scan_pattern(vocab: list[str]) -> str:
+    """Finds, at every place, the longest keyword that starts there; a place that starts none by its first character
+    is left at once."""
+    longest_first = sorted(vocab, key=lambda k: (-len(k), k))
+    first = "".join(re.escape(c) for c in sorted({k[0] for k in vocab if k}))
+    guard = f"(?=[{first}])" if all(vocab) and first else ""
+    return guard + "(?=(" + "|".join(re.escape(k) for k in longest_first) + "))"
+
+
 def postings(chunks: DataFrame, vocab: list[str]) -> DataFrame:
     """(keyword, n, chunk key) of every keyword that a chunk holds, lowercased, counted without overlap.
 
@@ -154,9 +163,7 @@ def postings(chunks: DataFrame, vocab: list[str]) -> DataFrame:
     start there too.  Only a keyword that can overlap itself needs a scan of its own.
     """
     low = F.lower(F.col("text"))
-    longest_first = sorted(vocab, key=lambda k: (-len(k), k))
-    pattern = "(?=(" + "|".join(re.escape(k) for k in longest_first) + "))"
-    found = chunks.select(*CHUNK_KEY, low.alias("low"), F.regexp_extract_all(low, F.lit(pattern), F.lit(1)).alias("found"))
+    found = chunks.select(*CHUNK_KEY, low.alias("low"), F.regexp_extract_all(low, F.lit(scan_pattern(vocab)), F.lit(1)).alias("found"))
     count = lambda k: (
         substring_count(F.col("low"), F.lit(k)) if _overlaps_itself(k) else F.size(F.filter("found", lambda m: m.startswith(k))))
     rows = F.array(*[F.struct(F.lit(k).alias("keyword"), count(k).cast("long").alias("n")) for k in vocab])

@@ -48,3 +48,25 @@ def test_clean_review_text_order(spark):
     df = spark.createDataFrame([("out_degree: 3, in_degree: 1, time_step_activity: 9",)], "t string")
     assert df.select(clean_review_text(F.col("t"))).first()[0] == (
         "outbound degree: 3, inbound degree: 1, time-window activity: 9")
+
+
+def test_whitespace_by_property_is_the_listed_class(spark):
+    """Every character of the basic plane is white space by the fast pattern if and only if it is in the listed class."""
+    from riskgraph.functions import text as X
+
+    chars = spark.range(65536).where("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    odd = chars.where(F.regexp_like("c", F.lit(f"^{X.WHITESPACE_RUN}$")) != F.regexp_like("c", F.lit(f"^{X.WHITESPACE_CLASS}+$")))
+    assert odd.count() == 0
+    assert chars.where(F.regexp_like("c", F.lit(f"^{X.WHITESPACE_CLASS}+$"))).count() > 20
+
+
+def test_scan_leaves_places_that_start_no_keyword(spark):
+    """Keywords that hold signs of patterns are found as they stand, and the scan looks at first characters before whole keywords."""
+    from riskgraph.operators import corpus as CO
+
+    vocab = ["-x", "^y", "]z", "a.b", "aa", "\\d", "&&", "the", "then", " q", "\u00e9t\u00e9"]
+    assert CO.scan_pattern(vocab).startswith("(?=[") and CO.scan_pattern(["then", "the"]) == "(?=[t])(?=(then|the))"
+    text = "THEN the-x^y]za.b aaa axb \\d1 d &&& then q \u00c9t\u00e9 \u00e9t\u00e9s bthe"
+    chunks = spark.createDataFrame([("c", 1, 0, "s", 1, text)], "chunk_id string, page long, source_rank int, source_id string, chunk_no int, text string")
+    got = {r["keyword"]: r["n"] for r in CO.postings(chunks, vocab).collect()}
+    assert got == {k: text.lower().count(k) for k in vocab if text.lower().count(k)}
